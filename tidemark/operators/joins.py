@@ -1,0 +1,20 @@
+"""Join helpers: broadcast only behind a proven row bound, otherwise leave the choice to the planner / AQE."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest side (rows) that is ever broadcast explicitly. Dimension tables (collections, query terms, hit lists of
+# one result page) stay far below it; anything larger falls back to a shuffle join that AQE may still convert.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def row_bound(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1 rows to decide)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only when the row count is checked to be small."""
+    return F.broadcast(df) if row_bound(df, max_rows) else df
