@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # RFC 4648 base32 alphabet; a valid digest is 32 symbols of it (20 bytes).
 BASE32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+CONV32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 VALID_DIGEST_PATTERN = "^[A-Z2-7]{32}$"
 STORE_SUFFIX = ".zst"
 STORE_PATH_PATTERN = r"/[A-Z2-7]{2}/[A-Z2-7]{2}/[A-Z2-7]{32}\.zst$"
@@ -17,17 +18,11 @@ def _col(c) -> Column:
 
 
 def hex40_to_base32(h) -> Column:
-    """40 hex digits -> 32 base32 symbols. Every 5 hex digits (20 bits) become 4 symbols; the expression is
-    unrolled (no lambda) so it stays inside whole-stage code generation."""
+    """40 hex digits -> 32 base32 symbols. Every 5 hex digits (20 bits) are 4 base-32 digits: ``conv`` to base 32
+    (digits 0-9A-V), left-pad to 4, then one ``translate`` maps that digit set onto the RFC 4648 alphabet."""
     h = _col(h)
-    alphabet = F.lit(BASE32_ALPHABET)
-    symbols = []
-    for group in range(8):
-        bits20 = F.conv(F.substring(h, group * 5 + 1, 5), 16, 10).cast("int")
-        for j in range(4):
-            idx = F.shiftright(bits20, (3 - j) * 5).bitwiseAND(F.lit(31))
-            symbols.append(alphabet.substr(idx + 1, F.lit(1)))
-    return F.concat(*symbols)
+    groups = [F.lpad(F.conv(F.substring(h, g * 5 + 1, 5), 16, 32), 4, "0") for g in range(8)]
+    return F.translate(F.concat(*groups), CONV32_DIGITS, BASE32_ALPHABET)
 
 
 def content_digest(body) -> Column:

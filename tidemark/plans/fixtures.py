@@ -21,17 +21,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MEMO: dict = {}
+
+
+def _memo(fn):
+    """Build each derived relation once per (session, folder): queries then share one plan object per relation
+    (smaller plans, reusable exchanges). Only the lazy plan is kept; no data is cached."""
+    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (id(spark), sf_dir, fn.__name__)
+        hit = _MEMO.get(key)
+        if hit is None or hit[0] is not spark:
+            hit = (spark, fn(spark, sf_dir))
+            _MEMO[key] = hit
+        return hit[1]
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
 def doc_count(spark: SparkSession, sf_dir: str):
     """Scalar subquery (not a driver round trip) holding count(documents)."""
     return table(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
 
 
+@_memo
 def doc_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, digest, n_chars): each body hashed once, before any join fans it out."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", content_digest("text").alias("digest"), "n_chars")
 
 
+@_memo
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One capture per event: URL on one of 12 sites, capture time moved back 0-9 years, body = document
     event_id % n, status 404 / 302 / NULL / 200 by event_id % 10."""
@@ -54,6 +74,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "mime_type", "status_code", F.col("n_chars").alias("length"), "crawl_ts"))
 
 
+@_memo
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures in crawl order, plus a later re-crawl (status 404, +1 day) of every 20th capture: the first row of
     each (surt, captured_at) must win."""
@@ -65,6 +86,7 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionByName(again)
 
 
+@_memo
 def success(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetch results: captures with capture_id % 3 <> 0 were fetched; every 17th body came back wrong (the body
     of the next document), which is filed under its real digest with correct_digest = false."""
@@ -78,6 +100,7 @@ def success(spark: SparkSession, sf_dir: str) -> DataFrame:
         "capture_id", "surt", "captured_at", "snapshot", "correct_digest", F.col("crawl_ts").alias("fetched_at"))
 
 
+@_memo
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content-addressed store: one (digest, body) per fetched snapshot. Copies of a body collapse map-side."""
     d = table(spark, sf_dir, "documents").select(content_digest("text").alias("digest"), F.col("text").alias("body"))
@@ -87,6 +110,7 @@ def store(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("length", F.octet_length("body").cast("bigint")))
 
 
+@_memo
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collections: one prefix pattern per capture site ('com,example,siteK)/u/', slug siteK, sort_id K+1) and one
     more site that has no captures."""
@@ -102,11 +126,13 @@ def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k + 1).alias("sort_id"), F.lit(True).alias("prefix"), F.lit(True).alias("active"))
 
 
+@_memo
 def pattern_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators.patterns import assign_patterns
     return assign_patterns(captures(spark, sf_dir), patterns(spark, sf_dir))
 
 
+@_memo
 def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redirect dataset lines 'digest,url' from page URLs; every 11th line carries a wrong digest. Files are split
     by the first digest symbol; line numbers follow page_id inside a file."""
@@ -119,6 +145,7 @@ def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat_ws(",", "digest", "url").alias("line"), "digest", "url")
 
 
+@_memo
 def digest_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of digests to classify: every stored snapshot plus digests of benchmark texts (known nowhere)."""
     s = store(spark, sf_dir).select("digest")
@@ -126,6 +153,7 @@ def digest_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.unionByName(b).distinct()
 
 
+@_memo
 def index_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2 input rows: (snapshot, surt, slug, captured_at) for fetched HTML captures that belong to a collection."""
     from tidemark.operators.reconcile import snapshot_info
@@ -133,6 +161,7 @@ def index_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                          patterns(spark, sf_dir), mime="text/html")
 
 
+@_memo
 def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 documents for the index: one per snapshot, from its representative capture (earliest, then slug)."""
     from tidemark.operators.search import build_docs

@@ -135,8 +135,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def with_ctes(body: str, *needs: str) -> str:
-    """Prefix ``body`` with the CTEs it needs (transitively, dependencies first)."""
+def with_ctes(body: str, *needs: str, extra: tuple[tuple[str, str], ...] = ()) -> str:
+    """Prefix ``body`` with the CTEs it needs (transitively, dependencies first), then query-local ``extra``."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -148,6 +148,7 @@ def with_ctes(body: str, *needs: str) -> str:
 
     for n in needs:
         visit(n)
-    if not order:
+    items = [(n, CTES[n][1]) for n in order] + list(extra)
+    if not items:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in items) + "\n" + body

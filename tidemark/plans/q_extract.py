@@ -1 +1,100 @@
-"""Catalogue part."""
+"""Catalogue part 4: HTML extraction (T1), link dump (S18), link graph (I8), avatar hashes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import surt_from_url  # noqa: F401  (re-exported for the graph query)
+from tidemark.operators import extract as ex
+from tidemark.plans import fixtures as fx
+from tidemark.plans.catalog import register
+from tidemark.plans.oracle import d_surt
+
+
+def _unesc(x: str) -> str:
+    return (f"replace(replace(replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'),"
+            f" '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+_ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+_AVATAR_IMG = "'<img src=\"https://www.gravatar.com/avatar/' || md5(CAST(page_id AS VARCHAR)) || '\">'"
+
+
+def _pages_docs(spark, sf, native=False):
+    p = fx.table(spark, sf, "pages")
+    if native:
+        return ex.extract_native(p)
+    return ex.extract_documents(p, "html", ex.page_origin("url"))
+
+
+@register("html_title", "SELECT page_id, " + _strip(_unesc("regexp_extract(html, '<title>([^<]*)</title>', 1)"))
+          + " AS title FROM pages")
+def html_title(spark, sf):
+    return _pages_docs(spark, sf).select("page_id", F.col("doc.title").alias("title"))
+
+
+@register("html_title_native", "SELECT page_id, " + _strip(_unesc("regexp_extract(html, '<title>([^<]*)</title>', 1)"))
+          + " AS title FROM pages")
+def html_title_native(spark, sf):
+    return _pages_docs(spark, sf, native=True).select("page_id", F.col("doc.title").alias("title"))
+
+
+@register("html_text", f"""
+    SELECT page_id, CAST(len(nodes) AS BIGINT) AS n_nodes, array_to_string(nodes, chr(10)) AS text FROM (
+      SELECT page_id, list_filter(list_transform(regexp_extract_all(substr(html, strpos(html, '<body>')), '>([^<]+)<', 1),
+                                                 lambda x: {_strip(_unesc('x'))}), lambda x: x <> '') AS nodes
+      FROM pages)""")
+def html_text(spark, sf):
+    d = _pages_docs(spark, sf)
+    return d.select("page_id", F.size("doc.content").cast("bigint").alias("n_nodes"),
+                    F.array_join("doc.content", "\n").alias("text"))
+
+
+@register("html_links", f"""
+    SELECT page_id, CAST(i - 1 AS BIGINT) AS pos,
+           CASE WHEN starts_with(href, 'http') THEN href ELSE origin || href END AS link
+    FROM (SELECT page_id, origin, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS i
+          FROM (SELECT page_id, {_ORIGIN} AS origin,
+                       list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: trim({_unesc('h')})) AS hrefs
+                FROM pages))
+    WHERE starts_with(CASE WHEN starts_with(href, 'http') THEN href ELSE origin || href END, 'http')""")
+def html_links(spark, sf):
+    return ex.link_rows(_pages_docs(spark, sf)).select("page_id", F.col("pos").cast("bigint").alias("pos"), "link")
+
+
+@register("link_graph", f"""
+    SELECT DISTINCT page_id, link, link_surt FROM (
+      SELECT page_id, link, {d_surt('link')} AS link_surt FROM (
+        SELECT page_id, origin || trim({_unesc('h')}) AS link
+        FROM (SELECT page_id, {_ORIGIN} AS origin, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages)))
+    WHERE link_surt IS NOT NULL""")
+def link_graph(spark, sf):
+    return ex.link_graph(_pages_docs(spark, sf))
+
+
+@register("gravatar_extract", f"""
+    SELECT page_id, md5(CAST(page_id AS VARCHAR)) AS hashes FROM pages WHERE strpos(html, '<body>') > 0""")
+def gravatar_extract(spark, sf):
+    p = fx.table(spark, sf, "pages").where(F.instr("html", "<body>") > 0)
+    img = F.concat(F.lit('<body><img src="https://www.gravatar.com/avatar/'), F.md5(F.col("page_id").cast("string")),
+                   F.lit('">'))
+    p = p.withColumn("html", F.replace("html", F.lit("<body>"), img))
+    d = ex.extract_documents(p, "html")
+    return d.select("page_id", F.array_join("doc.gravatar_hashes", " ").alias("hashes"))
+
+
+@register("gravatar_extract_native", f"""
+    SELECT page_id, md5(CAST(page_id AS VARCHAR)) AS hashes FROM pages WHERE strpos(html, '<body>') > 0""")
+def gravatar_extract_native(spark, sf):
+    p = fx.table(spark, sf, "pages").where(F.instr("html", "<body>") > 0)
+    img = F.concat(F.lit('<body><img src="https://www.gravatar.com/avatar/'), F.md5(F.col("page_id").cast("string")),
+                   F.lit('">'))
+    d = ex.extract_native(p.withColumn("html", F.replace("html", F.lit("<body>"), img)))
+    return d.select("page_id", F.array_join("doc.gravatar_hashes", " ").alias("hashes"))
+
+
+_ = _AVATAR_IMG

@@ -1 +1,294 @@
-"""Catalogue part."""
+"""Catalogue part 3: index build, ranked search, filters, facets, grouped top-K, timelines, page results."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from tidemark.functions.text import BM25_B, BM25_K1, FIRST_FACET_YEAR
+from tidemark.operators import search as srch
+from tidemark.plans import fixtures as fx
+from tidemark.plans.catalog import register
+from tidemark.plans.oracle import q as lit
+from tidemark.plans.oracle import with_ctes
+
+# Query parameters of the registered searches (user input, not data).
+Q_TERMS = srch.Query(should="nicht dans")
+Q_MUST_NOT = srch.Query(must="the", must_not="nicht")
+Q_PHRASE = srch.Query(phrase="of the")
+Q_FIELD = srch.Query(should="the", fields=("title",))
+Q_BOOST = srch.Query(should="sur enou", boosts={"title": 2.0})
+Q_FILTERED = srch.Query(should="sur enou dans", slugs=("site1", "site2", "site5"), years=(2016, 2017, 2018, 2019, 2020, 2021),
+                        start=datetime(2016, 3, 1), end=datetime(2021, 6, 1))
+PAGE = 10
+
+
+def _index(spark, sf):
+    docs = fx.search_docs(spark, sf)
+    return docs, srch.postings(docs), srch.field_stats(docs)
+
+
+def _matches(spark, sf, query):
+    docs, post, stats = _index(spark, sf)
+    return srch.search_matches(docs, post, query, stats)
+
+
+# ------------------------------------------------------------------ oracle helpers
+def _d(x) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+def _bm25_sql(idf: str, tf: str, dl: str, avgdl: str) -> str:
+    return (f"({idf}) * ({_d(BM25_K1)} + 1) * {tf} / ({tf} + {_d(BM25_K1)} * ((1 - {_d(BM25_B)}) + {_d(BM25_B)} * {dl} / {avgdl}))")
+
+
+def _idf_sql(df: str, n: str) -> str:
+    return f"ln(1 + ({n} - {df} + 0.5::DOUBLE) / ({df} + 0.5::DOUBLE))"
+
+
+def _in(values) -> str:
+    return "(" + ", ".join(lit(v) for v in values) + ")"
+
+
+def _boost_sql(boosts) -> str:
+    if not boosts:
+        return "1.0::DOUBLE"
+    return "CASE " + " ".join(f"WHEN field = {lit(f)} THEN {_d(b)}" for f, b in boosts.items()) + " ELSE 1.0::DOUBLE END"
+
+
+def _filter_sql(query: srch.Query) -> str:
+    c = ["true"]
+    if query.slugs:
+        c.append(f"slug IN {_in(query.slugs)}")
+    if query.years:
+        c.append("year IN (" + ", ".join(str(y) for y in query.years) + ")")
+    if query.start:
+        c.append(f"captured_at >= TIMESTAMP '{query.start:%Y-%m-%d %H:%M:%S}'")
+    if query.end:
+        c.append(f"captured_at < TIMESTAMP '{query.end:%Y-%m-%d %H:%M:%S}'")
+    return " AND ".join(c)
+
+
+def matches_ctes(query: srch.Query) -> tuple[tuple[str, str], ...]:
+    """Query-local CTEs ending in ``matches(snapshot, surt, captured_at, slug, year, title, score)``."""
+    ctes = []
+    parts = []
+    terms = query.positive_terms()
+    fields = _in(query.fields)
+    if terms:
+        ctes.append(("q_tf", f"""SELECT p.snapshot, p.field, p.token, fl.dl, count(*) AS tf FROM postings p
+            JOIN field_lengths fl ON fl.snapshot = p.snapshot AND fl.field = p.field
+            WHERE p.token IN {_in(terms)} AND p.field IN {fields} GROUP BY ALL"""))
+        ctes.append(("q_df", "SELECT field, token, count(*) AS df FROM q_tf GROUP BY ALL"))
+        ctes.append(("q_ts", f"""SELECT t.snapshot, t.token, sum({_bm25_sql(_idf_sql('d.df', 's.n_docs'), 't.tf', 't.dl', 's.avgdl')}
+                     * {_boost_sql(query.boosts).replace('field', 't.field')}) AS score
+            FROM q_tf t JOIN q_df d ON d.field = t.field AND d.token = t.token JOIN field_stats s ON s.field = t.field
+            GROUP BY ALL"""))
+        must = sorted(set(srch.analyse_text(query.must)))
+        having = " AND ".join(f"list_contains(list(token), {lit(m)})" for m in must) or "true"
+        ctes.append(("q_terms", f"SELECT snapshot, sum(score) AS score FROM q_ts GROUP BY snapshot HAVING {having}"))
+        parts.append("q_terms")
+    words = srch.analyse_text(query.phrase)
+    if words:
+        conds = " AND ".join(
+            f"EXISTS (SELECT 1 FROM postings p{i} WHERE p{i}.snapshot = p0.snapshot AND p{i}.field = p0.field "
+            f"AND p{i}.pos = p0.pos + {i} AND p{i}.token = {lit(w)})" for i, w in enumerate(words) if i > 0) or "true"
+        ctes.append(("q_pf", f"""SELECT p0.snapshot, p0.field, count(*) AS pf FROM postings p0
+            WHERE p0.token = {lit(words[0])} AND p0.field IN {fields} AND {conds} GROUP BY ALL"""))
+        kcount = {}
+        for w in words:
+            kcount[w] = kcount.get(w, 0) + 1
+        kvals = ", ".join(f"({lit(w)}, {k})" for w, k in sorted(kcount.items()))
+        ctes.append(("q_idf", f"""SELECT d.field, sum({_idf_sql('d.df', 's.n_docs')} * k.k) AS idf_sum
+            FROM (SELECT field, token, count(DISTINCT snapshot) AS df FROM postings
+                  WHERE token IN {_in(sorted(set(words)))} AND field IN {fields} GROUP BY ALL) d
+            JOIN (VALUES {kvals}) k(token, k) ON k.token = d.token
+            JOIN field_stats s ON s.field = d.field GROUP BY d.field"""))
+        ctes.append(("q_phrase", f"""SELECT pf.snapshot, sum({_bm25_sql('i.idf_sum', 'pf.pf', 'fl.dl', 's.avgdl')}
+                     * {_boost_sql(query.boosts).replace('field', 'pf.field')}) AS score
+            FROM q_pf pf JOIN q_idf i ON i.field = pf.field JOIN field_stats s ON s.field = pf.field
+            JOIN field_lengths fl ON fl.snapshot = pf.snapshot AND fl.field = pf.field GROUP BY pf.snapshot"""))
+        parts.append("q_phrase")
+    if len(parts) == 2:
+        ctes.append(("q_scored", "SELECT a.snapshot, a.score + b.score AS score FROM q_terms a JOIN q_phrase b USING (snapshot)"))
+    else:
+        ctes.append(("q_scored", f"SELECT snapshot, score FROM {parts[0]}"))
+    nots = sorted(set(srch.analyse_text(query.must_not)))
+    excl = (f"AND d.snapshot NOT IN (SELECT snapshot FROM postings WHERE token IN {_in(nots)} AND field IN {fields})"
+            if nots else "")
+    ctes.append(("matches", f"""SELECT d.snapshot, d.surt, d.captured_at, d.slug, d.year, d.title, round(s.score, 6) AS score
+        FROM search_docs d JOIN q_scored s ON s.snapshot = d.snapshot
+        WHERE {_filter_sql(query)} {excl}"""))
+    return tuple(ctes)
+
+
+_SEARCH_NEEDS = ("search_docs", "postings", "field_lengths", "field_stats")
+
+
+def _oracle(body: str, query: srch.Query, *more: str, extra=()) -> str:
+    return with_ctes(body, *_SEARCH_NEEDS, *more, extra=matches_ctes(query) + tuple(extra))
+
+
+# ------------------------------------------------------------------ index build
+@register("search_docs", with_ctes("""
+    SELECT snapshot, surt, captured_at, slug, year, title, CAST(length(content) AS BIGINT) AS n_chars
+    FROM search_docs""", "search_docs"))
+def search_docs(spark, sf):
+    d = fx.search_docs(spark, sf)
+    return d.select("snapshot", "surt", "captured_at", "slug", "year", "title",
+                    F.length("content").cast("bigint").alias("n_chars"))
+
+
+@register("tokens", with_ctes("SELECT snapshot, field, pos, token FROM postings", "postings"))
+def tokens(spark, sf):
+    return srch.postings(fx.search_docs(spark, sf)).select("snapshot", "field", "pos", "token")
+
+
+@register("collection_stats", with_ctes("""
+    SELECT field, token, count(DISTINCT snapshot) AS df, count(*) AS cf FROM postings GROUP BY ALL""", "postings"))
+def collection_stats(spark, sf):
+    post = srch.postings(fx.search_docs(spark, sf))
+    return srch.collection_stats(post).select("field", "token", "df", F.col("cf").cast("bigint").alias("cf"))
+
+
+@register("field_stats", with_ctes("SELECT field, n_docs, round(avgdl, 6) AS avgdl FROM field_stats", "field_stats"))
+def field_stats_q(spark, sf):
+    docs = fx.search_docs(spark, sf)
+    st = srch.field_stats(docs)
+    return (srch.postings(docs).select("field").distinct()
+            .select("field", st["n"].alias("n_docs"),
+                    F.round(F.when(F.col("field") == "title", st["title"]).otherwise(st["content"]), 6).alias("avgdl")))
+
+
+# ------------------------------------------------------------------ ranked queries
+def _match_query(name, query):
+    @register(name, _oracle("SELECT snapshot, surt, score FROM matches", query))
+    def run(spark, sf):
+        return _matches(spark, sf, query).select("snapshot", "surt", "score")
+    run.__name__ = name
+    return run
+
+
+search_terms = _match_query("search_terms", Q_TERMS)
+search_must_not = _match_query("search_must_not", Q_MUST_NOT)
+search_phrase = _match_query("search_phrase", Q_PHRASE)
+search_field = _match_query("search_field", Q_FIELD)
+search_boost = _match_query("search_boost", Q_BOOST)
+search_filtered = _match_query("search_filtered", Q_FILTERED)
+
+
+# ------------------------------------------------------------------ facets
+@register("facet_patterns", _oracle("""
+    SELECT coalesce(p.slug, c.slug) AS slug, p.sort_id AS sort_key, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+    FROM patterns p FULL JOIN (SELECT slug, count(*) AS n FROM matches GROUP BY slug) c ON c.slug = p.slug""",
+                                    Q_TERMS, "patterns"))
+def facet_patterns(spark, sf):
+    return srch.facet_patterns(_matches(spark, sf, Q_TERMS), fx.patterns(spark, sf))
+
+
+@register("facet_years", _oracle(f"""
+    SELECT CAST(coalesce(y.year, c.year) AS INTEGER) AS year, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+    FROM (SELECT unnest(range((SELECT max(year) FROM search_docs), {FIRST_FACET_YEAR - 1}, -1)) AS year) y
+    FULL JOIN (SELECT year, count(*) AS n FROM matches GROUP BY year) c ON c.year = y.year""", Q_TERMS))
+def facet_years(spark, sf):
+    docs = fx.search_docs(spark, sf)
+    last = docs.agg(F.max("year")).scalar()
+    return srch.facet_years(srch.search_matches(docs, srch.postings(docs), Q_TERMS), last)
+
+
+@register("search_total", _oracle(f"""
+    SELECT CAST(count(*) AS BIGINT) AS total, CAST(ceil(count(*) / {PAGE}) AS BIGINT) AS pages FROM matches""", Q_TERMS))
+def search_total(spark, sf):
+    return srch.search_total(srch.facet_patterns(_matches(spark, sf, Q_TERMS), fx.patterns(spark, sf)), PAGE)
+
+
+# ------------------------------------------------------------------ grouped top-K, hits, timelines
+_TOP_CTES = (
+    ("q_best", "SELECT surt, max(score) AS best, count(*) AS n_hits FROM matches GROUP BY surt"),
+    ("q_ranked", "SELECT *, row_number() OVER (ORDER BY best DESC, surt) AS rank FROM q_best"),
+)
+
+
+def _top_sql(offset: int) -> tuple[tuple[str, str], ...]:
+    return _TOP_CTES + (("q_top", f"SELECT * FROM q_ranked WHERE rank > {offset} AND rank <= {offset + PAGE}"),)
+
+
+@register("top_surts", _oracle("SELECT rank, surt, best, n_hits FROM q_top", Q_TERMS, extra=_top_sql(0)))
+def top_surts(spark, sf):
+    return srch.top_surts(_matches(spark, sf, Q_TERMS), PAGE, 0).select("rank", "surt", "best", "n_hits")
+
+
+@register("top_surts_page2", _oracle("SELECT rank, surt, best, n_hits FROM q_top", Q_TERMS, extra=_top_sql(PAGE)))
+def top_surts_page2(spark, sf):
+    return srch.top_surts(_matches(spark, sf, Q_TERMS), PAGE, PAGE).select("rank", "surt", "best", "n_hits")
+
+
+def _ranked(spark, sf):
+    m = _matches(spark, sf, Q_TERMS)
+    top = srch.top_surts(m, PAGE, 0)
+    return m, top, srch.group_hits(m, top)
+
+
+_HITS = _top_sql(0) + (
+    ("q_hits", "SELECT m.*, t.rank, t.best FROM matches m JOIN q_top t ON t.surt = m.surt"),
+    ("q_caps", """SELECT h.rank, s.surt, s.captured_at, s.snapshot, h.score FROM success s
+                  JOIN q_hits h ON h.snapshot = s.snapshot AND h.surt = s.surt"""),
+    ("q_timeline", "SELECT DISTINCT s.surt, s.captured_at, t.rank FROM success s JOIN q_top t ON t.surt = s.surt"),
+    ("q_tl_hits", """SELECT coalesce(t.rank, h.rank) AS rank, coalesce(t.surt, h.surt) AS surt,
+                            coalesce(t.captured_at, h.captured_at) AS captured_at, h.score
+                     FROM q_timeline t FULL JOIN (SELECT rank, surt, captured_at, max(score) AS score FROM q_caps GROUP BY ALL) h
+                       ON h.rank = t.rank AND h.surt = t.surt AND h.captured_at = t.captured_at"""),
+    ("q_titles", """SELECT surt, title, n FROM (SELECT surt, title, n,
+                       row_number() OVER (PARTITION BY surt ORDER BY n DESC, title) AS rn
+                     FROM (SELECT surt, title, count(*) AS n FROM q_hits GROUP BY ALL)) WHERE rn = 1"""),
+)
+
+
+@register("hit_captures", _oracle("SELECT rank, surt, captured_at, snapshot, score FROM q_caps", Q_TERMS, "success",
+                                  extra=_HITS))
+def hit_captures(spark, sf):
+    _, _, hits = _ranked(spark, sf)
+    return srch.hit_captures(hits, fx.success(spark, sf))
+
+
+@register("surt_timeline", _oracle("SELECT rank, surt, captured_at FROM q_timeline", Q_TERMS, "success", extra=_HITS))
+def surt_timeline(spark, sf):
+    _, top, _ = _ranked(spark, sf)
+    return srch.surt_timeline(top, fx.success(spark, sf)).select("rank", "surt", "captured_at")
+
+
+@register("timeline_hits", _oracle("SELECT rank, surt, captured_at, score FROM q_tl_hits", Q_TERMS, "success",
+                                   extra=_HITS))
+def timeline_hits(spark, sf):
+    _, top, hits = _ranked(spark, sf)
+    succ = fx.success(spark, sf)
+    return srch.timeline_hits(srch.surt_timeline(top, succ), srch.hit_captures(hits, succ))
+
+
+@register("page_titles", _oracle("SELECT surt, title, n FROM q_titles", Q_TERMS, "success", extra=_HITS))
+def page_titles(spark, sf):
+    _, _, hits = _ranked(spark, sf)
+    return srch.page_titles(hits).select("surt", "title", "n")
+
+
+@register("page_results", _oracle("""
+    SELECT t.rank, t.surt,
+           'https://' || array_to_string(list_reverse(string_split(split_part(t.surt, ')', 1), ',')), '.')
+             || substr(t.surt, length(split_part(t.surt, ')', 1)) + 2) AS canonical_url,
+           ti.title, t.best AS score, t.n_hits, coalesce(tl.n_captures, 0) AS n_captures,
+           'https://web.archive.org/web/' || strftime(nw.newest, '%Y%m%d%H%M%S') || '/' || 'https://'
+             || array_to_string(list_reverse(string_split(split_part(t.surt, ')', 1), ',')), '.')
+             || substr(t.surt, length(split_part(t.surt, ')', 1)) + 2) AS newest_url,
+           tl.timeline
+    FROM q_top t JOIN q_titles ti ON ti.surt = t.surt
+    JOIN (SELECT surt, max(captured_at) AS newest FROM q_hits GROUP BY surt) nw ON nw.surt = t.surt
+    LEFT JOIN (SELECT surt, count(*) AS n_captures,
+                      string_agg(strftime(captured_at, '%Y%m%d%H%M%S') || ':' || coalesce(printf('%.6f', score), '-'), ' '
+                                 ORDER BY captured_at DESC) AS timeline
+               FROM q_tl_hits GROUP BY surt) tl ON tl.surt = t.surt""", Q_TERMS, "success", extra=_HITS))
+def page_results(spark, sf):
+    _, top, hits = _ranked(spark, sf)
+    succ = fx.success(spark, sf)
+    tl = srch.timeline_hits(srch.surt_timeline(top, succ), srch.hit_captures(hits, succ))
+    return srch.page_results(top, hits, tl)

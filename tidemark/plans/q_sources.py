@@ -1 +1,212 @@
-"""Catalogue part."""
+"""Catalogue part 6: sources and sinks round trips, lookups, snippets and streaming ingest.
+
+Round-trip queries write relations derived from the driver tables into a fresh folder under the session's
+``spark.checkpoint.dir`` (shared storage on a cluster) and read them back through the library's readers.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tidemark import functions as tf
+from tidemark.operators import reconcile as rc
+from tidemark.operators import search as srch
+from tidemark.plans import fixtures as fx
+from tidemark.plans.catalog import register
+from tidemark.plans.oracle import d_digest, d_redirect_html, d_surt, with_ctes
+from tidemark.session import checkpoint_dir
+from tidemark.sources import cdx, exchange, redirects as rd, store as stg
+
+_ = d_surt
+
+
+def _scratch(spark, name: str) -> str:
+    return checkpoint_dir(spark, f"tidemark-{name}-{uuid.uuid4().hex}")
+
+
+def _cdx_pages(spark, sf):
+    path = _scratch(spark, "cdx")
+    cdx.write_pages(fx.captures(spark, sf), path)
+    return cdx.read_pages(spark, path)
+
+
+_DECODE_SQL = """
+    SELECT surt, captured_at, url AS original, mime_type, status_code, digest, length, 'short' AS layout FROM captures"""
+
+
+@register("cdx_decode", with_ctes(_DECODE_SQL, "captures"))
+def cdx_decode(spark, sf):
+    rows = cdx.decode_rows(_cdx_pages(spark, sf))
+    return rows.where("_error IS NULL").select("surt", "captured_at", "original", "mime_type", "status_code",
+                                               "digest", "length", "layout")
+
+
+@register("cdx_dump", with_ctes("""
+    SELECT CAST(floor(epoch_ms(p.t0) / 1000) AS BIGINT) AS crawl_s, coalesce(c.status_code, 0) AS status,
+           c.mime_type, c.url AS original
+    FROM captures c JOIN (SELECT floor(capture_id / 10000) AS page_no, min(crawl_ts) AS t0 FROM captures GROUP BY 1) p
+      ON p.page_no = floor(c.capture_id / 10000)""", "captures"))
+def cdx_dump(spark, sf):
+    return cdx.cdx_dump(cdx.decode_rows(_cdx_pages(spark, sf)))
+
+
+@register("cdx_digests", with_ctes("SELECT digest FROM captures", "captures"))
+def cdx_digests(spark, sf):
+    return cdx.page_digests(_cdx_pages(spark, sf))
+
+
+_EXACT_KEY = "com,example,site3)/u/15/view"
+_PREFIX_KEY = "com,example,site3)/u/1"
+
+
+@register("cdx_lookup_exact", with_ctes(f"""
+    SELECT surt, captured_at, url, status_code, digest FROM captures WHERE surt = '{_EXACT_KEY}'""", "captures"))
+def cdx_lookup_exact(spark, sf):
+    return cdx.lookup(fx.captures(spark, sf), _EXACT_KEY, True).select("surt", "captured_at", "url", "status_code",
+                                                                         "digest")
+
+
+@register("cdx_lookup_prefix", with_ctes(f"""
+    SELECT surt, captured_at, url, status_code, digest FROM captures WHERE starts_with(surt, '{_PREFIX_KEY}')""",
+                                         "captures"))
+def cdx_lookup_prefix(spark, sf):
+    return cdx.lookup(fx.captures(spark, sf), _PREFIX_KEY, False).select("surt", "captured_at", "url", "status_code",
+                                                                           "digest")
+
+
+# ---------------------------------------------------------------- redirect files
+def _redirect_files(spark, sf):
+    path = _scratch(spark, "redirects")
+    r = fx.redirects(spark, sf)
+    (r.repartition("file").sortWithinPartitions("file", "line_no").select("file", "line")
+     .write.partitionBy("file").text(path))
+    got = rd.read_redirects(spark, path)
+    return got.withColumn("file", F.regexp_extract("file", r"file=([^/]+)/", 1))
+
+
+@register("redirect_read", with_ctes("SELECT file, line_no, digest, url FROM redirects", "redirects"))
+def redirect_read(spark, sf):
+    return _redirect_files(spark, sf).select("file", "line_no", "digest", "url")
+
+
+@register("redirect_export", with_ctes("SELECT file, line_no, digest FROM redirects", "redirects"))
+def redirect_export(spark, sf):
+    return rd.export_digests(_redirect_files(spark, sf))
+
+
+@register("redirect_merge", with_ctes(f"""
+    SELECT DISTINCT substr(line, 1, 1) AS prefix, line FROM (
+      SELECT line FROM redirects
+      UNION ALL
+      SELECT {d_digest(d_redirect_html('loc'))} || ',' || loc FROM (
+        SELECT 'https://' || array_to_string(list_reverse(string_split(split_part(surt, ')', 1), ',')), '.')
+                 || substr(surt, length(split_part(surt, ')', 1)) + 2) AS loc
+        FROM captures WHERE status_code = 302))""", "redirects", "captures"))
+def redirect_merge(spark, sf):
+    """Merge new canned-redirect lines (302 captures -> their canonical URL) into the prefix-sharded dataset."""
+    loc = tf.surt_canonical_url("surt")
+    new = (fx.captures(spark, sf).where(F.col("status_code") == 302)
+           .select(F.concat_ws(",", tf.content_digest(tf.redirect_html(loc)), loc).alias("line")))
+    merged = fx.redirects(spark, sf).select("line").unionByName(new)
+    path = _scratch(spark, "redirect-merge")
+    rd.write_redirects(merged, path)
+    return spark.read.text(path).select(F.col("prefix").cast("string").alias("prefix"), F.col("value").alias("line"))
+
+
+# ---------------------------------------------------------------- exchange formats
+_E4_SQL = """
+    SELECT url, captured_at, digest FROM (
+      SELECT *, row_number() OVER (PARTITION BY digest ORDER BY strlen(url), captured_at, url) AS rn
+      FROM captures c WHERE mime_type = 'text/html' AND (status_code IS NULL OR status_code = 200)
+        AND NOT EXISTS (SELECT 1 FROM success s WHERE s.surt = c.surt AND s.captured_at = c.captured_at))
+    WHERE rn = 1"""
+
+
+@register("missing_csv_roundtrip", with_ctes(_E4_SQL, "captures", "success"))
+def missing_csv_roundtrip(spark, sf):
+    best = rc.missing_best_per_digest(rc.missing_captures(fx.captures(spark, sf), fx.success(spark, sf)))
+    path = _scratch(spark, "missing-csv")
+    exchange.write_missing(best, path)
+    return exchange.read_missing(spark, path)
+
+
+@register("invalid_csv_roundtrip", with_ctes("""
+    SELECT c.url, c.captured_at, c.digest AS expected, s.snapshot AS actual
+    FROM success s JOIN captures c ON c.capture_id = s.capture_id WHERE NOT s.correct_digest""", "success", "captures"))
+def invalid_csv_roundtrip(spark, sf):
+    inv = rc.invalid_digests(fx.captures(spark, sf), fx.success(spark, sf))
+    path = _scratch(spark, "invalid-csv")
+    exchange.write_invalid(inv, path)
+    return exchange.read_invalid(spark, path)
+
+
+@register("digest_list_text", with_ctes("SELECT digest FROM digest_list", "digest_list"))
+def digest_list_text(spark, sf):
+    path = _scratch(spark, "digest-list")
+    fx.digest_list(spark, sf).write.text(path)
+    return exchange.read_digest_list(spark, path)
+
+
+@register("pattern_config", with_ctes("SELECT slug, surt, prefix, sort_id FROM patterns", "patterns"))
+def pattern_config(spark, sf):
+    p = fx.patterns(spark, sf)
+    path = _scratch(spark, "patterns-json")
+    p.select(F.col("sort_id").cast("long").alias("id"), tf.pattern_query("surt", "prefix").alias("query"), "name", "slug",
+             F.col("sort_id").alias("sort")).write.json(path)
+    return exchange.read_pattern_config(spark, path).select("slug", "surt", "prefix", "sort_id")
+
+
+# ---------------------------------------------------------------- body store
+@register("store_roundtrip", with_ctes(f"""
+    SELECT digest, true AS path_ok, body AS text, {d_digest('body')} = digest AS digest_ok FROM store""", "store"))
+def store_roundtrip(spark, sf):
+    root = _scratch(spark, "store")
+    written = stg.write_store(fx.store(spark, sf).select("digest", "body"), root)
+    written.write.mode("overwrite").parquet(root + "-manifest")  # run the writer once, keep its report
+    listed = stg.list_store(spark, root).select("path", "digest", "path_ok")
+    bodies = stg.read_bodies(spark, root).select("path", "text")
+    return (listed.join(bodies, "path")
+            .select("digest", "path_ok", "text", (tf.content_digest("text") == F.col("digest")).alias("digest_ok")))
+
+
+@register("store_fetch", with_ctes("""
+    SELECT st.digest, st.body FROM store st WHERE st.digest IN (SELECT expected FROM (
+      SELECT c.digest AS expected FROM success s JOIN captures c ON c.capture_id = s.capture_id WHERE NOT s.correct_digest))""",
+                                   "store", "success", "captures"))
+def store_fetch(spark, sf):
+    wanted = rc.invalid_digests(fx.captures(spark, sf), fx.success(spark, sf)).select(F.col("expected").alias("digest"))
+    return stg.fetch(wanted, fx.store(spark, sf).select("digest", "body"))
+
+
+# ---------------------------------------------------------------- snippets (rows-only) and streaming
+@register("snippets")
+def snippets(spark, sf):
+    from tidemark.operators.snippet import snippets as make
+    from tidemark.plans.q_search import PAGE, Q_TERMS
+    docs = fx.search_docs(spark, sf)
+    m = srch.search_matches(docs, srch.postings(docs), Q_TERMS)
+    top = srch.top_surts(m, PAGE, 0)
+    hits = srch.group_hits(m, top).select("rank", "surt", "snapshot", "score")
+    return make(hits.join(docs.select("snapshot", "content"), "snapshot"), Q_TERMS, 200)
+
+
+@register("stream_ingest", with_ctes("""
+    SELECT surt, captured_at, original, mime_type, status_code, digest, length FROM (
+      SELECT *, row_number() OVER (PARTITION BY surt, captured_at ORDER BY crawl_ts, page, capture_id) AS rn FROM crawl)
+      JOIN (SELECT capture_id AS cid, url AS original FROM captures) ON cid = capture_id
+    WHERE rn = 1""", "crawl", "captures"))
+def stream_ingest(spark, sf):
+    """Two page folders (first crawl, then the re-crawl) ingested by one availableNow stream run each."""
+    from tidemark.streaming.ingest import ingest
+    base = _scratch(spark, "stream")
+    cr = fx.crawl(spark, sf)
+    first = cr.where(F.col("page") == 0).drop("page")
+    again = cr.where(F.col("page") == 1).drop("page")
+    cdx.write_pages(first, f"{base}/pages/run=0")
+    ingest(spark, f"{base}/pages", f"{base}/table", f"{base}/ckpt")
+    cdx.write_pages(again, f"{base}/pages/run=1")
+    ingest(spark, f"{base}/pages", f"{base}/table", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/table").select("surt", "captured_at", "original", "mime_type", "status_code",
+                                                      "digest", "length")
