@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import surt_host_key
-from tidemark.operators.joins import row_bound
 
 # Largest number of domain-level prefix patterns (no ')' in the pattern) matched by a broadcast nested loop; more
 # of them are matched exactly by exploding each capture's domain prefixes (bounded by the host name length).
@@ -24,24 +23,35 @@ def assign_patterns(entries: DataFrame, patterns: DataFrame, key_cols=("capture_
     pc = list(pattern_cols)
     e = entries.select(*keys)
     p = patterns.select(F.col("surt").alias("p_surt"), "prefix", *pc)
-
-    exact = p.where(~F.col("prefix"))
-    out_exact = e.join(exact, e["surt"] == exact["p_surt"])
-
-    hosted = p.where(F.col("prefix") & F.col("p_surt").contains(")")).withColumn("p_host", surt_host_key("p_surt"))
-    e_host = e.withColumn("e_host", surt_host_key("surt"))
-    out_hosted = (e_host.join(hosted, e_host["e_host"] == hosted["p_host"])
-                  .where(F.col("surt").startswith(F.col("p_surt"))))
-
-    domain = p.where(F.col("prefix") & ~F.col("p_surt").contains(")"))
-    if row_bound(domain, MAX_DOMAIN_PATTERNS):
-        out_domain = e.join(F.broadcast(domain), F.col("surt").startswith(F.col("p_surt")))
-    else:
-        pref = e.withColumn("p_surt", F.explode(F.expr("transform(sequence(1, length(substring_index(surt, ')', 1))),"
-                                                       " i -> substr(surt, 1, i))")))
-        out_domain = pref.join(domain, "p_surt")
+    kind = (F.when(~F.col("prefix"), F.lit("exact")).when(F.col("p_surt").contains(")"), F.lit("hosted"))
+            .otherwise(F.lit("domain")))
+    p = p.withColumn("kind", kind)
+    # pattern tables are dimension tables: three counts decide which exact plans are needed
+    counts = {r["kind"]: r["n"] for r in p.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     cols = [*pc, *key_cols]
-    return (out_exact.select(*cols).unionByName(out_hosted.select(*cols)).unionByName(out_domain.select(*cols)))
+    outs = []
+    if counts.get("exact"):
+        exact = p.where(F.col("kind") == "exact")
+        outs.append(e.join(exact, e["surt"] == exact["p_surt"]).select(*cols))
+    if counts.get("hosted"):
+        hosted = p.where(F.col("kind") == "hosted").withColumn("p_host", surt_host_key("p_surt"))
+        e_host = e.withColumn("e_host", surt_host_key("surt"))
+        outs.append(e_host.join(hosted, e_host["e_host"] == hosted["p_host"])
+                    .where(F.col("surt").startswith(F.col("p_surt"))).select(*cols))
+    if counts.get("domain"):
+        domain = p.where(F.col("kind") == "domain")
+        if counts["domain"] <= MAX_DOMAIN_PATTERNS:
+            outs.append(e.join(F.broadcast(domain), F.col("surt").startswith(F.col("p_surt"))).select(*cols))
+        else:
+            pref = e.withColumn("p_surt", F.explode(F.expr(
+                "transform(sequence(1, length(substring_index(surt, ')', 1))), i -> substr(surt, 1, i))")))
+            outs.append(pref.join(domain, "p_surt").select(*cols))
+    if not outs:
+        return e.join(p, F.lit(False)).select(*cols)
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out
 
 
 def pattern_list(patterns: DataFrame) -> DataFrame:

@@ -81,13 +81,15 @@ def postings(docs: DataFrame, fields=FIELDS) -> DataFrame:
 
 
 def field_stats(docs: DataFrame) -> dict[str, Column]:
-    """Number of documents and mean field length, as scalar subqueries (no driver round trip)."""
+    """Number of documents and mean field length, as ONE struct-valued scalar subquery (no driver round trip;
+    every reference to it is the same subquery, so it runs once)."""
     lens = docs.select(*[F.size(F.filter(raw_tokens(F.col(f)), lambda t: F.octet_length(t) < MAX_TOKEN_BYTES))
                          .alias(f) for f in FIELDS])
-    agg = lens.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"avg_{f}") for f in FIELDS])
-    out = {"n": agg.select("n").scalar()}
+    agg = lens.agg(F.struct(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in FIELDS]).alias("s"))
+    s = agg.select("s").scalar()
+    out = {"n": s["n"]}
     for f in FIELDS:
-        out[f] = agg.select(f"avg_{f}").scalar()
+        out[f] = s[f]
     return out
 
 

@@ -30,7 +30,7 @@ def pattern_list(spark, sf):
 @register("pattern_assign_prefix", with_ctes("SELECT slug, capture_id, surt, captured_at FROM pattern_entry",
                                              "pattern_entry"))
 def pattern_assign_prefix(spark, sf):
-    return fx.pattern_entry(spark, sf).select("slug", "capture_id", "surt", "captured_at")
+    return fx.pattern_entry.build(spark, sf).select("slug", "capture_id", "surt", "captured_at")
 
 
 @register("pattern_stats", with_ctes("""

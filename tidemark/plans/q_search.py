@@ -25,8 +25,9 @@ PAGE = 10
 
 
 def _index(spark, sf):
+    """The stored index (documents + postings) that scoring, facets and ranking read."""
     docs = fx.search_docs(spark, sf)
-    return docs, srch.postings(docs), srch.field_stats(docs)
+    return docs, fx.postings(spark, sf), srch.field_stats(docs)
 
 
 def _matches(spark, sf, query):
@@ -135,7 +136,7 @@ def _oracle(body: str, query: srch.Query, *more: str, extra=()) -> str:
     SELECT snapshot, surt, captured_at, slug, year, title, CAST(length(content) AS BIGINT) AS n_chars
     FROM search_docs""", "search_docs"))
 def search_docs(spark, sf):
-    d = fx.search_docs(spark, sf)
+    d = fx.search_docs.build(spark, sf)
     return d.select("snapshot", "surt", "captured_at", "slug", "year", "title",
                     F.length("content").cast("bigint").alias("n_chars"))
 
@@ -148,7 +149,7 @@ def tokens(spark, sf):
 @register("collection_stats", with_ctes("""
     SELECT field, token, count(DISTINCT snapshot) AS df, count(*) AS cf FROM postings GROUP BY ALL""", "postings"))
 def collection_stats(spark, sf):
-    post = srch.postings(fx.search_docs(spark, sf))
+    post = fx.postings(spark, sf)
     return srch.collection_stats(post).select("field", "token", "df", F.col("cf").cast("bigint").alias("cf"))
 
 
@@ -156,7 +157,7 @@ def collection_stats(spark, sf):
 def field_stats_q(spark, sf):
     docs = fx.search_docs(spark, sf)
     st = srch.field_stats(docs)
-    return (srch.postings(docs).select("field").distinct()
+    return (fx.postings(spark, sf).select("field").distinct()
             .select("field", st["n"].alias("n_docs"),
                     F.round(F.when(F.col("field") == "title", st["title"]).otherwise(st["content"]), 6).alias("avgdl")))
 
@@ -192,9 +193,9 @@ def facet_patterns(spark, sf):
     FROM (SELECT unnest(range((SELECT max(year) FROM search_docs), {FIRST_FACET_YEAR - 1}, -1)) AS year) y
     FULL JOIN (SELECT year, count(*) AS n FROM matches GROUP BY year) c ON c.year = y.year""", Q_TERMS))
 def facet_years(spark, sf):
-    docs = fx.search_docs(spark, sf)
+    docs, post, stats = _index(spark, sf)
     last = docs.agg(F.max("year")).scalar()
-    return srch.facet_years(srch.search_matches(docs, srch.postings(docs), Q_TERMS), last)
+    return srch.facet_years(srch.search_matches(docs, post, Q_TERMS, stats), last)
 
 
 @register("search_total", _oracle(f"""

@@ -155,7 +155,7 @@ def pattern_config(spark, sf):
     path = _scratch(spark, "patterns-json")
     p.select(F.col("sort_id").cast("long").alias("id"), tf.pattern_query("surt", "prefix").alias("query"), "name", "slug",
              F.col("sort_id").alias("sort")).write.json(path)
-    return exchange.read_pattern_config(spark, path).select("slug", "surt", "prefix", "sort_id")
+    return exchange.read_pattern_config(spark, path, multi_line=False).select("slug", "surt", "prefix", "sort_id")
 
 
 # ---------------------------------------------------------------- body store

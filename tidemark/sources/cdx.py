@@ -107,7 +107,7 @@ def write_pages(captures: DataFrame, path: str, rows_per_page: int = 10_000) ->
     pages = (paged.groupBy("page_no")
              .agg(F.min("crawl_ts").alias("t0"),
                   F.sort_array(F.collect_list(F.struct("capture_id", "r"))).alias("rs"))
-             .select(F.unix_millis("t0").alias("page"),
+             .select(F.unix_millis(F.col("t0").cast("timestamp")).alias("page"),
                      F.to_json(F.concat(F.array(F.array(*[F.lit(h) for h in SHORT_HEADER])),
                                         F.transform("rs", lambda s: s["r"]))).alias("value")))
     pages.write.mode("overwrite").partitionBy("page").option("compression", "none").text(path)

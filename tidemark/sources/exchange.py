@@ -36,9 +36,10 @@ def read_digest_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("digest")).distinct()
 
 
-def read_pattern_config(spark: SparkSession, path: str) -> DataFrame:
-    """Pattern configuration (query string -> SURT + prefix flag)."""
-    c = spark.read.schema(PATTERN_CONFIG_SCHEMA).option("multiLine", True).json(path)
+def read_pattern_config(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Pattern configuration (query string -> SURT + prefix flag). ``multi_line`` for a pretty-printed JSON
+    array file; False for JSON lines."""
+    c = spark.read.schema(PATTERN_CONFIG_SCHEMA).option("multiLine", multi_line).json(path)
     p = pattern_from_query("query")
     return c.select("id", p["surt"].alias("surt"), p["prefix"].alias("prefix"), "name", "slug",
                     F.col("sort").alias("sort_id"), "path", "compression")

@@ -91,7 +91,7 @@ def write_store(bodies: DataFrame, root: str) -> DataFrame:
                 path = f"{base.rstrip('/')}/{rel}"
                 data = comp.compress(body.encode() if isinstance(body, str) else bytes(body))
                 fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                with fs.open_output_stream(path) as f:
+                with fs.open_output_stream(path, compression=None) as f:
                     f.write(data)
                 out.append((d, path, len(data)))
             yield pd.DataFrame(out, columns=["digest", "path", "written_bytes"])
