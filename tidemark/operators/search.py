@@ -69,10 +69,12 @@ def postings(docs: DataFrame, fields=FIELDS) -> DataFrame:
     gap); ``dl`` is the field length in kept tokens."""
     parts = []
     for f in fields:
-        toks = docs.select("snapshot", raw_tokens(F.col(f)).alias("toks"))
+        # the field length is computed once per document, before the explode (after it, it would be re-evaluated
+        # for every token row over the whole array)
         kept = F.filter("toks", lambda t: F.octet_length(t) < MAX_TOKEN_BYTES)
-        parts.append(toks.select("snapshot", F.lit(f).alias("field"), F.size(kept).cast("bigint").alias("dl"),
-                                 F.posexplode("toks").alias("pos", "token")))
+        toks = (docs.select("snapshot", raw_tokens(F.col(f)).alias("toks"))
+                .withColumn("dl", F.size(kept).cast("bigint")))
+        parts.append(toks.select("snapshot", F.lit(f).alias("field"), "dl", F.posexplode("toks").alias("pos", "token")))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
