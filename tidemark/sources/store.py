@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import content_digest, digest_from_store_path, store_location, store_path_valid
 
@@ -25,14 +26,14 @@ def list_store(spark: SparkSession, root: str, suffix: str = "*.zst") -> DataFra
                     store_path_valid("path").alias("path_ok"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def zstd_decompress(b: pd.Series) -> pd.Series:
     import zstandard
     d = zstandard.ZstdDecompressor()
     return b.map(lambda x: None if x is None else d.decompressobj().decompress(x))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def zstd_compress(b: pd.Series) -> pd.Series:
     import zstandard
     c = zstandard.ZstdCompressor(level=ZSTD_LEVEL)
