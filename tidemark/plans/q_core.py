@@ -169,3 +169,73 @@ def entry_upsert(spark, sf):
     cr = fx.crawl(spark, sf)
     old = cr.where((F.col("page") == 0) & (F.col("captured_at") < F.lit("2020-01-01").cast("timestamp")))
     return upsert.insert_entries(old, cr).select("capture_id", "surt", "captured_at", "status_code", "page")
+
+
+# ---------------------------------------------------------------- I4 (+I3): fetch results, discovered bodies added
+_OLD_SUCCESS = "(SELECT * FROM success WHERE captured_at < TIMESTAMP '2020-01-01')"
+_DISCOVERED = """(SELECT c.capture_id, c.digest AS snapshot, true AS correct_digest FROM captures c
+    WHERE c.mime_type = 'text/html' AND (c.status_code IS NULL OR c.status_code = 200)
+      AND NOT EXISTS (SELECT 1 FROM success s WHERE s.surt = c.surt AND s.captured_at = c.captured_at)
+      AND c.digest IN (SELECT digest FROM store))"""
+
+
+@register("success_upsert", with_ctes(f"""
+    SELECT DISTINCT capture_id, snapshot, correct_digest FROM (
+      SELECT capture_id, snapshot, correct_digest FROM success UNION ALL SELECT * FROM {_DISCOVERED}) b
+    WHERE NOT EXISTS (SELECT 1 FROM {_OLD_SUCCESS} o WHERE o.capture_id = b.capture_id AND o.snapshot = b.snapshot
+                      AND o.correct_digest = b.correct_digest)""", "success", "captures", "store"))
+def success_upsert(spark, sf):
+    from tidemark.operators import reconcile as rc
+    succ = fx.success(spark, sf)
+    old = succ.where(F.col("captured_at") < F.lit("2020-01-01").cast("timestamp"))
+    found = rc.local_discovery(rc.missing_captures(fx.captures(spark, sf), succ), fx.store(spark, sf))
+    batch = succ.select("capture_id", "snapshot", "correct_digest").unionByName(
+        found.select("capture_id", "snapshot", "correct_digest"))
+    rows, _ = upsert.insert_success(old, batch, fx.store(spark, sf))
+    return rows.select("capture_id", "snapshot", "correct_digest")
+
+
+@register("snapshot_upsert", with_ctes(f"""
+    SELECT DISTINCT snapshot AS digest FROM (SELECT * FROM {_DISCOVERED})
+    WHERE snapshot NOT IN (SELECT snapshot FROM success)""", "success", "captures", "store"))
+def snapshot_upsert(spark, sf):
+    """Snapshot digests first seen in a batch of discovered bodies."""
+    from tidemark.operators import reconcile as rc
+    succ = fx.success(spark, sf)
+    found = rc.local_discovery(rc.missing_captures(fx.captures(spark, sf), succ), fx.store(spark, sf))
+    _, snaps = upsert.insert_success(succ, found, succ.select(F.col("snapshot").alias("digest")))
+    return snaps
+
+
+@register("failure_append", with_ctes("""
+    SELECT capture_id, status_code, 'HTTP ' || CAST(status_code AS VARCHAR) AS error_message FROM captures
+    WHERE status_code = 404""", "captures"))
+def failure_append(spark, sf):
+    """Failed fetches are appended (no key): earlier failures plus a new batch."""
+    c = fx.captures(spark, sf).where(F.col("status_code") == 404).select(
+        "capture_id", "status_code", F.concat(F.lit("HTTP "), F.col("status_code").cast("string")).alias("error_message"),
+        "captured_at")
+    cut = F.lit("2020-01-01").cast("timestamp")
+    return upsert.append_failures(c.where(F.col("captured_at") < cut), c.where(F.col("captured_at") >= cut)).drop(
+        "captured_at")
+
+
+@register("pattern_upsert", with_ctes("""
+    SELECT surt, prefix, slug, sort_id FROM patterns WHERE sort_id > 6""", "patterns"))
+def pattern_upsert(spark, sf):
+    """batch = every collection plus a clashing copy of each (same surt, sort_id + 100): the lowest sort_id wins
+    inside the batch, and collections already stored (sort_id <= 6) are skipped."""
+    p = fx.patterns(spark, sf).select("surt", "prefix", "slug", "sort_id")
+    batch = p.unionByName(p.withColumn("sort_id", F.col("sort_id") + 100).withColumn("slug", F.concat("slug", F.lit("-copy"))))
+    return upsert.insert_patterns(p.where(F.col("sort_id") <= 6), batch).select("surt", "prefix", "slug", "sort_id")
+
+
+@register("pattern_updated", with_ctes("""
+    SELECT p.slug, u.updated, u.updated IS NOT NULL AS touched FROM patterns p
+    LEFT JOIN (SELECT slug, max(captured_at) AS updated FROM pattern_entry GROUP BY slug) u ON u.slug = p.slug""",
+                                       "patterns", "pattern_entry"))
+def pattern_updated(spark, sf):
+    """Each collection's ``updated`` time set to its latest capture; collections without captures untouched."""
+    upd = fx.pattern_entry(spark, sf).groupBy("slug").agg(F.max("captured_at").alias("updated"))
+    return upsert.set_pattern_updated(fx.patterns(spark, sf).select("slug", "sort_id"), upd).select(
+        "slug", "updated", "touched")

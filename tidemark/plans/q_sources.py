@@ -210,3 +210,62 @@ def stream_ingest(spark, sf):
     ingest(spark, f"{base}/pages", f"{base}/table", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/table").select("surt", "captured_at", "original", "mime_type", "status_code",
                                                       "digest", "length")
+
+
+@register("cdx_import", with_ctes("""
+    SELECT (SELECT count(DISTINCT surt) FROM crawl) AS new_surts,
+           (SELECT count(*) FROM (SELECT DISTINCT surt, captured_at FROM crawl)) AS new_entries,
+           (SELECT count(*) FROM pattern_entry) AS new_memberships""", "crawl", "pattern_entry"))
+def cdx_import(spark, sf):
+    """The import job over CDX pages (first crawl and re-crawl) into empty tables: pages -> W2 -> I1, I2, I7.
+    Returns the inserted row counts (the reference always reports 0: D10)."""
+    from tidemark.operators.patterns import assign_patterns
+    base = _scratch(spark, "import")
+    cr = fx.crawl(spark, sf)
+    cdx.write_pages(cr.where("page = 0").drop("page"), f"{base}/run=0")
+    cdx.write_pages(cr.where("page = 1").drop("page"), f"{base}/run=1")
+    rows = cdx.decode_rows(cdx.read_pages(spark, base)).where("_error IS NULL")
+    empty_surts = spark.createDataFrame([], "surt string")
+    empty_entries = spark.createDataFrame([], "surt string, captured_at timestamp")
+    entries = upsert_entries(empty_entries, rows)
+    surts = upsert_surts(empty_surts, entries)
+    members = assign_patterns(entries.withColumn("capture_id", F.col("pos")), fx.patterns(spark, sf))
+    # three counts as scalar subqueries of one row (no join between the aggregates)
+    return spark.range(1).select(surts.select(F.count(F.lit(1))).scalar().alias("new_surts"),
+                                 entries.select(F.count(F.lit(1))).scalar().alias("new_entries"),
+                                 members.select(F.count(F.lit(1))).scalar().alias("new_memberships"))
+
+
+def upsert_entries(table, rows):
+    from tidemark.operators.dedup import first_by
+    first = first_by(rows.select("surt", "captured_at", "page_ts", "file", "pos", "original", "status_code", "digest"),
+                     ["surt", "captured_at"], ["page_ts", "file", "pos"])
+    return first.join(table.select("surt", "captured_at"), ["surt", "captured_at"], "left_anti")
+
+
+def upsert_surts(table, entries):
+    from tidemark.operators.upsert import new_keys
+    return new_keys(entries.select("surt"), table, ["surt"])
+
+
+@register("search_response_json", None)
+def search_response_json(spark, sf):
+    """The page results serialised as nested JSON (one document per ranked URL, snapshots newest first)."""
+    from tidemark.plans.q_search import page_results
+    pr = page_results(spark, sf)
+    return pr.select("rank", F.to_json(F.struct("surt", "canonical_url", "title", "score", "n_hits", "n_captures",
+                                                  "newest_url", F.split("timeline", " ").alias("timeline"))).alias("json"))
+
+
+@register("stream_reindex", with_ctes("SELECT snapshot, field, pos, token FROM postings", "postings"))
+def stream_reindex(spark, sf):
+    """Newly indexed documents arrive as parquet files in two batches; a file stream tokenises each batch into
+    the postings table (availableNow), skipping documents already indexed."""
+    from tidemark.streaming.ingest import reindex
+    base = _scratch(spark, "reindex")
+    docs = fx.search_docs(spark, sf)
+    docs.where(F.col("year") < 2020).write.parquet(f"{base}/docs/b=0")
+    reindex(spark, f"{base}/docs", docs.schema, f"{base}/postings", f"{base}/ckpt")
+    docs.where(F.col("year") >= 2020).write.parquet(f"{base}/docs/b=1")
+    reindex(spark, f"{base}/docs", docs.schema, f"{base}/postings", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/postings").select("snapshot", "field", "pos", "token")
