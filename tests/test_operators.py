@@ -144,3 +144,22 @@ def test_search_must_and_phrase(spark):
     assert got(search.Query(phrase="cat the")) == []
     assert got(search.Query(should="mat", fields=("title",))) == ["d3"]
     assert got(search.Query(should="cat", years=(2022,))) == ["d3"]
+
+
+def test_search_api_and_gravatar_filter(spark):
+    docs = spark.createDataFrame(
+        [("d1", "com,a)/", dt.datetime(2020, 1, 1), "s1", 2020, "Cats", "the cat sat", ["abc"]),
+         ("d2", "com,a)/", dt.datetime(2021, 1, 1), "s1", 2021, "Cats", "cat cat", []),
+         ("d3", "com,c)/", dt.datetime(2022, 1, 1), "s2", 2022, "Mat", "a cat", [])],
+        "snapshot string, surt string, captured_at timestamp, slug string, year int, title string, content string, "
+        "hashes array<string>")
+    succ = docs.select("snapshot", "surt", "captured_at")
+    pats = spark.createDataFrame([("s1", 1), ("s2", 2), ("s3", 3)], "slug string, sort_id int")
+    post = search.postings(docs)
+    r = search.search(docs, post, succ, pats, search.Query(should="cat"), limit=1)
+    assert [(x.surt, x.n_hits) for x in r.top.collect()] == [("com,a)/", 2)]
+    assert {x.slug: x.n for x in r.collection_facets.collect()} == {"s1": 2, "s2": 1, "s3": 0}
+    assert r.total.collect()[0].total == 3
+    assert r.pages.collect()[0].n_captures == 2
+    g = search.search_matches(docs, post, search.Query(should="cat", gravatar_hash="abc"))
+    assert [x.snapshot for x in g.collect()] == ["d1"]

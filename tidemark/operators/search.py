@@ -82,6 +82,13 @@ def postings(docs: DataFrame, fields=FIELDS) -> DataFrame:
             .select("snapshot", "field", F.col("pos").cast("bigint").alias("pos"), F.lower("token").alias("token"), "dl"))
 
 
+def cluster_postings(post: DataFrame, files: int | None = None) -> DataFrame:
+    """Inverted-index layout for storage: range-partitioned and sorted by token, so a query's term filter skips
+    whole files / row groups by their min-max statistics (and a hot token stays within its range partitions)."""
+    n = files or int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return post.repartitionByRange(n, "token", "snapshot").sortWithinPartitions("token", "snapshot", "field", "pos")
+
+
 def field_stats(docs: DataFrame) -> dict[str, Column]:
     """Number of documents and mean field length, as ONE struct-valued scalar subquery (no driver round trip;
     every reference to it is the same subquery, so it runs once)."""
@@ -303,3 +310,34 @@ def page_results(top: DataFrame, hits: DataFrame, tl: DataFrame) -> DataFrame:
                     F.col("best").alias("score"), "n_hits", F.coalesce("n_captures", F.lit(0)).alias("n_captures"),
                     archive_url(surt_canonical_url("surt"), F.col("newest")).alias("newest_url"),
                     F.array_join(F.transform("t", lambda x: x["l"]), " ").alias("timeline")))
+
+
+@dataclass
+class SearchResult:
+    """T7/T9 result: lazy DataFrames sharing one match set."""
+    matches: DataFrame
+    collection_facets: DataFrame
+    year_facets: DataFrame
+    total: DataFrame
+    top: DataFrame
+    hits: DataFrame
+    timeline: DataFrame
+    pages: DataFrame
+
+
+def search(docs: DataFrame, post: DataFrame, success: DataFrame, patterns: DataFrame, query: Query,
+           limit: int = 10, offset: int = 0, last_year: Column | int | None = None,
+           expand_duplicates: bool = False) -> SearchResult:
+    """T7 + T9: one search request. The match set feeds facets (counted over every match, honouring all filters:
+    D5), the grouped top-K page, hit captures, timelines (restricted to the query's date range) and page rows.
+    Call ``.persist()`` on ``matches`` when several outputs are collected from the same request."""
+    stats = field_stats(docs)
+    m = search_matches(docs, post, query, stats)
+    ly = last_year if last_year is not None else docs.agg(F.max("year")).scalar()
+    facets = facet_patterns(m, patterns)
+    top = top_surts(m, limit, offset)
+    hits = group_hits(m, top)
+    tl = timeline_hits(surt_timeline(top, success, query.start, query.end),
+                       hit_captures(hits, success, expand_duplicates))
+    return SearchResult(m, facets, facet_years(m, ly), search_total(facets, limit), top, hits, tl,
+                        page_results(top, hits, tl))

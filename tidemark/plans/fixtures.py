@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _MEMO: dict = {}
 
 
-ARCHIVE_VERSION = "v3"
+ARCHIVE_VERSION = "v4"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -210,8 +210,8 @@ def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_stored
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T3 index: positional postings of the search documents."""
-    from tidemark.operators.search import postings as build
-    return build(search_docs(spark, sf_dir))
+    from tidemark.operators.search import cluster_postings, postings as build
+    return cluster_postings(build(search_docs(spark, sf_dir)))
 
 
 __all__ = ["TABLES", "table", "captures", "crawl", "success", "store", "patterns", "pattern_entry", "redirects",
