@@ -294,22 +294,22 @@ def page_titles(hits: DataFrame) -> DataFrame:
 
 
 def page_results(top: DataFrame, hits: DataFrame, tl: DataFrame) -> DataFrame:
-    """One row per ranked SURT: canonical URL, modal title, best score, hit and capture counts, the newest
-    hit's replay URL and the timeline as 'ts14:score' text newest first (score '-' when not a hit)."""
+    """One row per ranked SURT: canonical URL, modal title, best score, hit count, the newest hit's replay URL
+    and timeline aggregates (instants, hit instants, first / last capture). The timeline itself stays one row per
+    instant (``timeline_hits``): a popular SURT can own a large share of all captures, so it is never collected
+    into a single row."""
     titles = page_titles(hits).select("surt", "title")
-    newest = first_by(hits.select("surt", "captured_at", "snapshot"), ["surt"], [F.negative(F.unix_micros("captured_at")),
-                                                                               F.col("snapshot")], ["captured_at"])
-    line = F.concat(F.date_format("captured_at", "yyyyMMddHHmmss"), F.lit(":"),
-                    F.coalesce(F.format_number(F.col("score"), 6), F.lit("-")))
+    newest = first_by(hits.select("surt", "captured_at", "snapshot"), ["surt"],
+                      [F.negative(F.unix_micros("captured_at")), F.col("snapshot")], ["captured_at"])
     tls = (tl.groupBy("surt")
-           .agg(F.count(F.lit(1)).alias("n_captures"),
-                F.sort_array(F.collect_list(F.struct(F.col("captured_at"), line.alias("l"))), asc=False).alias("t")))
+           .agg(F.count(F.lit(1)).alias("n_captures"), F.count("score").alias("n_hit_captures"),
+                F.min("captured_at").alias("first_capture"), F.max("captured_at").alias("last_capture")))
     return (top.join(titles, "surt").join(newest.withColumnRenamed("captured_at", "newest"), "surt")
             .join(tls, "surt", "left")
             .select("rank", "surt", surt_canonical_url("surt").alias("canonical_url"), "title",
                     F.col("best").alias("score"), "n_hits", F.coalesce("n_captures", F.lit(0)).alias("n_captures"),
-                    archive_url(surt_canonical_url("surt"), F.col("newest")).alias("newest_url"),
-                    F.array_join(F.transform("t", lambda x: x["l"]), " ").alias("timeline")))
+                    F.coalesce("n_hit_captures", F.lit(0)).alias("n_hit_captures"), "first_capture", "last_capture",
+                    archive_url(surt_canonical_url("surt"), F.col("newest")).alias("newest_url")))
 
 
 @dataclass

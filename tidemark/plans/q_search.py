@@ -278,15 +278,14 @@ def page_titles(spark, sf):
            'https://' || array_to_string(list_reverse(string_split(split_part(t.surt, ')', 1), ',')), '.')
              || substr(t.surt, length(split_part(t.surt, ')', 1)) + 2) AS canonical_url,
            ti.title, t.best AS score, t.n_hits, coalesce(tl.n_captures, 0) AS n_captures,
+           coalesce(tl.n_hit_captures, 0) AS n_hit_captures, tl.first_capture, tl.last_capture,
            'https://web.archive.org/web/' || strftime(nw.newest, '%Y%m%d%H%M%S') || '/' || 'https://'
              || array_to_string(list_reverse(string_split(split_part(t.surt, ')', 1), ',')), '.')
-             || substr(t.surt, length(split_part(t.surt, ')', 1)) + 2) AS newest_url,
-           tl.timeline
+             || substr(t.surt, length(split_part(t.surt, ')', 1)) + 2) AS newest_url
     FROM q_top t JOIN q_titles ti ON ti.surt = t.surt
     JOIN (SELECT surt, max(captured_at) AS newest FROM q_hits GROUP BY surt) nw ON nw.surt = t.surt
-    LEFT JOIN (SELECT surt, count(*) AS n_captures,
-                      string_agg(strftime(captured_at, '%Y%m%d%H%M%S') || ':' || coalesce(printf('%.6f', score), '-'), ' '
-                                 ORDER BY captured_at DESC) AS timeline
+    LEFT JOIN (SELECT surt, count(*) AS n_captures, count(score) AS n_hit_captures, min(captured_at) AS first_capture,
+                      max(captured_at) AS last_capture
                FROM q_tl_hits GROUP BY surt) tl ON tl.surt = t.surt""", Q_TERMS, "success", extra=_HITS))
 def page_results(spark, sf):
     _, top, hits = _ranked(spark, sf)

@@ -250,11 +250,20 @@ def upsert_surts(table, entries):
 
 @register("search_response_json", None)
 def search_response_json(spark, sf):
-    """The page results serialised as nested JSON (one document per ranked URL, snapshots newest first)."""
-    from tidemark.plans.q_search import page_results
-    pr = page_results(spark, sf)
-    return pr.select("rank", F.to_json(F.struct("surt", "canonical_url", "title", "score", "n_hits", "n_captures",
-                                                  "newest_url", F.split("timeline", " ").alias("timeline"))).alias("json"))
+    """The search response as JSON lines: one document per hit capture, nesting its page (rank, URL, title,
+    counts) and the hit (instant, snapshot, score, replay URL). Pages and hits are joined, not collected, so a URL
+    with very many captures never becomes one giant record."""
+    from tidemark.plans.q_search import PAGE, Q_TERMS, _ranked
+    _, top, hits = _ranked(spark, sf)
+    pages = srch.page_results(top, hits, srch.timeline_hits(srch.surt_timeline(top, fx.success(spark, sf)),
+                                                             srch.hit_captures(hits, fx.success(spark, sf))))
+    caps = srch.hit_captures(hits, fx.success(spark, sf))
+    page = F.struct("rank", "surt", "canonical_url", "title", "score", "n_hits", "n_captures")
+    hit = F.struct(F.col("captured_at"), F.col("snapshot"), F.col("hit_score").alias("score"),
+                   tf.archive_url(F.col("canonical_url"), F.col("captured_at")).alias("archive_url"))
+    j = caps.withColumnRenamed("score", "hit_score").drop("rank").join(pages, "surt")
+    _ = (PAGE, Q_TERMS)
+    return j.select("rank", "captured_at", F.to_json(F.struct(page.alias("page"), hit.alias("hit"))).alias("json"))
 
 
 @register("stream_reindex", with_ctes("SELECT snapshot, field, pos, token FROM postings", "postings"))
