@@ -24,23 +24,27 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _url_fields(url) -> Column:
+    """One regex pass: array [scheme, host, port, path, ''] when the lower-cased URL matches, else a 1-element
+    array. Always evaluated (no conditional), so every field access shares this one expression."""
+    return F.split(F.regexp_replace(F.lower(_col(url)), URL_PATTERN, f"$1{_SEP}$2{_SEP}$3{_SEP}$4{_SEP}"), _SEP)
+
+
 def url_parts(url) -> Column:
     """struct(scheme, host, port, path) of a lower-cased http(s) URL, NULL when it does not parse."""
-    u = F.lower(_col(url))
-    packed = F.regexp_replace(u, URL_PATTERN, f"$1{_SEP}$2{_SEP}$3{_SEP}$4")
-    parts = F.split(packed, _SEP)
-    return F.when(u.rlike(URL_PATTERN), F.struct(
-        parts.getItem(0).alias("scheme"), parts.getItem(1).alias("host"),
-        parts.getItem(2).alias("port"), parts.getItem(3).alias("path")))
+    parts = _url_fields(url)
+    return F.when(F.size(parts) == 5, F.struct(
+        F.get(parts, 0).alias("scheme"), F.get(parts, 1).alias("host"),
+        F.get(parts, 2).alias("port"), F.get(parts, 3).alias("path")))
 
 
 def surt_from_url(url) -> Column:
     """B1: URL -> SURT text. Scheme http/https only; host must be a domain name; an explicit non-default port,
     an empty host or an IP host gives NULL. Labels are reversed, path kept (empty -> '/'), query/fragment dropped."""
-    p = url_parts(url)
-    scheme, host, port, path = p["scheme"], p["host"], p["port"], p["path"]
+    parts = _url_fields(url)
+    scheme, host, port, path = (F.get(parts, i) for i in range(4))
     default_port = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    ok = p.isNotNull() & (host != "") & ~host.rlike(NUMERIC_HOST_PATTERN) & default_port
+    ok = (F.size(parts) == 5) & (host != "") & ~host.rlike(NUMERIC_HOST_PATTERN) & default_port
     domain = F.array_join(F.reverse(F.split(host, r"\.")), ",")
     return F.when(ok, F.concat(domain, F.lit(")"), F.when(path == "", F.lit("/")).otherwise(path)))
 
