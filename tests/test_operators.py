@@ -163,3 +163,13 @@ def test_search_api_and_gravatar_filter(spark):
     assert r.pages.collect()[0].n_captures == 2
     g = search.search_matches(docs, post, search.Query(should="cat", gravatar_hash="abc"))
     assert [x.snapshot for x in g.collect()] == ["d1"]
+
+
+def test_cdx_pretty_printed_page(spark):
+    path = checkpoint_dir(spark, f"t-cdx3-{uuid.uuid4().hex}")
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, "p.json"), "w") as f:
+        f.write('[\n ["urlkey","timestamp","original","mimetype","statuscode","digest","length"],\n'
+                ' ["com,x)/","20200101000000","http://x.com/","text/html","200","AAAA","10"]\n]\n')
+    rows = cdx.decode_rows(cdx.read_pages(spark, path)).collect()
+    assert [(r.surt, r._error) for r in rows] == [("com,x)/", None)]

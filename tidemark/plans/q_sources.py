@@ -278,3 +278,24 @@ def stream_reindex(spark, sf):
     docs.where(F.col("year") >= 2020).write.parquet(f"{base}/docs/b=1")
     reindex(spark, f"{base}/docs", docs.schema, f"{base}/postings", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/postings").select("snapshot", "field", "pos", "token")
+
+
+@register("legacy_import", with_ctes(f"""
+    SELECT digest, {d_digest('text')} = digest AS digest_ok, digest NOT IN (SELECT digest FROM store) AS to_import
+    FROM (SELECT DISTINCT digest, text FROM (
+            SELECT digest, text FROM docd
+            UNION ALL SELECT {d_digest('text')}, text FROM benchmark))""", "docd", "store"))
+def legacy_import(spark, sf):
+    """A legacy gzip store holding every document and benchmark body is listed and read back;
+    each body is re-hashed and flagged for import when the new store lacks it."""
+    root = _scratch(spark, "legacy")
+    bodies = (fx.table(spark, sf, "documents").select("text")
+              .unionByName(fx.table(spark, sf, "benchmark").select("text"))
+              .select(tf.content_digest("text").alias("digest"), F.col("text").alias("body"))
+              .dropDuplicates(["digest"]))
+    stg.write_legacy_store(bodies, root).write.mode("overwrite").parquet(root + "-manifest")
+    got = stg.read_legacy_bodies(spark, root).where("digest IS NOT NULL")
+    stored = fx.store(spark, sf).select("digest", F.lit(True).alias("stored"))
+    return (got.join(stored, "digest", "left")
+            .select("digest", (tf.content_digest("text") == F.col("digest")).alias("digest_ok"),
+                    F.col("stored").isNull().alias("to_import")))

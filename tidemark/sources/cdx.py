@@ -23,10 +23,10 @@ PAGE_TS_PATTERN = r"page=([0-9]+)"
 def read_pages(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per page: (file, page_ts from the folder/file name as epoch ms, rows array<array<string>>).
     ``glob`` restricts file names (e.g. '*.json*' for a store that also holds other files)."""
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    r = spark.read.option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    raw = r.text(path)
+    raw = r.text(path, wholetext=True)  # (an .option('wholetext') would be reset by text()'s default)
     file = F.col("_metadata.file_path")
     ms = F.regexp_extract(file, PAGE_TS_PATTERN, 1)
     return raw.select(file.alias("file"),

@@ -99,3 +99,37 @@ def write_store(bodies: DataFrame, root: str) -> DataFrame:
 
     valid = bodies.where(store_location("digest").isNotNull())
     return valid.mapInPandas(run, "digest string, path string, written_bytes long")
+
+
+def write_legacy_store(bodies: DataFrame, root: str) -> DataFrame:
+    """Legacy layout sink: gzip files root/<first symbol>/<digest>.gz written per task (pyarrow file systems).
+    Returns (digest, path, written_bytes)."""
+    import pyarrow.fs as pafs
+
+    def run(batches):
+        import gzip
+        fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+        for pdf in batches:
+            out = []
+            for d, body in zip(pdf["digest"], pdf["body"]):
+                path = f"{base.rstrip('/')}/{d[0]}/{d}.gz"
+                data = gzip.compress(body.encode() if isinstance(body, str) else bytes(body), mtime=0)
+                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(path, compression=None) as f:
+                    f.write(data)
+                out.append((d, path, len(data)))
+            yield pd.DataFrame(out, columns=["digest", "path", "written_bytes"])
+
+    return bodies.where(store_location("digest").isNotNull()).mapInPandas(
+        run, "digest string, path string, written_bytes long")
+
+
+def read_legacy_bodies(spark: SparkSession, root: str, prefix: str | None = None) -> DataFrame:
+    """(path, digest, text) of legacy gzip bodies; the text source decodes gzip by extension. Paths that break
+    the layout rule get digest NULL (reject)."""
+    t = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+    t = t.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    d = F.regexp_extract("path", LEGACY_PATH_PATTERN, 2)
+    ok = (d != "") & (F.substring(d, 1, 1) == F.regexp_extract("path", LEGACY_PATH_PATTERN, 1))
+    out = t.select("path", F.when(ok, d).alias("digest"), "text")
+    return out.where(F.col("digest").startswith(prefix)) if prefix else out

@@ -25,8 +25,8 @@ def _table_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFram
 
 def cdx_stream(spark: SparkSession, pages_dir: str) -> DataFrame:
     """Streaming pages (file, page_ts, rows) from a folder of CDX page files."""
-    raw = (spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True)
-           .option("maxFilesPerTrigger", 64).load(pages_dir))
+    raw = (spark.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", 64)
+           .text(pages_dir, wholetext=True))
     file = F.col("_metadata.file_path")
     ms = F.regexp_extract(file, r"page=([0-9]+)", 1)
     return raw.select(file.alias("file"), F.when(ms != "", F.timestamp_millis(ms.cast("long"))).alias("page_ts"),
