@@ -89,12 +89,19 @@ def cluster_postings(post: DataFrame, files: int | None = None) -> DataFrame:
     return post.repartitionByRange(n, "token", "snapshot").sortWithinPartitions("token", "snapshot", "field", "pos")
 
 
+def with_field_lengths(docs: DataFrame, fields=FIELDS) -> DataFrame:
+    """Index-build step: per document the kept-token count of each field (``<field>_dl``), so collection
+    statistics never re-tokenise the corpus at query time."""
+    return docs.select("*", *[F.size(F.filter(raw_tokens(F.col(f)), lambda t: F.octet_length(t) < MAX_TOKEN_BYTES))
+                              .cast("bigint").alias(f"{f}_dl") for f in fields])
+
+
 def field_stats(docs: DataFrame) -> dict[str, Column]:
-    """Number of documents and mean field length, as ONE struct-valued scalar subquery (no driver round trip;
-    every reference to it is the same subquery, so it runs once)."""
-    lens = docs.select(*[F.size(F.filter(raw_tokens(F.col(f)), lambda t: F.octet_length(t) < MAX_TOKEN_BYTES))
-                         .alias(f) for f in FIELDS])
-    agg = lens.agg(F.struct(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in FIELDS]).alias("s"))
+    """Number of documents and mean field length, as ONE struct-valued scalar subquery (no driver round trip).
+    Uses the stored ``<field>_dl`` columns when present."""
+    if not all(f"{f}_dl" in docs.columns for f in FIELDS):
+        docs = with_field_lengths(docs)
+    agg = docs.agg(F.struct(F.count(F.lit(1)).alias("n"), *[F.avg(f"{f}_dl").alias(f) for f in FIELDS]).alias("s"))
     s = agg.select("s").scalar()
     out = {"n": s["n"]}
     for f in FIELDS:

@@ -24,7 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _MEMO: dict = {}
 
 
-ARCHIVE_VERSION = "v4"
+def _code_version() -> str:
+    """Digest of the code that defines the stored relations: any change rebuilds them instead of reading stale
+    tables."""
+    import hashlib
+    import pathlib
+    root = pathlib.Path(__file__).resolve().parents[1]
+    h = hashlib.sha1()
+    for f in sorted([*root.glob("functions/*.py"), *root.glob("operators/*.py"), pathlib.Path(__file__)]):
+        h.update(f.read_bytes())
+    return h.hexdigest()[:12]
+
+
+ARCHIVE_VERSION = _code_version()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -201,10 +213,10 @@ def index_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_stored
 def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 documents for the index: one per snapshot, from its representative capture (earliest, then slug)."""
-    from tidemark.operators.search import build_docs
+    from tidemark.operators.search import build_docs, with_field_lengths
     st = store(spark, sf_dir)
-    return build_docs(index_sources(spark, sf_dir), st.select("digest", "body"),
-                      title=first_line(F.col("body")), content=F.col("body"))
+    return with_field_lengths(build_docs(index_sources(spark, sf_dir), st.select("digest", "body"),
+                                         title=first_line(F.col("body")), content=F.col("body")))
 
 
 @_stored
