@@ -8,7 +8,6 @@ with joins / aggregates, so its work grows with the input tables; nothing is col
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import (content_digest, first_line, redirect_html, surt_from_url, surt_host_key)
@@ -183,15 +182,20 @@ def pattern_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_stored
 def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redirect dataset lines 'digest,url' from page URLs; every 11th line carries a wrong digest. Files are split
-    by the first digest symbol; line numbers follow page_id inside a file."""
+    """Redirect dataset lines 'digest,url' from page URLs; every 11th line carries a wrong digest. Lines go to the
+    file of their digest's first symbol in page_id order; the files are written and read back, so line numbers come
+    from the reader (no per-file window)."""
+    from tidemark.sources.redirects import read_redirects
     p = table(spark, sf_dir, "pages")
     digest = F.when(F.col("page_id") % 11 == 0, content_digest("html")).otherwise(content_digest(redirect_html("url")))
-    r = p.select("page_id", "url", digest.alias("digest"))
-    r = r.withColumn("file", F.concat(F.lit("redirects-"), F.substring("digest", 1, 1), F.lit(".csv")))
-    w = Window.partitionBy("file").orderBy("page_id")
-    return r.select("file", F.row_number().over(w).cast("bigint").alias("line_no"),
-                    F.concat_ws(",", "digest", "url").alias("line"), "digest", "url")
+    r = p.select("page_id", F.concat_ws(",", digest, F.col("url")).alias("line"),
+                 F.concat(F.lit("redirects-"), F.substring(digest, 1, 1), F.lit(".csv")).alias("file"))
+    path = archive_path(spark, sf_dir, "redirect_files")
+    # one writer per file (a file is one task's output); rows arrive sorted by (file, page_id)
+    (r.repartition("file").sortWithinPartitions("file", "page_id").select("file", "line")
+     .write.mode("overwrite").partitionBy("file").text(path))
+    got = read_redirects(spark, path)
+    return got.select(F.regexp_extract("file", r"file=([^/]+)/", 1).alias("file"), "line_no", "line", "digest", "url")
 
 
 @_memo
