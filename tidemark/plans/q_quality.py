@@ -161,3 +161,17 @@ def fetched_check(spark, sf):
                            .otherwise(F.col("doc_id")).alias("doc_id"))
                .join(docs, "doc_id").select("url", "captured_at", "body"))
     return ql.fetched_check(wanted, fetched)
+
+
+@register("redirect_prefixes", with_ctes("""
+    SELECT p.prefix, 'redirects-' || p.prefix || '.csv' AS file, CAST(coalesce(n.n_lines, 0) AS BIGINT) AS n_lines
+    FROM (SELECT unnest(string_split('234567ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS prefix) p
+    LEFT JOIN (SELECT file, count(*) AS n_lines FROM redirects GROUP BY file) n
+      ON n.file = 'redirects-' || p.prefix || '.csv'""", "redirects"))
+def redirect_prefixes(spark, sf):
+    """The 32 expected files with their line counts (0 for a missing file)."""
+    from tidemark.sources.redirects import file_prefixes
+    counts = fx.redirects(spark, sf).groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"))
+    p = file_prefixes(spark).withColumn("file", F.concat(F.lit("redirects-"), "prefix", F.lit(".csv")))
+    return p.join(counts, "file", "left").select("prefix", "file",
+                                                 F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"))

@@ -178,3 +178,27 @@ def captures_by_digest(spark, sf):
     WHERE c.status_code = 302""", "captures", "redirects"))
 def redirect_hops(spark, sf):
     return rc.redirect_hops(fx.captures(spark, sf), fx.redirects(spark, sf))
+
+
+@register("capture_date_range", with_ctes("""
+    SELECT capture_id, surt, captured_at FROM captures
+    WHERE captured_at >= CAST(DATE '2018-01-01' AS TIMESTAMP) AND captured_at < CAST(DATE '2019-07-01' AS TIMESTAMP)""",
+                                          "captures"))
+def capture_date_range(spark, sf):
+    """Captures in a half-open range given as 'YYYY-MM-DD' request parameters (pushed to the scan)."""
+    from tidemark.functions import date_param, half_open
+    c = fx.captures(spark, sf)
+    # request parameters stay expressions: constant-folded by the optimizer, then pushed to the scan
+    start, end = date_param(F.lit("2018-01-01")), date_param(F.lit("2019-07-01"))
+    return c.where(half_open("captured_at", start, end)).select("capture_id", "surt", "captured_at")
+
+
+@register("capture_date_open_end", with_ctes("""
+    SELECT capture_id, surt, captured_at FROM captures WHERE captured_at >= CAST(DATE '2023-01-01' AS TIMESTAMP)""",
+                                             "captures"))
+def capture_date_open_end(spark, sf):
+    """A range with only a start adds only that predicate (no sentinel for the missing end)."""
+    from tidemark.functions import half_open
+    import datetime as dt
+    c = fx.captures(spark, sf)
+    return c.where(half_open("captured_at", dt.datetime(2023, 1, 1), None)).select("capture_id", "surt", "captured_at")

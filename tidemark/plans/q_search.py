@@ -292,3 +292,15 @@ def page_results(spark, sf):
     succ = fx.success(spark, sf)
     tl = srch.timeline_hits(srch.surt_timeline(top, succ), srch.hit_captures(hits, succ))
     return srch.page_results(top, hits, tl)
+
+
+@register("index_counts", with_ctes("""
+    SELECT count(*) AS documents, count(DISTINCT surt) AS surts, count(DISTINCT slug) AS collections,
+           (SELECT count(*) FROM postings) AS postings
+    FROM search_docs""", "search_docs", "postings"))
+def index_counts(spark, sf):
+    """Documents indexed, distinct URL keys and collections among them, postings written."""
+    docs = fx.search_docs(spark, sf)
+    n_post = fx.postings(spark, sf).select(F.count(F.lit(1))).scalar()
+    return docs.agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("surt").alias("surts"),
+                    F.countDistinct("slug").alias("collections"), n_post.alias("postings"))
