@@ -173,3 +173,12 @@ def test_cdx_pretty_printed_page(spark):
                 ' ["com,x)/","20200101000000","http://x.com/","text/html","200","AAAA","10"]\n]\n')
     rows = cdx.decode_rows(cdx.read_pages(spark, path)).collect()
     assert [(r.surt, r._error) for r in rows] == [("com,x)/", None)]
+
+
+def test_hit_captures_expand_duplicates(spark):
+    # By default only captures of the ranked SURT; expand_duplicates adds the same body seen under other SURTs
+    hits = spark.createDataFrame([("d1", "com,a)/", 2.0, 1)], "snapshot string, surt string, score double, rank int")
+    succ = spark.createDataFrame([("d1", "com,a)/", dt.datetime(2020, 1, 1)), ("d1", "com,b)/", dt.datetime(2020, 1, 2))],
+                                 "snapshot string, surt string, captured_at timestamp")
+    assert [r.surt for r in search.hit_captures(hits, succ).collect()] == ["com,a)/"]
+    assert sorted(r.surt for r in search.hit_captures(hits, succ, True).collect()) == ["com,a)/", "com,b)/"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import surt_from_url  # noqa: F401  (re-exported for the graph query)
 from tidemark.operators import extract as ex
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import register
@@ -21,7 +20,6 @@ def _strip(x: str) -> str:
 
 
 _ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
-_AVATAR_IMG = "'<img src=\"https://www.gravatar.com/avatar/' || md5(CAST(page_id AS VARCHAR)) || '\">'"
 
 
 def _pages_docs(spark, sf, native=False):
@@ -96,5 +94,3 @@ def gravatar_extract_native(spark, sf):
     d = ex.extract_native(p.withColumn("html", F.replace("html", F.lit("<body>"), img)))
     return d.select("page_id", F.array_join("doc.gravatar_hashes", " ").alias("hashes"))
 
-
-_ = _AVATAR_IMG

@@ -15,12 +15,10 @@ from tidemark.operators import reconcile as rc
 from tidemark.operators import search as srch
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import register
-from tidemark.plans.oracle import d_digest, d_redirect_html, d_surt, with_ctes
+from tidemark.plans.oracle import d_digest, d_redirect_html, with_ctes
 from tidemark.session import checkpoint_dir
 from tidemark.sources import cdx, exchange, redirects as rd, store as stg
 
-_ = d_surt
-
 
 def _scratch(spark, name: str) -> str:
     return checkpoint_dir(spark, f"tidemark-{name}-{uuid.uuid4().hex}")
@@ -253,7 +251,7 @@ def search_response_json(spark, sf):
     """The search response as JSON lines: one document per hit capture, nesting its page (rank, URL, title,
     counts) and the hit (instant, snapshot, score, replay URL). Pages and hits are joined, not collected, so a URL
     with very many captures never becomes one giant record."""
-    from tidemark.plans.q_search import PAGE, Q_TERMS, _ranked
+    from tidemark.plans.q_search import _ranked
     _, top, hits = _ranked(spark, sf)
     pages = srch.page_results(top, hits, srch.timeline_hits(srch.surt_timeline(top, fx.success(spark, sf)),
                                                              srch.hit_captures(hits, fx.success(spark, sf))))
@@ -262,7 +260,6 @@ def search_response_json(spark, sf):
     hit = F.struct(F.col("captured_at"), F.col("snapshot"), F.col("hit_score").alias("score"),
                    tf.archive_url(F.col("canonical_url"), F.col("captured_at")).alias("archive_url"))
     j = caps.withColumnRenamed("score", "hit_score").drop("rank").join(pages, "surt")
-    _ = (PAGE, Q_TERMS)
     return j.select("rank", "captured_at", F.to_json(F.struct(page.alias("page"), hit.alias("hit"))).alias("json"))
 
 
