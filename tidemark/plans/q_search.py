@@ -288,10 +288,10 @@ def page_titles(spark, sf):
                       max(captured_at) AS last_capture
                FROM q_tl_hits GROUP BY surt) tl ON tl.surt = t.surt""", Q_TERMS, "success", extra=_HITS))
 def page_results(spark, sf):
-    _, top, hits = _ranked(spark, sf)
-    succ = fx.success(spark, sf)
-    tl = srch.timeline_hits(srch.surt_timeline(top, succ), srch.hit_captures(hits, succ))
-    return srch.page_results(top, hits, tl)
+    """One search request through ``search.search``; its page rows."""
+    docs, post, _ = _index(spark, sf)
+    res = srch.search(docs, post, fx.success(spark, sf), fx.patterns(spark, sf), Q_TERMS, limit=PAGE, offset=0)
+    return res.pages
 
 
 @register("index_counts", with_ctes("""
