@@ -7,6 +7,8 @@ with joins / aggregates, so its work grows with the input tables; nothing is col
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _MEMO: dict = {}
+_BUILD_LOCK = threading.RLock()
 
 
 def _code_version() -> str:
@@ -58,13 +61,14 @@ def _stored(fn):
     stored tables they model. ``fn.build`` recomputes the relation from its inputs."""
     def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (id(spark), sf_dir, fn.__name__)
-        hit = _MEMO.get(key)
-        if hit is None or hit[0] is not spark:
-            path = archive_path(spark, sf_dir, fn.__name__)
-            if not _exists(spark, path + "/_SUCCESS"):
-                fn(spark, sf_dir).write.mode("overwrite").parquet(path)
-            hit = (spark, spark.read.parquet(path))
-            _MEMO[key] = hit
+        with _BUILD_LOCK:  # queries submitted from several threads build a table once
+            hit = _MEMO.get(key)
+            if hit is None or hit[0] is not spark:
+                path = archive_path(spark, sf_dir, fn.__name__)
+                if not _exists(spark, path + "/_SUCCESS"):
+                    fn(spark, sf_dir).write.mode("overwrite").parquet(path)
+                hit = (spark, spark.read.parquet(path))
+                _MEMO[key] = hit
         return hit[1]
     wrapper.__name__ = fn.__name__
     wrapper.__doc__ = fn.__doc__
