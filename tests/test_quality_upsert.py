@@ -3,8 +3,6 @@
 import base64
 import hashlib
 
-
-
 from tidemark.operators import quality, upsert
 
 
