@@ -162,20 +162,19 @@ def phrase_scores(post: DataFrame, stats: dict[str, Column], words: list[str], f
     pf = starts.groupBy("snapshot", "field", "dl").agg(F.count(F.lit(1)).alias("pf"))
     dfs = (flt.where(F.col("token").isin(sorted(set(words)))).groupBy("field", "token")
            .agg(F.countDistinct("snapshot").alias("df")))
-    idf_rows = [w for w in words]  # repeated words count once per occurrence
-    idf_sum = (dfs.select("field", "token", _idf(F.col("df"), stats["n"]).alias("idf"))
-               .join(F.broadcast(_word_counts(post.sparkSession, idf_rows)), "token")
-               .groupBy("field").agg(F.sum(F.col("idf") * F.col("k")).alias("idf_sum")))
-    s = pf.join(F.broadcast(idf_sum), "field")
-    sc = _bm25(F.col("idf_sum"), F.col("pf"), F.col("dl"), _avgdl(stats)) * _boost(boosts or {})
-    return s.groupBy("snapshot").agg(F.sum(sc).alias("score"))
-
-
-def _word_counts(spark, words: list[str]) -> DataFrame:
+    # a word repeated in the phrase contributes its idf once per occurrence
     counts: dict[str, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
-    return spark.createDataFrame(sorted(counts.items()), "token string, k int")
+    k = F.lit(0)
+    for w, n in counts.items():
+        k = F.when(F.col("token") == w, F.lit(n)).otherwise(k)
+    idf_sum = (dfs.select("field", (_idf(F.col("df"), stats["n"]) * k).alias("idf"))
+               .groupBy("field").agg(F.sum("idf").alias("idf_sum")))
+    # at most len(fields) rows
+    s = pf.join(F.broadcast(idf_sum), "field")
+    sc = _bm25(F.col("idf_sum"), F.col("pf"), F.col("dl"), _avgdl(stats)) * _boost(boosts or {})
+    return s.groupBy("snapshot").agg(F.sum(sc).alias("score"))
 
 
 def filter_docs(docs: DataFrame, q: Query) -> DataFrame:
