@@ -46,8 +46,8 @@ def assign_patterns(entries: DataFrame, patterns: DataFrame, key_cols=("capture_
             pref = e.withColumn("p_surt", F.explode(F.expr(
                 "transform(sequence(1, length(substring_index(surt, ')', 1))), i -> substr(surt, 1, i))")))
             outs.append(pref.join(domain, "p_surt").select(*cols))
-    if not outs:
-        return e.join(p, F.lit(False)).select(*cols)
+    if not outs:  # no patterns at all: an empty result with the output columns
+        return e.where(F.lit(False)).select(*[F.lit(None).cast(p.schema[c].dataType).alias(c) for c in pc], *key_cols)
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)

@@ -126,10 +126,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "postings": (("doc_tokens",), """
         SELECT snapshot, field, lower(token) AS token, pos FROM doc_tokens"""),
     "field_lengths": (("postings", "search_docs"), """
-        SELECT d.snapshot, f.field, coalesce(n.dl, 0) AS dl
-        FROM search_docs d CROSS JOIN (VALUES ('title'), ('content')) f(field)
+        SELECT d.snapshot, d.field, coalesce(n.dl, 0) AS dl
+        FROM (SELECT snapshot, 'title' AS field FROM search_docs
+              UNION ALL SELECT snapshot, 'content' AS field FROM search_docs) d
         LEFT JOIN (SELECT snapshot, field, count(*) AS dl FROM postings GROUP BY ALL) n
-          ON n.snapshot = d.snapshot AND n.field = f.field"""),
+          ON n.snapshot = d.snapshot AND n.field = d.field"""),
     "field_stats": (("field_lengths",), """
         SELECT field, count(*) AS n_docs, avg(dl) AS avgdl FROM field_lengths GROUP BY field"""),
 }
