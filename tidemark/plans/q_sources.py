@@ -42,7 +42,7 @@ def cdx_decode(spark, sf):
 
 
 @register("cdx_dump", with_ctes("""
-    SELECT CAST(floor(epoch_ms(p.t0) / 1000) AS BIGINT) AS crawl_s, coalesce(c.status_code, 0) AS status,
+    SELECT CAST(floor(floor(epoch_us(p.t0) / 1000) / 1000) AS BIGINT) AS crawl_s, coalesce(c.status_code, 0) AS status,
            c.mime_type, c.url AS original
     FROM captures c JOIN (SELECT floor(capture_id / 10000) AS page_no, min(crawl_ts) AS t0 FROM captures GROUP BY 1) p
       ON p.page_no = floor(c.capture_id / 10000)""", "captures"))
@@ -296,3 +296,21 @@ def legacy_import(spark, sf):
     return (got.join(stored, "digest", "left")
             .select("digest", (tf.content_digest("text") == F.col("digest")).alias("digest_ok"),
                     F.col("stored").isNull().alias("to_import")))
+
+
+@register("cdx_query_log", with_ctes("""
+    SELECT CAST(floor(epoch_us(min(c.crawl_ts)) / 1000) AS BIGINT) AS epoch_ms,
+           'https://' || array_to_string(list_reverse(string_split(split_part(p.surt, ')', 1), ',')), '.')
+             || substr(p.surt, length(split_part(p.surt, ')', 1)) + 2) || CASE WHEN p.prefix THEN '*' ELSE '' END AS query
+    FROM patterns p JOIN pattern_entry pe ON pe.slug = p.slug JOIN captures c ON c.capture_id = pe.capture_id
+    GROUP BY p.surt, p.prefix""", "patterns", "pattern_entry", "captures"))
+def cdx_query_log(spark, sf):
+    """Each collection's index lookup (its query URL) logged at the time its first page was fetched."""
+    pe = fx.pattern_entry(spark, sf).join(fx.captures(spark, sf).select("capture_id", "crawl_ts"), "capture_id")
+    first = pe.groupBy("slug").agg(F.min("crawl_ts").alias("t0"))
+    log = (fx.patterns(spark, sf).join(first, "slug")
+           .select(F.unix_millis(F.col("t0").cast("timestamp")).alias("epoch_ms"),
+                   tf.pattern_query("surt", "prefix").alias("query")))
+    path = _scratch(spark, "query-log")
+    cdx.write_query_log(log, path)
+    return cdx.read_query_log(spark, path)

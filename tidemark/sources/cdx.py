@@ -111,3 +111,16 @@ def write_pages(captures: DataFrame, path: str, rows_per_page: int = 10_000) ->
                      F.to_json(F.concat(F.array(F.array(*[F.lit(h) for h in SHORT_HEADER])),
                                         F.transform("rs", lambda s: s["r"]))).alias("value")))
     pages.write.mode("overwrite").partitionBy("page").option("compression", "none").text(path)
+
+
+def write_query_log(log: DataFrame, path: str) -> None:
+    """S4 query log: one line 'epoch_ms,query_url' per fetched page (D12: the reference wrote them without line
+    breaks), appended so repeated crawls accumulate."""
+    log.select(F.concat_ws(",", F.col("epoch_ms").cast("string"), F.col("query")).alias("value")) \
+        .write.mode("append").text(path)
+
+
+def read_query_log(spark: SparkSession, path: str) -> DataFrame:
+    t = spark.read.text(path)
+    return t.select(F.substring_index("value", ",", 1).cast("long").alias("epoch_ms"),
+                    F.expr("substr(value, instr(value, ',') + 1)").alias("query"))
