@@ -197,13 +197,14 @@ def success_upsert(spark, sf):
 
 @register("snapshot_upsert", with_ctes(f"""
     SELECT DISTINCT snapshot AS digest FROM (SELECT * FROM {_DISCOVERED})
-    WHERE snapshot NOT IN (SELECT snapshot FROM success)""", "success", "captures", "store"))
+    WHERE snapshot NOT IN (SELECT snapshot FROM {_OLD_SUCCESS})""", "success", "captures", "store"))
 def snapshot_upsert(spark, sf):
-    """Snapshot digests first seen in a batch of discovered bodies."""
+    """Snapshot digests of a batch of discovered bodies that the snapshot table (as of 2020) lacks."""
     from tidemark.operators import reconcile as rc
     succ = fx.success(spark, sf)
+    old = succ.where(F.col("captured_at") < F.lit("2020-01-01").cast("timestamp"))
     found = rc.local_discovery(rc.missing_captures(fx.captures(spark, sf), succ), fx.store(spark, sf))
-    _, snaps = upsert.insert_success(succ, found, succ.select(F.col("snapshot").alias("digest")))
+    _, snaps = upsert.insert_success(old, found, old.select(F.col("snapshot").alias("digest")))
     return snaps
 
 

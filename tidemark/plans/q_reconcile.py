@@ -118,15 +118,22 @@ def local_discovery(spark, sf):
     return rc.local_discovery(m, fx.store(spark, sf))
 
 
-@register("invalid_reconcile", with_ctes("""
+_STORE_2020 = "(SELECT DISTINCT snapshot AS digest FROM success WHERE captured_at < TIMESTAMP '2020-01-01')"
+
+
+@register("invalid_reconcile", with_ctes(f"""
     SELECT DISTINCT c.capture_id, c.surt, c.captured_at, p.actual AS snapshot, false AS correct_digest
-    FROM (SELECT DISTINCT expected, actual FROM (""" + _INVALID_SQL + """)) p
+    FROM (SELECT DISTINCT expected, actual FROM ({_INVALID_SQL})) p
     JOIN captures c ON c.digest = p.expected
-    WHERE p.expected NOT IN (SELECT digest FROM store) AND p.actual IN (SELECT digest FROM store)""",
-                                        "success", "captures", "store"))
+    WHERE p.expected NOT IN (SELECT digest FROM {_STORE_2020}) AND p.actual IN (SELECT digest FROM {_STORE_2020})""",
+                                        "success", "captures"))
 def invalid_reconcile(spark, sf):
-    inv = rc.invalid_digests(fx.captures(spark, sf), fx.success(spark, sf))
-    return rc.invalid_reconcile(inv, fx.store(spark, sf), fx.captures(spark, sf))
+    """J8 against the body store as it stood in 2020 (bodies fetched for captures before then)."""
+    succ = fx.success(spark, sf)
+    store_2020 = (succ.where(F.col("captured_at") < F.lit("2020-01-01").cast("timestamp"))
+                  .select(F.col("snapshot").alias("digest")).distinct())
+    inv = rc.invalid_digests(fx.captures(spark, sf), succ)
+    return rc.invalid_reconcile(inv, store_2020, fx.captures(spark, sf))
 
 
 # ---------------------------------------------------------------- J9 / E9 / J10 / J12 / J13: digest set work
