@@ -186,17 +186,25 @@ def pattern_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_stored
 def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redirect dataset lines 'digest,url' from page URLs; every 11th line carries a wrong digest. Lines go to the
-    file of their digest's first symbol in page_id order; the files are written and read back, so line numbers come
+    """Redirect dataset lines 'digest,url': one per page URL (every 11th with a wrong digest) and one per 302
+    capture (its body digest -> its canonical URL). Lines go to the file of their digest's first symbol, pages first
+    in page_id order, then captures in capture_id order; the files are written and read back, so line numbers come
     from the reader (no per-file window)."""
+    from tidemark.functions import surt_canonical_url
     from tidemark.sources.redirects import read_redirects
     p = table(spark, sf_dir, "pages")
     digest = F.when(F.col("page_id") % 11 == 0, content_digest("html")).otherwise(content_digest(redirect_html("url")))
-    r = p.select("page_id", F.concat_ws(",", digest, F.col("url")).alias("line"),
-                 F.concat(F.lit("redirects-"), F.substring(digest, 1, 1), F.lit(".csv")).alias("file"))
+    pages_lines = p.select(F.lit(0).alias("src"), F.col("page_id").alias("id"), digest.alias("digest"),
+                           F.concat_ws(",", digest, F.col("url")).alias("line"))
+    # every 302 capture is listed under its body digest with the URL it redirects to (its canonical URL)
+    c = captures(spark, sf_dir).where(F.col("status_code") == 302)
+    capture_lines = c.select(F.lit(1).alias("src"), F.col("capture_id").alias("id"), "digest",
+                             F.concat_ws(",", F.col("digest"), surt_canonical_url("surt")).alias("line"))
+    r = pages_lines.unionByName(capture_lines).withColumn(
+        "file", F.concat(F.lit("redirects-"), F.substring("digest", 1, 1), F.lit(".csv")))
     path = archive_path(spark, sf_dir, "redirect_files")
-    # one writer per file (a file is one task's output); rows arrive sorted by (file, page_id)
-    (r.repartition("file").sortWithinPartitions("file", "page_id").select("file", "line")
+    # one writer per file (a file is one task's output); rows arrive sorted by (file, src, id)
+    (r.repartition("file").sortWithinPartitions("file", "src", "id").select("file", "line")
      .write.mode("overwrite").partitionBy("file").text(path))
     got = read_redirects(spark, path)
     return got.select(F.regexp_extract("file", r"file=([^/]+)/", 1).alias("file"), "line_no", "line", "digest", "url")

@@ -91,14 +91,18 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT p.slug, p.sort_id, c.capture_id, c.surt, c.captured_at
         FROM captures c JOIN patterns p
           ON (p.prefix AND starts_with(c.surt, p.surt)) OR (NOT p.prefix AND c.surt = p.surt)"""),
-    "redirects": ((), f"""
-        SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY page_id) AS BIGINT) AS line_no,
+    "redirects": (("captures",), f"""
+        SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY src, id) AS BIGINT) AS line_no,
                digest || ',' || url AS line, digest, url
-        FROM (SELECT page_id, url, digest, 'redirects-' || substr(digest, 1, 1) || '.csv' AS file
-              FROM (SELECT page_id, url,
+        FROM (SELECT src, id, url, digest, 'redirects-' || substr(digest, 1, 1) || '.csv' AS file
+              FROM (SELECT 0 AS src, page_id AS id, url,
                            CASE WHEN page_id % 11 = 0 THEN {d_digest('html')}
                                 ELSE {d_digest(d_redirect_html('url'))} END AS digest
-                    FROM pages))"""),
+                    FROM pages
+                    UNION ALL
+                    SELECT 1, capture_id, 'https://' || array_to_string(list_reverse(string_split(split_part(surt, ')', 1), ',')), '.')
+                             || substr(surt, length(split_part(surt, ')', 1)) + 2), digest
+                    FROM captures WHERE status_code = 302))"""),
     "digest_list": (("store",), f"""
         SELECT DISTINCT digest FROM (SELECT digest FROM store UNION ALL SELECT {d_digest('text')} FROM benchmark)"""),
     "snapshot_info": (("success", "captures", "pattern_entry", "patterns"), """
