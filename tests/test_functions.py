@@ -102,3 +102,30 @@ def test_misc(spark):
     assert one(spark, tf.pattern_query(q["surt"], q["prefix"])) == "https://twitter.com/foo/*"
     assert one(spark, tf.html_escape(F.lit("a<b>&c"))) == "a&lt;b&gt;&amp;c"
     assert one(spark, tf.analyse(F.lit("Hello, Wörld 12 " + "x" * 40))) == ["hello", "wörld", "12"]
+
+
+def _py_surt(url):
+    """Independent reference: urllib-based SURT (same acceptance rules)."""
+    import re
+    from urllib.parse import urlsplit
+    try:
+        u = urlsplit(url.lower())
+        port = u.port
+    except ValueError:
+        return None
+    if u.scheme not in ("http", "https") or not u.hostname:
+        return None
+    if re.search(r"(^|[.])(0x[0-9a-f]*|[0-9]+)[.]?$", u.hostname):
+        return None
+    if port is not None and port != {"http": 80, "https": 443}[u.scheme]:
+        return None
+    return ",".join(reversed(u.hostname.split("."))) + ")" + (u.path or "/")
+
+
+def test_surt_matches_python_reference(spark, sf_small):
+    extra = ["https://A.B.example.org:443/x/y?z#w", "http://user@host.example.com/p", "http://h.example.com:81/",
+             "http://10.0.0.1/", "https://h.example.com", "mailto:someone@example.com"]
+    pages = spark.read.parquet(f"{sf_small}/pages.parquet").select("url")
+    df = pages.unionByName(spark.createDataFrame([(u,) for u in extra], "url string"))
+    got = {r.url: r.s for r in df.select("url", tf.surt_from_url("url").alias("s")).collect()}
+    assert got == {u: _py_surt(u) for u in got}
