@@ -129,3 +129,24 @@ def test_surt_matches_python_reference(spark, sf_small):
     df = pages.unionByName(spark.createDataFrame([(u,) for u in extra], "url string"))
     got = {r.url: r.s for r in df.select("url", tf.surt_from_url("url").alias("s")).collect()}
     assert got == {u: _py_surt(u) for u in got}
+
+
+def test_digest_and_tokens_match_python_on_documents(spark, sf_small):
+    import base64
+    import hashlib
+
+    import regex
+
+    from tidemark.operators.search import postings
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.d for r in docs.select("doc_id", tf.content_digest("text").alias("d")).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got == {k: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() for k, t in texts.items()}
+
+    d = docs.select(F.col("doc_id").cast("string").alias("snapshot"), F.lit("").alias("title"),
+                    F.col("text").alias("content"))
+    post = {(r.snapshot, r.pos, r.token) for r in postings(d).where("field = 'content'").collect()}
+    tok = regex.compile(r"[\p{L}\p{N}]+")
+    want = {(str(k), i, m.lower()) for k, t in texts.items() for i, m in enumerate(tok.findall(t))
+            if len(m.encode()) < 40}
+    assert post == want
