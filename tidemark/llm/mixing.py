@@ -80,42 +80,46 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _replay(residuals: list[list[float]]) -> Column:
-    """struct(w, y): rate and look-ahead point of a posterior after the steps with these residuals."""
-    start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("y"))
+def _replay(residuals: list[list[float]], present: list[float]) -> Column:
+    """struct(w, y): rate and look-ahead point of a posterior after the steps with these residuals.
+
+    A document's step is 1 / (p_i . present + RIDGE), present being the domains' shares at rate 1: the sum of its row
+    of the (non-negative) Hessian, so together the steps never overshoot, and rare domains don't wait for large ones."""
+    size = 1.0 / (_dot(F.col("posterior"), F.lit(present)) + RIDGE)
+    start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("y"), size.alias("size"))
     if not residuals:
         return start
-    eta, step = 1.0 / (1.0 + RIDGE), 1.0
-    moves = []
+    moves, step = [], 1.0
     for r in residuals:
         after = (1 + math.sqrt(1 + 4 * step * step)) / 2
         moves.append(F.struct(F.lit(r).alias("r"), F.lit((step - 1) / after).alias("m")))
         step = after
 
     def move(state: Column, x: Column) -> Column:
-        y = state["y"]
-        w = F.greatest(F.lit(0.0), y - eta * (_dot(F.col("posterior"), x["r"]) + RIDGE * (y - 1)))
-        return F.struct(w.alias("w"), (w + x["m"] * (w - state["w"])).alias("y"))
+        y, size = state["y"], state["size"]
+        w = F.greatest(F.lit(0.0), y - size * (_dot(F.col("posterior"), x["r"]) + RIDGE * (y - 1)))
+        return F.struct(w.alias("w"), (w + x["m"] * (w - state["w"])).alias("y"), size.alias("size"))
 
     return F.aggregate(F.array(*moves), start, move)
 
 
-def fit_residuals(documents_: DataFrame, targets: list[float]) -> list[list[float]]:
-    """Residuals (expected shares at the look-ahead point less ``targets``) of the steps until they rest."""
+def fit_residuals(documents_: DataFrame, targets: list[float]) -> tuple[list[list[float]], list[float]]:
+    """Residuals (expected shares at the look-ahead point less ``targets``) of the steps until they rest, and the
+    domains' shares at rate 1."""
     groups = written(documents_.groupBy("posterior").agg(F.sum("n_words").cast("double").alias("n_words")))
     total = groups.agg(F.sum("n_words")).first()[0] or 0.0
-    if total == 0:
-        return []
     residuals: list[list[float]] = []
-    for _ in range(STEPS):
-        y = _replay(residuals)["y"]
+    present = [0.0] * len(targets)
+    for _ in range(STEPS if total else 0):
+        y = _replay(residuals, present)["y"]
         shares = groups.select("posterior", (y * F.col("n_words") / total).alias("v")).agg(*[
             F.sum(F.get("posterior", F.lit(k)) * F.col("v")) for k in range(len(targets))]).first()
         now = [float(x) - t for x, t in zip(shares, targets)]
+        present = present if residuals else list(map(float, shares))
         residuals.append(now)
         if len(residuals) > 1 and max(abs(a - b) for a, b in zip(now, residuals[-2])) < REST:
             break
-    return residuals
+    return residuals, present
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
@@ -131,7 +135,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Data
     scale = sum(targets.values())
     docs = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
     p = written(posteriors(docs, labelled, domains, "source"))
-    residuals = fit_residuals(p, [targets[d] / scale for d in domains])
+    steps = fit_residuals(p, [targets[d] / scale for d in domains])
     likeliest = F.array_position("posterior", F.array_max("posterior")).cast("int")
     return p.select("doc_id", "source", "n_words", F.element_at(F.lit(domains), likeliest).alias("domain"), "posterior",
-                    _replay(residuals)["w"].alias("rate"), "row_key")
+                    _replay(*steps)["w"].alias("rate"), "row_key")
