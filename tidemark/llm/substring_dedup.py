@@ -21,15 +21,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, documents, partition_keys, shuffle_width, window_hashes, word_hashes
+from tidemark.llm.common import chunks, documents, mix, partition_keys, shuffle_width, window_hashes, word_hashes
 
 WINDOW = 50
 #: Windows a task may hold in memory before they wait on its disk, in bytes.
 SPOOL = 64 << 20
 
 _PACKED = "class long, kind int, ids binary, counts binary, pos binary, hash binary"
+_ROUTED = "class long, ids binary, counts binary, pos binary"
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -40,6 +40,15 @@ def _unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=dtype)
 
 
+def _places(text: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Entries in order of (text, position) as document ids, entries per document and steps between positions."""
+    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    step = np.diff(pos, prepend=0)
+    step[first] = pos[first]
+    return (_pack(np.diff(ids[first], prepend=0)), _pack(np.diff(np.r_[first, len(ids)]).astype(np.uint32)),
+            _pack(step.astype(np.uint32)))
+
+
 def _rows(keys, kind, h, ids, text, pos, hash_type, shift):
     """One packed row per hash class; entries in order of (document, position)."""
     cls = (h % np.uint64(len(keys))).astype(np.int64)
@@ -49,12 +58,7 @@ def _rows(keys, kind, h, ids, text, pos, hash_type, shift):
     for a, b in zip([0, *cut], [*cut, len(cls)]):
         if a == b:
             continue
-        t = text[a:b]
-        first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-        step = np.diff(pos[a:b], prepend=0)
-        step[first] = pos[a:b][first]
-        yield (int(keys[cls[a]]), kind, _pack(np.diff(ids[t[first]], prepend=0)),
-               _pack(np.diff(np.r_[first, b - a]).astype(np.uint32)), _pack(step.astype(np.uint32)), h[a:b].tobytes())
+        yield int(keys[cls[a]]), kind, *_places(text[a:b], ids[text[a:b]], pos[a:b]), h[a:b].tobytes()
 
 
 def _entries(ids: bytes, counts: bytes, pos: bytes):
@@ -76,14 +80,52 @@ def _batch(rows, schema: str):
                                       names=names)
 
 
-def _found(ids: np.ndarray, pos: np.ndarray):
-    """A batch of (doc_id, positions) of places found."""
-    if len(ids):
+class _Found:
+    """Places found, sent on in packed rows by hash class of their document."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.ids, self.pos, self.held = keys, [], [], 0
+
+    def add(self, ids: np.ndarray, pos: np.ndarray):
+        self.ids.append(ids)
+        self.pos.append(pos)
+        self.held += len(ids)
+        if self.held > 1 << 20:
+            yield self.flush()
+
+    def flush(self):
+        ids = np.concatenate(self.ids or [np.empty(0, np.int64)])
+        pos = np.concatenate(self.pos or [np.empty(0, np.int64)])
+        self.ids, self.pos, self.held = [], [], 0
+        cls = (mix(ids.view(np.uint64)) % np.uint64(len(self.keys))).astype(np.int64)
+        order = np.lexsort((pos, ids, cls))
+        cls, ids, pos = cls[order], ids[order], pos[order]
+        cut = np.flatnonzero(np.diff(cls)) + 1
+        rows = [(int(self.keys[cls[a]]), *_places(ids[a:b], ids[a:b], pos[a:b]))
+                for a, b in zip([0, *cut], [*cut, len(cls)]) if a < b]
+        return _batch(rows, _ROUTED)
+
+
+def _gathered(routed: DataFrame, keys: np.ndarray) -> DataFrame:
+    """(doc_id, pos): all places of a document in one row, at most two per word of it."""
+    def gather(batches):
+        ids, pos = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for b in batches:
+            for k in range(b.num_rows):
+                i, p = _entries(*(b.column(c)[k].as_py() for c in (1, 2, 3)))
+                ids.append(i)
+                pos.append(p)
+        ids, pos = np.concatenate(ids), np.concatenate(pos)
         order = np.lexsort((pos, ids))
         ids, pos = ids[order], pos[order]
-    cut = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, np.int64)
-    places = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(ids)].astype(np.int32)), pa.array(pos.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(ids[cut]), places], names=["doc_id", "pos"])
+        cut = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, np.int64)
+        for lo in range(0, len(cut), 4096):
+            own = np.r_[cut[lo:lo + 4096], cut[lo + 4096] if lo + 4096 < len(cut) else len(ids)]
+            places = pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)),
+                                              pa.array(pos[own[0]:own[-1]].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own[:-1]]), places], names=["doc_id", "pos"])
+
+    return routed.repartition(len(keys), "class").mapInArrow(gather, "doc_id long, pos array<int>")
 
 
 def _packed_texts(docs: DataFrame) -> DataFrame:
@@ -119,6 +161,7 @@ def _anchors(docs: DataFrame, window: int, keys: np.ndarray) -> DataFrame:
     def meet(batches):
         """Sorted by class and kind: blocks (index), probes, blocks again (for the reference's side)."""
         now, index, low, high = None, None, None, None
+        found = _Found(keys)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def build():
@@ -160,12 +203,12 @@ def _anchors(docs: DataFrame, window: int, keys: np.ndarray) -> DataFrame:
                     later = low[at] < ids
                 else:
                     later = high[at] > ids
-                if later.any():
-                    yield _found(ids[later], pos[later])
+                yield from found.add(ids[later], pos[later])
+        yield found.flush()
 
     n = len(keys)
-    return (docs.mapInArrow(emit, _PACKED).repartition(n, "class").sortWithinPartitions("class", "kind")
-            .mapInArrow(meet, "doc_id long, pos array<int>"))
+    return _gathered(docs.mapInArrow(emit, _PACKED).repartition(n, "class").sortWithinPartitions("class", "kind")
+                     .mapInArrow(meet, _ROUTED), keys)
 
 
 def _copies(hit_docs: DataFrame, window: int, keys: np.ndarray) -> DataFrame:
@@ -207,7 +250,7 @@ def _copies(hit_docs: DataFrame, window: int, keys: np.ndarray) -> DataFrame:
 
     def meet(batches):
         now, spool, own, low = None, None, [], []
-        held = 0
+        found, held = _Found(keys), 0
 
         def fold():
             h, ids = np.concatenate(own), np.concatenate(low)
@@ -226,8 +269,7 @@ def _copies(hit_docs: DataFrame, window: int, keys: np.ndarray) -> DataFrame:
                 with np.load(io.BytesIO(spool.read(int.from_bytes(head, "little")))) as f:
                     h, ids, pos = f["h"], f["ids"], f["pos"]
                 later = low[0][np.searchsorted(own[0], h)] < ids
-                if later.any():
-                    yield _found(ids[later], pos[later])
+                yield from found.add(ids[later], pos[later])
             spool.close()
 
         for b in batches:
@@ -253,15 +295,11 @@ def _copies(hit_docs: DataFrame, window: int, keys: np.ndarray) -> DataFrame:
                     held = 0
         if now is not None:
             yield from finish()
+        yield found.flush()
 
     n = len(keys)
-    return (hit_docs.mapInArrow(emit, _PACKED).repartition(n, "class").sortWithinPartitions("class")
-            .mapInArrow(meet, "doc_id long, pos array<int>"))
-
-
-def _collected(places: DataFrame) -> DataFrame:
-    """All places of a document in one row: at most two per word of that document."""
-    return places.groupBy("doc_id").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+    return _gathered(hit_docs.mapInArrow(emit, _PACKED).repartition(n, "class").sortWithinPartitions("class")
+                     .mapInArrow(meet, _ROUTED), keys)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -270,7 +308,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     keys = partition_keys(spark, shuffle_width(spark))
     d = documents(docs)
     packed = _packed_texts(d)
-    hits = _collected(_anchors(d.where("doc_id is not null"), window, keys))
+    hits = _anchors(d.where("doc_id is not null"), window, keys)
     return _copies(packed.join(hits, "doc_id"), window, keys), packed
 
 
@@ -283,7 +321,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     is null is kept whole and is no reference. Rows that repeat a doc_id are one document: they don't remove each
     other, and a place found in one counts for all of them. An empty table gives no rows."""
     places, packed = repeated_spans(docs, window)
-    joined = packed.join(_collected(places), "doc_id", "left")
+    joined = packed.join(places, "doc_id", "left")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
