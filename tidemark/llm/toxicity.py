@@ -22,8 +22,9 @@ from tidemark.llm.common import documents, row_key, without, written
 EXAMPLES = 12_000
 #: Chi-square value from which a term counts as telling (about one false term in a million tests).
 SIGNIFICANT = 24.0
-#: A term must occur in this many examples.
-MIN_EXAMPLES = 4
+#: A term must occur in this many examples, and in no larger share of them (commoner ones are stop words: they tell the
+#: length of a text, not its class).
+MIN_EXAMPLES, MOST_SHARE = 4, 0.05
 NEIGHBOURS = 15
 #: Prior votes added to every neighbourhood, and lengths of the prefixes in bytes.
 PRIOR, PREFIXES = 0.5, range(4, 13)
@@ -88,7 +89,7 @@ def choose_terms(examples: DataFrame) -> list[str]:
     chi = n * diff * diff / (df * (n - df) * float(pos) * float(neg))
     found = (examples.select("text", "label").mapInArrow(run, "term binary, label int")
              .groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("label").cast("double").alias("a"))
-             .where((df >= MIN_EXAMPLES) & (df < n)).where(chi >= SIGNIFICANT).select("term"))
+             .where((df >= MIN_EXAMPLES) & (df <= F.lit(max(MIN_EXAMPLES, MOST_SHARE * n))) & (df < n)).where(chi >= SIGNIFICANT).select("term"))
     return sorted(bytes(r[0]) for r in found.collect())   # bounded: terms of at most EXAMPLES rows
 
 
@@ -120,26 +121,27 @@ class BlockMaxIndex:
         order = np.flatnonzero(bound > 0)
         order = order[np.argsort(-bound[order], kind="stable")]
         best_e, best_s = np.empty(0, np.int64), np.empty(0)
-        at = 0
-        step = 4
+        at, step = 0, 8
         while at < len(order):
             if len(best_s) >= k and bound[order[at]] < best_s[k - 1] - 1e-12:
                 break
-            batch = np.sort(order[at:at + step])
+            row = np.full(self.n_blocks, -1)
+            batch = order[at:at + step]
+            row[batch] = np.arange(len(batch))
             at += step
-            step *= 2
-            score = np.zeros((len(batch), BLOCK))
+            step *= 4
+            score = np.zeros(len(batch) * BLOCK)
             for t, q in query.items():
-                blocks = self.blocks[t]
-                where = np.searchsorted(blocks, batch)
-                where[where == len(blocks)] = 0
-                ok = np.flatnonzero(blocks[where] == batch) if len(blocks) else ()
-                for r in ok:
-                    a, z = self.starts[t][where[r]], self.starts[t][where[r] + 1]
-                    score[r, self.ids[t][a:z] - batch[r] * BLOCK] += q * self.weights[t][a:z]
-            r, c = np.nonzero(score)
-            e = batch[r] * BLOCK + c
-            s = score[r, c]
+                held = row[self.blocks[t]]
+                hit = np.flatnonzero(held >= 0)
+                if not len(hit):
+                    continue
+                first, size = self.starts[t][hit], self.starts[t][hit + 1] - self.starts[t][hit]
+                own = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+                score[np.repeat(held[hit], size) * BLOCK + self.ids[t][own] % BLOCK] += q * self.weights[t][own]
+            r = np.flatnonzero(score)
+            e = batch[r // BLOCK] * BLOCK + r % BLOCK
+            s = score[r]
             if skip >= 0:
                 s, e = s[e != skip], e[e != skip]
             best_e, best_s = np.r_[best_e, e], np.r_[best_s, s]
