@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, shuffle_width, written
+from tidemark.llm.common import documents, written
 
 #: Shortest repeated run, in lines.
 RUN = 3
@@ -21,8 +21,7 @@ RUN = 3
 
 def _ranked(keys: DataFrame, *cols: str) -> DataFrame:
     """``keys`` (distinct) with ``rank``: increasing in the order of ``cols``, equal keys can't be."""
-    n = shuffle_width(keys.sparkSession)
-    return written(keys.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    return written(keys.repartitionByRange(*cols).sortWithinPartitions(*cols)
                    .withColumn("rank", F.monotonically_increasing_id()))
 
 
