@@ -359,6 +359,13 @@ def test_mixing(spark, docs, empty, sf_small):
     assert {r["rate"] for r in mixing.mix(docs.where("doc_id in (5001, 5002)"), labels, queries.TARGETS).collect()} == {1.0}
 
 
+def test_mixing_posteriors_know_the_domains(spark, sf_check):
+    docs = queries.table(spark, sf_check, "documents")
+    labels = queries.domain_labels(spark, sf_check, docs)
+    rows = mixing.mix(docs, labels, queries.TARGETS).join(labels.withColumnRenamed("domain", "given"), "doc_id")
+    assert rows.where("domain = given").count() > 0.9 * rows.count()
+
+
 def test_pipeline_stages(spark, sf_small):
     import corpus_pipeline
     docs = queries.table(spark, sf_small, "documents")

@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import documents, row_key, written
 
 # Character classes whose share of a text is a statistic.
-CLASSES = {"upper": r"[A-Z]", "digit": r"[0-9]", "stop": r"[.!?]", "bar": r"[|]", "sign": r"[#$%&*@+=~^_<>]",
-           "umlaut": r"[äöüß]", "acute": r"[áíóúñ]",
-           "grave": r"[èêàçùâ]", "eacute": r"é", "wk": r"[wk]"}
+CLASSES = {"upper": r"[A-Z]", "digit": r"[0-9]", "sign": r"[|!#$%&*@+=~^_<>]", "umlaut": r"[äöüß]",
+           "acute": r"[áíóúñ]", "grave": r"[èêàçùâé]"}
 STATISTICS = (*CLASSES, "word_length", "log_words")
 #: Quantile bins per statistic, steps of a posterior, strength of staying near rate 1, most steps, largest change at rest.
 BINS, GRID, RIDGE, STEPS, REST = 12, 16, 0.01, 60, 1e-6
@@ -31,7 +30,8 @@ BINS, GRID, RIDGE, STEPS, REST = 12, 16, 0.01, 60, 1e-6
 
 def _statistics(docs: DataFrame, *extra: str) -> DataFrame:
     text, n = F.col("text"), F.greatest(F.length("text"), F.lit(1))
-    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    marked = F.regexp_replace(text, r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", "w")      # one mark per word
+    words = F.length(F.regexp_replace(marked, r"[\x20\x09-\x0D]+", ""))
     shares = [((F.length(text) - F.length(F.regexp_replace(text, c + "+", ""))) / n).alias(k) for k, c in CLASSES.items()]
     d = documents(docs, row_key().alias("row_key"), *extra).select("*", words.cast("long").alias("n_words"), *shares)
     return d.select("doc_id", "row_key", *extra, "n_words", F.array(
@@ -40,8 +40,10 @@ def _statistics(docs: DataFrame, *extra: str) -> DataFrame:
 
 def _binned(cuts: list[list[float]]) -> Column:
     """Bin numbers of the statistics."""
-    return F.array(*[F.size(F.filter(F.lit(c), lambda x, k=k: x < F.get("stats", F.lit(k)))) if c else F.lit(0)
-                     for k, c in enumerate(cuts)])
+    def below(k: int):
+        return lambda x: x < F.get("stats", F.lit(k))
+
+    return F.array(*[F.size(F.filter(F.lit(c), below(k))) if c else F.lit(0) for k, c in enumerate(cuts)])
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], *extra: str) -> DataFrame:
