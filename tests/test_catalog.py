@@ -42,7 +42,8 @@ def test_every_query_has_oracle_or_is_rows_only():
     import __spark_entry__ as ent
     q, o = ent.queries(), ent.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"snippets", "search_response_json"}
+    from tidemark.plans import catalog
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"snippets", "search_response_json"}
 
 
 def test_entry_smoke(spark):

@@ -182,3 +182,52 @@ def test_hit_captures_expand_duplicates(spark):
                                  "snapshot string, surt string, captured_at timestamp")
     assert [r.surt for r in search.hit_captures(hits, succ).collect()] == ["com,a)/"]
     assert sorted(r.surt for r in search.hit_captures(hits, succ, True).collect()) == ["com,a)/", "com,b)/"]
+
+
+def test_pages_of_equal_crawl_time_are_all_kept(spark, tmp_path):
+    import datetime as dt
+    from tidemark.sources import cdx
+    from tidemark.streaming.ingest import _exists, _table_or_empty
+    t = dt.datetime(2020, 1, 1)
+    rows = [(i, t, f"com,example)/{i}", t, f"https://example.com/{i}", "text/html", 200, "A" * 32, 10) for i in range(6)]
+    caps = spark.createDataFrame(rows, "capture_id long, crawl_ts timestamp, surt string, captured_at timestamp, "
+                                       "url string, mime_type string, status_code int, digest string, length long")
+    cdx.write_pages(caps.coalesce(1), f"{tmp_path}/pages", rows_per_page=2)
+    got = cdx.decode_rows(cdx.read_pages(spark, f"{tmp_path}/pages"))
+    assert got.count() == 6 and got.where("_error is not null or page_ts is null").count() == 0
+    # stores of other writers name the file by its time
+    (tmp_path / "store").mkdir()
+    (tmp_path / "store" / "1577836800000.json").write_text('[["urlkey"]]')
+    assert cdx.read_pages(spark, f"{tmp_path}/store").where("unix_millis(page_ts) = 1577836800000").count() == 1
+    # a broken table raises instead of passing as empty
+    assert not _exists(spark, f"{tmp_path}/none") and _table_or_empty(spark, f"{tmp_path}/none", caps).count() == 0
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("no parquet")
+    try:
+        _table_or_empty(spark, f"{tmp_path}/broken", caps).count()
+    except Exception:  # noqa: BLE001
+        pass
+    else:
+        raise AssertionError("a table that can't be read must raise")
+
+
+def test_patterns_of_one_host(spark):
+    from tidemark.operators.patterns import assign_patterns
+    surts = [f"com,example)/u{i}/p{j}" for i in range(200) for j in range(3)] + ["com,example)/u1", "org,x)/"]
+    caps = spark.createDataFrame([(k, s, None) for k, s in enumerate(surts)], "capture_id long, surt string, captured_at timestamp")
+    pats = [(f"s{i}", i, f"com,example)/u{i}/", True) for i in range(1000)] + [("e", 1000, "com,example)/u1", False), ("d", 1001, "org,", True)]
+    p = spark.createDataFrame(pats, "slug string, sort_id int, surt string, prefix boolean")
+    got = assign_patterns(caps, p)
+    want = sorted((s, i, k) for s, i, t, pre in pats for k, u in enumerate(surts) if (u.startswith(t) if pre else u == t))
+    assert sorted((r["slug"], r["sort_id"], r["capture_id"]) for r in got.collect()) == want
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_fragment_keeps_its_limit_and_corrupt_bodies_are_null(spark):
+    from pyspark.sql import functions as F
+    from tidemark.operators.snippet import best_fragment
+    from tidemark.sources.store import zstd_compress, zstd_decompress
+    assert len(best_fragment("abcdefghij klmnopqrst uvwxyz", {"zz"}, 5)[0]) <= 5
+    d = spark.createDataFrame([(bytearray(b"body"),)], "b binary").withColumn("z", zstd_compress("b"))
+    d = d.select(zstd_decompress("z").alias("ok"), zstd_decompress(F.unhex(F.lit("28B52FFD00FF"))).alias("bad"))
+    assert bytes(d.first()["ok"]) == b"body" and d.first()["bad"] is None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,13 +46,21 @@ def capture_year(ts) -> Column:
     return F.year(_col(ts))
 
 
+def utc_bound(value) -> Column:
+    """A bound as a timestamp; a naive datetime is UTC, whatever the driver's time zone."""
+    if not isinstance(value, dt.datetime):
+        return F.lit(value)
+    aware = value if value.tzinfo else value.replace(tzinfo=dt.timezone.utc)
+    return F.timestamp_micros(F.lit((aware - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)))
+
+
 def half_open(col, start=None, end=None) -> Column | None:
     """Predicate start <= col < end; a missing bound adds no predicate (D16); no bounds -> None."""
     c = _col(col)
     pred = None
     if start is not None:
-        pred = c >= F.lit(start)
+        pred = c >= utc_bound(start)
     if end is not None:
-        p2 = c < F.lit(end)
+        p2 = c < utc_bound(end)
         pred = p2 if pred is None else (pred & p2)
     return pred

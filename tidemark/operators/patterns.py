@@ -5,53 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import surt_host_key
-
-# Largest number of domain-level prefix patterns (no ')' in the pattern) matched by a broadcast nested loop; more
-# of them are matched exactly by exploding each capture's domain prefixes (bounded by the host name length).
-MAX_DOMAIN_PATTERNS = 10_000
 
 
 def assign_patterns(entries: DataFrame, patterns: DataFrame, key_cols=("capture_id", "surt", "captured_at"),
                     pattern_cols=("slug", "sort_id")) -> DataFrame:
     """(pattern columns, capture key) for every capture whose SURT equals an exact pattern or starts with a
-    prefix pattern. Three exact plans, unioned:
-      * exact patterns: equi-join on surt;
-      * prefix patterns containing ')': equi-join on the domain part, then startswith (no nested loop);
-      * domain-level prefixes (no ')'): broadcast nested loop when few, else equi-join on exploded prefixes."""
-    keys = [F.col(c) for c in key_cols]
+    prefix pattern. Prefix patterns join on the whole prefix: a SURT is cut to the lengths that occur among the
+    patterns (a scalar subquery), so a host with thousands of patterns meets only those that fit."""
     pc = list(pattern_cols)
-    e = entries.select(*keys)
-    p = patterns.select(F.col("surt").alias("p_surt"), "prefix", *pc)
-    kind = (F.when(~F.col("prefix"), F.lit("exact")).when(F.col("p_surt").contains(")"), F.lit("hosted"))
-            .otherwise(F.lit("domain")))
-    p = p.withColumn("kind", kind)
-    # pattern tables are dimension tables: three counts decide which exact plans are needed
-    counts = {r["kind"]: r["n"] for r in p.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     cols = [*pc, *key_cols]
-    outs = []
-    if counts.get("exact"):
-        exact = p.where(F.col("kind") == "exact")
-        outs.append(e.join(exact, e["surt"] == exact["p_surt"]).select(*cols))
-    if counts.get("hosted"):
-        hosted = p.where(F.col("kind") == "hosted").withColumn("p_host", surt_host_key("p_surt"))
-        e_host = e.withColumn("e_host", surt_host_key("surt"))
-        outs.append(e_host.join(hosted, e_host["e_host"] == hosted["p_host"])
-                    .where(F.col("surt").startswith(F.col("p_surt"))).select(*cols))
-    if counts.get("domain"):
-        domain = p.where(F.col("kind") == "domain")
-        if counts["domain"] <= MAX_DOMAIN_PATTERNS:
-            outs.append(e.join(F.broadcast(domain), F.col("surt").startswith(F.col("p_surt"))).select(*cols))
-        else:
-            pref = e.withColumn("p_surt", F.explode(F.expr(
-                "transform(sequence(1, length(substring_index(surt, ')', 1))), i -> substr(surt, 1, i))")))
-            outs.append(pref.join(domain, "p_surt").select(*cols))
-    if not outs:  # no patterns at all: an empty result with the output columns
-        return e.where(F.lit(False)).select(*[F.lit(None).cast(p.schema[c].dataType).alias(c) for c in pc], *key_cols)
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    e = entries.select(*key_cols)
+    p = patterns.select(F.col("surt").alias("p_surt"), "prefix", *pc)
+    exact, prefixes = p.where(~F.col("prefix")), p.where("prefix")
+    lengths = prefixes.agg(F.collect_set(F.length("p_surt"))).scalar()
+    cut = (e.withColumn("lengths", lengths).withColumn("length", F.explode("lengths"))
+           .where(F.col("length") <= F.length("surt"))
+           .withColumn("p_surt", F.substring(F.col("surt"), F.lit(1), F.col("length"))))
+    return (e.join(exact, e["surt"] == exact["p_surt"]).select(*cols)
+            .unionByName(cut.join(prefixes, "p_surt").select(*cols)))
 
 
 def pattern_list(patterns: DataFrame) -> DataFrame:

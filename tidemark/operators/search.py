@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import archive_url, capture_year, raw_tokens, surt_canonical_url
+from tidemark.functions.timefmt import utc_bound
 from tidemark.functions.text import BM25_B, BM25_K1, FIRST_FACET_YEAR, MAX_TOKEN_BYTES, TOKEN_PATTERN
 from tidemark.operators.dedup import first_by
 from tidemark.operators.reconcile import representative
@@ -185,9 +186,9 @@ def filter_docs(docs: DataFrame, q: Query) -> DataFrame:
     if q.years:
         d = d.where(F.col("year").isin(list(q.years)))
     if q.start is not None:
-        d = d.where(F.col("captured_at") >= F.lit(q.start))
+        d = d.where(F.col("captured_at") >= utc_bound(q.start))
     if q.end is not None:
-        d = d.where(F.col("captured_at") < F.lit(q.end))
+        d = d.where(F.col("captured_at") < utc_bound(q.end))
     if q.gravatar_hash:
         d = d.where(F.array_contains("hashes", q.gravatar_hash))
     return d

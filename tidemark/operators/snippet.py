@@ -60,6 +60,8 @@ def best_fragment(text: str, terms: set[str], max_chars: int) -> tuple[str, list
             continue
         if score > best_score:
             best, best_score = (i, j), score
+    if best_score < 0:  # every token is longer than the window
+        return text[toks[0][0]:toks[0][0] + max_chars], []
     i, j = best
     start, end = toks[i][0], toks[j - 1][1]
     frag = text[start:end]

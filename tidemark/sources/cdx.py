@@ -17,7 +17,14 @@ SHORT_HEADER = ["urlkey", "timestamp", "original", "mimetype", "statuscode", "di
 FULL_HEADER = ["urlkey", "timestamp", "original", "mimetype", "statuscode", "digest", "redirect", "robotflags",
                "length", "offset", "filename"]
 REQUIRED = ["timestamp", "original", "mimetype", "statuscode", "digest", "length"]
-PAGE_TS_PATTERN = r"page=([0-9]+)"
+
+
+def page_time(file: Column) -> Column:
+    """Crawl time of a page from its folder (``page=<epoch ms>``) or its file name (``<epoch ms>.json[.zst|.gz]``)."""
+    folder = F.regexp_extract(file, r"page=([0-9]+)", 1)
+    name = F.regexp_extract(file, r"/([0-9]+)\.json(?:\.zst|\.gz)?$", 1)
+    ms = F.when(folder != "", folder).when(name != "", name)
+    return F.timestamp_millis(ms.cast("long"))
 
 
 def read_pages(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -28,9 +35,7 @@ def read_pages(spark: SparkSession, path: str, glob: str | None = None) -> DataF
         r = r.option("pathGlobFilter", glob)
     raw = r.text(path, wholetext=True)  # (an .option('wholetext') would be reset by text()'s default)
     file = F.col("_metadata.file_path")
-    ms = F.regexp_extract(file, PAGE_TS_PATTERN, 1)
-    return raw.select(file.alias("file"),
-                      F.when(ms != "", F.timestamp_millis(ms.cast("long"))).alias("page_ts"),
+    return raw.select(file.alias("file"), page_time(file).alias("page_ts"),
                       F.from_json("value", "array<array<string>>").alias("rows"))
 
 
@@ -98,7 +103,7 @@ def lookup(entries: DataFrame, key: str, exact: bool) -> DataFrame:
 
 def write_pages(captures: DataFrame, path: str, rows_per_page: int = 10_000) -> None:
     """Write captures as CDX pages (short layout), at most ``rows_per_page`` rows per page, one page per file,
-    folder named by the page's first crawl time (epoch ms). Groups are bounded by the page size."""
+    in a folder of its own named by the page's first crawl time (epoch ms) and its number. Groups are bounded by the page size."""
     row = F.array(F.col("surt"), ts14_format("captured_at"), F.col("url"), F.col("mime_type"),
                   F.coalesce(F.col("status_code").cast("string"), F.lit("-")), F.col("digest"),
                   F.col("length").cast("string"))
@@ -107,10 +112,10 @@ def write_pages(captures: DataFrame, path: str, rows_per_page: int = 10_000) ->
     pages = (paged.groupBy("page_no")
              .agg(F.min("crawl_ts").alias("t0"),
                   F.sort_array(F.collect_list(F.struct("capture_id", "r"))).alias("rs"))
-             .select(F.unix_millis(F.col("t0").cast("timestamp")).alias("page"),
+             .select(F.unix_millis(F.col("t0").cast("timestamp")).alias("page"), "page_no",
                      F.to_json(F.concat(F.array(F.array(*[F.lit(h) for h in SHORT_HEADER])),
                                         F.transform("rs", lambda s: s["r"]))).alias("value")))
-    pages.write.mode("overwrite").partitionBy("page").option("compression", "none").text(path)
+    pages.write.mode("overwrite").partitionBy("page", "page_no").option("compression", "none").text(path)
 
 
 def write_query_log(log: DataFrame, path: str) -> None:

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import redirect_file_valid
-from tidemark.operators.joins import bounded_broadcast
 
 REDIRECT_PREFIXES = "234567ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -23,7 +22,7 @@ def number_lines(text: DataFrame) -> DataFrame:
     blocks = df.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("mid0"))
     w = Window.partitionBy("file").orderBy("block")
     blocks = blocks.withColumn("before", F.sum("n").over(w) - F.col("n"))
-    j = df.join(bounded_broadcast(blocks.select("file", "block", "before", "mid0")), ["file", "block"])
+    j = df.join(blocks.select("file", "block", "before", "mid0"), ["file", "block"])
     return j.select("file", (F.col("before") + F.col("mid") - F.col("mid0") + 1).alias("line_no"), "line")
 
 

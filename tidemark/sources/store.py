@@ -30,7 +30,14 @@ def list_store(spark: SparkSession, root: str, suffix: str = "*.zst") -> DataFra
 def zstd_decompress(b: pd.Series) -> pd.Series:
     import zstandard
     d = zstandard.ZstdDecompressor()
-    return b.map(lambda x: None if x is None else d.decompressobj().decompress(x))
+
+    def body(x):
+        try:
+            return None if x is None else d.decompressobj().decompress(x)
+        except zstandard.ZstdError:     # a corrupt body is a rejected row, not a failed job
+            return None
+
+    return b.map(body)
 
 
 @F.pandas_udf(T.BinaryType())

@@ -11,25 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.dedup import first_by
-from tidemark.sources.cdx import decode_rows, page_layout
+from tidemark.sources.cdx import decode_rows, page_layout, page_time
 
 KEY = ["surt", "captured_at"]
 
 
 def _table_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - first batch: no table yet
-        return like.limit(0)
+    """The stored table; empty before the first batch. A table that is there but can't be read raises."""
+    return spark.read.parquet(path) if _exists(spark, path) else like.limit(0)
 
 
-def cdx_stream(spark: SparkSession, pages_dir: str) -> DataFrame:
-    """Streaming pages (file, page_ts, rows) from a folder of CDX page files."""
-    raw = (spark.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", 64)
-           .text(pages_dir, wholetext=True))
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def cdx_stream(spark: SparkSession, pages_dir: str, files_per_batch: int | None = None) -> DataFrame:
+    """Streaming pages (file, page_ts, rows) from a folder of CDX page files; ``files_per_batch`` bounds a
+    micro-batch (unset: all files present are one batch, so the earliest page wins over all of them)."""
+    r = spark.readStream.option("recursiveFileLookup", True)
+    raw = (r.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else r).text(pages_dir, wholetext=True)
     file = F.col("_metadata.file_path")
-    ms = F.regexp_extract(file, r"page=([0-9]+)", 1)
-    return raw.select(file.alias("file"), F.when(ms != "", F.timestamp_millis(ms.cast("long"))).alias("page_ts"),
+    return raw.select(file.alias("file"), page_time(file).alias("page_ts"),
                       F.from_json("value", "array<array<string>>").alias("rows"))
 
 
@@ -58,11 +61,9 @@ def reindex_batch(batch: DataFrame, postings_path: str) -> None:
     from tidemark.operators.search import postings
     spark = batch.sparkSession
     new_docs = batch.dropDuplicates(["snapshot"])
-    try:
+    if _exists(spark, postings_path):
         done = spark.read.parquet(postings_path).select("snapshot").distinct()
         new_docs = new_docs.join(done, "snapshot", "left_anti")
-    except Exception:  # noqa: BLE001 - first batch
-        pass
     postings(new_docs).write.mode("append").parquet(postings_path)
 
 
