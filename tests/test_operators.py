@@ -231,3 +231,14 @@ def test_fragment_keeps_its_limit_and_corrupt_bodies_are_null(spark):
     d = spark.createDataFrame([(bytearray(b"body"),)], "b binary").withColumn("z", zstd_compress("b"))
     d = d.select(zstd_decompress("z").alias("ok"), zstd_decompress(F.unhex(F.lit("28B52FFD00FF"))).alias("bad"))
     assert bytes(d.first()["ok"]) == b"body" and d.first()["bad"] is None
+
+
+def test_pages_without_body_or_head_keep_their_text():
+    from tidemark.operators.extract import absolute_link, parse_document
+    assert parse_document("<title>t</title><p>Hello</p>")["content"] == ["Hello"]
+    assert parse_document("Hello <b>there</b>")["content"] == ["Hello", "there"]
+    d = parse_document("<html><head><title>t</title><style>p{}</style></head>\n<body><p>x</p></body></html>")
+    assert d["title"] == "t" and d["content"] == ["x"]
+    o = "https://site.example"
+    assert [absolute_link(o, h) for h in ("/a", "b", "//c/d", "http://e", "#f", "mailto:g@h", "javascript:x", "")] == [
+        o + "/a", o + "/b", "https://c/d", "http://e", None, None, None, None]

@@ -30,6 +30,8 @@ DOC_TYPE = T.StructType([
 GRAVATAR_SRC_RE = re.compile(r"gravatar\.com/avatar/([0-9a-f]+)")
 GRAVATAR_SRC_PATTERN = r"gravatar\.com/avatar/([0-9a-f]+)"
 ORIGIN_PATTERN = r"^(https?://[^/?#]+)"
+_SCHEME = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*:")
+_TEXT_HOLDERS = {"title", "style", "script", "noscript", "template"}
 _HEAD_ONLY = {"title", "meta", "link", "style", "script", "base", "noscript", "template"}
 
 
@@ -40,7 +42,7 @@ class _DocumentParser(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.in_body = False
-        self.head_closed = False
+        self.held = 0  # open elements whose text belongs to the head
         self.in_title = 0
         self.titles: list[str] = []
         self.content: list[str] = []
@@ -61,8 +63,10 @@ class _DocumentParser(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self._flush()
-        if tag == "body" or (self.head_closed and tag not in _HEAD_ONLY and tag != "html"):
+        if tag not in _HEAD_ONLY and tag not in ("html", "head"):  # <body> itself may be left out
             self.in_body = True
+        if tag in _TEXT_HOLDERS:
+            self.held += 1
         if tag == "title":
             self.in_title += 1
         a = dict(attrs)
@@ -73,18 +77,17 @@ class _DocumentParser(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag == "title":
-            self.in_title = max(0, self.in_title - 1)
+        self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         self._flush()
         if tag == "title":
             self.in_title = max(0, self.in_title - 1)
-        if tag == "head":
-            self.head_closed = True
+        if tag in _TEXT_HOLDERS:
+            self.held = max(0, self.held - 1)
 
     def handle_data(self, data):
-        if self.head_closed and not self.in_body and data.strip():
+        if not self.held and not self.in_body and data.strip():
             self.in_body = True
         self._buf.append(data)
 
@@ -96,9 +99,20 @@ class _DocumentParser(HTMLParser):
         self._flush()
 
 
+def absolute_link(origin: str | None, href: str) -> str | None:
+    """``href`` as an http(s) link; None for fragments, other schemes, and relative links without an origin."""
+    if href.startswith("http"):
+        return href
+    if origin is None or not href or href.startswith("#") or _SCHEME.match(href):
+        return None
+    if href.startswith("//"):
+        return origin.split(":", 1)[0] + ":" + href
+    return origin + href if href.startswith("/") else f"{origin}/{href}"
+
+
 def parse_document(html: str | None, origin: str | None = None) -> dict:
     """Extract one page. Title = longest (bytes) non-empty title text, the last one on a tie. With ``origin``,
-    hrefs that do not start with 'http' are joined to it before the 'http' filter."""
+    site-relative hrefs are resolved against it; fragments and other schemes are dropped."""
     p = _DocumentParser()
     if html:
         p.feed(html)
@@ -107,8 +121,7 @@ def parse_document(html: str | None, origin: str | None = None) -> dict:
     for t in p.titles:
         if len(t.encode()) >= len(title.encode()):
             title = t
-    links = [h if (origin is None or h.startswith("http")) else origin + h for h in p.hrefs]
-    links = [h for h in links if h.startswith("http")]
+    links = [h for h in (absolute_link(origin, h) for h in p.hrefs) if h]
     hashes = sorted({m for src in p.avatar_srcs for m in GRAVATAR_SRC_RE.findall(src)})
     return {"title": title, "content": p.content, "links": links, "gravatar_hashes": hashes}
 
