@@ -75,22 +75,22 @@ def link_graph(spark, sf):
 
 
 @register("gravatar_extract", f"""
-    SELECT page_id, md5(CAST(page_id AS VARCHAR)) AS hashes FROM pages WHERE strpos(html, '<body>') > 0""")
+    SELECT page_id, md5(CAST(page_id AS VARCHAR)) AS hashes FROM pages""")
 def gravatar_extract(spark, sf):
-    p = fx.table(spark, sf, "pages").where(F.instr("html", "<body>") > 0)
-    img = F.concat(F.lit('<body><img src="https://www.gravatar.com/avatar/'), F.md5(F.col("page_id").cast("string")),
+    p = fx.table(spark, sf, "pages")
+    img = F.concat(F.lit('<img src="https://www.gravatar.com/avatar/'), F.md5(F.col("page_id").cast("string")),
                    F.lit('">'))
-    p = p.withColumn("html", F.replace("html", F.lit("<body>"), img))
+    p = p.withColumn("html", F.concat(F.coalesce("html", F.lit("")), img))
     d = ex.extract_documents(p, "html")
     return d.select("page_id", F.array_join("doc.gravatar_hashes", " ").alias("hashes"))
 
 
 @register("gravatar_extract_native", f"""
-    SELECT page_id, md5(CAST(page_id AS VARCHAR)) AS hashes FROM pages WHERE strpos(html, '<body>') > 0""")
+    SELECT page_id, md5(CAST(page_id AS VARCHAR)) AS hashes FROM pages""")
 def gravatar_extract_native(spark, sf):
-    p = fx.table(spark, sf, "pages").where(F.instr("html", "<body>") > 0)
-    img = F.concat(F.lit('<body><img src="https://www.gravatar.com/avatar/'), F.md5(F.col("page_id").cast("string")),
+    p = fx.table(spark, sf, "pages")
+    img = F.concat(F.lit('<img src="https://www.gravatar.com/avatar/'), F.md5(F.col("page_id").cast("string")),
                    F.lit('">'))
-    d = ex.extract_native(p.withColumn("html", F.replace("html", F.lit("<body>"), img)))
+    d = ex.extract_native(p.withColumn("html", F.concat(F.coalesce("html", F.lit("")), img)))
     return d.select("page_id", F.array_join("doc.gravatar_hashes", " ").alias("hashes"))
 
