@@ -144,6 +144,20 @@ def test_search_must_and_phrase(spark):
     assert got(search.Query(phrase="cat the")) == []
     assert got(search.Query(should="mat", fields=("title",))) == ["d3"]
     assert got(search.Query(should="cat", years=(2022,))) == ["d3"]
+    # a phrase is one more OR clause; several phrases; nested groups; a clause without words is left out
+    both = search.Query(should="dog", phrase="the cat")
+    assert got(both) == sorted(set(got(search.Query(should="dog"))) | {"d1", "d3"})
+    assert got(search.Query(phrase=("the cat", "cat the"))) == ["d1", "d3"]
+    G, W, P = search.Group, search.Words, search.Phrase
+    assert got(search.Query(group=G(must=(P("the cat"), W("mat", ("title",)))))) == ["d3"]
+    assert got(search.Query(group=G(should=(W("dog"), G(must=(W("cat"),), must_not=(W("sat"),)))))) == sorted(
+        set(got(search.Query(should="dog"))) | set(got(search.Query(must="cat", must_not="sat"))))
+    assert got(search.Query(should="...", group=G(must_not=(W("cat"),)))) == []
+    assert got(search.Query(should="", phrase="")) == []
+    # a required term ranks, an optional one only adds
+    s = {r.snapshot: r.score for r in search.search_matches(docs, post, search.Query(must="cat", should="mat")).collect()}
+    t = {r.snapshot: r.score for r in search.search_matches(docs, post, search.Query(must="cat")).collect()}
+    assert set(s) == set(t) and all(s[k] >= t[k] for k in t) and s["d3"] > t["d3"]
 
 
 def test_search_api_and_gravatar_filter(spark):

@@ -4,7 +4,8 @@ per-URL timelines and page assembly (T2-T9, E2, E3, E6, E8, E12-E14, K1, K2, J3,
 Layout at scale: ``docs`` (one row per snapshot) and ``postings`` (one row per token occurrence, carrying the field
 length) are written once, postings clustered by token. A query filters postings by its handful of terms (pushed to
 the scan), aggregates term frequencies per (doc, field), joins the tiny per-term document-frequency table by
-broadcast (bounded by fields x terms), and sums BM25 per doc. Collection statistics (N, mean field length) are
+broadcast (bounded by fields x terms), and lays the BM25 scores of all terms and phrases out as columns per doc, over
+which nested AND / OR / NOT clauses are one expression. Collection statistics (N, mean field length) are
 scalar subqueries. Top-K keeps offset+limit groups per task before the final merge; everything after top-K joins a
 list bounded by ``limit``.
 """
@@ -23,6 +24,7 @@ from tidemark.functions.timefmt import utc_bound
 from tidemark.functions.text import BM25_B, BM25_K1, FIRST_FACET_YEAR, MAX_TOKEN_BYTES, TOKEN_PATTERN
 from tidemark.operators.dedup import first_by
 from tidemark.operators.reconcile import representative
+from tidemark.session import cut_lineage
 
 FIELDS = ("title", "content")
 _TOKEN_RE = regex.compile(TOKEN_PATTERN)
@@ -33,13 +35,37 @@ def analyse_text(text: str) -> list[str]:
     return [t.lower() for t in _TOKEN_RE.findall(text or "") if len(t.encode()) < MAX_TOKEN_BYTES]
 
 
+@dataclass(frozen=True)
+class Words:
+    """Any of the words of ``text``, in ``fields`` (None: those of the query)."""
+    text: str
+    fields: tuple[str, ...] | None = None
+
+
+@dataclass(frozen=True)
+class Phrase:
+    """The words of ``text`` at consecutive positions of one field."""
+    text: str
+    fields: tuple[str, ...] | None = None
+
+
+@dataclass(frozen=True)
+class Group:
+    """Every ``must`` clause, or any ``should`` clause where there is no ``must``, and no ``must_not`` clause. Clauses are
+    Words, Phrases or Groups; a clause without words is left out, a group of only ``must_not`` matches nothing."""
+    should: tuple = ()
+    must: tuple = ()
+    must_not: tuple = ()
+
+
 @dataclass
 class Query:
     """Structured form of a search request (T4/T5/T9). Words are analysed like the index."""
     should: str = ""                      # default OR terms
     must: str = ""                        # every term required (+term)
     must_not: str = ""                    # no term allowed (-term)
-    phrase: str = ""                      # consecutive terms ("...")
+    phrase: str | tuple[str, ...] = ""    # consecutive terms ("..."), each phrase another OR clause
+    group: Group | None = None            # nested clauses, one more OR clause
     fields: tuple[str, ...] = FIELDS      # field:term restriction
     boosts: dict[str, float] = field(default_factory=dict)
     slugs: tuple[str, ...] | None = None  # F4 (empty = no filter)
@@ -48,8 +74,20 @@ class Query:
     end: datetime | None = None
     gravatar_hash: str | None = None      # F6
 
-    def positive_terms(self) -> list[str]:
-        return sorted(set(analyse_text(self.should)) | set(analyse_text(self.must)))
+    def tree(self) -> Group:
+        """All clauses as one group."""
+        phrases = (self.phrase,) if isinstance(self.phrase, str) else tuple(self.phrase)
+        return Group(should=(Words(self.should), *map(Phrase, phrases), *((self.group,) if self.group else ())),
+                     must=tuple(Words(w) for w in sorted(set(analyse_text(self.must)))),
+                     must_not=(Words(self.must_not),))
+
+    def positive_words(self) -> list[str]:
+        """Words that a hit may show highlighted."""
+        def walk(node):
+            if isinstance(node, Group):
+                return {w for n in (*node.should, *node.must) for w in walk(n)}
+            return set(analyse_text(node.text))
+        return sorted(walk(self.tree()))
 
 
 # ------------------------------------------------------------------ index build
@@ -141,20 +179,21 @@ def _boost(boosts: dict[str, float]) -> Column:
 
 def term_scores(post: DataFrame, stats: dict[str, Column], terms: list[str], fields=FIELDS,
                 boosts: dict[str, float] | None = None) -> DataFrame:
-    """(snapshot, token, score) for each positive term: BM25 summed over the searched fields."""
+    """(snapshot, clause, field, score): BM25 of each term in each searched field."""
     p = post.where(F.col("token").isin(terms) & F.col("field").isin(list(fields)))
     tf = p.groupBy("snapshot", "field", "token", "dl").agg(F.count(F.lit(1)).alias("tf"))
     # at most len(fields) x len(terms) rows: a proven bound, so broadcast
     dfs = tf.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
     s = tf.join(F.broadcast(dfs), ["field", "token"])
     sc = _bm25(_idf(F.col("df"), stats["n"]), F.col("tf"), F.col("dl"), _avgdl(stats)) * _boost(boosts or {})
-    return s.groupBy("snapshot", "token").agg(F.sum(sc).alias("score"))
+    return s.select("snapshot", F.col("token").alias("clause"), "field", sc.alias("score"))
 
 
 def phrase_scores(post: DataFrame, stats: dict[str, Column], words: list[str], fields=FIELDS,
                   boosts: dict[str, float] | None = None) -> DataFrame:
-    """(snapshot, score) of a phrase: consecutive positions in one field, found by semi-joins on
-    (snapshot, field, start) (no pairs are enumerated); BM25 with phrase frequency and the sum of term idfs."""
+    """(snapshot, clause, field, score) of a phrase: consecutive positions in one field, found by semi-joins on
+    (snapshot, field, start) (no pairs are enumerated); BM25 with phrase frequency and the sum of term idfs. The clause
+    is the words joined by a space."""
     flt = post.where(F.col("field").isin(list(fields)))
     starts = flt.where(F.col("token") == words[0]).select("snapshot", "field", "dl", F.col("pos").alias("start"))
     for i, w in enumerate(words[1:], 1):
@@ -164,18 +203,48 @@ def phrase_scores(post: DataFrame, stats: dict[str, Column], words: list[str], f
     dfs = (flt.where(F.col("token").isin(sorted(set(words)))).groupBy("field", "token")
            .agg(F.countDistinct("snapshot").alias("df")))
     # a word repeated in the phrase contributes its idf once per occurrence
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
     k = F.lit(0)
-    for w, n in counts.items():
-        k = F.when(F.col("token") == w, F.lit(n)).otherwise(k)
+    for w in set(words):
+        k = F.when(F.col("token") == w, F.lit(words.count(w))).otherwise(k)
+    # added in a fixed order (at most one value per word), so equal hits get equal scores in every run
+    idfs = F.sort_array(F.collect_list("idf"))
     idf_sum = (dfs.select("field", (_idf(F.col("df"), stats["n"]) * k).alias("idf"))
-               .groupBy("field").agg(F.sum("idf").alias("idf_sum")))
+               .groupBy("field").agg(F.aggregate(idfs, F.lit(0.0), lambda a, x: a + x).alias("idf_sum")))
     # at most len(fields) rows
     s = pf.join(F.broadcast(idf_sum), "field")
     sc = _bm25(F.col("idf_sum"), F.col("pf"), F.col("dl"), _avgdl(stats)) * _boost(boosts or {})
-    return s.groupBy("snapshot").agg(F.sum(sc).alias("score"))
+    return s.select("snapshot", F.lit(" ".join(words)).alias("clause"), "field", sc.alias("score"))
+
+
+def _leaves(node, fields: tuple[str, ...]) -> set[tuple[str, str]]:
+    """(clause, field) of all terms and phrases below ``node``."""
+    if isinstance(node, Group):
+        return {leaf for n in (*node.should, *node.must, *node.must_not) for leaf in _leaves(n, fields)}
+    words = analyse_text(node.text)
+    clauses = [" ".join(words)] if isinstance(node, Phrase) and words else words
+    return {(c, f) for c in clauses for f in (node.fields or fields)}
+
+
+def _evaluate(node, fields: tuple[str, ...], cell: dict[tuple[str, str], str]) -> tuple[Column, Column] | None:
+    """(matches, score) of a clause over the columns that hold its leaves' scores (null: no match); None without
+    words. Scores are added in the order of the clauses and fields."""
+    if not isinstance(node, Group):
+        words = analyse_text(node.text)
+        clauses = ([" ".join(words)] if isinstance(node, Phrase) else list(dict.fromkeys(words))) if words else []
+        cols = [F.col(cell[c, f]) for c in clauses for f in (node.fields or fields)]
+        if not cols:
+            return None
+        return F.coalesce(*cols).isNotNull(), sum((F.coalesce(c, F.lit(0.0)) for c in cols), F.lit(0.0))
+    should, must, must_not = ([e for n in part if (e := _evaluate(n, fields, cell)) is not None]
+                              for part in (node.should, node.must, node.must_not))
+    if not should and not must:
+        return (F.lit(False), F.lit(0.0)) if must_not else None
+    match = F.lit(bool(must))
+    for m, _ in must or should:
+        match = match & m if must else match | m
+    for m, _ in must_not:
+        match = match & ~m
+    return match, sum((F.when(m, s).otherwise(0.0) for m, s in (*must, *should)), F.lit(0.0))
 
 
 def filter_docs(docs: DataFrame, q: Query) -> DataFrame:
@@ -198,31 +267,27 @@ def search_matches(docs: DataFrame, post: DataFrame, q: Query, stats: dict[str,
     """T4 + T5: (snapshot, surt, captured_at, slug, year, title, score) for every matching document. Statistics
     come from the unfiltered collection."""
     stats = stats or field_stats(docs)
-    parts = []
-    terms = q.positive_terms()
-    must = sorted(set(analyse_text(q.must)))
-    if terms:
-        ts = term_scores(post, stats, terms, q.fields, q.boosts)
-        agg = ts.groupBy("snapshot").agg(F.sum("score").alias("score"), F.collect_set("token").alias("matched"))
-        for m in must:
-            agg = agg.where(F.array_contains("matched", m))
-        parts.append(agg.select("snapshot", "score"))
-    words = analyse_text(q.phrase)
-    if words:
-        parts.append(phrase_scores(post, stats, words, q.fields, q.boosts))
-    if not parts:
-        return docs.limit(0).select("snapshot", "surt", "captured_at", "slug", "year", "title",
-                                    F.lit(0.0).alias("score"))
-    scored = parts[0]
-    if len(parts) == 2:  # phrase AND terms when both are present, scores add up
-        scored = (parts[0].withColumnRenamed("score", "s1").join(parts[1].withColumnRenamed("score", "s2"), "snapshot")
-                  .select("snapshot", (F.col("s1") + F.col("s2")).alias("score")))
-    nots = sorted(set(analyse_text(q.must_not)))
-    if nots:
-        excluded = post.where(F.col("token").isin(nots) & F.col("field").isin(list(q.fields))).select("snapshot")
-        scored = scored.join(excluded, "snapshot", "left_anti")
-    d = filter_docs(docs, q).select("snapshot", "surt", "captured_at", "slug", "year", "title")
-    return d.join(scored, "snapshot").withColumn("score", F.round("score", 6))
+    tree = q.tree()
+    leaves = sorted(_leaves(tree, q.fields))
+    cell = {leaf: f"s{k}" for k, leaf in enumerate(leaves)}
+    found = _evaluate(tree, q.fields, cell)
+    out = ("snapshot", "surt", "captured_at", "slug", "year", "title")
+    if found is None:
+        return docs.limit(0).select(*out, F.lit(0.0).alias("score"))
+    fields = sorted({f for _, f in leaves})
+    terms = sorted({c for c, _ in leaves if " " not in c})
+    parts = [term_scores(post, stats, terms, fields, q.boosts)] if terms else []
+    parts += [phrase_scores(post, stats, c.split(" "), fields, q.boosts) for c in sorted({c for c, _ in leaves if " " in c})]
+    scores = parts[0]
+    for p in parts[1:]:
+        scores = scores.unionByName(p)
+    # one row per snapshot, one column per leaf: the clauses are then plain expressions
+    wide = scores.groupBy("snapshot").agg(*[
+        F.max(F.when((F.col("clause") == c) & (F.col("field") == f), F.col("score"))).alias(name)
+        for (c, f), name in cell.items()])
+    match, score = found
+    scored = wide.where(match).select("snapshot", score.alias("score"))
+    return filter_docs(docs, q).select(*out).join(scored, "snapshot")
 
 
 # ------------------------------------------------------------------ facets
@@ -281,9 +346,9 @@ def surt_timeline(top: DataFrame, success: DataFrame, start=None, end=None) -> D
     """All fetched capture instants of the ranked SURTs, optionally in [start, end)."""
     s = success.select("surt", "captured_at")
     if start is not None:
-        s = s.where(F.col("captured_at") >= F.lit(start))
+        s = s.where(F.col("captured_at") >= utc_bound(start))
     if end is not None:
-        s = s.where(F.col("captured_at") < F.lit(end))
+        s = s.where(F.col("captured_at") < utc_bound(end))
     return s.join(F.broadcast(top.select("surt", "rank")), "surt").distinct()
 
 
@@ -336,13 +401,13 @@ def search(docs: DataFrame, post: DataFrame, success: DataFrame, patterns: DataF
            limit: int = 10, offset: int = 0, last_year: Column | int | None = None,
            expand_duplicates: bool = False) -> SearchResult:
     """T7 + T9: one search request. The match set feeds facets (counted over every match, honouring all filters:
-    D5), the grouped top-K page, hit captures, timelines (restricted to the query's date range) and page rows.
-    Call ``.persist()`` on ``matches`` when several outputs are collected from the same request."""
+    D5), the grouped top-K page, hit captures, timelines (restricted to the query's date range) and page rows; it
+    and the ranked page are written once (reliable checkpoint) and read by every output."""
     stats = field_stats(docs)
-    m = search_matches(docs, post, query, stats)
+    m = cut_lineage(search_matches(docs, post, query, stats))
     ly = last_year if last_year is not None else docs.agg(F.max("year")).scalar()
     facets = facet_patterns(m, patterns)
-    top = top_surts(m, limit, offset)
+    top = cut_lineage(top_surts(m, limit, offset))
     hits = group_hits(m, top)
     tl = timeline_hits(surt_timeline(top, success, query.start, query.end),
                        hit_captures(hits, success, expand_duplicates))

@@ -71,8 +71,7 @@ def best_fragment(text: str, terms: set[str], max_chars: int) -> tuple[str, list
 
 def snippets(hits: DataFrame, query, max_chars: int = 200) -> DataFrame:
     """Adds ``snippet`` (HTML) to hits that carry ``content``; query terms come from the content-field terms."""
-    from tidemark.operators.search import analyse_text
-    terms = sorted(set(analyse_text(query.should)) | set(analyse_text(query.must)) | set(analyse_text(query.phrase)))
+    terms = query.positive_words()
 
     @F.pandas_udf("string")
     def make(content: pd.Series) -> pd.Series:

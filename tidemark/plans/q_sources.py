@@ -184,7 +184,7 @@ def snippets(spark, sf):
     from tidemark.operators.snippet import snippets as make
     from tidemark.plans.q_search import PAGE, Q_TERMS
     docs = fx.search_docs(spark, sf)
-    m = srch.search_matches(docs, srch.postings(docs), Q_TERMS)
+    m = srch.search_matches(docs, fx.postings(spark, sf), Q_TERMS)
     top = srch.top_surts(m, PAGE, 0)
     hits = srch.group_hits(m, top).select("rank", "surt", "snapshot", "score")
     return make(hits.join(docs.select("snapshot", "content"), "snapshot"), Q_TERMS, 200)
