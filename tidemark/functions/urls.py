@@ -96,12 +96,6 @@ def redirect_file_valid(path) -> Column:
     return F.substring_index(_col(path), "/", -1).rlike("^" + REDIRECT_FILE_PATTERN)
 
 
-def split_line(line, n: int) -> list[Column]:
-    """Plain comma split (no quoting); missing fields are NULL."""
-    parts = F.split(_col(line), ",")
-    return [F.try_element_at(parts, F.lit(i + 1)) for i in range(n)]
-
-
 def status_url_parts(url) -> Column:
     """Status-page URL -> struct(screen_name, status_id decimal(20,0)); NULL when it is not one."""
     pat = r"^https?://(?:www\.|mobile\.)?twitter\.com/([^/?#]+)/status(?:es)?/([0-9]+)"

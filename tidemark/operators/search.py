@@ -106,18 +106,14 @@ def build_docs(info: DataFrame, bodies: DataFrame, title: Column, content: Colum
 def postings(docs: DataFrame, fields=FIELDS) -> DataFrame:
     """(snapshot, field, pos, token, dl). Positions count every letter/digit run (dropped long tokens leave a
     gap); ``dl`` is the field length in kept tokens."""
-    parts = []
-    for f in fields:
-        # the field length is computed once per document, before the explode (after it, it would be re-evaluated
-        # for every token row over the whole array)
-        kept = F.filter("toks", lambda t: F.octet_length(t) < MAX_TOKEN_BYTES)
-        toks = (docs.select("snapshot", raw_tokens(F.col(f)).alias("toks"))
-                .withColumn("dl", F.size(kept).cast("bigint")))
-        parts.append(toks.select("snapshot", F.lit(f).alias("field"), "dl", F.posexplode("toks").alias("pos", "token")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return (u.where(F.octet_length("token") < MAX_TOKEN_BYTES)
+    # one scan for all fields; the field length is computed once per document and field, before the explode (after it,
+    # it would be re-evaluated for every token row over the whole array)
+    kept = F.filter("s.toks", lambda t: F.octet_length(t) < MAX_TOKEN_BYTES)
+    per_field = (docs.select("snapshot", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field"), raw_tokens(F.col(f)).alias("toks")) for f in fields])).alias("s"))
+        .select("snapshot", "s.field", F.size(kept).cast("bigint").alias("dl"), F.col("s.toks").alias("toks")))
+    return (per_field.select("snapshot", "field", "dl", F.posexplode("toks").alias("pos", "token"))
+            .where(F.octet_length("token") < MAX_TOKEN_BYTES)
             .select("snapshot", "field", F.col("pos").cast("bigint").alias("pos"), F.lower("token").alias("token"), "dl"))
 
 

@@ -22,13 +22,6 @@ def new_keys(batch: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFra
     return batch.select(*keys).distinct().join(table.select(*keys), keys, "left_anti")
 
 
-def insert_if_absent(batch: DataFrame, table: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Generic first-wins insert: first batch row per key by ``order``, minus keys already in the table."""
-    keys = list(keys)
-    first = first_by(batch, keys, list(order))
-    return first.join(table.select(*keys), keys, "left_anti")
-
-
 def insert_entries(table: DataFrame, crawl: DataFrame) -> DataFrame:
     """Captures to append. Within the batch the first row of a (surt, captured_at) in crawl order wins; rows
     whose key is already stored are ignored (their later status/digest is dropped, as the first write wins)."""
@@ -70,13 +63,3 @@ def set_pattern_updated(patterns: DataFrame, updates: DataFrame) -> DataFrame:
     return (base.join(u, "slug", "left")
             .select(*cols, F.coalesce("new_updated", "updated").alias("updated"),
                     F.coalesce("touched", F.lit(False)).alias("touched")))
-
-
-def write_version(df: DataFrame, root: str, version: str, partition_by: Sequence[str] | None = None) -> str:
-    """Write one immutable version folder of a keyed table (atomic per folder; readers switch when it exists)."""
-    path = f"{root.rstrip('/')}/v={version}"
-    w = df.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return path

@@ -47,11 +47,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _inputs_state(spark: SparkSession, sf_dir: str) -> str:
+    """Bytes, files and change time of the input tables: changed inputs under the same path build new tables."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for t in ("events", "documents", "pages", "benchmark"):
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = p.getFileSystem(conf)
+        held = fs.getContentSummary(p)
+        out.append(f"{t}:{held.getLength()}:{held.getFileCount()}:{fs.getFileStatus(p).getModificationTime()}")
+    return ",".join(out)
+
+
 def archive_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     """Folder of a stored archive table derived from ``sf_dir`` (under the shared checkpoint folder)."""
     from tidemark.session import checkpoint_dir
     import hashlib
-    key = hashlib.sha1(f"{ARCHIVE_VERSION}:{sf_dir}".encode()).hexdigest()[:16]
+    key = hashlib.sha1(f"{ARCHIVE_VERSION}:{sf_dir}:{_inputs_state(spark, sf_dir)}".encode()).hexdigest()[:16]
     return checkpoint_dir(spark, f"tidemark-archive/{key}/{name}")
 
 
@@ -63,11 +75,11 @@ def _stored(fn):
         key = (id(spark), sf_dir, fn.__name__)
         with _BUILD_LOCK:  # queries submitted from several threads build a table once
             hit = _MEMO.get(key)
-            if hit is None or hit[0] is not spark:
-                path = archive_path(spark, sf_dir, fn.__name__)
+            path = archive_path(spark, sf_dir, fn.__name__)
+            if hit is None or hit[0] is not spark or hit[2] != path:
                 if not _exists(spark, path + "/_SUCCESS"):
                     fn(spark, sf_dir).write.mode("overwrite").parquet(path)
-                hit = (spark, spark.read.parquet(path))
+                hit = (spark, spark.read.parquet(path), path)
                 _MEMO[key] = hit
         return hit[1]
     wrapper.__name__ = fn.__name__
@@ -154,12 +166,13 @@ def success(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_stored
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content-addressed store: one (digest, body) per fetched snapshot. Copies of a body collapse map-side."""
-    d = table(spark, sf_dir, "documents").select(content_digest("text").alias("digest"), F.col("text").alias("body"))
+    """Content-addressed store: one (digest, body) per fetched snapshot. The smallest id per digest is picked first (a
+    hash aggregate over numbers), and only its body is joined, so bodies are neither sorted nor shuffled as copies."""
     fetched = success(spark, sf_dir).select(F.col("snapshot").alias("digest"))
-    return (d.join(fetched, "digest", "left_semi")
-            .groupBy("digest").agg(F.min("body").alias("body"))
-            .withColumn("length", F.octet_length("body").cast("bigint")))
+    one = (doc_digests(spark, sf_dir).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+           .join(fetched, "digest", "left_semi"))
+    return (table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")).join(one, "doc_id")
+            .select("digest", "body", F.octet_length("body").cast("bigint").alias("length")))
 
 
 @_stored

@@ -6,10 +6,14 @@ separately), so every query's oracle is one self-contained SQL string over the d
 
 from __future__ import annotations
 
-from tidemark.functions.digest import BASE32_ALPHABET
-from tidemark.functions.surt import NUMERIC_HOST_PATTERN, URL_PATTERN
-from tidemark.functions.text import MAX_TOKEN_BYTES, TOKEN_PATTERN
-from tidemark.functions.urls import REDIRECT_HTML_HEAD, REDIRECT_HTML_TAIL
+# Fixed values of the formats, stated here apart from the engine: a wrong one there must not be wrong on both sides.
+BASE32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+URL_PATTERN = r"(?s)^(https?)://(?:[^/?#@]*@)?([^/?#:@]*)(?::([0-9]*))?(/[^?#]*)?(?:[?#].*)?$"
+NUMERIC_HOST_PATTERN = r"(^|[.])(0x[0-9a-f]*|[0-9]+)[.]?$"
+TOKEN_PATTERN = r"([\p{L}\p{N}]+)"
+MAX_TOKEN_BYTES = 40
+REDIRECT_HTML_HEAD = '<html><body>You are being <a href="'
+REDIRECT_HTML_TAIL = '">redirected</a>.</body></html>'
 
 
 def q(s: str) -> str:

@@ -9,8 +9,11 @@ from tidemark.operators import dedup, upsert
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import register
 from tidemark.plans.oracle import d_digest, d_redirect_html, d_surt, q, with_ctes
-from tidemark.functions.urls import ARCHIVE_URL_PATTERN, REDIRECT_HTML_PATTERN
-from tidemark.functions.digest import STORE_PATH_PATTERN
+
+# Fixed values of the formats, stated here again for the DuckDB side.
+ARCHIVE_URL_PATTERN = r"(?s)^https?://web\.archive\.org/web/([0-9]{14})(?:id_)?/(.+)$"
+REDIRECT_HTML_PATTERN = r'^<html><body>You are being <a href="([^"]+)">redirected</a>\.</body></html>$'
+STORE_PATH_PATTERN = r"/[A-Z2-7]{2}/[A-Z2-7]{2}/[A-Z2-7]{32}\.zst$"
 
 
 # ---------------------------------------------------------------- B1-B4: SURT keys over page URLs
@@ -74,6 +77,22 @@ def archive_url_roundtrip(spark, sf):
     return c.select("capture_id", "wb", p["url"].alias("url_back"), p["ts"].alias("ts_back"))
 
 
+# ---------------------------------------------------------------- B27: status-page URLs derived from events
+@register("status_url", """
+    SELECT event_id, CASE WHEN event_id % 4 < 3 THEN 'u' || CAST(user_id AS VARCHAR) END AS screen_name,
+           CASE WHEN event_id % 4 < 3 THEN CAST(event_id AS VARCHAR) END AS status_id FROM events""")
+def status_url(spark, sf):
+    user, k = F.concat(F.lit("u"), F.col("user_id").cast("string")), F.col("event_id") % 4
+    eid = F.col("event_id").cast("string")
+    url = (F.when(k == 0, F.concat(F.lit("https://twitter.com/"), user, F.lit("/status/"), eid))
+           .when(k == 1, F.concat(F.lit("https://mobile.twitter.com/"), user, F.lit("/statuses/"), eid, F.lit("?s=20")))
+           .when(k == 2, F.concat(F.lit("http://www.twitter.com/"), user, F.lit("/status/"), eid, F.lit("/photo/1")))
+           .otherwise(F.concat(F.lit("https://example.com/"), user, F.lit("/status/"), eid)))
+    p = tf.status_url_parts(url)
+    return fx.table(spark, sf, "events").select("event_id", p["screen_name"].alias("screen_name"),
+                                                p["status_id"].cast("string").alias("status_id"))
+
+
 # ---------------------------------------------------------------- B10/B11/B19: digests
 @register("content_digest", "SELECT page_id, " + d_digest("html") + " AS digest FROM pages")
 def content_digest(spark, sf):

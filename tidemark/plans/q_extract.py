@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import surt_from_url
 from tidemark.operators import extract as ex
+from tidemark.operators import search as srch
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import register
-from tidemark.plans.oracle import d_surt
+from tidemark.plans.oracle import d_surt, d_tokens
 
 
 def _unesc(x: str) -> str:
@@ -94,3 +96,25 @@ def gravatar_extract_native(spark, sf):
     d = ex.extract_native(p.withColumn("html", F.concat(F.coalesce("html", F.lit("")), img)))
     return d.select("page_id", F.array_join("doc.gravatar_hashes", " ").alias("hashes"))
 
+
+# ---------------------------------------------------------------- F6 / T2 / T3: the extracted pages as an index
+_TITLE_SQL = _strip(_unesc("regexp_extract(html, '<title>([^<]*)</title>', 1)"))
+_TEXT_SQL = f"array_to_string(list_transform(regexp_extract_all(substr(html, strpos(html, '<body>')), '>([^<]+)<', 1), lambda x: {_unesc('x')}), ' ')"
+
+
+@register("search_gravatar", f"""
+    SELECT page_id, title FROM (SELECT page_id, {_TITLE_SQL} AS title, {_TEXT_SQL} AS text FROM pages) p
+    WHERE page_id % 5 = 3 AND (list_contains({d_tokens('title')}, 'the') OR list_contains({d_tokens('text')}, 'the'))""")
+def search_gravatar(spark, sf):
+    """Pages that show one of five avatars are extracted, indexed with their hashes, and searched by word and avatar."""
+    p = fx.table(spark, sf, "pages")
+    img = F.concat(F.lit('<img src="https://www.gravatar.com/avatar/'), F.md5((F.col("page_id") % 5).cast("string")),
+                   F.lit('">'))
+    d = ex.extract_documents(p.withColumn("html", F.concat(F.coalesce("html", F.lit("")), img)), "html")
+    docs = d.select(F.col("page_id").cast("string").alias("snapshot"), surt_from_url("url").alias("surt"),
+                    F.lit(None).cast("timestamp").alias("captured_at"), F.lit("pages").alias("slug"),
+                    F.lit(None).cast("int").alias("year"), F.col("doc.title").alias("title"),
+                    F.array_join("doc.content", "\n").alias("content"), F.col("doc.gravatar_hashes").alias("hashes"))
+    query = srch.Query(should="the", gravatar_hash="eccbc87e4b5ce2fe28308fd9f2a7baf3")     # md5 of "3"
+    m = srch.search_matches(docs, srch.postings(docs), query)
+    return m.select(F.col("snapshot").cast("long").alias("page_id"), "title")

@@ -6,13 +6,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import functions as tf
-from tidemark.functions.digest import STORE_PATH_PATTERN
 from tidemark.operators import quality as ql
 from tidemark.operators.reconcile import missing_best_per_digest, missing_captures
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import register
 from tidemark.plans.oracle import d_digest, d_redirect_html, with_ctes
 
+# Fixed value of the store layout, stated here again for the DuckDB side.
+STORE_PATH_PATTERN = r"/[A-Z2-7]{2}/[A-Z2-7]{2}/[A-Z2-7]{32}\.zst$"
+
 
 def _loc(d: str) -> str:
     return f"(substr({d}, 1, 2) || '/' || substr({d}, 3, 2) || '/' || {d} || '.zst')"

@@ -41,6 +41,24 @@ def cdx_decode(spark, sf):
                                                "digest", "length", "layout")
 
 
+@register("cdx_rejects", with_ctes("""
+    SELECT url AS original, captured_at,
+           CASE capture_id % 50 WHEN 1 THEN 'key' WHEN 2 THEN 'status' WHEN 3 THEN 'digest' ELSE 'length' END AS error
+    FROM captures WHERE capture_id % 50 BETWEEN 1 AND 4""", "captures"))
+def cdx_rejects(spark, sf):
+    """S3 rejects: pages in which every 50th row has an upper-case key, a status, digest or length that is none."""
+    k = F.col("capture_id") % 50
+    bad = fx.captures(spark, sf).select(
+        "capture_id", "captured_at", "url", "mime_type", "crawl_ts", F.when(k == 1, F.upper("surt")).otherwise(F.col("surt")).alias("surt"),
+        F.when(k == 2, "20x").otherwise(F.col("status_code").cast("string")).alias("status_code"),
+        F.when(k == 3, F.repeat(F.lit("1"), F.lit(32))).otherwise(F.col("digest")).alias("digest"),
+        F.when(k == 4, "-5.").otherwise(F.col("length").cast("string")).alias("length"))
+    path = _scratch(spark, "cdx-rejects")
+    cdx.write_pages(bad, path)
+    return (cdx.decode_rows(cdx.read_pages(spark, path)).where("_error IS NOT NULL")
+            .select("original", "captured_at", F.col("_error").alias("error")))
+
+
 @register("cdx_dump", with_ctes("""
     SELECT CAST(floor(floor(epoch_us(p.t0) / 1000) / 1000) AS BIGINT) AS crawl_s, coalesce(c.status_code, 0) AS status,
            c.mime_type, c.url AS original
@@ -95,7 +113,7 @@ def redirect_export(spark, sf):
 
 
 @register("redirect_merge", with_ctes(f"""
-    SELECT DISTINCT substr(line, 1, 1) AS prefix, line FROM (
+    SELECT DISTINCT 'redirects-' || substr(line, 1, 1) || '.csv' AS file, line FROM (
       SELECT line FROM redirects
       UNION ALL
       SELECT {d_digest(d_redirect_html('loc'))} || ',' || loc FROM (
@@ -110,7 +128,7 @@ def redirect_merge(spark, sf):
     merged = fx.redirects(spark, sf).select("line").unionByName(new)
     path = _scratch(spark, "redirect-merge")
     rd.write_redirects(merged, path)
-    return spark.read.text(path).select(F.col("prefix").cast("string").alias("prefix"), F.col("value").alias("line"))
+    return spark.read.text(path).select("file", F.col("value").alias("line"))
 
 
 # ---------------------------------------------------------------- exchange formats
@@ -169,6 +187,22 @@ def store_roundtrip(spark, sf):
             .select("digest", "path_ok", "text", (tf.content_digest("text") == F.col("digest")).alias("digest_ok")))
 
 
+@register("store_save", with_ctes(f"""
+    SELECT digest, digest IN (SELECT digest FROM store) AS skipped,
+           CASE WHEN digest NOT IN (SELECT digest FROM store) THEN text END AS text
+    FROM (SELECT DISTINCT digest, text FROM (SELECT digest, text FROM docd
+                                             UNION ALL SELECT {d_digest('text')}, text FROM benchmark))""", "docd", "store"))
+def store_save(spark, sf):
+    """Every document and benchmark body is saved where the store lacks it; what was written is read back."""
+    root = _scratch(spark, "store-save")
+    items = (fx.table(spark, sf, "documents").select("text").unionByName(fx.table(spark, sf, "benchmark").select("text"))
+             .select(tf.content_digest("text").alias("digest"), F.col("text").alias("body")))
+    stg.save_bodies(items, fx.store(spark, sf), root).write.parquet(root + "-manifest")   # runs the writer once
+    report = spark.read.parquet(root + "-manifest")
+    bodies = stg.read_bodies(spark, root).select("digest", "text")
+    return report.join(bodies, "digest", "left").select("digest", F.col("path").isNull().alias("skipped"), "text")
+
+
 @register("store_fetch", with_ctes("""
     SELECT st.digest, st.body FROM store st WHERE st.digest IN (SELECT expected FROM (
       SELECT c.digest AS expected FROM success s JOIN captures c ON c.capture_id = s.capture_id WHERE NOT s.correct_digest))""",
@@ -211,27 +245,30 @@ def stream_ingest(spark, sf):
 
 
 @register("cdx_import", with_ctes("""
-    SELECT (SELECT count(DISTINCT surt) FROM crawl) AS new_surts,
-           (SELECT count(*) FROM (SELECT DISTINCT surt, captured_at FROM crawl)) AS new_entries,
-           (SELECT count(*) FROM pattern_entry) AS new_memberships""", "crawl", "pattern_entry"))
+    SELECT f.surt, f.captured_at, f.status_code, f.digest, p.slug
+    FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY surt, captured_at ORDER BY crawl_ts, page, capture_id) AS rn
+                         FROM crawl) WHERE rn = 1) f
+    JOIN (SELECT DISTINCT surt FROM crawl) s ON s.surt = f.surt
+    LEFT JOIN patterns p ON starts_with(f.surt, p.surt)""", "crawl", "patterns"))
 def cdx_import(spark, sf):
-    """The import job over CDX pages (first crawl and re-crawl) into empty tables: pages -> W2 -> I1, I2, I7.
-    Returns the inserted row counts (the reference always reports 0: D10)."""
+    """The import job over CDX pages (first crawl and re-crawl) into empty tables: pages -> W2 -> I1, I2, I7. The
+    three tables are written on their natural keys (surt; surt and time; plus slug) and read back joined."""
     from tidemark.operators.patterns import assign_patterns
     base = _scratch(spark, "import")
     cr = fx.crawl(spark, sf)
     cdx.write_pages(cr.where("page = 0").drop("page"), f"{base}/run=0")
     cdx.write_pages(cr.where("page = 1").drop("page"), f"{base}/run=1")
     rows = cdx.decode_rows(cdx.read_pages(spark, base)).where("_error IS NULL")
-    empty_surts = spark.createDataFrame([], "surt string")
-    empty_entries = spark.createDataFrame([], "surt string, captured_at timestamp")
-    entries = upsert_entries(empty_entries, rows)
-    surts = upsert_surts(empty_surts, entries)
-    members = assign_patterns(entries.withColumn("capture_id", F.col("pos")), fx.patterns(spark, sf))
-    # three counts as scalar subqueries of one row (no join between the aggregates)
-    return spark.range(1).select(surts.select(F.count(F.lit(1))).scalar().alias("new_surts"),
-                                 entries.select(F.count(F.lit(1))).scalar().alias("new_entries"),
-                                 members.select(F.count(F.lit(1))).scalar().alias("new_memberships"))
+    out = _scratch(spark, "imported")
+    upsert_entries(spark.createDataFrame([], "surt string, captured_at timestamp"), rows).write.parquet(f"{out}/entries")
+    entries = spark.read.parquet(f"{out}/entries")
+    upsert_surts(spark.createDataFrame([], "surt string"), entries).write.parquet(f"{out}/surts")
+    key = F.xxhash64("surt", "captured_at").alias("capture_id")
+    (assign_patterns(entries.select("surt", "captured_at", key), fx.patterns(spark, sf))
+     .select("surt", "captured_at", "slug").write.parquet(f"{out}/members"))
+    return (entries.join(spark.read.parquet(f"{out}/surts"), "surt")
+            .join(spark.read.parquet(f"{out}/members"), ["surt", "captured_at"], "left")
+            .select("surt", "captured_at", "status_code", "digest", "slug"))
 
 
 def upsert_entries(table, rows):

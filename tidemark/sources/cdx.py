@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import checked_long, status_code, status_code_error, ts14_format, ts14_parse
+from tidemark.functions import (checked_long, digest_kind, status_code, status_code_error, surt_parse, ts14_format,
+                                ts14_parse)
 
 # The two header layouts of CDX pages.
 SHORT_HEADER = ["urlkey", "timestamp", "original", "mimetype", "statuscode", "digest", "length"]
@@ -52,8 +53,8 @@ def page_layout(rows: Column) -> Column:
 
 
 def decode_rows(pages: DataFrame) -> DataFrame:
-    """S3: typed captures from pages; each row keeps (file, pos) for crawl order. Rows whose timestamp, status or
-    length do not parse carry an ``_error`` text. Pages without a usable header are dropped (see ``reject_pages``)."""
+    """S3: typed captures from pages; each row keeps (file, pos) for crawl order. Rows whose key, timestamp,
+    status, digest, length or (full layout) offset do not parse carry an ``_error`` text. Pages without a usable header are dropped (see ``reject_pages``)."""
     p = pages.withColumn("layout", page_layout(F.col("rows"))).where(F.col("layout").isNotNull())
     p = p.withColumn("header", F.element_at("rows", 1))
     x = p.select("file", "page_ts", "layout", "header", F.posexplode("rows").alias("pos", "r")).where(F.col("pos") > 0)
@@ -65,9 +66,12 @@ def decode_rows(pages: DataFrame) -> DataFrame:
     ts_s, st_s, len_s = field("timestamp"), field("statuscode"), field("length")
     ts = ts14_parse(ts_s)
     err = (F.when(F.size("r") != F.size("header"), F.lit("row length"))
+           .when(surt_parse(field("urlkey")).isNull(), F.lit("key"))
            .when(ts.isNull(), F.lit("timestamp"))
            .when(status_code_error(st_s), F.lit("status"))
-           .when(checked_long(len_s).isNull(), F.lit("length")))
+           .when(digest_kind(field("digest")) == "error", F.lit("digest"))
+           .when(checked_long(len_s).isNull(), F.lit("length"))
+           .when((F.col("layout") == "full") & checked_long(field("offset")).isNull(), F.lit("offset")))
     extra = F.when(F.col("layout") == "full", F.struct(
         field("redirect").alias("redirect"), field("robotflags").alias("robot_flags"),
         checked_long(field("offset")).alias("offset"), field("filename").alias("file_name")))

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import redirect_file_valid
-
-REDIRECT_PREFIXES = "234567ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+from tidemark.functions.urls import REDIRECT_FILE_PREFIXES
 
 
 def number_lines(text: DataFrame) -> DataFrame:
@@ -40,14 +39,16 @@ def export_digests(redirects: DataFrame) -> DataFrame:
 
 def file_prefixes(spark: SparkSession) -> DataFrame:
     """The 32 valid file prefixes as a relation."""
-    return spark.range(1).select(F.explode(F.split(F.lit(REDIRECT_PREFIXES), "")).alias("prefix")).where("prefix <> ''")
+    return spark.range(1).select(F.explode(F.split(F.lit(REDIRECT_FILE_PREFIXES), "")).alias("prefix")).where("prefix <> ''")
 
 
 def write_redirects(lines: DataFrame, path: str) -> None:
-    """U3 sink: one folder per prefix, lines sorted inside it (range partitioning keeps files ordered)."""
-    (lines.select(F.substring("line", 1, 1).alias("prefix"), "line").distinct()
-     .repartitionByRange("prefix", "line").sortWithinPartitions("prefix", "line")
-     .write.mode("overwrite").partitionBy("prefix").text(path))
+    """U3 sink: one folder ``file=redirects-<prefix>.csv`` per prefix, lines sorted inside it (range partitioning keeps
+    its parts ordered)."""
+    name = F.concat(F.lit("redirects-"), F.substring("line", 1, 1), F.lit(".csv"))
+    (lines.select(name.alias("file"), "line").distinct()
+     .repartitionByRange("file", "line").sortWithinPartitions("file", "line")
+     .write.mode("overwrite").partitionBy("file").text(path))
 
 
 __all__ = ["number_lines", "read_redirects", "export_digests", "file_prefixes", "write_redirects",

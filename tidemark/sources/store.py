@@ -6,12 +6,14 @@ zstd bodies are decoded in Arrow batches. Writing is an anti-join on stored dige
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import content_digest, digest_from_store_path, store_location, store_path_valid
+from tidemark.functions import digest_from_store_path, store_location, store_path_valid
 
 # Legacy layout '<first symbol>/<digest>.gz'; default zstd level of the store.
 LEGACY_PATH_PATTERN = r"/([2-7A-Z])/([2-7A-Z][A-Z2-7]{31})[^/]*\.gz$"
@@ -40,13 +42,6 @@ def zstd_decompress(b: pd.Series) -> pd.Series:
     return b.map(body)
 
 
-@F.pandas_udf(T.BinaryType())
-def zstd_compress(b: pd.Series) -> pd.Series:
-    import zstandard
-    c = zstandard.ZstdCompressor(level=ZSTD_LEVEL)
-    return b.map(lambda x: None if x is None else c.compress(x))
-
-
 def read_bodies(spark: SparkSession, root: str, suffix: str = "*.zst") -> DataFrame:
     """(path, digest, body binary, text) ; ``text`` is NULL when the body is not valid UTF-8 (to rejects)."""
     f = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix)
@@ -56,21 +51,33 @@ def read_bodies(spark: SparkSession, root: str, suffix: str = "*.zst") -> DataFr
     return b.withColumn("text", F.when(F.is_valid_utf8(F.col("body").cast("string")), F.col("body").cast("string")))
 
 
-def legacy_paths(spark: SparkSession, root: str, prefix: str | None = None) -> DataFrame:
-    """S12 (+F10): legacy files (gzip is decoded by the text source); stem must start with its folder letter."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    d = F.regexp_extract("path", LEGACY_PATH_PATTERN, 2)
-    ok = (d != "") & (F.substring(d, 1, 1) == F.regexp_extract("path", LEGACY_PATH_PATTERN, 1))
-    out = f.select("path", "length", F.when(ok, d).alias("digest"))
-    return out.where(F.col("digest").startswith(prefix)) if prefix else out
+def save_bodies(items: DataFrame, stored: DataFrame, root: str) -> DataFrame:
+    """Insert-if-absent. Writes the bodies of ``items`` (digest, body) that ``stored`` (digest) lacks below
+    ``root``; returns one row (digest, path, written_bytes) per digest, path and bytes null where it was skipped."""
+    known = stored.select("digest").distinct()
+    new = items.join(known, "digest", "left_anti").dropDuplicates(["digest"])
+    skipped = items.select("digest").distinct().join(known, "digest", "left_semi")
+    return write_store(new, root).unionByName(skipped, allowMissingColumns=True)
+
 
+def _shared_uri(spark: SparkSession, root: str) -> str:
+    """``root`` with the file system that Spark would take for it, so tasks write where the readers look."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(p).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
-def save_bodies(items: DataFrame, stored: DataFrame) -> DataFrame:
-    """Insert-if-absent. ``items`` (digest, body binary); returns (digest, location, body_z, written_bytes)
-    for bodies not yet stored and (digest, NULL...) rows marked skipped for the rest."""
-    new = items.join(stored.select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
-    z = new.select("digest", store_location("digest").alias("location"), zstd_compress("body").alias("body_z"))
-    return z.withColumn("written_bytes", F.octet_length("body_z").cast("bigint"))
+
+def _put(fs, path: str, data: bytes) -> None:
+    """Write under a temporary name, then rename: a retried or speculative task leaves no half file. A file that is
+    there already holds the same body, as its name is the body's digest."""
+    from pyarrow.fs import FileType
+    if fs.get_file_info(path).type == FileType.File:
+        return
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part, compression=None) as f:
+        f.write(data)
+    fs.move(part, path)
 
 
 def fetch(digests: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -78,19 +85,15 @@ def fetch(digests: DataFrame, snapshots: DataFrame) -> DataFrame:
     return digests.select("digest").distinct().join(snapshots, "digest")
 
 
-def recompute(files: DataFrame, body: Column) -> DataFrame:
-    """Q3 helper: (path, expected from the name, actual digest of the body)."""
-    return files.select("path", F.col("digest").alias("expected"), content_digest(body).alias("actual"))
-
-
 def write_store(bodies: DataFrame, root: str) -> DataFrame:
     """S10/S11 sink: each task writes its bodies as zstd files at root/AA/BB/<digest>.zst through pyarrow's
     file-system layer (local, HDFS or object stores). Returns (digest, path, written_bytes)."""
     import pyarrow.fs as pafs
+    uri = _shared_uri(bodies.sparkSession, root)
 
     def run(batches):
         import zstandard
-        fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+        fs, base = pafs.FileSystem.from_uri(uri)
         comp = zstandard.ZstdCompressor(level=ZSTD_LEVEL)
         for pdf in batches:
             out = []
@@ -98,9 +101,7 @@ def write_store(bodies: DataFrame, root: str) -> DataFrame:
                 rel = f"{d[0:2]}/{d[2:4]}/{d}.zst"
                 path = f"{base.rstrip('/')}/{rel}"
                 data = comp.compress(body.encode() if isinstance(body, str) else bytes(body))
-                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                with fs.open_output_stream(path, compression=None) as f:
-                    f.write(data)
+                _put(fs, path, data)
                 out.append((d, path, len(data)))
             yield pd.DataFrame(out, columns=["digest", "path", "written_bytes"])
 
@@ -112,18 +113,17 @@ def write_legacy_store(bodies: DataFrame, root: str) -> DataFrame:
     """Legacy layout sink: gzip files root/<first symbol>/<digest>.gz written per task (pyarrow file systems).
     Returns (digest, path, written_bytes)."""
     import pyarrow.fs as pafs
+    uri = _shared_uri(bodies.sparkSession, root)
 
     def run(batches):
         import gzip
-        fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+        fs, base = pafs.FileSystem.from_uri(uri)
         for pdf in batches:
             out = []
             for d, body in zip(pdf["digest"], pdf["body"]):
                 path = f"{base.rstrip('/')}/{d[0]}/{d}.gz"
                 data = gzip.compress(body.encode() if isinstance(body, str) else bytes(body), mtime=0)
-                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                with fs.open_output_stream(path, compression=None) as f:
-                    f.write(data)
+                _put(fs, path, data)
                 out.append((d, path, len(data)))
             yield pd.DataFrame(out, columns=["digest", "path", "written_bytes"])
 
