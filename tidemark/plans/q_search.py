@@ -132,7 +132,7 @@ def matches_ctes(request: Stated) -> tuple[tuple[str, str], ...]:
 _SEARCH_NEEDS = ("search_docs", "postings", "field_lengths", "field_stats")
 
 
-def _oracle(body: str, request: Stated, *more: str, extra=()) -> str:
+def search_oracle(body: str, request: Stated, *more: str, extra=()) -> str:
     return with_ctes(body, *_SEARCH_NEEDS, *more, extra=matches_ctes(request) + tuple(extra))
 
 
@@ -169,7 +169,7 @@ def field_stats_q(spark, sf):
 
 # ------------------------------------------------------------------ ranked queries
 def _match_query(name, query, stated):
-    @register(name, _oracle("SELECT snapshot, surt, round(score, 6) AS score FROM matches", stated))
+    @register(name, search_oracle("SELECT snapshot, surt, round(score, 6) AS score FROM matches", stated))
     def run(spark, sf):
         return _matches(spark, sf, query).select("snapshot", "surt", _rounded("score"))
     run.__name__ = name
@@ -189,7 +189,7 @@ search_group = _match_query("search_group", Q_GROUP, S_GROUP)
 
 
 # ------------------------------------------------------------------ facets
-@register("facet_patterns", _oracle("""
+@register("facet_patterns", search_oracle("""
     SELECT coalesce(p.slug, c.slug) AS slug, p.sort_id AS sort_key, CAST(coalesce(c.n, 0) AS BIGINT) AS n
     FROM patterns p FULL JOIN (SELECT slug, count(*) AS n FROM matches GROUP BY slug) c ON c.slug = p.slug""",
                                     S_TERMS, "patterns"))
@@ -197,7 +197,7 @@ def facet_patterns(spark, sf):
     return srch.facet_patterns(_matches(spark, sf, Q_TERMS), fx.patterns(spark, sf))
 
 
-@register("facet_years", _oracle(f"""
+@register("facet_years", search_oracle(f"""
     SELECT CAST(coalesce(y.year, c.year) AS INTEGER) AS year, CAST(coalesce(c.n, 0) AS BIGINT) AS n
     FROM (SELECT unnest(range((SELECT max(year) FROM search_docs), {_FIRST_YEAR - 1}, -1)) AS year) y
     FULL JOIN (SELECT year, count(*) AS n FROM matches GROUP BY year) c ON c.year = y.year""", S_TERMS))
@@ -207,7 +207,7 @@ def facet_years(spark, sf):
     return srch.facet_years(srch.search_matches(docs, post, Q_TERMS, stats), last)
 
 
-@register("search_total", _oracle(f"""
+@register("search_total", search_oracle(f"""
     SELECT CAST(count(*) AS BIGINT) AS total, CAST(ceil(count(*) / {PAGE}) AS BIGINT) AS pages FROM matches""", S_TERMS))
 def search_total(spark, sf):
     return srch.search_total(srch.facet_patterns(_matches(spark, sf, Q_TERMS), fx.patterns(spark, sf)), PAGE)
@@ -224,12 +224,12 @@ def _top_sql(offset: int) -> tuple[tuple[str, str], ...]:
     return _TOP_CTES + (("q_top", f"SELECT * FROM q_ranked WHERE rank > {offset} AND rank <= {offset + PAGE}"),)
 
 
-@register("top_surts", _oracle("SELECT rank, surt, round(best, 6) AS best, n_hits FROM q_top", S_TERMS, extra=_top_sql(0)))
+@register("top_surts", search_oracle("SELECT rank, surt, round(best, 6) AS best, n_hits FROM q_top", S_TERMS, extra=_top_sql(0)))
 def top_surts(spark, sf):
     return srch.top_surts(_matches(spark, sf, Q_TERMS), PAGE, 0).select("rank", "surt", _rounded("best"), "n_hits")
 
 
-@register("top_surts_page2", _oracle("SELECT rank, surt, round(best, 6) AS best, n_hits FROM q_top", S_TERMS, extra=_top_sql(PAGE)))
+@register("top_surts_page2", search_oracle("SELECT rank, surt, round(best, 6) AS best, n_hits FROM q_top", S_TERMS, extra=_top_sql(PAGE)))
 def top_surts_page2(spark, sf):
     return srch.top_surts(_matches(spark, sf, Q_TERMS), PAGE, PAGE).select("rank", "surt", _rounded("best"), "n_hits")
 
@@ -240,7 +240,7 @@ def _ranked(spark, sf):
     return m, top, srch.group_hits(m, top)
 
 
-_HITS = _top_sql(0) + (
+PAGE_CTES = _top_sql(0) + (
     ("q_hits", "SELECT m.*, t.rank, t.best FROM matches m JOIN q_top t ON t.surt = m.surt"),
     ("q_caps", """SELECT h.rank, s.surt, s.captured_at, s.snapshot, h.score FROM success s
                   JOIN q_hits h ON h.snapshot = s.snapshot AND h.surt = s.surt"""),
@@ -255,21 +255,21 @@ _HITS = _top_sql(0) + (
 )
 
 
-@register("hit_captures", _oracle("SELECT rank, surt, captured_at, snapshot, round(score, 6) AS score FROM q_caps", S_TERMS, "success",
-                                  extra=_HITS))
+@register("hit_captures", search_oracle("SELECT rank, surt, captured_at, snapshot, round(score, 6) AS score FROM q_caps", S_TERMS, "success",
+                                  extra=PAGE_CTES))
 def hit_captures(spark, sf):
     _, _, hits = _ranked(spark, sf)
     return srch.hit_captures(hits, fx.success(spark, sf)).withColumn("score", _rounded("score"))
 
 
-@register("surt_timeline", _oracle("SELECT rank, surt, captured_at FROM q_timeline", S_TERMS, "success", extra=_HITS))
+@register("surt_timeline", search_oracle("SELECT rank, surt, captured_at FROM q_timeline", S_TERMS, "success", extra=PAGE_CTES))
 def surt_timeline(spark, sf):
     _, top, _ = _ranked(spark, sf)
     return srch.surt_timeline(top, fx.success(spark, sf)).select("rank", "surt", "captured_at")
 
 
-@register("timeline_hits", _oracle("SELECT rank, surt, captured_at, round(score, 6) AS score FROM q_tl_hits", S_TERMS, "success",
-                                   extra=_HITS))
+@register("timeline_hits", search_oracle("SELECT rank, surt, captured_at, round(score, 6) AS score FROM q_tl_hits", S_TERMS, "success",
+                                   extra=PAGE_CTES))
 def timeline_hits(spark, sf):
     _, top, hits = _ranked(spark, sf)
     succ = fx.success(spark, sf)
@@ -277,13 +277,13 @@ def timeline_hits(spark, sf):
             .withColumn("score", _rounded("score")))
 
 
-@register("page_titles", _oracle("SELECT surt, title, n FROM q_titles", S_TERMS, "success", extra=_HITS))
+@register("page_titles", search_oracle("SELECT surt, title, n FROM q_titles", S_TERMS, "success", extra=PAGE_CTES))
 def page_titles(spark, sf):
     _, _, hits = _ranked(spark, sf)
     return srch.page_titles(hits).select("surt", "title", "n")
 
 
-@register("page_results", _oracle("""
+@register("page_results", search_oracle("""
     SELECT t.rank, t.surt,
            'https://' || array_to_string(list_reverse(string_split(split_part(t.surt, ')', 1), ',')), '.')
              || substr(t.surt, length(split_part(t.surt, ')', 1)) + 2) AS canonical_url,
@@ -296,7 +296,7 @@ def page_titles(spark, sf):
     JOIN (SELECT surt, max(captured_at) AS newest FROM q_hits GROUP BY surt) nw ON nw.surt = t.surt
     LEFT JOIN (SELECT surt, count(*) AS n_captures, count(score) AS n_hit_captures, min(captured_at) AS first_capture,
                       max(captured_at) AS last_capture
-               FROM q_tl_hits GROUP BY surt) tl ON tl.surt = t.surt""", S_TERMS, "success", extra=_HITS))
+               FROM q_tl_hits GROUP BY surt) tl ON tl.surt = t.surt""", S_TERMS, "success", extra=PAGE_CTES))
 def page_results(spark, sf):
     """One search request through ``search.search``; its page rows."""
     docs, post, _ = _index(spark, sf)

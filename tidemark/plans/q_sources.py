@@ -16,6 +16,7 @@ from tidemark.operators import search as srch
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import register
 from tidemark.plans.oracle import d_digest, d_redirect_html, with_ctes
+from tidemark.plans.q_search import PAGE_CTES, S_TERMS, search_oracle
 from tidemark.session import checkpoint_dir
 from tidemark.sources import cdx, exchange, redirects as rd, store as stg
 
@@ -288,11 +289,10 @@ def search_response_json(spark, sf):
     """The search response as JSON lines: one document per hit capture, nesting its page (rank, URL, title,
     counts) and the hit (instant, snapshot, score, replay URL). Pages and hits are joined, not collected, so a URL
     with very many captures never becomes one giant record."""
-    from tidemark.plans.q_search import _ranked
-    _, top, hits = _ranked(spark, sf)
-    pages = srch.page_results(top, hits, srch.timeline_hits(srch.surt_timeline(top, fx.success(spark, sf)),
-                                                             srch.hit_captures(hits, fx.success(spark, sf))))
-    caps = srch.hit_captures(hits, fx.success(spark, sf))
+    from tidemark.plans.q_search import PAGE, Q_TERMS
+    r = srch.search(fx.search_docs(spark, sf), fx.postings(spark, sf), fx.success(spark, sf), fx.patterns(spark, sf),
+                    Q_TERMS, limit=PAGE)
+    pages, caps = r.pages, srch.hit_captures(r.hits, fx.success(spark, sf))
     page = F.struct("rank", "surt", "canonical_url", "title", "score", "n_hits", "n_captures")
     hit = F.struct(F.col("captured_at"), F.col("snapshot"), F.col("hit_score").alias("score"),
                    tf.archive_url(F.col("canonical_url"), F.col("captured_at")).alias("archive_url"))
@@ -300,6 +300,24 @@ def search_response_json(spark, sf):
     return j.select("rank", "captured_at", F.to_json(F.struct(page.alias("page"), hit.alias("hit"))).alias("json"))
 
 
+_RESPONSE_SCHEMA = ("page struct<rank: int, surt: string, title: string, score: double, n_hits: long>, "
+                    "hit struct<captured_at: timestamp, snapshot: string, score: double, archive_url: string>")
+
+
+@register("search_response", search_oracle("""
+    SELECT t.rank, t.surt, ti.title, round(t.best, 6) AS page_score, t.n_hits, c.captured_at, c.snapshot,
+           round(c.score, 6) AS hit_score,
+           'https://web.archive.org/web/' || strftime(c.captured_at, '%Y%m%d%H%M%S') || '/' || 'https://'
+             || array_to_string(list_reverse(string_split(split_part(t.surt, ')', 1), ',')), '.')
+             || substr(t.surt, length(split_part(t.surt, ')', 1)) + 2) AS archive_url
+    FROM q_caps c JOIN q_top t ON t.surt = c.surt JOIN q_titles ti ON ti.surt = t.surt""", S_TERMS, "success", extra=PAGE_CTES))
+def search_response(spark, sf):
+    """The response's JSON lines, read back as typed columns."""
+    r = search_response_json(spark, sf).select(F.from_json("json", _RESPONSE_SCHEMA).alias("j")).select("j.page", "j.hit")
+    return r.select("page.rank", "page.surt", "page.title", F.round("page.score", 6).alias("page_score"), "page.n_hits",
+                    "hit.captured_at", "hit.snapshot", F.round("hit.score", 6).alias("hit_score"), "hit.archive_url")
+
+
 @register("stream_reindex", with_ctes("SELECT snapshot, field, pos, token FROM postings", "postings"))
 def stream_reindex(spark, sf):
     """Newly indexed documents arrive as parquet files in two batches; a file stream tokenises each batch into
