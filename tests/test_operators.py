@@ -58,6 +58,21 @@ def test_cdx_header_skipped_and_row_rejects(spark):
     assert "digest" not in [r.digest for r in cdx.page_digests(cdx.read_pages(spark, path)).collect()]
 
 
+def test_cdx_strict_rows(spark):
+    # a key that is none, 32 symbols that are no digest, an offset that is no number; a short digest is kept as it is
+    path = checkpoint_dir(spark, f"t-cdx3-{uuid.uuid4().hex}")
+    os.makedirs(path, exist_ok=True)
+    head = ",".join(f'"{h}"' for h in cdx.FULL_HEADER)
+    row = '["{k}","20200101000000","http://x.com/","text/html","200","{d}","-","-","10","{o}","f"]'
+    bad = [("COM,X)/", "A" * 32, "1"), ("com,x", "A" * 32, "1"), ("com,x)/", "1" * 32, "1"), ("com,x)/", "A" * 32, "x"),
+           ("com,x)/", "A" * 32, "1"), ("com,x)/", "short", "1")]
+    with open(os.path.join(path, "1577836800000.json"), "w") as f:
+        f.write(f"[[{head}]," + ",".join(row.format(k=k, d=d, o=o) for k, d, o in bad) + "]")
+    rows = cdx.decode_rows(cdx.read_pages(spark, path)).orderBy("pos").collect()
+    assert [r._error for r in rows] == ["key", "key", "digest", "offset", None, None]
+    assert rows[0].page_ts == dt.datetime(2020, 1, 1)
+
+
 def test_cdx_other_column_order(spark):
     path = checkpoint_dir(spark, f"t-cdx2-{uuid.uuid4().hex}")
     os.makedirs(path, exist_ok=True)

@@ -66,7 +66,7 @@ def decode_rows(pages: DataFrame) -> DataFrame:
     ts_s, st_s, len_s = field("timestamp"), field("statuscode"), field("length")
     ts = ts14_parse(ts_s)
     err = (F.when(F.size("r") != F.size("header"), F.lit("row length"))
-           .when(surt_parse(field("urlkey")).isNull(), F.lit("key"))
+           .when(F.array_contains("header", "urlkey") & surt_parse(field("urlkey")).isNull(), F.lit("key"))
            .when(ts.isNull(), F.lit("timestamp"))
            .when(status_code_error(st_s), F.lit("status"))
            .when(digest_kind(field("digest")) == "error", F.lit("digest"))

@@ -42,6 +42,13 @@ def zstd_decompress(b: pd.Series) -> pd.Series:
     return b.map(body)
 
 
+@F.pandas_udf(T.BinaryType())
+def zstd_compress(b: pd.Series) -> pd.Series:
+    import zstandard
+    c = zstandard.ZstdCompressor(level=ZSTD_LEVEL)
+    return b.map(lambda x: None if x is None else c.compress(x))
+
+
 def read_bodies(spark: SparkSession, root: str, suffix: str = "*.zst") -> DataFrame:
     """(path, digest, body binary, text) ; ``text`` is NULL when the body is not valid UTF-8 (to rejects)."""
     f = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix)
