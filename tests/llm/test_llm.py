@@ -310,6 +310,18 @@ def test_quality_held_out(spark, sf_check):
     assert _accuracy(rows, labels, "quality", 0.7) > 0.8
 
 
+def test_common_toxic_terms_count(spark):
+    """A term of every toxic row stays a term where three rows in ten are toxic, or all labelled rows are few."""
+    rows = [(f"vile{i % 7} scum the page{i}" if i % 10 < 3 else f"fine the page{i}", int(i % 10 < 3)) for i in range(400)]
+    terms = toxicity.choose_terms(spark.createDataFrame(rows, "text string, label int"))
+    assert {"scum", "fine", "vile*"} <= {t.decode() for t in terms} and b"the" not in terms
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(1000, "scum other"), (1001, "fine other")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, (_, k) in enumerate(rows)], "doc_id long, label int")
+    score = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert score[1000] > 0.9 and score[1001] < 0.1
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(3)
     vectors = []

@@ -22,9 +22,8 @@ from tidemark.llm.common import documents, row_key, without, written
 EXAMPLES = 12_000
 #: Chi-square value from which a term counts as telling (about one false term in a million tests).
 SIGNIFICANT = 24.0
-#: A term must occur in this many examples, and in no larger share of them (commoner ones are stop words: they tell the
-#: length of a text, not its class).
-MIN_EXAMPLES, MOST_SHARE = 4, 0.05
+#: A term must occur in this many examples.
+MIN_EXAMPLES = 4
 NEIGHBOURS = 15
 #: Prior votes added to every neighbourhood, and lengths of the prefixes in bytes.
 PRIOR, PREFIXES = 0.5, range(4, 13)
@@ -89,10 +88,15 @@ def choose_terms(examples: DataFrame) -> list[str]:
     chi = n * diff * diff / (df * (n - df) * float(pos) * float(neg))
     found = (examples.select("text", "label").mapInArrow(run, "term binary, label int")
              .groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("label").cast("double").alias("a"))
-             .where((df >= MIN_EXAMPLES) & (df <= F.lit(max(MIN_EXAMPLES, MOST_SHARE * n))) & (df < n)).where(chi >= SIGNIFICANT).select("term"))
+             .where((df >= MIN_EXAMPLES) & (df < n)).where(chi >= SIGNIFICANT).select("term"))
     return sorted(bytes(r[0]) for r in found.collect())   # bounded: terms of at most EXAMPLES rows
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... (``size`` of them) of every range, one range after the other."""
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
 class BlockMaxIndex:
     """Inverted index over unit vectors, with the largest weight per term and block of ``BLOCK`` examples."""
 
@@ -103,21 +107,24 @@ class BlockMaxIndex:
         for e, v in enumerate(vectors):
             for t, w in v.items():
                 lists[t].append((e, w))
-        self.ids = [np.array([e for e, _ in p], dtype=np.int64) for p in lists]
-        self.weights = [np.array([w for _, w in p]) for p in lists]
-        # per term: blocks that hold it, where their postings start, and the block maxima
-        self.blocks, self.starts, self.maxima = [], [], []
-        for ids, w in zip(self.ids, self.weights):
-            at = np.flatnonzero(np.r_[True, np.diff(ids // BLOCK) > 0]) if len(ids) else np.empty(0, np.int64)
-            self.blocks.append(ids[at] // BLOCK)
-            self.starts.append(np.r_[at, len(ids)])
-            self.maxima.append(np.maximum.reduceat(w, at) if len(ids) else np.empty(0))
+        # postings of all terms one after the other, cut into runs of one term and block
+        ids = np.array([e for p in lists for e, _ in p], dtype=np.int64)
+        self.weights = np.array([w for p in lists for _, w in p], dtype=float)
+        term = np.repeat(np.arange(n_terms), [len(p) for p in lists])
+        new = np.r_[True, (np.diff(term) > 0) | (np.diff(ids // BLOCK) > 0)] if len(ids) else np.empty(0, bool)
+        self.starts = np.flatnonzero(new)
+        self.sizes = np.diff(np.r_[self.starts, len(ids)])
+        self.lane, self.blocks = ids % BLOCK, ids[self.starts] // BLOCK
+        self.maxima = np.maximum.reduceat(self.weights, self.starts) if len(ids) else np.empty(0)
+        self.runs = np.searchsorted(term[self.starts], np.arange(n_terms + 1))      # first run of each term
 
     def search(self, query: dict[int, float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above zero, ties to the smaller example number, ``skip`` left out."""
-        bound = np.zeros(self.n_blocks)
-        for t, q in query.items():
-            bound[self.blocks[t]] += q * self.maxima[t]
+        terms = np.fromiter(query, np.int64, len(query))
+        n_runs = self.runs[terms + 1] - self.runs[terms]
+        runs = _ranges(self.runs[terms], n_runs)
+        blocks, q = self.blocks[runs], np.repeat(np.fromiter(query.values(), float, len(query)), n_runs)
+        bound = np.bincount(blocks, q * self.maxima[runs], self.n_blocks)
         order = np.flatnonzero(bound > 0)
         order = order[np.argsort(-bound[order], kind="stable")]
         best_e, best_s = np.empty(0, np.int64), np.empty(0)
@@ -130,15 +137,12 @@ class BlockMaxIndex:
             row[batch] = np.arange(len(batch))
             at += step
             step *= 4
-            score = np.zeros(len(batch) * BLOCK)
-            for t, q in query.items():
-                held = row[self.blocks[t]]
-                hit = np.flatnonzero(held >= 0)
-                if not len(hit):
-                    continue
-                first, size = self.starts[t][hit], self.starts[t][hit + 1] - self.starts[t][hit]
-                own = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
-                score[np.repeat(held[hit], size) * BLOCK + self.ids[t][own] % BLOCK] += q * self.weights[t][own]
+            held = row[blocks]
+            hit = np.flatnonzero(held >= 0)
+            size = self.sizes[runs[hit]]
+            own = _ranges(self.starts[runs[hit]], size)
+            score = np.bincount(np.repeat(held[hit] * BLOCK, size) + self.lane[own],
+                                np.repeat(q[hit], size) * self.weights[own], len(batch) * BLOCK)
             r = np.flatnonzero(score)
             e = batch[r // BLOCK] * BLOCK + r % BLOCK
             s = score[r]
