@@ -371,6 +371,39 @@ def test_mixing(spark, docs, empty, sf_small):
     assert {r["rate"] for r in mixing.mix(docs.where("doc_id in (5001, 5002)"), labels, queries.TARGETS).collect()} == {1.0}
 
 
+def test_mixing_meets_targets_for_unrounded_posteriors(spark):
+    """Memberships of a few hundredths count: domain totals against naive Bayes worked out here, from all counts."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(["Word" if rng.random() < (0.45 if i % 2 else 0.55) else "word"] * 3 + ["x1"] * int(rng.integers(1, 9)))
+             for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, "rare" if i % 16 == 1 else "usual") for i in range(400)], "doc_id long, domain string")
+    targets = {"rare": 0.06, "usual": 0.94}
+    rows = mixing.mix(docs, labels, targets).collect()
+    stats = {r["doc_id"]: r["stats"] for r in mixing._statistics(docs).collect()}
+    ids = [r["doc_id"] for r in rows]
+    x = np.array([stats[i] for i in ids])
+    y = np.array([int(i % 16 != 1) for i in ids])
+    logs = np.log([((y == c).sum() + 1.0) / (len(y) + 2) for c in (0, 1)]) * np.ones((len(y), 2))
+    for col in x.T:
+        own = np.sort(col)
+        cuts = sorted({own[int(np.ceil(k / mixing.BINS * len(own))) - 1] for k in range(1, mixing.BINS)})
+        bins = (np.array(cuts)[None, :] < col[:, None]).sum(1)
+        for c in (0, 1):
+            n = np.bincount(bins[y == c], minlength=len(cuts) + 1)
+            logs[:, c] += np.log((n[bins] + 0.5) / ((y == c).sum() + 0.5 * (len(cuts) + 1)))
+    p = np.exp(logs - logs.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    assert ((p > 0.001) & (p < 1 / 16)).any()
+    assert np.allclose(p, [r["posterior"] for r in rows], atol=1e-9)
+    t = np.array([r["n_words"] for r in rows], dtype=float)
+    share, best = t / t.sum(), np.ones(len(t))
+    for _ in range(20_000):
+        gap = p.T @ (share * best) - [0.06, 0.94]
+        best = np.maximum(0, best - (p @ gap + mixing.RIDGE * (best - 1)) / (1 + mixing.RIDGE))
+    assert np.allclose(p.T @ (share * [r["rate"] for r in rows]), p.T @ (share * best), atol=1e-4)
+
+
 def test_mixing_posteriors_know_the_domains(spark, sf_check):
     docs = queries.table(spark, sf_check, "documents")
     labels = queries.domain_labels(spark, sf_check, docs)

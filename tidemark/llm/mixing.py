@@ -5,10 +5,9 @@ over domains. Rates w >= 0 minimise
 
     1/2 * sum_d (sum_i t_i p_id w_i / T - target_d)^2  +  RIDGE/2 * sum_i t_i / T * (w_i - 1)^2
 
-(t_i: words of document i, T: all words, p_id: its posterior) by accelerated projected gradient. A rate depends on its
-document's posterior alone, and posteriors are multiples of 1/GRID, so a step is one aggregate over the distinct posteriors
-with their words; only the residual (one number per domain) comes to the driver, and the rates are replayed from the
-residuals row by row.
+(t_i: words of document i, T: all words, p_id: its posterior) by accelerated projected gradient. Posteriors are kept in
+full and a step is one aggregate over the documents; only the residual (one number per domain) comes to the driver. Every
+document moves by itself, so its rate is replayed from the residuals since the rates were last written.
 """
 
 from __future__ import annotations
@@ -24,8 +23,10 @@ from tidemark.llm.common import documents, row_key, written
 CLASSES = {"upper": r"[A-Z]", "digit": r"[0-9]", "sign": r"[|!#$%&*@+=~^_<>]", "umlaut": r"[äöüß]",
            "acute": r"[áíóúñ]", "grave": r"[èêàçùâé]"}
 STATISTICS = (*CLASSES, "word_length", "log_words")
-#: Quantile bins per statistic, steps of a posterior, strength of staying near rate 1, most steps, largest change at rest.
-BINS, GRID, RIDGE, STEPS, REST = 12, 16, 0.01, 60, 1e-6
+#: Quantile bins per statistic, strength of staying near rate 1, most steps, largest change at rest.
+BINS, RIDGE, STEPS, REST = 12, 0.01, 60, 1e-6
+#: Steps that are replayed before the rates are written.
+REPLAYED = 6
 
 
 def _statistics(docs: DataFrame, *extra: str) -> DataFrame:
@@ -69,59 +70,48 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], *extra:
         logs.append(sum((F.get(F.lit(row), F.get("bins", F.lit(k))) for k, row in enumerate(table)), prior))
     s = stats.withColumn("bins", _binned(cuts)).withColumn("logs", F.array(*logs))
     s = s.withColumn("odds", F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))))
-    # rounded down to the grid, the rest to the likeliest domain: non-negative multiples of 1/GRID that sum to 1
-    s = s.withColumn("units", F.transform("odds", lambda x: F.floor(x * GRID / F.aggregate(
-        "odds", F.lit(0.0), lambda a, y: a + y))))
-    rest = GRID - F.aggregate("units", F.lit(0).cast("long"), lambda a, x: a + x)
-    top = F.array_position("odds", F.array_max("odds")) - 1
-    return s.select("doc_id", "row_key", *extra, "n_words",
-                    F.transform("units", lambda x, i: (x + F.when(i == top, rest).otherwise(0)) / GRID).alias("posterior"))
+    total = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
+    return s.withColumn("total", total).select("doc_id", "row_key", *extra, "n_words",
+                                               F.transform("odds", lambda x: x / F.col("total")).alias("posterior"))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _dot(values: list[float]) -> Column:
+    """Product of the posterior with ``values``."""
+    return sum((F.get("posterior", F.lit(k)) * F.lit(x) for k, x in enumerate(values)), F.lit(0.0))
 
 
-def _replay(residuals: list[list[float]], present: list[float]) -> Column:
-    """struct(w, y): rate and look-ahead point of a posterior after the steps with these residuals.
+def _moved(state: DataFrame, residual: list[float], present: list[float], momentum: float) -> DataFrame:
+    """``state`` (posterior, w, y, ...) after a step: w the rates, y the look-ahead point.
 
     A document's step is 1 / (p_i . present + RIDGE), present being the domains' shares at rate 1: the sum of its row
     of the (non-negative) Hessian, so together the steps never overshoot, and rare domains don't wait for large ones."""
-    size = 1.0 / (_dot(F.col("posterior"), F.lit(present)) + RIDGE)
-    start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("y"), size.alias("size"))
-    if not residuals:
-        return start
-    moves, step = [], 1.0
-    for r in residuals:
+    slope = _dot(residual) + RIDGE * (F.col("y") - 1)
+    s = state.withColumn("next", F.greatest(F.lit(0.0), F.col("y") - slope / (_dot(present) + RIDGE)))
+    return (s.withColumn("y", F.col("next") + momentum * (F.col("next") - F.col("w")))
+            .withColumn("w", F.col("next")).drop("next"))
+
+
+def fit_rates(documents_: DataFrame, targets: list[float]) -> DataFrame:
+    """``documents_`` (posterior, n_words, ...) with w, their rates when the steps towards ``targets`` rest."""
+    total = float(documents_.agg(F.sum("n_words")).first()[0] or 0)
+    state = documents_.withColumns({"w": F.lit(1.0), "y": F.lit(1.0)})
+    present: list[float] = []
+    before: list[float] = []
+    step = 1.0
+    for k in range(STEPS if total else 0):
+        v = F.col("y") * F.col("n_words") / total
+        shares = state.agg(*[F.sum(F.get("posterior", F.lit(k)) * v) for k in range(len(targets))]).first()
+        residual = [float(x) - t for x, t in zip(shares, targets)]
+        present = present or list(map(float, shares))
         after = (1 + math.sqrt(1 + 4 * step * step)) / 2
-        moves.append(F.struct(F.lit(r).alias("r"), F.lit((step - 1) / after).alias("m")))
+        state = _moved(state, residual, present, (step - 1) / after)
         step = after
-
-    def move(state: Column, x: Column) -> Column:
-        y, size = state["y"], state["size"]
-        w = F.greatest(F.lit(0.0), y - size * (_dot(F.col("posterior"), x["r"]) + RIDGE * (y - 1)))
-        return F.struct(w.alias("w"), (w + x["m"] * (w - state["w"])).alias("y"), size.alias("size"))
-
-    return F.aggregate(F.array(*moves), start, move)
-
-
-def fit_residuals(documents_: DataFrame, targets: list[float]) -> tuple[list[list[float]], list[float]]:
-    """Residuals (expected shares at the look-ahead point less ``targets``) of the steps until they rest, and the
-    domains' shares at rate 1."""
-    groups = written(documents_.groupBy("posterior").agg(F.sum("n_words").cast("double").alias("n_words")))
-    total = groups.agg(F.sum("n_words")).first()[0] or 0.0
-    residuals: list[list[float]] = []
-    present = [0.0] * len(targets)
-    for _ in range(STEPS if total else 0):
-        y = _replay(residuals, present)["y"]
-        shares = groups.select("posterior", (y * F.col("n_words") / total).alias("v")).agg(*[
-            F.sum(F.get("posterior", F.lit(k)) * F.col("v")) for k in range(len(targets))]).first()
-        now = [float(x) - t for x, t in zip(shares, targets)]
-        present = present if residuals else list(map(float, shares))
-        residuals.append(now)
-        if len(residuals) > 1 and max(abs(a - b) for a, b in zip(now, residuals[-2])) < REST:
+        if before and max(abs(a - b) for a, b in zip(residual, before)) < REST:
             break
-    return residuals, present
+        before = residual
+        if (k + 1) % REPLAYED == 0:
+            state = written(state)
+    return state.drop("y")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
@@ -137,7 +127,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Data
     scale = sum(targets.values())
     docs = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
     p = written(posteriors(docs, labelled, domains, "source"))
-    steps = fit_residuals(p, [targets[d] / scale for d in domains])
+    p = fit_rates(p, [targets[d] / scale for d in domains])
     likeliest = F.array_position("posterior", F.array_max("posterior")).cast("int")
     return p.select("doc_id", "source", "n_words", F.element_at(F.lit(domains), likeliest).alias("domain"), "posterior",
-                    _replay(*steps)["w"].alias("rate"), "row_key")
+                    F.col("w").alias("rate"), "row_key")
