@@ -282,6 +282,20 @@ def test_line_dedup(docs, rows, empty, run):
     assert line_dedup.remove_copied_lines(empty, run).count() == 0
 
 
+def test_url_templates_of_deep_paths(spark):
+    """Branches that part below the sixth segment have verdicts of their own, at any depth."""
+    for depth in (6, 7, 40):
+        top = "/" + "/".join("abcdefgh"[i % 8] for i in range(depth))
+        rules = [("block", "a.net", top + "/bad/0"), ("allow", "a.net", top + "/good/0")]
+        urls = [f"http://a.net{top}/{k}/{i}" for k in ("bad", "good") for i in [*range(10, 40), *(f"0{j}" for j in range(50))]]
+        urls += ["http://a.net", "http://a.net/a", "http://a.net/a/b"]
+        pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        got = {urls[r["page_id"]]: r for r in url_filter.judge_urls(pages, rules).collect()}
+        assert len(got) == len(urls)
+        assert all(r["verdict"] == ("block" if "/bad/" in u else "allow") for u, r in got.items())
+        assert got[f"http://a.net{top}/bad/12"]["template"] == top + "/bad/{n}"
+
+
 def _fold(i, n):
     return zlib.crc32(str(i).encode()) % n
 

@@ -16,8 +16,8 @@ from tidemark.llm.common import written
 # The given rules (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Levels of the tree; what lies deeper is one wildcard.
-LEVELS = 6
+#: Levels whose tables are read side by side before they are written as one.
+SIDE_BY_SIDE = 32
 #: A literal segment is variable if its parent has so many children and it holds less than this share of its pages.
 CHILDREN, RARE = 20, 0.02
 #: Strength of smoothing, rejected purity, and the significance bound of the two-rate test.
@@ -47,21 +47,28 @@ def matching_rule(host: Column, path: Column, rules) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    """Path segments with numbers and long identifiers as wildcards; levels beyond LEVELS as one ``{rest}``."""
+    """Path segments with numbers and long identifiers as wildcards."""
     own = F.split(F.regexp_replace(path, "^/", ""), "/")
     own = F.transform(own, lambda s: F.when(s.rlike(r"^(?=.*[0-9])[0-9a-fA-F-]{12,}$"), F.lit("{id}"))
                       .otherwise(F.regexp_replace(s, "[0-9]+", "{n}")))
-    own = F.when(path == "", F.array().cast("array<string>")).otherwise(own)
-    return F.when(F.size(own) > LEVELS, F.concat(F.slice(own, 1, LEVELS), F.array(F.lit("{rest}")))).otherwise(own)
+    return F.when(path == "", F.array().cast("array<string>")).otherwise(own)
+
+
+def _with(done: DataFrame | None, level: DataFrame, k: int) -> DataFrame:
+    """``done`` and the rows of level ``k``; plans stay short however deep the tree is."""
+    both = level if done is None else done.unionByName(level)
+    return written(both) if k % SIDE_BY_SIDE == SIDE_BY_SIDE - 1 else both
 
 
 def _templates(shapes: DataFrame) -> DataFrame:
     """``shapes`` (host, segments, pages, labelled, blocked) with ``nodes``: the templates on the way to its own."""
     depth = shapes.agg(F.coalesce(F.max(F.size("segments")), F.lit(0))).first()[0]
     t = shapes.withColumn("at", F.lit("")).withColumn("nodes", F.array(F.lit("")))
-    for k in range(depth):
-        t = t.withColumn("child", F.get("segments", F.lit(k)))
-        children = t.where("child is not null").groupBy("host", "at", "child").agg(F.sum("pages").alias("own_pages"))
+    done = None
+    for k in range(depth):                       # a path takes part in the levels it has
+        done = _with(done, t.where(F.size("segments") == k), k)
+        t = t.where(F.size("segments") > k).withColumn("child", F.get("segments", F.lit(k)))
+        children = t.groupBy("host", "at", "child").agg(F.sum("pages").alias("own_pages"))
         parents = (children.groupBy("host", "at")
                    .agg(F.count(F.lit(1)).alias("n_children"), F.sum("own_pages").alias("all_pages")))
         rare = (children.join(parents, ["host", "at"])
@@ -69,12 +76,10 @@ def _templates(shapes: DataFrame) -> DataFrame:
                 .select("host", "at", "child", F.lit(True).alias("rare")))
         step = F.concat("at", F.lit("/"), F.when(F.col("rare"), F.lit("{v}")).otherwise(F.col("child")))
         t = (t.join(rare, ["host", "at", "child"], "left")
-             .withColumn("at", F.when(F.col("child").isNull(), F.col("at")).otherwise(step))
-             .withColumn("nodes", F.when(F.col("child").isNull(), F.col("nodes"))
-                         .otherwise(F.concat("nodes", F.array("at"))))
+             .withColumn("at", step).withColumn("nodes", F.concat("nodes", F.array("at")))
              .drop("child", "rare"))
         t = written(t)
-    return t
+    return _with(done, t, depth)
 
 
 def template_purity(shapes: DataFrame) -> DataFrame:
@@ -109,7 +114,7 @@ def template_purity(shapes: DataFrame) -> DataFrame:
         e = F.when(F.col("alone"), F.col("labelled")).otherwise(F.col("pool_n"))
         level = written(c.select("host", "node", "labelled", "blocked", rate(b, e, F.col("p")).alias("purity"),
                                  e.alias("evidence")))
-        done = done.unionByName(level)
+        done = _with(done, level, k)
     return done.select("host", "node", "purity", "evidence")
 
 
