@@ -4,9 +4,11 @@ connected components, and byte-level tokenising for the Arrow-batched operators.
 from __future__ import annotations
 
 import functools
+import math
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,39 @@ def partition_keys(spark: SparkSession, n: int) -> np.ndarray:
     return keys
 
 
+def summed(rows: DataFrame, cells, width: int, dtype=np.float64) -> np.ndarray:
+    """Sum over all Arrow batches of ``rows`` of ``cells(batch)``, a numeric vector of ``width``.
+
+    Each task sends one packed vector; vectors are added in a tree of square-root fan-in, so at most 64 of them reach
+    the driver at any number of tasks. No rows: zeros."""
+    def vector(total: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    def own(batches):
+        total = np.zeros(width, dtype)
+        for b in batches:
+            if b.num_rows:
+                total += cells(b)
+        yield vector(total)
+
+    def merge(batches):
+        total = np.zeros(width, dtype)
+        for b in batches:
+            for v in b.column(0).to_pylist():
+                total += np.frombuffer(v, dtype)
+        yield vector(total)
+
+    n = rows.rdd.getNumPartitions()
+    parts = rows.mapInArrow(own, "v binary")
+    while n > 64:
+        n = math.isqrt(n)
+        parts = parts.repartition(n).mapInArrow(merge, "v binary")
+    out = np.zeros(width, dtype)
+    for r in parts.collect():
+        out += np.frombuffer(r["v"], dtype)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long): one row (node, root) per node that has an edge,
     root the smallest node of its component.

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import (decontaminate, exact_dedup, licenses, line_dedup, mixing, quality, simhash, substring_dedup,
-                          toxicity, url_filter)
+from tidemark.llm import (decontaminate, exact_dedup, licenses, line_dedup, merkle, mixing, pieces, quality, simhash,
+                          substring_dedup, toxicity, url_filter, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -169,6 +169,85 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text: bit by bit over its bytes (reflected polynomial 0xEDB88320)."""
+    eight = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384::BIGINT * (x & 1)))"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), "
+            f"lambda ch: ascii(ch)::BIGINT)), lambda c, b: {eight}), 4294967295::BIGINT)")
+
+
+def _tree_sql(name: str, start: str, levels: int) -> str:
+    """CTEs of a hash tree of fan-out 16 over ``start`` (tree, p, h, n): node levels ``name``0.. and runs ``name``r0.."""
+    out = [f"{name}0 AS MATERIALIZED (SELECT tree, p, h, n FROM {start})"]
+    for k in range(levels):
+        out.append(f"{name}r{k} AS MATERIALIZED (SELECT tree, p // 16 AS q, list(h ORDER BY p) AS run FROM {name}{k} WHERE n > 1 GROUP BY ALL)")
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT tree, q AS p, sha256(array_to_string(run, '')) AS h, "
+                   f"count(*) OVER (PARTITION BY tree) AS n FROM {name}r{k} UNION ALL SELECT tree, p, h, n FROM {name}{k} WHERE n = 1)")
+    return ",\n".join(out)
+
+
+def _climb_sql(name: str, start: str, levels: int, keep: str) -> str:
+    """CTEs that follow rows (tree, p, proof, folded, keep...) of ``start`` up to the root: last one ``name``c<levels>."""
+    out, last = [], start
+    for k in range(levels):
+        at = f"(c.p // {16 ** k}) % 16"
+        out.append(f"""{name}c{k + 1} AS MATERIALIZED (SELECT c.tree, c.p, {keep},
+  c.proof || coalesce(array_to_string(r.run[:{at}] || r.run[{at} + 2:], ''), '') AS proof,
+  CASE WHEN r.run IS NULL THEN c.folded ELSE sha256(array_to_string(r.run[:{at}] || [c.folded] || r.run[{at} + 2:], '')) END AS folded
+  FROM {last} c LEFT JOIN {name}r{k} r ON r.tree = c.tree AND r.q = c.p // {16 ** (k + 1)})""")
+        last = f"{name}c{k + 1}"
+    return ",\n".join(out)
+
+
+def _leaf_sql(text: str) -> str:
+    own = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')" for c in own) + ")"
+
+
+#: Levels that the statement spells out: 16^8 documents per source, 16^5 sources.
+_DEEP, _WIDE = 8, 5
+
+
+@_query("op11_merkle_manifest", sql=f"""
+WITH digests AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf_sql('text')} AS h,
+         CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 5 = 0
+              THEN {_leaf_sql(f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')")} END AS other
+  FROM documents
+), numbered AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS p, count(*) OVER (PARTITION BY tree) AS n
+  FROM digests
+), {_tree_sql('s', 'numbered', _DEEP)},
+subroots AS MATERIALIZED (
+  SELECT '' AS tree, tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS p, count(*) OVER () AS n FROM s{_DEEP}
+), {_tree_sql('t', 'subroots', _WIDE)},
+start AS (SELECT tree, p, doc_id, h AS leaf, '' AS proof, coalesce(other, h) AS folded FROM numbered),
+{_climb_sql('s', 'start', _DEEP, 'c.doc_id, c.leaf')},
+upper AS (
+  SELECT b.tree, b.p, b.h AS subroot, c.doc_id, c.leaf, c.proof, c.folded
+  FROM sc{_DEEP} c JOIN subroots b ON b.name = c.tree
+), {_climb_sql('t', 'upper', _WIDE, 'c.doc_id, c.leaf, c.subroot')}
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.h AS verified
+FROM tc{_WIDE} c, t{_WIDE} t
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_proofs(table(spark, sf_dir, "documents"))
+
+
+@_query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op13_sentencepiece")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), model)
+
+
 def load() -> None:
     """Also register the pipeline, which lies at the top of the repository."""
     import corpus_pipeline
