@@ -203,8 +203,7 @@ def _encoded(model, rows):
     out = []
     for i, t in rows:
         ids = sp.encode(t or "", add_eos=True)
-        decoded = sp.decode(ids)
-        out.append((i, len(ids), _h(" ".join(map(str, ids))), _h(decoded)))
+        out.append((i, len(ids), " ".join(map(str, ids)), sp.decode(ids)))
     return sorted(out, key=str)
 
 
@@ -217,16 +216,27 @@ def test_pieces_match_library(spark, model, sf_small):
     rows = [(i, t) for i, t in enumerate(ODD_TEXTS)] + [(3, "   a  b   "), (None, "no id here")]
     rows += [tuple(r) for r in spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text").collect()]
     docs = spark.createDataFrame([(*r, "k", 1, "r") for r in rows], "doc_id long, text string, key string, codes int, rare string")
-    got = pieces.encode_documents(docs, model)
+    got = pieces.encode_texts(docs, model)
     assert sorted(map(tuple, got.collect()), key=str) == _encoded(model, rows)
-    assert pieces.encode_documents(docs.limit(0), model).count() == 0
+    assert pieces.encode_texts(docs.limit(0), model).count() == 0
 
 
-def test_rare_chunks_come_back_by_position(spark, model, monkeypatch):
-    monkeypatch.setattr(pieces, "FREQUENT", 5)
+def test_a_chunk_is_segmented_once(model):
+    table = pieces.ChunkTable(pieces.processor(model), True)
+    calls = []
+    add = table.add
+    table.add = lambda new: (calls.extend(new), add(new))
+    for t in ODD_TEXTS:
+        table(t or "")
+        table(t or "")
+    assert len(calls) == len(set(calls)) > 20
+
+
+def test_full_table_is_emptied(spark, model, monkeypatch):
+    monkeypatch.setattr(pieces, "TABLE_CHARS", 30)
     rows = [(i, t) for i, t in enumerate(ODD_TEXTS)] + [(100 + i, f"the word{i % 7} the w{i} of  the") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, pieces.encode_documents(docs, model).collect()), key=str) == _encoded(model, rows)
+    assert sorted(map(tuple, pieces.encode_texts(docs, model).collect()), key=str) == _encoded(model, rows)
 
 
 def test_unseparable_vocabulary_takes_whole_texts(spark, model, monkeypatch):
@@ -234,10 +244,11 @@ def test_unseparable_vocabulary_takes_whole_texts(spark, model, monkeypatch):
     monkeypatch.setattr(pieces, "separable", lambda sp: False)
     rows = [(i, t) for i, t in enumerate(ODD_TEXTS)] + [(50, "a  b")] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, pieces.encode_documents(docs, model).collect()), key=str) == _encoded(model, rows)
+    assert sorted(map(tuple, pieces.encode_texts(docs, model).collect()), key=str) == _encoded(model, rows)
 
 
 def test_pieces_query(spark, model, sf_check):
     rows = [tuple(r) for r in queries.table(spark, sf_check, "documents").select("doc_id", "text").collect()]
     got = queries.QUERIES["op13_sentencepiece"](spark, sf_check)
-    assert sorted(map(tuple, got.collect()), key=str) == _encoded(model, rows)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        ((i, n, _h(ids), _h(decoded)) for i, n, ids, decoded in _encoded(model, rows)), key=str)

@@ -1,13 +1,12 @@
-"""SentencePiece ids of whole texts through a table of distinct chunks.
+"""SentencePiece ids of whole texts through tables of distinct chunks.
 
 Where no piece of a vocabulary has a white-space marker behind another character, no merge crosses from a character to
 the marker after it: a text's segmentation is that of its chunks (a run of markers and the characters up to the next
-one) put together. So every distinct chunk is segmented once, by the library itself, and its ids are joined back to all
-the places it stands at.
+one) put together. So each task keeps a table of the distinct chunks it has met, segments each of them once, by the
+library itself, and joins the ids back to all the places of the chunk in its documents, in order.
 
-The table of distinct chunks is built by partial counts. The most frequent chunks (bounded in number and bytes) are
-broadcast and settle most places where the documents are; a document's remaining distinct chunks join the table by an
-ordinary shuffle and come back to the document by position. Texts themselves are never shuffled.
+The table is bounded in bytes and emptied when full (a chunk that comes again is then segmented again: same ids). No
+text is shuffled, no table grows with the input, and a lost task repeats only itself.
 """
 
 from __future__ import annotations
@@ -15,22 +14,17 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections import Counter
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tidemark.llm.common import documents, written
+from tidemark.llm.common import documents
 
 MARK = "▁"
-#: Bounds of the broadcast chunks: their number, the bytes of each with its ids, and the bytes of all.
-FREQUENT, CHUNK_BYTES, FREQUENT_BYTES = 65_536, 8_192, 16 << 20
-#: Distinct chunks a task holds before it passes their counts on.
-HELD = 200_000
+#: Characters of chunks and ids that a task's table holds at most, beyond those of the document at hand.
+TABLE_CHARS = 48 << 20
 _CHUNK = re.compile(" +[^ ]*")
-_PROBES = ["", " ", "a", " a", "a  b ", "a\tb\n", "ﬁ　x", "é é", MARK + "x", "A b"]
+_PROBES = ["", " ", "a", " a", "a  b ", "a\tb\n", "ﬁ　x", "é é", MARK + "x", "A b"]
 
 
 @functools.lru_cache(maxsize=4)
@@ -65,109 +59,58 @@ def segment_chunks(sp, own: list[str]) -> list[list[int]]:
     return ids
 
 
-def chunk_table(texts: DataFrame, model, split: bool) -> DataFrame:
-    """(chunk, n, ids, surface) of every distinct chunk of ``texts`` (text): places, ids as text, decoded form. Written."""
-    def count(batches):
-        held: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())],
-                                              names=["chunk", "n"])
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                held.update(chunks(t, split))
-                if len(held) > HELD:
-                    yield out()
-                    held.clear()
-        yield out()
-
-    def segment(batches):
-        sp = processor(model.value)
-        for b in batches:
-            ids = segment_chunks(sp, b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([" ".join(map(str, i)) for i in ids], pa.string()),
-                 pa.array([sp.decode(i) for i in ids], pa.string())], names=["chunk", "n", "ids", "surface"])
-
-    distinct = texts.mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    return written(distinct.mapInArrow(segment, "chunk string, n long, ids string, surface string"))
-
-
-def frequent_chunks(table: DataFrame) -> list[tuple[str, str, str]]:
-    """(chunk, ids, surface) of the most frequent chunks within the bounds above."""
-    size = F.octet_length("chunk") + F.octet_length("ids") + F.octet_length("surface")
-    top = (table.withColumn("size", size).where(F.col("size") <= CHUNK_BYTES)
-           .orderBy(F.desc("n"), "chunk").limit(FREQUENT))
-    so_far = F.sum("size").over(Window.orderBy(F.desc("n"), "chunk").rowsBetween(Window.unboundedPreceding, 0))
-    kept = top.withColumn("so_far", so_far).where(F.col("so_far") <= FREQUENT_BYTES)     # a window over FREQUENT rows
-    return [(r["chunk"], r["ids"], r["surface"]) for r in kept.select("chunk", "ids", "surface").collect()]
-
-
-def summary(ids: list[str], surfaces: list[str], end: int) -> tuple[int, str, str]:
-    """Number of ids, SHA-256 of the ids joined by spaces, SHA-256 of the decoded text."""
-    joined = " ".join([*ids, str(end)])
-    return (joined.count(" ") + 1, hashlib.sha256(joined.encode()).hexdigest(),
-            hashlib.sha256(" ".join(surfaces).encode()).hexdigest())
-
-
-def encode_documents(docs: DataFrame, model: bytes) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text; other columns are not read): doc_id, n_tokens (the end id included),
-    ids_sha256 (decimal ids joined by one space), decoded_sha256.
+class ChunkTable:
+    """Distinct chunks with their ids as text, and the decoded form of those that don't decode to themselves."""
+
+    def __init__(self, sp, split: bool):
+        self.sp, self.split = sp, split
+        self.ids: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
+        self.size = 0
+
+    def add(self, new: list[str]) -> None:
+        for c, i in zip(new, segment_chunks(self.sp, new)):
+            self.ids[c] = " ".join(map(str, i))
+            self.size += len(c) + len(self.ids[c])
+            surface = self.sp.decode(i)
+            if surface != c:
+                self.odd[c] = surface
+
+    def __call__(self, text: str) -> tuple[list[str], str]:
+        """Ids (as text, chunk by chunk) and decoded form of a text."""
+        if self.size > TABLE_CHARS:
+            self.ids, self.odd, self.size = {}, {}, 0
+        own, ids, odd = chunks(text, self.split), self.ids, self.odd
+        try:
+            found = [ids[c] for c in own]
+        except KeyError:
+            self.add([c for c in dict.fromkeys(own) if c not in ids])
+            found = [ids[c] for c in own]
+        return found, " ".join([odd.get(c, c) for c in own] if odd else own)
+
+
+def encode_texts(docs: DataFrame, model: bytes) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text; other columns are not read): doc_id, n_tokens, ids (decimal, joined by
+    one space, the end id last), decoded.
 
     Null texts are empty; an empty text is the end id alone. Repeated rows and null doc_ids each keep their row. A very
-    long text is one list of chunks in one task, like any whole text. An empty table gives no rows. If the
-    vocabulary has pieces that cross a marker, or normalises, each distinct text is one chunk: same result, slower."""
-    spark = docs.sparkSession
+    long text is encoded whole, in one task. An empty table gives no rows. If the vocabulary has pieces that cross a
+    marker, or normalises, each distinct text is one chunk: same result, slower."""
     sp = processor(model)
-    split, end = separable(sp), sp.eos_id()
-    shared = spark.sparkContext.broadcast(model)
-    d = documents(docs)
-    table = chunk_table(d.select("text"), shared, split)
-    top = spark.sparkContext.broadcast(frequent_chunks(table))
-
-    def settle(batches):
-        ids = {c: i for c, i, _ in top.value}
-        odd = {c: s for c, _, s in top.value if c != s}
-        number = {c: k for k, (c, _, _) in enumerate(top.value)}
-        for b in batches:
-            out = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "codes", "rare")}
-            for t in b.column(2).to_pylist():
-                own = chunks(t, split)
-                found = [ids.get(c) for c in own]
-                if None in found:
-                    rare = {c: -1 - k for k, c in enumerate(dict.fromkeys(c for c, i in zip(own, found) if i is None))}
-                    codes = np.array([rare[c] if i is None else number[c] for c, i in zip(own, found)], "<i4")
-                    row = (None, None, None, codes.tobytes(), list(rare))
-                else:
-                    row = (*summary(found, [odd.get(c, c) for c in own] if odd else own, end), None, None)
-                for k, v in zip(out, row):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(out["n_tokens"], pa.int64()), pa.array(out["ids_sha256"], pa.string()),
-                 pa.array(out["decoded_sha256"], pa.string()), pa.array(out["codes"], pa.binary()),
-                 pa.array(out["rare"], pa.list_(pa.string()))], names=["key", "doc_id", *out])
-
-    result = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    settled = written(d.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
-                      .mapInArrow(settle, f"key long, {result}, codes binary, rare array<string>"))
-    open_ = settled.where("codes is not null")
-    places = open_.select("key", F.posexplode("rare").alias("k", "chunk"))
-    filled = (places.join(table.select("chunk", "ids", "surface"), "chunk").groupBy("key")
-              .agg(F.sort_array(F.collect_list(F.struct("k", "ids", "surface"))).alias("filled")))      # one document's
-
-    def finish(batches):
-        common = top.value
+    split, end = separable(sp), str(sp.eos_id())
+    shared = docs.sparkSession.sparkContext.broadcast(model)          # one vocabulary
+
+    def run(batches):
+        table = ChunkTable(processor(shared.value), split)
         for b in batches:
             rows = []
-            for codes, filled in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                own = [common[c][1:] if c >= 0 else (filled[-1 - c]["ids"], filled[-1 - c]["surface"])
-                       for c in np.frombuffer(codes, "<i4").tolist()]
-                rows.append(summary([i for i, _ in own], [s for _, s in own], end))
+            for t in b.column(1).to_pylist():
+                found, decoded = table(t)
+                ids = " ".join([*found, end])
+                rows.append((ids.count(" ") + 1, ids, decoded))
             n, ids, decoded = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    late = open_.select("key", "doc_id", "codes").join(filled, "key").select("doc_id", "codes", "filled")
-    return (settled.where("codes is null").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
-            .unionByName(late.mapInArrow(finish, result)))
+    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")

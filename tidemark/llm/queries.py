@@ -245,7 +245,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
-    return pieces.encode_documents(table(spark, sf_dir, "documents"), model)
+    rows = pieces.encode_texts(table(spark, sf_dir, "documents"), model)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def load() -> None:
