@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, row_key, without, written
+from tidemark.llm.common import documents, row_key, summed, without, written
 
 #: Most labelled rows used as examples (those with the smallest hash of their id): bounds the index every task holds.
 EXAMPLES = 12_000
@@ -69,16 +69,21 @@ class TermCounter:
 
 
 def choose_terms(examples: DataFrame) -> list[str]:
-    """Terms of the labelled rows (text, label) whose document frequency differs between the classes."""
+    """Terms of the labelled rows (text, label) whose document frequency differs between the classes. Rows of equal
+    text and label are one piece of evidence, so a copied text can't vote its whole vocabulary in."""
+    examples = examples.select("text", "label").distinct()
+
     def run(batches):
         for b in batches:
-            terms, toxic = [], []
+            held: dict[bytes, list[int]] = {}
             for text, label in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
-                own = {t for w in set(words(text)) for t in terms_of(w)}
-                terms += own
-                toxic += [label] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array(toxic, pa.int32())],
-                                             names=["term", "label"])
+                for t in {t for w in set(words(text)) for t in terms_of(w)}:
+                    c = held.setdefault(t, [0, 0])
+                    c[0] += 1
+                    c[1] += label
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.binary()), pa.array([c[0] for c in held.values()], pa.int64()),
+                 pa.array([c[1] for c in held.values()], pa.int64())], names=["term", "df", "a"])
 
     n, pos = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n or pos in (0, n):
@@ -86,8 +91,8 @@ def choose_terms(examples: DataFrame) -> list[str]:
     a, df, neg = F.col("a"), F.col("df"), n - pos
     diff = a * neg - (df - a) * pos
     chi = n * diff * diff / (df * (n - df) * float(pos) * float(neg))
-    found = (examples.select("text", "label").mapInArrow(run, "term binary, label int")
-             .groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("label").cast("double").alias("a"))
+    found = (examples.mapInArrow(run, "term binary, df long, a long")
+             .groupBy("term").agg(F.sum("df").cast("double").alias("df"), F.sum("a").cast("double").alias("a"))
              .where((df >= MIN_EXAMPLES) & (df < n)).where(chi >= SIGNIFICANT).select("term"))
     return sorted(bytes(r[0]) for r in found.collect())   # bounded: terms of at most EXAMPLES rows
 
@@ -171,13 +176,15 @@ class Scorer:
         bare = np.array([not v for v in vectors], dtype=bool)
         self.bare_ids = np.flatnonzero(bare)
         # examples without a telling term are each other's neighbours, at equal distance
-        self.bare = (self.labels[bare].sum() + PRIOR * self.prior) / (bare.sum() + PRIOR)
+        self.bare_votes = float(self.labels[bare].sum())
         raw = np.array([self.vote(v, e)[0] for e, v in enumerate(vectors)])
         self.steps = isotonic(raw, self.labels)
 
     def vote(self, vector: dict[int, float], skip: int = -1):
         if not vector:
-            return self.bare, self.bare_ids[:NEIGHBOURS], np.zeros(len(self.bare_ids[:NEIGHBOURS]))
+            own = [self.labels[skip]] if skip >= 0 else []
+            raw = (self.bare_votes - sum(own) + PRIOR * self.prior) / (len(self.bare_ids) - len(own) + PRIOR)
+            return raw, self.bare_ids[:NEIGHBOURS], np.zeros(len(self.bare_ids[:NEIGHBOURS]))
         e, s = self.index.search(vector, NEIGHBOURS, skip)
         weight = 1.0 / (1.0 - np.minimum(s, 1.0) + 0.1)
         return (float((weight * self.labels[e]).sum() + PRIOR * self.prior) / (weight.sum() + PRIOR)), e, s
@@ -206,6 +213,19 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) ->
     return p[:, 0] / p[:, 2], np.maximum.accumulate((p[:, 1] + prior) / (p[:, 2] + 1.0))
 
 
+def smallest_hashes(known: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows of smallest hash of their doc_id (ties: smaller id). A cut-off at one and a half times the
+    share that is wanted keeps all but about that many rows away from the merging task; if chance leaves too few
+    below it, there is no cut-off."""
+    h = F.xxhash64("doc_id")
+    n = known.count()
+    if n > 1.5 * most:
+        below = known.where(F.shiftrightunsigned(h, 32) < int(1.5 * most / n * 2 ** 32))      # upper half, unsigned
+        if below.count() >= most:
+            known = below
+    return known.orderBy(F.shiftrightunsigned(h, 32), h, "doc_id").limit(most)
+
+
 def score_toxicity(docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """One row per row of ``docs``: doc_id, row_key, score (0 to 1), neighbours (doc_ids of the evidence) and
     their similarities.
@@ -218,9 +238,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLE
     d = documents(docs, row_key().alias("row_key"))
     known = (labelled.where("doc_id is not null and label is not null")
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").cast("int").alias("label")))
-    sample = (known.join(d.select("doc_id"), "doc_id", "left_semi")
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples))
-    known_sample = written(sample)
+    known_sample = written(smallest_hashes(written(known.join(d.select("doc_id"), "doc_id", "left_semi")), examples))
     chosen = written(d.drop("row_key").join(F.broadcast(known_sample), "doc_id")          # at most ``examples`` rows
                      .groupBy("doc_id", "label").agg(F.min("text").alias("text")))
     terms = choose_terms(chosen)
@@ -238,10 +256,10 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLE
 
     schema = "doc_id long, row_key long, terms array<int>, counts array<int>"
     vectors = written(d.mapInArrow(count, schema))
-    n = vectors.count()
-    df = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():
-        df[r["t"]] = r["n"]
+    n_terms = len(terms)
+    *df, n = summed(vectors.select("terms"), lambda b: np.r_[np.bincount(b.column(0).flatten(), minlength=n_terms), b.num_rows],
+                    n_terms + 1)
+    df = np.array(df)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
     rows = chosen.select("doc_id", "text", F.lit(0).cast("long").alias("row_key")).mapInArrow(count, schema).join(F.broadcast(known_sample), "doc_id").orderBy("doc_id").collect()
     model = sc.broadcast(Scorer([r["doc_id"] for r in rows], [r["label"] for r in rows],
