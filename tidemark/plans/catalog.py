@@ -29,4 +29,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from tidemark.plans import (q_core, q_reconcile, q_search, q_extract, q_quality, q_sources)  # noqa: F401
+    from tidemark.plans import (q_core, q_reconcile, q_search, q_extract, q_quality, q_sources, q_store)  # noqa: F401

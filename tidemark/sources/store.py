@@ -9,15 +9,17 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import digest_from_store_path, store_location, store_path_valid
+from tidemark.functions import digest_from_store_path, is_valid_digest, store_location, store_path_valid
 
 # Legacy layout '<first symbol>/<digest>.gz'; default zstd level of the store.
-LEGACY_PATH_PATTERN = r"/([2-7A-Z])/([2-7A-Z][A-Z2-7]{31})[^/]*\.gz$"
+LEGACY_LETTERS = "234567ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ZSTD_LEVEL = 14
+# Magic numbers of zstd frames (skippable ones with any low four bits) and gzip members.
+ZSTD_MAGIC, ZSTD_SKIPPABLE, GZIP_MAGIC = 0xFD2FB528, 0x184D2A50, b"\x1f\x8b"
 
 
 def list_store(spark: SparkSession, root: str, suffix: str = "*.zst") -> DataFrame:
@@ -28,18 +30,75 @@ def list_store(spark: SparkSession, root: str, suffix: str = "*.zst") -> DataFra
                     store_path_valid("path").alias("path_ok"))
 
 
+def decode_zstd(data: bytes) -> tuple[bytes | None, str | None]:
+    """(body, None) of a file of one or more zstd frames, or (None, error): a frame that ends early, bytes behind the
+    last frame, an empty or corrupt file. Skippable frames hold no body."""
+    import zstandard
+    out, at = [], 0
+    if not data:
+        return None, "empty file"
+    while at < len(data):
+        magic = int.from_bytes(data[at:at + 4], "little")
+        if magic & ~0xF == ZSTD_SKIPPABLE and len(data) >= at + 8:
+            at += 8 + int.from_bytes(data[at + 4:at + 8], "little")
+            if at > len(data):
+                return None, "truncated frame"
+            continue
+        if magic != ZSTD_MAGIC:
+            return None, "trailing bytes" if at else "not a zstd frame"
+        d = zstandard.ZstdDecompressor().decompressobj()
+        try:
+            out.append(d.decompress(data[at:]))
+        except zstandard.ZstdError:
+            return None, "corrupt frame"
+        if not d.eof:
+            return None, "truncated frame"
+        at = len(data) - len(d.unused_data)
+    return b"".join(out), None
+
+
+def decode_gzip(data: bytes) -> tuple[bytes | None, str | None]:
+    """(body, None) of a file of one or more gzip members, or (None, error); check sums are verified."""
+    import zlib
+    out, rest = [], data
+    if not data:
+        return None, "empty file"
+    while rest:
+        d = zlib.decompressobj(wbits=31)
+        try:
+            out.append(d.decompress(rest))
+        except zlib.error:
+            return None, "trailing bytes" if out and not rest.startswith(GZIP_MAGIC) else "corrupt member"
+        if not d.eof:
+            return None, "trailing bytes" if out and not rest.startswith(GZIP_MAGIC) else "truncated member"
+        rest = d.unused_data
+    return b"".join(out), None
+
+
+DECODERS = {"zstd": decode_zstd, "gzip": decode_gzip, "plain": lambda data: (data, None)}
+
+
 @F.pandas_udf(T.BinaryType())
 def zstd_decompress(b: pd.Series) -> pd.Series:
-    import zstandard
-    d = zstandard.ZstdDecompressor()
+    """The body alone, NULL where ``decode_zstd`` finds an error."""
+    return b.map(lambda x: None if x is None else decode_zstd(bytes(x))[0])
 
-    def body(x):
-        try:
-            return None if x is None else d.decompressobj().decompress(x)
-        except zstandard.ZstdError:     # a corrupt body is a rejected row, not a failed job
-            return None
 
-    return b.map(body)
+def decoded(content: Column, codec: str) -> Column:
+    """struct(body, error) of a file's bytes; exactly one of the two is set (both null for null bytes)."""
+    decode = DECODERS[codec]
+
+    @F.pandas_udf("body binary, error string")
+    def run(b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if x is None else decode(bytes(x)) for x in b], columns=["body", "error"])
+
+    return run(content)
+
+
+@F.pandas_udf(T.BinaryType())
+def gzip_compress(b: pd.Series) -> pd.Series:
+    import gzip
+    return b.map(lambda x: None if x is None else gzip.compress(x, mtime=0))
 
 
 @F.pandas_udf(T.BinaryType())
@@ -50,12 +109,38 @@ def zstd_compress(b: pd.Series) -> pd.Series:
 
 
 def read_bodies(spark: SparkSession, root: str, suffix: str = "*.zst") -> DataFrame:
-    """(path, digest, body binary, text) ; ``text`` is NULL when the body is not valid UTF-8 (to rejects)."""
+    """(path, digest, body binary, error, text). ``error`` says why a body can't be decoded (the body is then NULL);
+    ``text`` is NULL when the body is not valid UTF-8. Both are rejects of the row, never a failed job."""
     f = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix)
          .load(root).select("path", "content"))
-    body = zstd_decompress("content") if suffix.endswith("zst") else F.col("content")
-    b = f.select("path", digest_from_store_path("path").alias("digest"), body.alias("body"))
-    return b.withColumn("text", F.when(F.is_valid_utf8(F.col("body").cast("string")), F.col("body").cast("string")))
+    d = decoded(F.col("content"), "zstd" if suffix.endswith("zst") else "plain")
+    b = (f.select("path", digest_from_store_path("path").alias("digest"), d.alias("d"))
+         .select("path", "digest", "d.body", "d.error"))
+    return b.withColumn("text", utf8_text("body"))
+
+
+def utf8_text(body) -> Column:
+    """The body as text, NULL when it is not valid UTF-8."""
+    t = F.col(body).cast("string")
+    return F.when(F.is_valid_utf8(t), t)
+
+
+def list_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+    """(path relative to ``root``, length[, content]) of every file below it, whatever its name (but names that begin
+    with '_' or '.', which Spark's listing leaves out)."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    prefix = _qualified(spark, root) + "/"
+    rel = F.substring("path", len(prefix) + 1, 1 << 20)
+    return f.select(rel.alias("path"), "length", *(["content"] if content else []))
+
+
+def read_store_files(spark: SparkSession, root: str) -> DataFrame:
+    """Q1 input: (path, body, error) of every file below ``root``. Files whose path is not that of a stored body are
+    kept, unread; an undecodable body is NULL with its error."""
+    f = list_files(spark, root, content=True)
+    path = F.concat(F.lit("/"), F.col("path"))          # the path rule asks for folders below some root
+    d = decoded(F.when(store_path_valid(path), F.col("content")), "zstd")
+    return f.select(path.alias("path"), d.alias("d")).select("path", "d.body", "d.error")
 
 
 def save_bodies(items: DataFrame, stored: DataFrame, root: str) -> DataFrame:
@@ -67,10 +152,14 @@ def save_bodies(items: DataFrame, stored: DataFrame, root: str) -> DataFrame:
     return write_store(new, root).unionByName(skipped, allowMissingColumns=True)
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(p).toString()
+
+
 def _shared_uri(spark: SparkSession, root: str) -> str:
     """``root`` with the file system that Spark would take for it, so tasks write where the readers look."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(root)
-    uri = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(p).toString()
+    uri = _qualified(spark, root)
     return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
@@ -138,12 +227,70 @@ def write_legacy_store(bodies: DataFrame, root: str) -> DataFrame:
         run, "digest string, path string, written_bytes long")
 
 
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """Writes (path relative to ``root``, content) rows as files, in tasks. Returns (path, written_bytes)."""
+    import pyarrow.fs as pafs
+    uri = _shared_uri(files.sparkSession, root)
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(uri)
+        for pdf in batches:
+            for rel, content in zip(pdf["path"], pdf["content"]):
+                _put(fs, f"{base.rstrip('/')}/{rel}", bytes(content))
+            yield pd.DataFrame({"path": pdf["path"], "written_bytes": [len(c) for c in pdf["content"]]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, written_bytes long")
+
+
+def legacy_layout(path: Column) -> tuple[Column, Column]:
+    """(stem, reject) of a path below a legacy store: ``<letter>/<stem>.gz`` with a stem that begins with the letter."""
+    parts, name = F.split(path, "/"), F.substring_index(path, "/", -1)
+    reject = (F.when((F.size(parts) != 2) | ~parts[0].rlike("^[2-7A-Z]$"), "folder")
+              .when(~name.startswith(parts[0]), "letter").when(~name.endswith(".gz"), "suffix"))
+    return F.regexp_replace(name, r"[.][^.]*$", ""), reject
+
+
+#: Layouts of folders that bodies are imported from: the reason why a file is none of theirs (NULL: it is), its digest.
+LAYOUTS = ("legacy", "gzip", "plain")
+
+
+def scan_candidates(spark: SparkSession, root: str, layout: str) -> DataFrame:
+    """One row per file below ``root``: (path, length, digest, reject). Nothing is read, nothing is left out.
+
+    legacy: ``<letter>/<digest>.gz``, the stem beginning with its folder's letter; gzip: a flat folder of
+    ``<digest>[...].gz``; plain: a flat folder of files named by their digest. ``reject`` is folder, letter, suffix or
+    name for files that break the rule, whose digest is NULL."""
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout must be one of {LAYOUTS}")
+    f = list_files(spark, root)
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    if layout == "legacy":
+        digest, reject = legacy_layout(F.col("path"))
+    elif layout == "gzip":
+        digest = F.substring(name, 1, 32)
+        reject = F.when(F.size(parts) != 1, "folder").when(~name.endswith(".gz"), "suffix")
+    else:
+        digest, reject = name, F.when(F.size(parts) != 1, "folder")
+    reject = F.coalesce(reject, F.when(~is_valid_digest(digest), "name"))
+    return f.select("path", "length", F.when(reject.isNull(), digest).alias("digest"), reject.alias("reject"))
+
+
 def read_legacy_bodies(spark: SparkSession, root: str, prefix: str | None = None) -> DataFrame:
-    """(path, digest, text) of legacy gzip bodies; the text source decodes gzip by extension. Paths that break
-    the layout rule get digest NULL (reject)."""
-    t = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    t = t.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    d = F.regexp_extract("path", LEGACY_PATH_PATTERN, 2)
-    ok = (d != "") & (F.substring(d, 1, 1) == F.regexp_extract("path", LEGACY_PATH_PATTERN, 1))
-    out = t.select("path", F.when(ok, d).alias("digest"), "text")
-    return out.where(F.col("digest").startswith(prefix)) if prefix else out
+    """(path, digest, reject, body, error, text) of every file of a legacy store, or, with ``prefix``, of the
+    files of digests that begin with it and of the unexpected ones. Bodies are bytes; ``text`` is NULL where they are
+    not UTF-8; files that break the layout are unread, with their reason in ``reject``."""
+    if prefix:
+        if not set(prefix) <= set(LEGACY_LETTERS) or len(prefix) > 32:
+            raise ValueError(f"not a digest prefix: {prefix!r}")
+        root = f"{root}/{prefix[0]}"
+    f = list_files(spark, root, content=True)
+    rel = F.concat(F.lit(f"{prefix[0]}/"), F.col("path")) if prefix else F.col("path")
+    stem, reject = legacy_layout(rel)
+    reject = F.coalesce(reject, F.when(~is_valid_digest(stem), "name"))
+    f = f.select(rel.alias("path"), F.when(reject.isNull(), stem).alias("digest"), reject.alias("reject"), "content")
+    if prefix:
+        f = f.where(F.col("digest").startswith(prefix) | F.col("reject").isNotNull())
+    d = decoded(F.when(F.col("reject").isNull(), F.col("content")), "gzip")
+    return (f.select("path", "digest", "reject", d.alias("d")).select("path", "digest", "reject", "d.body", "d.error")
+            .withColumn("text", utf8_text("body")))
