@@ -332,6 +332,51 @@ def stream_reindex(spark, sf):
     return spark.read.parquet(f"{base}/postings").select("snapshot", "field", "pos", "token")
 
 
+def _replaced_index(spark, sf):
+    """An index that first took an outdated form of every document before 2020, then every document as it is."""
+    from tidemark.streaming.index import SearchIndex
+    from tidemark.streaming.ingest import reindex
+    base = _scratch(spark, "reindex-replace")
+    docs = fx.search_docs(spark, sf)
+    old = (docs.where(F.col("year") < 2020).withColumn("content", F.concat(F.lit("obsolete words "), F.reverse("content")))
+           .withColumn("title", F.lit("obsolete")).withColumn("captured_at", F.col("captured_at") - F.expr("INTERVAL 1 DAY")))
+    old.write.parquet(f"{base}/docs/b=0")
+    reindex(spark, f"{base}/docs", docs.schema, f"{base}/index", f"{base}/ckpt")
+    docs.write.parquet(f"{base}/docs/b=1")
+    reindex(spark, f"{base}/docs", docs.schema, f"{base}/index", f"{base}/ckpt")
+    return SearchIndex(spark, f"{base}/index")
+
+
+@register("stream_reindex_replace", with_ctes("""
+    SELECT p.snapshot, p.field, p.pos, p.token, l.dl FROM postings p
+    JOIN field_lengths l ON l.snapshot = p.snapshot AND l.field = p.field""", "postings", "field_lengths"))
+def stream_reindex_replace(spark, sf):
+    """Changed documents replace their postings and lengths: those of a rebuild, though nothing was rebuilt."""
+    return _replaced_index(spark, sf).postings().select("snapshot", "field", "pos", "token", "dl")
+
+
+@register("stream_reindex_docs", with_ctes("""
+    SELECT d.snapshot, d.title, d.year, t.dl AS title_dl, c.dl AS content_dl FROM search_docs d
+    JOIN field_lengths t ON t.snapshot = d.snapshot AND t.field = 'title'
+    JOIN field_lengths c ON c.snapshot = d.snapshot AND c.field = 'content'""", "search_docs", "field_lengths"))
+def stream_reindex_docs(spark, sf):
+    """The document rows after the replacement."""
+    return _replaced_index(spark, sf).docs().select("snapshot", "title", "year", "title_dl", "content_dl")
+
+
+@register("index_compaction", with_ctes("""
+    SELECT p.field, p.token, count(DISTINCT p.snapshot) AS df, count(*) AS cf
+    FROM postings p JOIN search_docs d ON d.snapshot = p.snapshot WHERE d.year % 3 <> 0 GROUP BY p.field, p.token""",
+                                        "postings", "search_docs"))
+def index_compaction(spark, sf):
+    """Documents of every third year are deleted, the generations compacted into one: the collection
+    statistics are those of the documents that are left."""
+    index = _replaced_index(spark, sf)
+    index.apply(index.docs().where(F.col("year") % 3 == 0).withColumn("deleted", F.lit(True)))
+    index.compact()
+    return srch.collection_stats(index.postings())
+
+
 @register("legacy_import", with_ctes(f"""
     SELECT digest, {d_digest('text')} = digest AS digest_ok, digest NOT IN (SELECT digest FROM store) AS to_import
     FROM (SELECT DISTINCT digest, text FROM (
