@@ -327,10 +327,14 @@ def group_hits(matches: DataFrame, top: DataFrame) -> DataFrame:
     return matches.join(F.broadcast(top.select("surt", "rank", "best")), "surt")
 
 
-def hit_captures(hits: DataFrame, success: DataFrame, expand_duplicates: bool = False) -> DataFrame:
+def hit_captures(hits: DataFrame, success: DataFrame, expand_duplicates: bool = False,
+                 surts: list[str] | None = None) -> DataFrame:
     """Captures that hold a hit's body. By default only captures of the ranked SURT (D4); with
-    ``expand_duplicates`` every capture of the same body, under any SURT."""
+    ``expand_duplicates`` every capture of the same body, under any SURT. ``surts``: the ranked SURTs, where known
+    (a page's, so bounded), as a filter of the scan."""
     s = success.select("snapshot", "surt", "captured_at")
+    if surts is not None and not expand_duplicates:
+        s = s.where(F.col("surt").isin(surts))
     h = hits.select("snapshot", F.col("surt").alias("hit_surt"), "score", "rank")
     j = s.join(h, "snapshot")
     if not expand_duplicates:
@@ -338,9 +342,12 @@ def hit_captures(hits: DataFrame, success: DataFrame, expand_duplicates: bool =
     return j.select("rank", "surt", "captured_at", "snapshot", "score")
 
 
-def surt_timeline(top: DataFrame, success: DataFrame, start=None, end=None) -> DataFrame:
-    """All fetched capture instants of the ranked SURTs, optionally in [start, end)."""
+def surt_timeline(top: DataFrame, success: DataFrame, start=None, end=None, surts: list[str] | None = None) -> DataFrame:
+    """All fetched capture instants of the ranked SURTs, optionally in [start, end). ``surts``: the ranked SURTs,
+    where known, as a filter of the scan (a table sorted by SURT skips all other row groups)."""
     s = success.select("surt", "captured_at")
+    if surts is not None:
+        s = s.where(F.col("surt").isin(surts))
     if start is not None:
         s = s.where(F.col("captured_at") >= utc_bound(start))
     if end is not None:
@@ -405,7 +412,8 @@ def search(docs: DataFrame, post: DataFrame, success: DataFrame, patterns: DataF
     facets = facet_patterns(m, patterns)
     top = cut_lineage(top_surts(m, limit, offset))
     hits = group_hits(m, top)
-    tl = timeline_hits(surt_timeline(top, success, query.start, query.end),
-                       hit_captures(hits, success, expand_duplicates))
+    surts = [r["surt"] for r in top.select("surt").collect()]          # at most ``limit``
+    tl = timeline_hits(surt_timeline(top, success, query.start, query.end, surts),
+                       hit_captures(hits, success, expand_duplicates, surts))
     return SearchResult(m, facets, facet_years(m, ly), search_total(facets, limit), top, hits, tl,
                         page_results(top, hits, tl))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import (content_digest, first_line, redirect_html, surt_from_url, surt_host_key)
+from tidemark.sources.clustered import open_bucketed, write_bucketed
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -88,6 +89,29 @@ def _stored(fn):
     return wrapper
 
 
+def _bucketed(fn):
+    """As ``_stored``, for tables of captures: bucketed by capture, so joins of captures with their fetch results and
+    collections need no shuffle, and sorted by SURT and time inside a bucket, so URL lookups skip row groups."""
+    key, sort = ["capture_id"], ["surt", "captured_at"]
+
+    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+        memo = (id(spark), sf_dir, fn.__name__)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        with _BUILD_LOCK:
+            hit = _MEMO.get(memo)
+            path = archive_path(spark, sf_dir, f"{fn.__name__}-{n}")
+            if hit is None or hit[0] is not spark or hit[2] != path:
+                if not _exists(spark, path + "/_SUCCESS"):
+                    write_bucketed(fn(spark, sf_dir), path, key, sort, n)
+                hit = (spark, open_bucketed(spark, path, key, sort, n), path)
+                _MEMO[memo] = hit
+        return hit[1]
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    wrapper.build = fn
+    return wrapper
+
+
 def _memo(fn):
     """Build each derived relation once per (session, folder): queries then share one plan object per relation
     (smaller plans, reusable exchanges). Only the lazy plan is kept; no data is cached."""
@@ -115,7 +139,7 @@ def doc_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", content_digest("text").alias("digest"), "n_chars")
 
 
-@_stored
+@_bucketed
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One capture per event: URL on one of 12 sites, capture time moved back 0-9 years, body = document
     event_id % n, status 404 / 302 / NULL / 200 by event_id % 10."""
@@ -150,7 +174,7 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionByName(again)
 
 
-@_stored
+@_bucketed
 def success(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetch results: captures with capture_id % 3 <> 0 were fetched; every 17th body came back wrong (the body
     of the next document), which is filed under its real digest with correct_digest = false."""
@@ -191,7 +215,7 @@ def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k + 1).alias("sort_id"), F.lit(True).alias("prefix"), F.lit(True).alias("active"))
 
 
-@_stored
+@_bucketed
 def pattern_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators.patterns import assign_patterns
     return assign_patterns(captures(spark, sf_dir), patterns(spark, sf_dir))

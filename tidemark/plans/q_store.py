@@ -13,7 +13,7 @@ from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import register
 from tidemark.plans.oracle import d_digest, with_ctes
 from tidemark.plans.q_sources import _scratch
-from tidemark.sources import store as stg
+from tidemark.sources import cdx, clustered as cl, store as stg
 
 
 def _loc(d: str) -> str:
@@ -183,3 +183,41 @@ def bulk_import_plain(spark, sf):
     runs = [imp.run_import(spark, source, store, f"run-{i}", "plain").withColumn("run", F.lit(i)) for i in (1, 2)]
     return (_with_readable(spark, runs[0].unionByName(runs[1]), store)
             .select("run", "path", "digest", "outcome", "reason", "readable"))
+
+
+# ---------------------------------------------------------------- F10 / Q3 / S13 on layouts by prefix
+
+@register("digest_by_prefix_files", with_ctes(f"""
+    SELECT expected, actual FROM ({_STORE_FILES_SQL}) WHERE expected[1] = 'C'""", "store"))
+def digest_by_prefix_files(spark, sf):
+    """Q3 + F10 over the files of a store: the digests of one prefix, recomputed; only its folders are listed."""
+    return ql.digests_by_prefix(stg.read_store_files(spark, _store_with_damage(spark, sf), "C"))
+
+
+@register("store_prefix_table", with_ctes("""
+    SELECT 'A' AS prefix, digest, length FROM store WHERE starts_with(digest, 'A')
+    UNION ALL SELECT 'B2', digest, length FROM store WHERE starts_with(digest, 'B2')
+    UNION ALL SELECT 'C3D', digest, length FROM store WHERE starts_with(digest, 'C3D')""", "store"))
+def store_prefix_table(spark, sf):
+    """F10 / S13 on a body table laid out by digest: prefixes that end in a level, with it, and in the next."""
+    path = _scratch(spark, "store-by-prefix")
+    cl.write_by_prefix(fx.store(spark, sf).select("digest", "length"), path, levels=(2,))
+    out = None
+    for p in ("A", "B2", "C3D"):
+        own = cl.read_by_prefix(spark, path, p, levels=(2,)).withColumn("prefix", F.lit(p))
+        out = own if out is None else out.unionByName(own)
+    return out.select("prefix", "digest", "length")
+
+
+@register("surt_captures", with_ctes("""
+    SELECT c.surt, c.captured_at, c.status_code, s.snapshot, s.correct_digest, p.slug
+    FROM captures c LEFT JOIN success s ON s.capture_id = c.capture_id LEFT JOIN pattern_entry p ON p.capture_id = c.capture_id
+    WHERE starts_with(c.surt, 'com,example,site3)/u/')""", "captures", "success", "pattern_entry"))
+def surt_captures(spark, sf):
+    """F7 with J2: the captures below a URL prefix with their fetch results and collections, joined on tables that are
+    bucketed alike (no shuffle) and sorted by SURT (only the prefix's row groups are read)."""
+    c = cdx.lookup(fx.captures(spark, sf), "com,example,site3)/u/", False)
+    s = fx.success(spark, sf).select("capture_id", "snapshot", "correct_digest")
+    p = fx.pattern_entry(spark, sf).select("capture_id", "slug")
+    return (c.join(s, "capture_id", "left").join(p, "capture_id", "left")
+            .select("surt", "captured_at", "status_code", "snapshot", "correct_digest", "slug"))

@@ -125,19 +125,29 @@ def utf8_text(body) -> Column:
     return F.when(F.is_valid_utf8(t), t)
 
 
-def list_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+def prefix_glob(prefix: str) -> str:
+    """Path pattern of the stored files of digests that begin with ``prefix``: only their folders are listed."""
+    if len(prefix) > 32 or not set(prefix) <= set(LEGACY_LETTERS):
+        raise ValueError(f"not a digest prefix: {prefix!r}")
+    first, second = prefix[:2], prefix[2:4]
+    return "/".join(["".join(p) + "?" * (2 - len(p)) for p in (first, second)] + [f"{prefix}*.zst"])
+
+
+def list_files(spark: SparkSession, root: str, content: bool = False, prefix: str = "") -> DataFrame:
     """(path relative to ``root``, length[, content]) of every file below it, whatever its name (but names that begin
-    with '_' or '.', which Spark's listing leaves out)."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    with '_' or '.', which Spark's listing leaves out). With ``prefix`` only files of a store under digests that begin
+    with it: other folders are not even listed."""
+    f = spark.read.format("binaryFile")
+    f = f.load(f"{root}/{prefix_glob(prefix)}") if prefix else f.option("recursiveFileLookup", True).load(root)
     prefix = _qualified(spark, root) + "/"
     rel = F.substring("path", len(prefix) + 1, 1 << 20)
     return f.select(rel.alias("path"), "length", *(["content"] if content else []))
 
 
-def read_store_files(spark: SparkSession, root: str) -> DataFrame:
-    """Q1 input: (path, body, error) of every file below ``root``. Files whose path is not that of a stored body are
+def read_store_files(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """Q1 / Q3 input: (path, body, error) of every file below ``root``, or of the digests that begin with ``prefix``. Files whose path is not that of a stored body are
     kept, unread; an undecodable body is NULL with its error."""
-    f = list_files(spark, root, content=True)
+    f = list_files(spark, root, content=True, prefix=prefix)
     path = F.concat(F.lit("/"), F.col("path"))          # the path rule asks for folders below some root
     d = decoded(F.when(store_path_valid(path), F.col("content")), "zstd")
     return f.select(path.alias("path"), d.alias("d")).select("path", "d.body", "d.error")
