@@ -1,9 +1,9 @@
 """Full-text search as Spark jobs: document table, positional postings, BM25 scoring, facets, grouped top-K,
 per-URL timelines and page assembly (T2-T9, E2, E3, E6, E8, E12-E14, K1, K2, J3, J4, J11).
 
-Layout at scale: ``docs`` (one row per snapshot) and ``postings`` (one row per token occurrence, carrying the field
-length) are written once, postings clustered by token. A query filters postings by its handful of terms (pushed to
-the scan), aggregates term frequencies per (doc, field), joins the tiny per-term document-frequency table by
+Layout at scale: ``docs`` (one row per snapshot) and postings (one row per document, field and token, with the array of
+positions and the field length) are written once, postings in folders by token. A query reads the postings of its
+handful of terms (folders and row groups of others are skipped), joins the tiny per-term document-frequency table by
 broadcast (bounded by fields x terms), and lays the BM25 scores of all terms and phrases out as columns per doc, over
 which nested AND / OR / NOT clauses are one expression. Collection statistics (N, mean field length) are
 scalar subqueries. Top-K keeps offset+limit groups per task before the final merge; everything after top-K joins a
@@ -117,11 +117,74 @@ def postings(docs: DataFrame, fields=FIELDS) -> DataFrame:
             .select("snapshot", "field", F.col("pos").cast("bigint").alias("pos"), F.lower("token").alias("token"), "dl"))
 
 
-def cluster_postings(post: DataFrame, files: int | None = None) -> DataFrame:
-    """Inverted-index layout for storage: range-partitioned and sorted by token, so a query's term filter skips
-    whole files / row groups by their min-max statistics (and a hot token stays within its range partitions)."""
-    n = files or int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return post.repartitionByRange(n, "token", "snapshot").sortWithinPartitions("token", "snapshot", "field", "pos")
+def _held(*cols: Column):
+    """One struct column ``s`` of ``cols``, computed once per row: a projection that reads it can't be merged with the
+    one that makes it (which would evaluate an array again for each of its elements)."""
+    return F.explode(F.array(F.struct(*cols))).alias("s")
+
+
+def document_postings(docs: DataFrame, fields=FIELDS) -> DataFrame:
+    """T3 as it is stored: one row (snapshot, field, token, tf, dl, positions) per document, field and token.
+
+    Tokens of a field are sorted with their positions inside the row; runs of equal tokens are then cut out of that
+    array, so each text is tokenised once and neither shuffled nor aggregated."""
+    raw = docs.select("snapshot", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field"), raw_tokens(F.col(f)).alias("toks")) for f in fields])).alias("s"))
+    kept = F.filter(F.transform("s.toks", lambda t, i: F.struct(F.lower(t).alias("token"), i.alias("pos"),
+                                                                F.octet_length(t).alias("bytes"))),
+                    lambda x: x["bytes"] < MAX_TOKEN_BYTES)
+    runs = raw.select("snapshot", "s.field", _held(F.sort_array(kept).alias("t"))).where(F.size("s.t") > 0)
+    t = F.col("s.t")
+    starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1),
+                      lambda i: (i == 0) | (t[i]["token"] != t[F.greatest(i - 1, F.lit(0))]["token"]))
+    cut = runs.select("snapshot", "field", _held(starts.alias("starts"), t["token"].alias("token"), t["pos"].alias("pos")))
+    at, pos, n = F.col("s.starts"), F.col("s.pos"), F.size("s.pos")
+    one = F.transform(at, lambda b, k: F.struct(
+        F.col("s.token")[b].alias("token"),
+        F.slice(pos, b + 1, F.coalesce(F.get(at, k + 1), n) - b).alias("positions")))
+    return (cut.select("snapshot", "field", n.cast("bigint").alias("dl"), F.explode(one).alias("p"))
+            .select("snapshot", "field", "p.token", F.size("p.positions").cast("bigint").alias("tf"), "dl", "p.positions"))
+
+
+def occurrences(post: DataFrame) -> DataFrame:
+    """Stored postings as one row (snapshot, field, pos, token, dl) per occurrence."""
+    return (post.select("snapshot", "field", "token", "dl", F.explode("positions").alias("pos"))
+            .select("snapshot", "field", F.col("pos").cast("bigint").alias("pos"), "token", "dl"))
+
+
+def by_document(post: DataFrame) -> DataFrame:
+    """Postings per document; rows per occurrence (``postings``) are put together."""
+    if "positions" in post.columns:
+        return post
+    return (post.groupBy("snapshot", "field", "token", "dl")
+            .agg(F.sort_array(F.collect_list(F.col("pos").cast("int"))).alias("positions"))
+            .withColumn("tf", F.size("positions").cast("bigint")))
+
+
+#: Folders that stored postings are dealt into by their token, and parts a token's documents are spread over.
+SHARDS, SPREAD = 16, 64
+
+
+def _shard(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(SHARDS)).cast("int")
+
+
+def write_postings(post: DataFrame, path: str) -> None:
+    """Inverted-index layout: folders by a hash of the token (a query opens those of its terms), sorted by token inside a
+    file (row groups of other tokens are skipped); a token of very many documents is spread over many tasks. One shuffle,
+    and no sampling pass over the texts."""
+    (post.withColumn("shard", _shard(F.col("token")))
+     .repartition("shard", F.pmod(F.xxhash64("snapshot"), F.lit(SPREAD)))
+     .sortWithinPartitions("shard", "token", "snapshot", "field")
+     .write.mode("overwrite").partitionBy("shard").parquet(path))
+
+
+def of_tokens(post: DataFrame, tokens: list[str]) -> DataFrame:
+    """Postings per document of the given tokens; in the stored layout only their folders are opened."""
+    rows = by_document(post).where(F.col("token").isin(tokens))
+    if "shard" in post.columns:
+        rows = rows.where(F.col("shard").isin(*[_shard(F.lit(t)) for t in tokens]))     # folded to numbers
+    return rows
 
 
 def with_field_lengths(docs: DataFrame, fields=FIELDS) -> DataFrame:
@@ -146,8 +209,7 @@ def field_stats(docs: DataFrame) -> dict[str, Column]:
 
 def collection_stats(post: DataFrame) -> DataFrame:
     """Document frequency and total term frequency per (field, token)."""
-    return (post.groupBy("field", "token", "snapshot").agg(F.count(F.lit(1)).alias("tf"))
-            .groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
+    return by_document(post).groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def _avgdl(stats: dict[str, Column]) -> Column:
@@ -176,8 +238,7 @@ def _boost(boosts: dict[str, float]) -> Column:
 def term_scores(post: DataFrame, stats: dict[str, Column], terms: list[str], fields=FIELDS,
                 boosts: dict[str, float] | None = None) -> DataFrame:
     """(snapshot, clause, field, score): BM25 of each term in each searched field."""
-    p = post.where(F.col("token").isin(terms) & F.col("field").isin(list(fields)))
-    tf = p.groupBy("snapshot", "field", "token", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    tf = of_tokens(post, terms).where(F.col("field").isin(list(fields))).select("snapshot", "field", "token", "tf", "dl")
     # at most len(fields) x len(terms) rows: a proven bound, so broadcast
     dfs = tf.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
     s = tf.join(F.broadcast(dfs), ["field", "token"])
@@ -185,19 +246,26 @@ def term_scores(post: DataFrame, stats: dict[str, Column], terms: list[str], fie
     return s.select("snapshot", F.col("token").alias("clause"), "field", sc.alias("score"))
 
 
+def _shifted(by: int):
+    return lambda x: x - by
+
+
 def phrase_scores(post: DataFrame, stats: dict[str, Column], words: list[str], fields=FIELDS,
                   boosts: dict[str, float] | None = None) -> DataFrame:
-    """(snapshot, clause, field, score) of a phrase: consecutive positions in one field, found by semi-joins on
-    (snapshot, field, start) (no pairs are enumerated); BM25 with phrase frequency and the sum of term idfs. The clause
-    is the words joined by a space."""
-    flt = post.where(F.col("field").isin(list(fields)))
-    starts = flt.where(F.col("token") == words[0]).select("snapshot", "field", "dl", F.col("pos").alias("start"))
+    """(snapshot, clause, field, score) of a phrase: consecutive positions in one field. The position arrays of its words
+    meet per document and field, are shifted by the words' places and intersected; BM25 with phrase frequency and the sum
+    of term idfs. The clause is the words joined by a space."""
+    flt = of_tokens(post, sorted(set(words))).where(F.col("field").isin(list(fields)))
+    cell = {w: f"w{k}" for k, w in enumerate(sorted(set(words)))}
+    # one row per document and field, at most one array per word
+    met = flt.groupBy("snapshot", "field", "dl").agg(*[
+        F.max(F.when(F.col("token") == w, F.col("positions"))).alias(c) for w, c in cell.items()])
+    starts = F.col(cell[words[0]])
     for i, w in enumerate(words[1:], 1):
-        nxt = flt.where(F.col("token") == w).select("snapshot", "field", (F.col("pos") - i).alias("start"))
-        starts = starts.join(nxt, ["snapshot", "field", "start"], "left_semi")
-    pf = starts.groupBy("snapshot", "field", "dl").agg(F.count(F.lit(1)).alias("pf"))
-    dfs = (flt.where(F.col("token").isin(sorted(set(words)))).groupBy("field", "token")
-           .agg(F.countDistinct("snapshot").alias("df")))
+        starts = F.array_intersect(starts, F.transform(cell[w], _shifted(i)))
+    pf = (met.where(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in cell.values())))
+          .select("snapshot", "field", "dl", F.size(starts).cast("bigint").alias("pf")).where("pf > 0"))
+    dfs = flt.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
     # a word repeated in the phrase contributes its idf once per occurrence
     k = F.lit(0)
     for w in set(words):

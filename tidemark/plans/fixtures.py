@@ -68,6 +68,19 @@ def archive_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     return checkpoint_dir(spark, f"tidemark-archive/{key}/{name}")
 
 
+def _write(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
+
+
+def _write_postings(df: DataFrame, path: str) -> None:
+    from tidemark.operators.search import write_postings
+    write_postings(df, path)
+
+
+#: Relations that are stored in a layout of their own.
+_WRITERS = {"postings": _write_postings}
+
+
 def _stored(fn):
     """The archive's state tables (captures, fetch results, body store, collections, index) are built once per
     input folder by a Spark job over the whole driver tables and written as parquet; queries read them like the
@@ -79,7 +92,7 @@ def _stored(fn):
             path = archive_path(spark, sf_dir, fn.__name__)
             if hit is None or hit[0] is not spark or hit[2] != path:
                 if not _exists(spark, path + "/_SUCCESS"):
-                    fn(spark, sf_dir).write.mode("overwrite").parquet(path)
+                    _WRITERS.get(fn.__name__, _write)(fn(spark, sf_dir), path)
                 hit = (spark, spark.read.parquet(path), path)
                 _MEMO[key] = hit
         return hit[1]
@@ -274,9 +287,9 @@ def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_stored
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T3 index: positional postings of the search documents."""
-    from tidemark.operators.search import cluster_postings, postings as build
-    return cluster_postings(build(search_docs(spark, sf_dir)))
+    """T3 index: postings per document of the search documents, in folders by token."""
+    from tidemark.operators.search import document_postings
+    return document_postings(search_docs(spark, sf_dir))
 
 
 __all__ = ["TABLES", "table", "captures", "crawl", "success", "store", "patterns", "pattern_entry", "redirects",

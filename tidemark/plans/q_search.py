@@ -151,6 +151,14 @@ def tokens(spark, sf):
     return srch.postings(fx.search_docs(spark, sf)).select("snapshot", "field", "pos", "token")
 
 
+@register("tokens_stored", with_ctes("""
+    SELECT p.snapshot, p.field, p.pos, p.token, l.dl FROM postings p
+    JOIN field_lengths l ON l.snapshot = p.snapshot AND l.field = p.field""", "postings", "field_lengths"))
+def tokens_stored(spark, sf):
+    """The stored postings per document, seen as one row per occurrence."""
+    return srch.occurrences(fx.postings(spark, sf))
+
+
 @register("collection_stats", with_ctes("""
     SELECT field, token, count(DISTINCT snapshot) AS df, count(*) AS cf FROM postings GROUP BY ALL""", "postings"))
 def collection_stats(spark, sf):
@@ -311,6 +319,6 @@ def page_results(spark, sf):
 def index_counts(spark, sf):
     """Documents indexed, distinct URL keys and collections among them, postings written."""
     docs = fx.search_docs(spark, sf)
-    n_post = fx.postings(spark, sf).select(F.count(F.lit(1))).scalar()
+    n_post = fx.postings(spark, sf).select(F.sum("tf")).scalar()
     return docs.agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("surt").alias("surts"),
                     F.countDistinct("slug").alias("collections"), n_post.alias("postings"))

@@ -329,7 +329,7 @@ def stream_reindex(spark, sf):
     reindex(spark, f"{base}/docs", docs.schema, f"{base}/postings", f"{base}/ckpt")
     docs.where(F.col("year") >= 2020).write.parquet(f"{base}/docs/b=1")
     reindex(spark, f"{base}/docs", docs.schema, f"{base}/postings", f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/postings").select("snapshot", "field", "pos", "token")
+    return srch.occurrences(spark.read.parquet(f"{base}/postings")).select("snapshot", "field", "pos", "token")
 
 
 def _replaced_index(spark, sf):
@@ -352,7 +352,7 @@ def _replaced_index(spark, sf):
     JOIN field_lengths l ON l.snapshot = p.snapshot AND l.field = p.field""", "postings", "field_lengths"))
 def stream_reindex_replace(spark, sf):
     """Changed documents replace their postings and lengths: those of a rebuild, though nothing was rebuilt."""
-    return _replaced_index(spark, sf).postings().select("snapshot", "field", "pos", "token", "dl")
+    return srch.occurrences(_replaced_index(spark, sf).postings())
 
 
 @register("stream_reindex_docs", with_ctes("""

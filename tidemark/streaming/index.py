@@ -13,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.search import cluster_postings, postings, with_field_lengths
+from tidemark.operators.search import document_postings, with_field_lengths, write_postings
 from tidemark.operators.versioned import State, VersionedTable
 from tidemark.session import cut_lineage
 
-POSTINGS = "snapshot string, field string, pos long, token string, dl long"
+POSTINGS = "snapshot string, field string, token string, tf long, dl long, positions array<int>, shard int"
 MARKS = "snapshot string, old string"
 
 
@@ -48,7 +48,7 @@ class SearchIndex:
         return rows.join(self._stale(state), ["snapshot", "gen"], "left_anti").drop("gen", "bucket")
 
     def postings(self, state: State | None = None) -> DataFrame:
-        """Postings of the newest rows."""
+        """Postings (per document) of the newest rows."""
         state = state or self.table.ledger.state()
         rows = self._generations(self.path, POSTINGS, state.live)
         return rows.join(self._stale(state), ["snapshot", "gen"], "left_anti").drop("gen")
@@ -56,7 +56,7 @@ class SearchIndex:
     # ---- writing ------------------------------------------------------------------------------------------------
 
     def _write(self, gen: str, docs: DataFrame, post: DataFrame, marks: DataFrame) -> str:
-        cluster_postings(post.select("snapshot", "field", "pos", "token", "dl")).write.mode("overwrite").parquet(f"{self.path}/gen={gen}")
+        write_postings(post.select("snapshot", "field", "token", "tf", "dl", "positions"), f"{self.path}/gen={gen}")
         marks.write.mode("overwrite").parquet(f"{self.path}/_marks/gen={gen}")
         self.table.write_generation(docs, gen)
         return docs.schema.json()
@@ -76,7 +76,7 @@ class SearchIndex:
             if "deleted" in cols:
                 kept = newest.where(~F.coalesce("deleted", F.lit(False))).drop("deleted")
             docs = with_field_lengths(kept.drop("title_dl", "content_dl"))
-            return 1, (), self._write(gen, docs, postings(kept), old)     # 1: a generation of marks alone is live, too
+            return 1, (), self._write(gen, docs, document_postings(kept), old)     # 1: a generation of marks alone is live, too
 
         return self.table.commit_batch(write, source, epoch)
 
