@@ -41,7 +41,7 @@ def test_every_query_has_oracle_or_is_rows_only():
     import __spark_entry__ as ent
     q, o = ent.queries(), ent.oracle_sql()
     assert set(o) <= set(q)
-    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"snippets", "search_response_json"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"search_response_json"}
 
 
 def test_entry_smoke(spark):

@@ -455,6 +455,18 @@ def page_results(top: DataFrame, hits: DataFrame, tl: DataFrame) -> DataFrame:
                     archive_url(surt_canonical_url("surt"), F.col("newest")).alias("newest_url")))
 
 
+def page_hits(hits: DataFrame, docs: DataFrame, query: Query, snippet_chars: int = 200) -> DataFrame:
+    """The hits of a page's SURTs: (rank, surt, title of the page, snapshot, captured_at, score, archive_url, snippet).
+    Contents are read for the ranked hits only."""
+    from tidemark.operators.snippet import snippets
+    texts = docs.select("snapshot", "content").join(hits.select("snapshot"), "snapshot", "left_semi")
+    marked = snippets(texts, query, snippet_chars)
+    own = hits.select("rank", "surt", "snapshot", "captured_at", "score")
+    return (own.join(page_titles(hits).select("surt", "title"), "surt").join(marked, "snapshot")
+            .select("rank", "surt", "title", "snapshot", "captured_at", "score",
+                    archive_url(surt_canonical_url("surt"), F.col("captured_at")).alias("archive_url"), "snippet"))
+
+
 @dataclass
 class SearchResult:
     """T7/T9 result: lazy DataFrames sharing one match set."""
@@ -466,11 +478,12 @@ class SearchResult:
     hits: DataFrame
     timeline: DataFrame
     pages: DataFrame
+    page_hits: DataFrame
 
 
 def search(docs: DataFrame, post: DataFrame, success: DataFrame, patterns: DataFrame, query: Query,
            limit: int = 10, offset: int = 0, last_year: Column | int | None = None,
-           expand_duplicates: bool = False) -> SearchResult:
+           expand_duplicates: bool = False, snippet_chars: int = 200) -> SearchResult:
     """T7 + T9: one search request. The match set feeds facets (counted over every match, honouring all filters:
     D5), the grouped top-K page, hit captures, timelines (restricted to the query's date range) and page rows; it
     and the ranked page are written once (reliable checkpoint) and read by every output."""
@@ -484,4 +497,4 @@ def search(docs: DataFrame, post: DataFrame, success: DataFrame, patterns: DataF
     tl = timeline_hits(surt_timeline(top, success, query.start, query.end, surts),
                        hit_captures(hits, success, expand_duplicates, surts))
     return SearchResult(m, facets, facet_years(m, ly), search_total(facets, limit), top, hits, tl,
-                        page_results(top, hits, tl))
+                        page_results(top, hits, tl), page_hits(hits, docs, query, snippet_chars))

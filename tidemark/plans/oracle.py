@@ -41,6 +41,11 @@ def d_redirect_html(u: str) -> str:
     return f"({q(REDIRECT_HTML_HEAD)} || {u} || {q(REDIRECT_HTML_TAIL)})"
 
 
+def d_escape(x: str) -> str:
+    """& < > as character references."""
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
 def d_tokens(x: str) -> str:
     """Lower-cased tokens shorter than the byte limit, in order."""
     return (f"list_transform(list_filter(regexp_extract_all(coalesce({x}, ''), {q(TOKEN_PATTERN)}, 1), "

@@ -15,7 +15,7 @@ from tidemark.operators import reconcile as rc
 from tidemark.operators import search as srch
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import register
-from tidemark.plans.oracle import d_digest, d_redirect_html, with_ctes
+from tidemark.plans.oracle import MAX_TOKEN_BYTES, TOKEN_PATTERN, d_digest, d_escape, d_redirect_html, q as lit, with_ctes
 from tidemark.plans.q_search import PAGE_CTES, S_TERMS, search_oracle
 from tidemark.session import checkpoint_dir
 from tidemark.sources import cdx, exchange, redirects as rd, store as stg
@@ -214,7 +214,37 @@ def store_fetch(spark, sf):
 
 
 # ---------------------------------------------------------------- snippets (rows-only) and streaming
-@register("snippets")
+SNIPPET_CHARS = 200
+#: Snippets as DuckDB states them: every token's offsets, every window's words by a join, the best window's text.
+SNIPPET_CTES = (
+    ("n_text", """SELECT h.rank, h.surt, h.snapshot, h.score, coalesce(d.content, '') AS text
+                  FROM q_hits h JOIN search_docs d ON d.snapshot = h.snapshot"""),
+    ("n_cut", f"""SELECT snapshot, i, toks[i] AS t, length(gaps[i]) AS gap, length(toks[i]) AS n FROM (
+                    SELECT snapshot, toks, gaps, unnest(range(1, len(toks) + 1)) AS i FROM (
+                      SELECT snapshot, regexp_extract_all(text, {lit(TOKEN_PATTERN)}, 1) AS toks,
+                             regexp_split_to_array(text, {lit(TOKEN_PATTERN)}) AS gaps FROM n_text))"""),
+    ("n_tok", f"""SELECT snapshot, e - n AS s, e, lower(t) IN ('nicht', 'dans') AS hit FROM (
+                    SELECT *, CAST(sum(gap + n) OVER (PARTITION BY snapshot ORDER BY i) AS BIGINT) AS e FROM n_cut)
+                  WHERE strlen(t) < {MAX_TOKEN_BYTES}"""),
+    ("n_window", f"""SELECT a.snapshot, a.s, max(b.e) AS e, count(*) FILTER (b.hit) AS score,
+                       list_sort(list({{'s': b.s, 'e': b.e}}) FILTER (b.hit)) AS ranges
+                     FROM n_tok a JOIN n_tok b ON b.snapshot = a.snapshot AND b.s >= a.s AND b.e <= a.s + {SNIPPET_CHARS}
+                     GROUP BY a.snapshot, a.s"""),
+    ("n_best", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY score DESC, s) AS rn FROM n_window)
+                  WHERE rn = 1"""),
+    ("n_snippet", f"""SELECT x.rank, x.surt, x.snapshot, x.score,
+        CASE WHEN b.s IS NULL THEN {d_escape(f"substr(x.text, 1, {SNIPPET_CHARS})")}
+             WHEN b.ranges IS NULL THEN {d_escape("substr(x.text, b.s + 1, b.e - b.s)")}
+             ELSE array_to_string(list_transform(range(1, len(b.ranges) + 1), lambda k:
+               {d_escape("substr(x.text, CASE WHEN k = 1 THEN b.s ELSE b.ranges[k - 1].e END + 1, b.ranges[k].s - CASE WHEN k = 1 THEN b.s ELSE b.ranges[k - 1].e END)")}
+               || '<b>' || {d_escape("substr(x.text, b.ranges[k].s + 1, b.ranges[k].e - b.ranges[k].s)")} || '</b>'), '')
+               || {d_escape("substr(x.text, b.ranges[len(b.ranges)].e + 1, b.e - b.ranges[len(b.ranges)].e)")} END AS snippet
+        FROM n_text x LEFT JOIN n_best b ON b.snapshot = x.snapshot"""),
+)
+
+
+@register("snippets", search_oracle("SELECT rank, surt, snapshot, round(score, 6) AS score, snippet FROM n_snippet", S_TERMS,
+                                    "success", extra=PAGE_CTES + SNIPPET_CTES))
 def snippets(spark, sf):
     from tidemark.operators.snippet import snippets as make
     from tidemark.plans.q_search import PAGE, Q_TERMS
@@ -222,7 +252,24 @@ def snippets(spark, sf):
     m = srch.search_matches(docs, fx.postings(spark, sf), Q_TERMS)
     top = srch.top_surts(m, PAGE, 0)
     hits = srch.group_hits(m, top).select("rank", "surt", "snapshot", "score")
-    return make(hits.join(docs.select("snapshot", "content"), "snapshot"), Q_TERMS, 200)
+    return (make(hits.join(docs.select("snapshot", "content"), "snapshot"), Q_TERMS, SNIPPET_CHARS)
+            .withColumn("score", F.round("score", 6)))
+
+
+@register("page_snippets", search_oracle("""
+    SELECT t.rank, t.surt, ti.title, n.snapshot, n.captured_at, round(n.score, 6) AS score, s.snippet,
+           'https://web.archive.org/web/' || strftime(n.captured_at, '%Y%m%d%H%M%S') || '/' || 'https://'
+             || array_to_string(list_reverse(string_split(split_part(t.surt, ')', 1), ',')), '.')
+             || substr(t.surt, length(split_part(t.surt, ')', 1)) + 2) AS archive_url
+    FROM q_top t JOIN q_titles ti ON ti.surt = t.surt JOIN q_hits n ON n.surt = t.surt
+    JOIN n_snippet s ON s.snapshot = n.snapshot""", S_TERMS, "success", extra=PAGE_CTES + SNIPPET_CTES))
+def page_snippets(spark, sf):
+    """The hits of a result page, newest first within a URL, each with replay URL and highlighted snippet, as the
+    search request returns them."""
+    from tidemark.plans.q_search import PAGE, Q_TERMS
+    r = srch.search(fx.search_docs(spark, sf), fx.postings(spark, sf), fx.success(spark, sf), fx.patterns(spark, sf),
+                    Q_TERMS, limit=PAGE, snippet_chars=SNIPPET_CHARS)
+    return r.page_hits.withColumn("score", F.round("score", 6))
 
 
 @register("stream_ingest", with_ctes("""

@@ -20,6 +20,16 @@ from tidemark.sources.cdx import decode_rows, page_layout, page_time
 KEY = ["surt", "captured_at"]
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def _table_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """A plain stored table; empty before its first write. A table that is there but can't be read raises."""
+    return spark.read.parquet(path) if _exists(spark, path) else like.limit(0)
+
+
 def cdx_stream(spark: SparkSession, pages_dir: str, files_per_batch: int | None = None) -> DataFrame:
     """Streaming pages (file, page_ts, rows) from a folder of CDX page files; ``files_per_batch`` bounds a
     micro-batch (unset: all files present are one batch, so the earliest page wins over all of them)."""
