@@ -103,3 +103,67 @@ def status_url_parts(url) -> Column:
     return F.when(u.rlike(pat), F.struct(F.regexp_extract(u, pat, 1).alias("screen_name"),
                                          F.regexp_extract(u, pat, 2).try_cast("decimal(20,0)").alias("status_id")))
 
+
+
+# Parts of a URL reference (RFC 3986, appendix B, with the marks kept so that an empty part differs from none):
+# 1 scheme, 2 authority with its slashes, 3 path, 4 query with its mark, 5 fragment with its mark.
+REFERENCE_PATTERN = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)([?][^#]*)?(#.*)?$"
+_SEP = "\u0001"
+
+
+def _reference_parts(ref: Column) -> Column:
+    """[scheme, authority, path, query, fragment] in one regex pass; every string is some reference."""
+    marked = "$1" + "".join(f"{_SEP}${i}" for i in range(2, 6))
+    return F.split(F.regexp_replace(F.replace(ref, F.lit(_SEP), F.lit("")), REFERENCE_PATTERN, marked), _SEP, -1)
+
+
+def remove_dot_segments(path) -> Column:
+    """RFC 3986 section 5.2.4 as a fold over the segments: '.' is dropped, '..' takes its predecessor along (never the
+    root), and a path that ends in either ends in a slash."""
+    segments = F.split(_col(path), "/", -1)
+    dots = F.array(F.lit("."), F.lit(".."))
+
+    def step(acc, s):
+        pop = (F.size(acc) > 1) | ((F.size(acc) == 1) & (F.get(acc, F.lit(0)) != ""))
+        return (F.when(s == ".", acc)
+                .when(s == "..", F.when(pop, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc))
+                .otherwise(F.concat(acc, F.array(s))))
+
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    ends = F.array_contains(dots, F.element_at(segments, -1))
+    return F.array_join(F.when(ends, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def resolve_reference(base, ref) -> Column:
+    """RFC 3986 section 5.2: the URL that ``ref`` means on a page at ``base``; NULL when neither has a scheme."""
+    def resolved(b, r):
+        path, from_ref = r[2], (r[0] != "") | (r[1] != "")
+        # merge: the base's folder, or the root where the base has an authority and no path
+        folder = F.when((b[1] != "") & (b[2] == ""), "/").otherwise(F.regexp_extract(b[2], "^(.*/)?", 0))
+        scheme = F.when(r[0] != "", r[0]).otherwise(b[0])
+        host = F.when(from_ref, r[1]).otherwise(b[1])
+        target = F.when(from_ref | path.startswith("/"), path).otherwise(F.concat(folder, path))
+        new_path = F.when(~from_ref & (path == ""), b[2]).otherwise(_let(target, remove_dot_segments))
+        query = F.when(from_ref | (path != "") | (r[3] != ""), r[3]).otherwise(b[3])
+        return F.when(scheme != "", F.concat(scheme, F.lit(":"), host, new_path, query, r[4]))
+
+    def fields(x):
+        return [F.get(x, F.lit(i)) for i in range(5)]
+
+    def with_base(r):
+        return _let(_reference_parts(F.coalesce(_col(base), F.lit(""))), lambda b: resolved(fields(b), fields(r)))
+
+    return F.when(_col(ref).isNotNull(), _let(_reference_parts(_col(ref)), with_base))
+
+
+def page_link(base, href) -> Column:
+    """``href`` as an http(s) link of a page at ``base``: as it is written where it begins with 'http', else
+    resolved; NULL for empty ones, fragments of the page, and other schemes."""
+    h = _col(href)
+    full = _let(resolve_reference(base, h), lambda u: F.when(F.lower(F.substring(u, 1, 8)).rlike("^https?://"), u))
+    return F.when(h.startswith("http"), h).when((h != "") & ~h.startswith("#"), full)

@@ -17,12 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import surt_from_url
+from tidemark.functions import page_link, surt_from_url
+from tidemark.functions.urls import REFERENCE_PATTERN
 
-DOC_TYPE = T.StructType([
+#: What the tokenizer gives of a page; links are resolved from it in built-in expressions.
+PARSED_TYPE = T.StructType([
     T.StructField("title", T.StringType()),
     T.StructField("content", T.ArrayType(T.StringType())),
-    T.StructField("links", T.ArrayType(T.StringType())),
+    T.StructField("hrefs", T.ArrayType(T.StringType())),
+    T.StructField("base_href", T.StringType()),
     T.StructField("gravatar_hashes", T.ArrayType(T.StringType())),
 ])
 
@@ -30,7 +33,8 @@ DOC_TYPE = T.StructType([
 GRAVATAR_SRC_RE = re.compile(r"gravatar\.com/avatar/([0-9a-f]+)")
 GRAVATAR_SRC_PATTERN = r"gravatar\.com/avatar/([0-9a-f]+)"
 ORIGIN_PATTERN = r"^(https?://[^/?#]+)"
-_SCHEME = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*:")
+_HTTP = re.compile("https?://", re.IGNORECASE)
+_REFERENCE = re.compile(REFERENCE_PATTERN)
 _TEXT_HOLDERS = {"title", "style", "script", "noscript", "template"}
 _HEAD_ONLY = {"title", "meta", "link", "style", "script", "base", "noscript", "template"}
 
@@ -47,6 +51,7 @@ class _DocumentParser(HTMLParser):
         self.titles: list[str] = []
         self.content: list[str] = []
         self.hrefs: list[str] = []
+        self.base_href: str | None = None
         self.avatar_srcs: list[str] = []
         self._buf: list[str] = []
 
@@ -72,6 +77,8 @@ class _DocumentParser(HTMLParser):
         a = dict(attrs)
         if tag == "a" and a.get("href") is not None:
             self.hrefs.append(a["href"].strip())
+        if tag == "base" and a.get("href") is not None and self.base_href is None:   # the first one counts
+            self.base_href = a["href"].strip()
         if tag == "img" and "gravatar.com" in (a.get("src") or ""):
             self.avatar_srcs.append(a["src"])
 
@@ -99,20 +106,44 @@ class _DocumentParser(HTMLParser):
         self._flush()
 
 
-def absolute_link(origin: str | None, href: str) -> str | None:
-    """``href`` as an http(s) link; None for fragments, other schemes, and relative links without an origin."""
+def absolute_link(base: str | None, href: str) -> str | None:
+    """``href`` as an http(s) link of a page at ``base``; None for fragments, other schemes, and relative links without
+    a base. The form of ``functions.page_link`` for a single link."""
     if href.startswith("http"):
         return href
-    if origin is None or not href or href.startswith("#") or _SCHEME.match(href):
+    if base is None or not href or href.startswith("#"):
         return None
-    if href.startswith("//"):
-        return origin.split(":", 1)[0] + ":" + href
-    return origin + href if href.startswith("/") else f"{origin}/{href}"
-
-
-def parse_document(html: str | None, origin: str | None = None) -> dict:
-    """Extract one page. Title = longest (bytes) non-empty title text, the last one on a tie. With ``origin``,
-    site-relative hrefs are resolved against it; fragments and other schemes are dropped."""
+    url = resolve(base, href)
+    return url if url and _HTTP.match(url) else None
+
+
+def _without_dots(path: str) -> str:
+    kept: list[str] = []
+    segments = path.split("/")
+    for s in segments:
+        if s == "..":
+            if len(kept) > 1 or kept and kept[0]:
+                kept.pop()
+        elif s != ".":
+            kept.append(s)
+    return "/".join(kept + [""] if segments[-1] in (".", "..") else kept)
+
+
+def resolve(base: str, ref: str) -> str | None:
+    """RFC 3986 section 5.2, the form of ``functions.resolve_reference`` for a single reference."""
+    b, r = ([g or "" for g in _REFERENCE.match(x).groups()] for x in (base, ref))
+    if r[0] or r[1]:
+        scheme, host, path, query = r[0] or b[0], r[1], _without_dots(r[2]), r[3]
+    elif not r[2]:
+        scheme, host, path, query = b[0], b[1], b[2], r[3] or b[3]
+    else:
+        folder = "/" if b[1] and not b[2] else b[2][:b[2].rfind("/") + 1]
+        scheme, host, path, query = b[0], b[1], _without_dots(r[2] if r[2].startswith("/") else folder + r[2]), r[3]
+    return f"{scheme}:{host}{path}{query}{r[4]}" if scheme else None
+
+
+def _parse(html: str | None) -> dict:
+    """Title (longest in bytes of the non-empty title texts, the last one on a tie), text nodes, hrefs, avatar hashes."""
     p = _DocumentParser()
     if html:
         p.feed(html)
@@ -121,15 +152,23 @@ def parse_document(html: str | None, origin: str | None = None) -> dict:
     for t in p.titles:
         if len(t.encode()) >= len(title.encode()):
             title = t
-    links = [h for h in (absolute_link(origin, h) for h in p.hrefs) if h]
     hashes = sorted({m for src in p.avatar_srcs for m in GRAVATAR_SRC_RE.findall(src)})
-    return {"title": title, "content": p.content, "links": links, "gravatar_hashes": hashes}
+    return {"title": title, "content": p.content, "hrefs": p.hrefs, "base_href": p.base_href, "gravatar_hashes": hashes}
+
+
+def parse_document(html: str | None, base: str | None = None) -> dict:
+    """Extract one page. With ``base`` (the page's URL) relative hrefs are resolved, against the page's <base> where it
+    has one; fragments and other schemes are dropped."""
+    d = _parse(html)
+    hrefs, own = d.pop("hrefs"), d.pop("base_href")
+    if base is not None and own:
+        base = absolute_link(base, own) or base
+    return d | {"links": [h for h in (absolute_link(base, h) for h in hrefs) if h]}
 
 
-@F.pandas_udf(DOC_TYPE)
-def _extract_udf(html: pd.Series, origin: pd.Series) -> pd.DataFrame:
-    rows = [parse_document(h, o) for h, o in zip(html, origin)]
-    return pd.DataFrame(rows, columns=["title", "content", "links", "gravatar_hashes"])
+@F.pandas_udf(PARSED_TYPE)
+def _extract_udf(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_parse(h) for h in html], columns=[f.name for f in PARSED_TYPE])
 
 
 def page_origin(url) -> Column:
@@ -137,11 +176,16 @@ def page_origin(url) -> Column:
     return F.nullif(F.regexp_extract(u, ORIGIN_PATTERN, 1), F.lit(""))
 
 
-def extract_documents(df: DataFrame, html_col: str = "html", origin: Column | None = None) -> DataFrame:
-    """Adds ``doc`` struct(title, content, links, gravatar_hashes). ``origin`` (e.g. ``page_origin('url')``)
-    makes site-relative links absolute."""
-    o = origin if origin is not None else F.lit(None).cast("string")
-    return df.withColumn("doc", _extract_udf(F.col(html_col), o))
+def extract_documents(df: DataFrame, html_col: str = "html", base: Column | None = None) -> DataFrame:
+    """Adds ``doc`` struct(title, content, links, gravatar_hashes). ``base`` (the page's URL) makes relative links
+    absolute, honouring <base href>; without it only absolute links are kept."""
+    url = base if base is not None else F.lit(None).cast("string")
+    parsed = df.withColumn("_parsed", _extract_udf(F.col(html_col))).withColumn("_url", url)
+    own = F.nullif(F.col("_parsed.base_href"), F.lit(""))
+    parsed = parsed.withColumn("_base", F.coalesce(page_link("_url", own), "_url"))
+    links = F.filter(F.transform("_parsed.hrefs", lambda h: page_link("_base", h)), lambda x: x.isNotNull())
+    doc = F.struct("_parsed.title", "_parsed.content", links.alias("links"), "_parsed.gravatar_hashes")
+    return parsed.withColumn("doc", doc).drop("_parsed", "_url", "_base")
 
 
 def extract_native(df: DataFrame, html_col: str = "html") -> DataFrame:

@@ -41,6 +41,30 @@ def d_redirect_html(u: str) -> str:
     return f"({q(REDIRECT_HTML_HEAD)} || {u} || {q(REDIRECT_HTML_TAIL)})"
 
 
+REFERENCE_PATTERN = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)([?][^#]*)?(#.*)?$"
+
+
+def d_dots(path: str) -> str:
+    """RFC 3986 section 5.2.4."""
+    segs = f"string_split({path}, '/')"
+    kept = (f"list_reduce(list_prepend([]::VARCHAR[], list_transform({segs}, lambda s: [s])), lambda a, s: CASE WHEN s[1] = '.' THEN a "
+            f"WHEN s[1] = '..' THEN CASE WHEN len(a) > 1 OR (len(a) = 1 AND a[1] <> '') THEN a[:len(a) - 1] ELSE a END ELSE list_concat(a, s) END)")
+    return f"array_to_string(list_concat({kept}, CASE WHEN {segs}[-1] IN ('.', '..') THEN [''] ELSE []::VARCHAR[] END), '/')"
+
+
+def d_resolve(base: str, ref: str) -> str:
+    """RFC 3986 section 5.2: ``ref`` on a page at ``base``."""
+    def part(x, i):
+        return f"regexp_extract({x}, {q(REFERENCE_PATTERN)}, {i})"
+
+    folder = f"CASE WHEN {part(base, 2)} <> '' AND {part(base, 3)} = '' THEN '/' ELSE regexp_extract({part(base, 3)}, '^(.*/)?', 0) END"
+    return (f"CASE WHEN {part(ref, 1)} <> '' THEN {part(ref, 1)} || ':' || {part(ref, 2)} || {d_dots(part(ref, 3))} || {part(ref, 4)} "
+            f"ELSE {part(base, 1)} || ':' || CASE WHEN {part(ref, 2)} <> '' THEN {part(ref, 2)} || {d_dots(part(ref, 3))} || {part(ref, 4)} "
+            f"ELSE {part(base, 2)} || CASE WHEN {part(ref, 3)} = '' THEN {part(base, 3)} || CASE WHEN {part(ref, 4)} <> '' THEN {part(ref, 4)} ELSE {part(base, 4)} END "
+            f"WHEN starts_with({part(ref, 3)}, '/') THEN {d_dots(part(ref, 3))} || {part(ref, 4)} "
+            f"ELSE {d_dots('(' + folder + ' || ' + part(ref, 3) + ')')} || {part(ref, 4)} END END END || {part(ref, 5)}")
+
+
 def d_escape(x: str) -> str:
     """& < > as character references."""
     return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"

@@ -9,7 +9,7 @@ from tidemark.operators import extract as ex
 from tidemark.operators import search as srch
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import register
-from tidemark.plans.oracle import d_surt, d_tokens
+from tidemark.plans.oracle import d_resolve, d_surt, d_tokens, q
 
 
 def _unesc(x: str) -> str:
@@ -28,7 +28,7 @@ def _pages_docs(spark, sf, native=False):
     p = fx.table(spark, sf, "pages")
     if native:
         return ex.extract_native(p)
-    return ex.extract_documents(p, "html", ex.page_origin("url"))
+    return ex.extract_documents(p, "html", F.col("url"))
 
 
 @register("html_title", "SELECT page_id, " + _strip(_unesc("regexp_extract(html, '<title>([^<]*)</title>', 1)"))
@@ -76,6 +76,51 @@ def link_graph(spark, sf):
     return ex.link_graph(_pages_docs(spark, sf))
 
 
+#: Links added to every page: every form of a reference (RFC 3986 section 4.2) and some that are no links of a page.
+_ADDED = ("../up/a.html", "./here", "plain", "?q=1", "//cdn.example.org/x/../lib.js", "g;x=1/../y", "/abs/./b/../c/", "#top",
+          "mailto:a@b.example", "HTTPS://Other.example/a/./b", "../../../../far/..", "", ".", "http://abs.example/p/../q",
+          "d/e?x=/../y#z/..", "..")
+#: <base> of every third page, each in its own form; a second one does not count.
+_BASES = {1: "../base/dir/", 2: "https://base.example/b/c?d"}
+
+
+def _linked_pages(spark, sf):
+    p = fx.table(spark, sf, "pages")
+    tag = F.lit("")
+    for k, v in _BASES.items():
+        tag = F.when(F.col("page_id") % 3 == k, f'<base href="{v}"><base href="http://second.example/">').otherwise(tag)
+    anchors = "".join(f'<a href="{h}">x</a>' for h in _ADDED)
+    return p.withColumn("html", F.concat(tag, F.coalesce("html", F.lit("")), F.lit(anchors)))
+
+
+def _linked_sql() -> str:
+    base = "CASE page_id % 3 " + " ".join(f"WHEN {k} THEN {d_resolve('url', q(v))}" for k, v in _BASES.items()) + " ELSE url END"
+    added = "[" + ", ".join(q(h) for h in _ADDED) + "]"
+    return f"""SELECT page_id, CAST(i - 1 AS BIGINT) AS n, CASE WHEN starts_with(href, 'http') THEN href ELSE {d_resolve('base', 'href')} END AS link
+    FROM (SELECT page_id, base, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS i FROM (
+      SELECT page_id, {base} AS base,
+             list_concat(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: trim({_unesc('h')})), {added}) AS hrefs
+      FROM pages))
+    WHERE href <> '' AND NOT starts_with(href, '#')
+      AND regexp_matches(CASE WHEN starts_with(href, 'http') THEN href ELSE {d_resolve('base', 'href')} END, '^(?i:https?://)')"""
+
+
+@register("html_links_resolved", f"""
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos, link FROM ({_linked_sql()})""")
+def html_links_resolved(spark, sf):
+    """Links of every form, resolved against the page or its <base>."""
+    d = ex.extract_documents(_linked_pages(spark, sf), "html", F.col("url"))
+    return ex.link_rows(d).select("page_id", F.col("pos").cast("bigint").alias("pos"), "link")
+
+
+@register("link_graph_resolved", f"""
+    SELECT DISTINCT page_id, link, link_surt FROM (SELECT page_id, link, {d_surt('link')} AS link_surt FROM ({_linked_sql()}))
+    WHERE link_surt IS NOT NULL""")
+def link_graph_resolved(spark, sf):
+    """I8 over the resolved links."""
+    return ex.link_graph(ex.extract_documents(_linked_pages(spark, sf), "html", F.col("url")))
+
+
 @register("gravatar_extract", f"""
     SELECT page_id, md5(CAST(page_id AS VARCHAR)) AS hashes FROM pages""")
 def gravatar_extract(spark, sf):
