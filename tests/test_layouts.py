@@ -83,3 +83,17 @@ def test_prefix_lists_only_its_folders(spark, tmp_path):
     assert stg.prefix_glob("ABC") == "AB/C?/ABC*.zst"
     with pytest.raises(ValueError):
         stg.prefix_glob("ab")
+
+
+def test_a_capture_looks_up_only_the_lengths_of_its_host(spark):
+    from tidemark.operators.patterns import assign_patterns, prefix_lookups
+    hosts = [f"com,h{i}" for i in range(40)]
+    pats = [(f"{h})/{'x' * (k + i)}", True, f"{h}-{k}", i) for i, h in enumerate(hosts) for k in range(2)]     # 41 lengths in all
+    p = spark.createDataFrame(pats + [("com,h1", True, "bare", 99)], "surt string, prefix boolean, slug string, sort_id int")
+    caps = spark.createDataFrame([(i, f"{h})/{'x' * 60}") for i, h in enumerate(hosts)] + [(99, "org,none)/x")], "capture_id long, surt string")
+    caps = caps.withColumn("captured_at", F.lit(None).cast("timestamp"))
+    rows = prefix_lookups(caps, p.withColumnRenamed("surt", "p_surt"))
+    assert rows.groupBy("capture_id").count().agg(F.max("count")).first()[0] == 3 and rows.count() == 40 * 3 + 1
+    got = sorted((r["slug"], r["capture_id"]) for r in assign_patterns(caps, p).collect())
+    assert got == sorted([(f"{h}-{k}", i) for i, h in enumerate(hosts) for k in range(2)]
+                         + [("bare", i) for i, h in enumerate(hosts) if h.startswith("com,h1")])

@@ -5,24 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import surt_host_key
 
 
 def assign_patterns(entries: DataFrame, patterns: DataFrame, key_cols=("capture_id", "surt", "captured_at"),
                     pattern_cols=("slug", "sort_id")) -> DataFrame:
     """(pattern columns, capture key) for every capture whose SURT equals an exact pattern or starts with a
-    prefix pattern. Prefix patterns join on the whole prefix: a SURT is cut to the lengths that occur among the
-    patterns (a scalar subquery), so a host with thousands of patterns meets only those that fit."""
+    prefix pattern.
+
+    A capture looks prefixes up at the lengths that the patterns of its own host have (one small row per host), so it
+    makes as many rows as its host has lengths, however many collections there are. Prefixes that end inside a host
+    name belong to no host; their lengths, a scalar, hold for all captures."""
     pc = list(pattern_cols)
     cols = [*pc, *key_cols]
     e = entries.select(*key_cols)
     p = patterns.select(F.col("surt").alias("p_surt"), "prefix", *pc)
     exact, prefixes = p.where(~F.col("prefix")), p.where("prefix")
-    lengths = prefixes.agg(F.collect_set(F.length("p_surt"))).scalar()
-    cut = (e.withColumn("lengths", lengths).withColumn("length", F.explode("lengths"))
-           .where(F.col("length") <= F.length("surt"))
-           .withColumn("p_surt", F.substring(F.col("surt"), F.lit(1), F.col("length"))))
     return (e.join(exact, e["surt"] == exact["p_surt"]).select(*cols)
-            .unionByName(cut.join(prefixes, "p_surt").select(*cols)))
+            .unionByName(prefix_lookups(e, prefixes).join(prefixes, "p_surt").select(*cols)))
+
+
+def prefix_lookups(entries: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``entries`` with ``p_surt``, one row per beginning of the SURT that may be one of ``prefixes`` (p_surt)."""
+    whole = F.contains(F.col("p_surt"), F.lit(")"))
+    lengths = F.collect_set(F.length("p_surt"))              # at most the length of a SURT
+    of_host = prefixes.where(whole).groupBy(surt_host_key("p_surt").alias("host")).agg(lengths.alias("lengths"))
+    anywhere = prefixes.where(~whole).agg(lengths).scalar()
+    looked_up = (entries.withColumn("host", surt_host_key("surt")).join(of_host, "host").drop("host")
+                 .unionByName(entries.withColumn("lengths", anywhere)))
+    return (looked_up.withColumn("length", F.explode("lengths")).where(F.col("length") <= F.length("surt"))
+            .withColumn("p_surt", F.substring(F.col("surt"), F.lit(1), F.col("length"))).drop("lengths", "length"))
 
 
 def pattern_list(patterns: DataFrame) -> DataFrame:
