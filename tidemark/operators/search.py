@@ -15,13 +15,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import archive_url, capture_year, raw_tokens, surt_canonical_url
 from tidemark.functions.timefmt import utc_bound
-from tidemark.functions.text import BM25_B, BM25_K1, FIRST_FACET_YEAR, MAX_TOKEN_BYTES, TOKEN_PATTERN
+from tidemark.functions.text import BM25_B, BM25_K1, FIRST_FACET_YEAR, MAX_TOKEN_BYTES, TOKEN_PATTERN, keep_token
 from tidemark.operators.dedup import first_by
 from tidemark.operators.reconcile import representative
 from tidemark.session import cut_lineage
@@ -117,33 +120,43 @@ def postings(docs: DataFrame, fields=FIELDS) -> DataFrame:
             .select("snapshot", "field", F.col("pos").cast("bigint").alias("pos"), F.lower("token").alias("token"), "dl"))
 
 
-def _held(*cols: Column):
-    """One struct column ``s`` of ``cols``, computed once per row: a projection that reads it can't be merged with the
-    one that makes it (which would evaluate an array again for each of its elements)."""
-    return F.explode(F.array(F.struct(*cols))).alias("s")
+STORED = "snapshot string, field string, token string, tf long, dl long, positions array<int>"
 
 
 def document_postings(docs: DataFrame, fields=FIELDS) -> DataFrame:
     """T3 as it is stored: one row (snapshot, field, token, tf, dl, positions) per document, field and token.
 
-    Tokens of a field are sorted with their positions inside the row; runs of equal tokens are then cut out of that
-    array, so each text is tokenised once and neither shuffled nor aggregated."""
-    raw = docs.select("snapshot", F.explode(F.array(*[
+    Texts are tokenised once, by the analyser's expressions; the tokens of a batch of documents are then grouped by
+    sorting their dictionary codes (Arrow arrays, no loop over rows), so nothing is shuffled or aggregated."""
+    toks = docs.select("snapshot", F.explode(F.array(*[
         F.struct(F.lit(f).alias("field"), raw_tokens(F.col(f)).alias("toks")) for f in fields])).alias("s"))
-    kept = F.filter(F.transform("s.toks", lambda t, i: F.struct(F.lower(t).alias("token"), i.alias("pos"),
-                                                                F.octet_length(t).alias("bytes"))),
-                    lambda x: x["bytes"] < MAX_TOKEN_BYTES)
-    runs = raw.select("snapshot", "s.field", _held(F.sort_array(kept).alias("t"))).where(F.size("s.t") > 0)
-    t = F.col("s.t")
-    starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1),
-                      lambda i: (i == 0) | (t[i]["token"] != t[F.greatest(i - 1, F.lit(0))]["token"]))
-    cut = runs.select("snapshot", "field", _held(starts.alias("starts"), t["token"].alias("token"), t["pos"].alias("pos")))
-    at, pos, n = F.col("s.starts"), F.col("s.pos"), F.size("s.pos")
-    one = F.transform(at, lambda b, k: F.struct(
-        F.col("s.token")[b].alias("token"),
-        F.slice(pos, b + 1, F.coalesce(F.get(at, k + 1), n) - b).alias("positions")))
-    return (cut.select("snapshot", "field", n.cast("bigint").alias("dl"), F.explode(one).alias("p"))
-            .select("snapshot", "field", "p.token", F.size("p.positions").cast("bigint").alias("tf"), "dl", "p.positions"))
+    lowered = toks.select("snapshot", "s.field", F.transform("s.toks", lambda t: F.when(keep_token(t), F.lower(t))).alias("toks"))
+    return lowered.mapInArrow(_group_tokens, STORED)
+
+
+def _group_tokens(batches):
+    """(snapshot, field, toks) rows, dropped tokens null, to one row per row and distinct token."""
+    for b in batches:
+        toks = b.column(2)
+        flat = toks.flatten()
+        n = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        coded = flat.dictionary_encode()
+        code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        held = np.flatnonzero(code >= 0)
+        row, pos, code = row[held], pos[held], code[held]
+        key = row * (len(coded.dictionary) + 1) + code
+        order = np.argsort(key, kind="stable")             # positions stay ascending within a token
+        key, row, code = key[order], row[order], code[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        tf = np.diff(np.r_[starts, len(key)])
+        dl = np.bincount(row, minlength=len(n))
+        own = pa.array(row[starts])
+        positions = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(key)].astype(np.int32)), pa.array(pos[order].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).take(own), b.column(1).take(own), coded.dictionary.take(pa.array(code[starts])), pa.array(tf.astype(np.int64)),
+             pa.array(dl[row[starts]].astype(np.int64)), positions], names=["snapshot", "field", "token", "tf", "dl", "positions"])
 
 
 def occurrences(post: DataFrame) -> DataFrame:
@@ -161,8 +174,8 @@ def by_document(post: DataFrame) -> DataFrame:
             .withColumn("tf", F.size("positions").cast("bigint")))
 
 
-#: Folders that stored postings are dealt into by their token, and parts a token's documents are spread over.
-SHARDS, SPREAD = 16, 64
+#: Folders that stored postings are dealt into by their token.
+SHARDS = 16
 
 
 def _shard(token: Column) -> Column:
@@ -171,10 +184,12 @@ def _shard(token: Column) -> Column:
 
 def write_postings(post: DataFrame, path: str) -> None:
     """Inverted-index layout: folders by a hash of the token (a query opens those of its terms), sorted by token inside a
-    file (row groups of other tokens are skipped); a token of very many documents is spread over many tasks. One shuffle,
-    and no sampling pass over the texts."""
+    file (row groups of other tokens are skipped). One shuffle, and no sampling pass over the texts: a folder's rows are
+    dealt out by document, so a token that stands in all of them is spread over as many tasks as its folder has."""
+    spread = max(1, int(post.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // SHARDS)
+    part = F.col("shard") * spread + F.pmod(F.xxhash64("snapshot"), F.lit(spread)).cast("int")
     (post.withColumn("shard", _shard(F.col("token")))
-     .repartition("shard", F.pmod(F.xxhash64("snapshot"), F.lit(SPREAD)))
+     .repartitionById(SHARDS * spread, part)
      .sortWithinPartitions("shard", "token", "snapshot", "field")
      .write.mode("overwrite").partitionBy("shard").parquet(path))
 
