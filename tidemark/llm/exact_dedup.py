@@ -55,11 +55,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the copies: one row of each group of equal texts, all columns kept."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    d = docs.withColumn("_sha_own", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, ""), 256))
-    d = d.join(kept, (d["_sha_own"] == kept["_sha"]) & d["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
-    # equal length, id and digest: repeated rows of one document
-    order = [F.char_length(F.coalesce("text", F.lit(""))).desc()]
-    w = Window.partitionBy("_sha_own").orderBy(*order)
-    return d.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_sha_own")
+    """``docs`` with one row of each group of equal texts, all columns kept, whatever their names.
+
+    The row that stays is that of ``exact_groups``: longest original text (null counts as empty), then smallest doc_id
+    (null last). Of rows that repeat its doc_id and text one stays, the same in every run also where other columns
+    differ. An empty table stays empty."""
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))      # own names can't clash with the row's
+    d = d.withColumn("own", F.sha2(F.regexp_replace(text, SPACE, ""), 256))
+    d = d.join(kept, (d["own"] == kept["sha"]) & F.col("row.doc_id").cast("long").eqNullSafe(kept["id"]), "left_semi")
+    # equal id and digest: rows of one document; those that are equal altogether need no order
+    first = Window.partitionBy("own").orderBy(F.char_length(text).desc(), F.xxhash64("row"))
+    return d.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")

@@ -147,6 +147,18 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             .mapInArrow(run, "a long, b long").distinct())
 
 
+def _components(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """(doc_id, row_key, fp, root, component_id) of every row; root names the component also where no row has an id."""
+    rows = written(fingerprints(docs, shingle))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    roots = components(links(nodes.select("fp"), radius))
+    named = (nodes.join(roots, nodes["fp"] == roots["node"], "left")
+             .select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = named.join(lowest, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "row_key", "fp", "root", "component_id")
+
+
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, row_key; links of fingerprints at
     ``radius`` or fewer differing bits followed transitively; component_id is the smallest doc_id reachable.
@@ -154,19 +166,16 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     Null and empty texts have fingerprint zero and are linked like any other. A null doc_id gets the id of its
     component (null only if no row of the component has an id). Repeated rows stay, with equal results. An empty
     table gives no rows."""
-    rows = written(fingerprints(docs, shingle))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(nodes.select("fp"), radius))
-    named = (nodes.join(roots, nodes["fp"] == roots["node"], "left")
-             .select("fp", "low", F.coalesce("root", "fp").alias("root")))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                         "component_id", "row_key")
+    return _components(docs, shingle, radius).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row_key")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id (rows without id stay only
-    if no other row of the component has one); all columns kept."""
-    groups = near_groups(docs, shingle, radius)
-    return without(docs, groups.where("not (doc_id <=> component_id)"))
+    """``docs`` with one document of each component, all columns kept: that of the smallest doc_id (null last; of several
+    texts under that id, or without any id, the one of smallest row key). Null and empty texts are one component. Rows
+    that repeat the id and text of the document that stays are that document and stay; exact dedup takes them before.
+    An empty table stays empty."""
+    rows = written(_components(docs, shingle, radius).select("row_key", "doc_id", "root"))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")
+    stays = rows.groupBy("root").agg(F.min(order)["row_key"].alias("row_key")).select("row_key")
+    return without(docs, rows.select("row_key").join(stays, "row_key", "left_anti"))

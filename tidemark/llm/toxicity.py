@@ -287,5 +287,11 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, examples: int = EXAMPLE
 
 
 def drop_toxic(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose score is ``threshold`` or more; all columns kept."""
+    """``docs`` without the rows whose score is ``threshold`` or more; all columns kept, whatever their names. Rows that
+    repeat an id and text share their score and go or stay together; null and empty texts are scored like any other.
+    Where no row of ``docs`` is labelled nothing is known of any, and all stay. An empty table stays empty."""
+    taught = (labelled.where("doc_id is not null and label is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+              .join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi"))
+    if taught.isEmpty():
+        return docs
     return without(docs, score_toxicity(docs, labelled).where(F.col("score") >= threshold))
