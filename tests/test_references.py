@@ -58,3 +58,13 @@ def test_links_of_a_page(spark):
     assert got == {1: want, 2: ["http:z"], 3: ["https://s.example/d/y", "http:z", "https://s.example/q"]}
     assert ex.parse_document(html, "https://s.example/d/e")["links"] == want
     assert [r["links"] for r in ex.extract_documents(df.where("page_id = 1"), "html").select("doc.links").collect()] == [["http:z"]]
+
+
+def test_character_references(spark):
+    import html
+    texts = ["a &amp; b", "&quot;&copy;&middot;&lt;&gt;&eacute;&NotEqualTilde;&lang;", "&#65;&#x41;&#X1F600;&#8364;", "&#128;&#150;&#0;",
+             "&copy 2020 &amp", "&nosuch; &;&# &#x; & x", "&#xD800;&#1114112;&#99999999999999999999;", "&amp;amp;", "", None, "&#00065;",
+             "caf&eacute;, na&iuml;ve &ndash; &hellip;"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["u"] for r in df.select("i", tf.html_unescape("t").alias("u")).collect()}
+    assert got == {i: None if t is None else html.unescape(t) for i, t in enumerate(texts)}

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import page_link, surt_from_url
+from tidemark.functions import html_unescape, page_link, surt_from_url
 from tidemark.functions.urls import REFERENCE_PATTERN
 
 #: What the tokenizer gives of a page; links are resolved from it in built-in expressions.
@@ -194,24 +194,16 @@ def extract_native(df: DataFrame, html_col: str = "html") -> DataFrame:
     h = F.col(html_col)
     head = F.substring_index(h, "</head>", 1)
     title = F.trim(F.regexp_extract(head, r"(?s)<title[^>]*>([^<]*)</title>", 1))
-    hrefs = F.transform(F.regexp_extract_all(h, F.lit(r"""<a\s[^>]*?href="([^"]*)\""""), 1), lambda x: F.trim(x))
+    hrefs = F.transform(F.regexp_extract_all(h, F.lit(r"""<a\s[^>]*?href="([^"]*)\""""), 1), lambda x: F.trim(html_unescape(x)))
     srcs = F.regexp_extract_all(h, F.lit(r"""<img\s[^>]*?src="([^"]*gravatar\.com[^"]*)\""""), 1)
     hashes = F.array_sort(F.array_distinct(F.flatten(
         F.transform(srcs, lambda s: F.regexp_extract_all(s, F.lit(GRAVATAR_SRC_PATTERN), 1)))))
     return df.withColumn("doc", F.struct(
-        unescape_basic(title).alias("title"),
+        html_unescape(title).alias("title"),
         F.filter(hrefs, lambda x: x.startswith("http")).alias("links"),
         hashes.alias("gravatar_hashes")))
 
 
-def unescape_basic(c: Column) -> Column:
-    """Decode the character references that occur in the corpus (ampersand last)."""
-    for ent, ch in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"),
-                    ("&amp;", "&")):
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
-
-
 def link_rows(docs: DataFrame, key_cols=("page_id",)) -> DataFrame:
     """One row per extracted link, in page order, not de-duplicated."""
     return docs.select(*key_cols, F.posexplode("doc.links").alias("pos", "link"))

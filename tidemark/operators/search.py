@@ -76,6 +76,7 @@ class Query:
     start: datetime | None = None         # F3 half-open [start, end)
     end: datetime | None = None
     gravatar_hash: str | None = None      # F6
+    score_hash: bool = False              # T5: the hash also adds its BM25 to the score
 
     def tree(self) -> Group:
         """All clauses as one group."""
@@ -342,6 +343,14 @@ def filter_docs(docs: DataFrame, q: Query) -> DataFrame:
     return d
 
 
+def hash_score(docs: DataFrame, wanted: str) -> Column:
+    """T5: BM25 of an avatar hash in the field of hashes (a document holds each of its hashes once). Statistics, of the
+    whole collection, are one scalar subquery."""
+    s = docs.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("hashes")).alias("avgdl"),
+                          F.count_if(F.array_contains("hashes", wanted)).alias("df")).alias("s")).scalar()
+    return _bm25(_idf(s["df"], s["n"]), F.lit(1.0), F.size("hashes"), s["avgdl"])
+
+
 def search_matches(docs: DataFrame, post: DataFrame, q: Query, stats: dict[str, Column] | None = None) -> DataFrame:
     """T4 + T5: (snapshot, surt, captured_at, slug, year, title, score) for every matching document. Statistics
     come from the unfiltered collection."""
@@ -366,7 +375,11 @@ def search_matches(docs: DataFrame, post: DataFrame, q: Query, stats: dict[str,
         for (c, f), name in cell.items()])
     match, score = found
     scored = wide.where(match).select("snapshot", score.alias("score"))
-    return filter_docs(docs, q).select(*out).join(scored, "snapshot")
+    if not (q.gravatar_hash and q.score_hash):
+        return filter_docs(docs, q).select(*out).join(scored, "snapshot")
+    added = hash_score(docs, q.gravatar_hash).alias("added")
+    return (filter_docs(docs, q).select(*out, added).join(scored, "snapshot")
+            .select(*out, (F.col("score") + F.col("added")).alias("score")))
 
 
 # ------------------------------------------------------------------ facets

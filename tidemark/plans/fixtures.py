@@ -78,7 +78,7 @@ def _write_postings(df: DataFrame, path: str) -> None:
 
 
 #: Relations that are stored in a layout of their own.
-_WRITERS = {"postings": _write_postings}
+_WRITERS = {"postings": _write_postings, "page_postings": _write_postings}
 
 
 def _stored(fn):
@@ -260,6 +260,38 @@ def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.regexp_extract("file", r"file=([^/]+)/", 1).alias("file"), "line_no", "line", "digest", "url")
 
 
+def page_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captured HTML bodies: each with two avatars (its own, and one of five that many pages share), a capture
+    time a week apart by page_id, and the first label of its host as its collection."""
+    p = table(spark, sf_dir, "pages")
+    avatars = [F.concat(F.lit('<img src="https://www.gravatar.com/avatar/'), F.md5(x), F.lit('">')) for x in
+               (F.col("page_id").cast("string"), F.concat(F.lit("shared"), (F.col("page_id") % 5).cast("string")))]
+    body = F.concat(F.coalesce("html", F.lit("")), *avatars)
+    return (p.select(F.col("page_id").alias("capture_id"), "url", body.alias("html"), surt_from_url("url").alias("surt"),
+                     F.timestamp_seconds(F.lit(1420070400) + F.col("page_id") * 604800).alias("captured_at"),
+                     F.regexp_extract("url", "^https?://([^/.]+)", 1).alias("slug"))
+            .withColumn("snapshot", content_digest("html")).where("surt IS NOT NULL"))
+
+
+@_stored
+def page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 from T1: search documents of extracted HTML pages, with title, text and avatar hashes."""
+    from tidemark.operators.extract import extract_documents
+    from tidemark.operators.search import build_docs, with_field_lengths
+    pages = page_captures(spark, sf_dir)
+    one = pages.groupBy("snapshot").agg(F.min("html").alias("html"))
+    bodies = extract_documents(one, "html").select(F.col("snapshot").alias("digest"), "doc")
+    info = pages.select("snapshot", "surt", "captured_at", "slug", "capture_id")
+    return with_field_lengths(build_docs(info, bodies, F.col("doc.title"), F.array_join("doc.content", " "),
+                                         F.col("doc.gravatar_hashes")))
+
+
+@_stored
+def page_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.search import document_postings
+    return document_postings(page_docs(spark, sf_dir))
+
+
 @_memo
 def digest_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of digests to classify: every stored snapshot plus digests of benchmark texts (known nowhere)."""

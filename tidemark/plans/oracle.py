@@ -173,20 +173,23 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def with_ctes(body: str, *needs: str, extra: tuple[tuple[str, str], ...] = ()) -> str:
-    """Prefix ``body`` with the CTEs it needs (transitively, dependencies first), then query-local ``extra``."""
+def with_ctes(body: str, *needs: str, extra: tuple[tuple[str, str], ...] = (),
+              instead: dict[str, tuple[tuple[str, ...], str]] | None = None) -> str:
+    """Prefix ``body`` with the CTEs it needs (transitively, dependencies first), then query-local ``extra``; ``instead``
+    gives other definitions to some of them."""
     order: list[str] = []
+    ctes = CTES | (instead or {})
 
     def visit(n: str) -> None:
         if n in order:
             return
-        for d in CTES[n][0]:
+        for d in ctes[n][0]:
             visit(d)
         order.append(n)
 
     for n in needs:
         visit(n)
-    items = [(n, CTES[n][1]) for n in order] + list(extra)
+    items = [(n, ctes[n][1]) for n in order] + list(extra)
     if not items:
         return body
     return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in items) + "\n" + body

@@ -9,7 +9,8 @@ from tidemark.operators import extract as ex
 from tidemark.operators import search as srch
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import register
-from tidemark.plans.oracle import d_resolve, d_surt, d_tokens, q
+from tidemark.plans.oracle import d_digest, d_resolve, d_surt, d_tokens, q, with_ctes
+from tidemark.plans.q_search import Q_TERMS, S_TERMS, _bm25_sql, _idf_sql, search_oracle
 
 
 def _unesc(x: str) -> str:
@@ -163,3 +164,59 @@ def search_gravatar(spark, sf):
     query = srch.Query(should="the", gravatar_hash="eccbc87e4b5ce2fe28308fd9f2a7baf3")     # md5 of "3"
     m = srch.search_matches(docs, srch.postings(docs), query)
     return m.select(F.col("snapshot").cast("long").alias("page_id"), "title")
+
+
+# ---------------------------------------------------------------- T2 from T1: the index of extracted pages
+def _avatar(x: str) -> str:
+    return f"'<img src=\"https://www.gravatar.com/avatar/' || md5({x}) || '\">'"
+
+
+_SHARED = "'shared' || CAST(page_id % 5 AS VARCHAR)"
+_PAGE_BODIES = f"""
+    SELECT page_id, url, {d_surt('url')} AS surt, to_timestamp(1420070400 + page_id * 604800)::TIMESTAMP AS captured_at,
+           regexp_extract(url, '^https?://([^/.]+)', 1) AS slug, html AS plain,
+           coalesce(html, '') || {_avatar('CAST(page_id AS VARCHAR)')} || {_avatar(_SHARED)} AS body,
+           list_sort([md5(CAST(page_id AS VARCHAR)), md5({_SHARED})]) AS hashes
+    FROM pages"""
+#: The relation that the ranking's CTEs read, over pages: title and text by patterns, not by a parser.
+_PAGE_DOCS = {"search_docs": ((), f"""
+    SELECT snapshot, surt, captured_at, slug, CAST(year(captured_at) AS INTEGER) AS year,
+           {_strip(_unesc("regexp_extract(plain, '<title>([^<]*)</title>', 1)"))} AS title,
+           array_to_string(list_filter(list_transform(regexp_extract_all(substr(plain, strpos(plain, '<body>')), '>([^<]+)<', 1),
+                                                      lambda x: {_strip(_unesc('x'))}), lambda x: x <> ''), ' ') AS content, hashes
+    FROM (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY captured_at, slug, surt) AS rn
+          FROM (SELECT *, {d_digest('body')} AS snapshot FROM ({_PAGE_BODIES})) WHERE surt IS NOT NULL)
+    WHERE rn = 1""")}
+
+
+@register("page_index", with_ctes("""
+    SELECT snapshot, surt, captured_at, slug, year, title, md5(content) AS content_md5, array_to_string(hashes, ' ') AS hashes
+    FROM search_docs""", "search_docs", instead=_PAGE_DOCS))
+def page_index(spark, sf):
+    """The stored documents of extracted pages, avatar hashes included."""
+    return fx.page_docs(spark, sf).select("snapshot", "surt", "captured_at", "slug", "year", "title",
+                                          F.md5("content").alias("content_md5"), F.array_join("hashes", " ").alias("hashes"))
+
+
+_WANTED = "shared2"
+
+
+@register("page_search", search_oracle("SELECT snapshot, surt, round(score, 6) AS score FROM matches", S_TERMS, instead=_PAGE_DOCS))
+def page_search(spark, sf):
+    """T4 over the index of extracted pages."""
+    docs = fx.page_docs(spark, sf)
+    return srch.search_matches(docs, fx.page_postings(spark, sf), Q_TERMS).select(
+        "snapshot", "surt", F.round("score", 6).alias("score"))
+
+
+@register("search_avatar_scored", search_oracle(f"""
+    SELECT m.snapshot, m.surt, round(m.score + {_bm25_sql(_idf_sql('h.df', 'h.n'), '1', 'len(d.hashes)', 'h.avgdl')}, 6) AS score
+    FROM matches m JOIN search_docs d ON d.snapshot = m.snapshot AND list_contains(d.hashes, md5('{_WANTED}')),
+         (SELECT count(*) AS n, avg(len(hashes)) AS avgdl, count(*) FILTER (list_contains(hashes, md5('{_WANTED}'))) AS df
+          FROM search_docs) h""", S_TERMS, instead=_PAGE_DOCS))
+def search_avatar_scored(spark, sf):
+    """T5 with F6: the pages that show an avatar, ranked by text and by the BM25 of the avatar's hash."""
+    import hashlib
+    q = srch.Query(should=Q_TERMS.should, gravatar_hash=hashlib.md5(_WANTED.encode()).hexdigest(), score_hash=True)
+    return srch.search_matches(fx.page_docs(spark, sf), fx.page_postings(spark, sf), q).select(
+        "snapshot", "surt", F.round("score", 6).alias("score"))

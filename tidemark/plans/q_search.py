@@ -132,8 +132,8 @@ def matches_ctes(request: Stated) -> tuple[tuple[str, str], ...]:
 _SEARCH_NEEDS = ("search_docs", "postings", "field_lengths", "field_stats")
 
 
-def search_oracle(body: str, request: Stated, *more: str, extra=()) -> str:
-    return with_ctes(body, *_SEARCH_NEEDS, *more, extra=matches_ctes(request) + tuple(extra))
+def search_oracle(body: str, request: Stated, *more: str, extra=(), instead=None) -> str:
+    return with_ctes(body, *_SEARCH_NEEDS, *more, extra=matches_ctes(request) + tuple(extra), instead=instead)
 
 
 # ------------------------------------------------------------------ index build
