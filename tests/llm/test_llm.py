@@ -261,25 +261,48 @@ def test_simhash_tiles_and_split_buckets(spark, monkeypatch):
     assert len(set(zip(got, of))) == len(set(got)) == len(set(of))
 
 
-def _lines(rows, run):
-    seen, gone = {}, {}
-    order = sorted({(i, t) for i, t in rows if i is not None})
-    for i, t in order:
+def _lines(rows, least):
+    """Lines covered by a run of ``least`` characters or more that starts earlier too; every run is tried."""
+    where, texts = {}, {}
+    for i, t in {(i, t) for i, t in rows if i is not None}:
         lines = t.split("\n")
-        gone[i] = set()
-        for k in range(len(lines) - run + 1):
-            if seen.setdefault(tuple(lines[k:k + run]), (i, k)) != (i, k):
-                gone[i] |= set(range(k, k + run))
-    return sorted(((i, len(t.split("\n")), len(gone.get(i, ())),
-                    "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ()))) for i, t in rows), key=str)
-
-
-@pytest.mark.parametrize("run", [1, 2, 3, 5])
-def test_line_dedup(docs, rows, empty, run):
-    got = [tuple(r)[:4] for r in line_dedup.remove_copied_lines(docs, run).collect()]
-    want = _lines(rows, run)
+        texts[i, t] = lines
+        for k in range(len(lines)):
+            where.setdefault(lines[k], []).append((i, t, k))
+    gone = {key: set() for key in texts}
+    for (i, t), lines in texts.items():
+        for k in range(len(lines)):
+            for j, u, m in where[lines[k]]:
+                if (j, m) < (i, k):
+                    n = 0
+                    while k + n < len(lines) and m + n < len(texts[j, u]) and lines[k + n] == texts[j, u][m + n]:
+                        n += 1
+                    if sum(map(len, lines[k:k + n])) >= least:
+                        gone[i, t] |= set(range(k, k + n))
+    return sorted(((i, len(t.split("\n")), len(gone.get((i, t), ())),
+                    "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((i, t), ()))) for i, t in rows), key=str)
+
+
+@pytest.mark.parametrize("least", [1, 50, 700])
+def test_line_dedup(docs, rows, empty, least):
+    got = [tuple(r)[:4] for r in line_dedup.remove_copied_lines(docs, least).collect()]
+    want = _lines(rows, least)
     assert sorted(got, key=str) == want and sum(w[2] for w in want) > 5
-    assert line_dedup.remove_copied_lines(empty, run).count() == 0
+    assert line_dedup.remove_copied_lines(empty, least).count() == 0
+
+
+def test_line_dedup_run_lengths(spark):
+    """Single long lines, runs of two, runs of many short lines with blank ones between them, and what stays."""
+    line = "one single line that is long enough to count by itself, all alone"
+    poem = [f"v{i}" if i % 3 else "" for i in range(60)]
+    rows = [(1, f"top\n{line}\nend"), (2, line), (3, "stock\nline"), (4, "stock\nline"), (5, "x" * 30 + "\n" + "y" * 20),
+            (6, "head\n" + "x" * 30 + "\n" + "y" * 20), (7, "\n".join(poem)), (8, "\n".join(["a", *poem, "b", *poem[:45]])),
+            (9, line + "\n" + "y" * 20 + "\nz"), (9, "other\n" * 20), (None, line), (10, "\n\n\n"), (11, "\n\n\n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r)[:4] for r in line_dedup.remove_copied_lines(d).collect()), key=str)
+    assert got == _lines(rows, line_dedup.LEAST)
+    gone = {(r[0], r[1]): r[2] for r in got}
+    assert gone[2, 1] == 1 and gone[4, 2] == 0 and gone[6, 3] == 2 and gone[8, 107] == 105 and gone[11, 4] == 0
 
 
 def test_url_templates_of_deep_paths(spark):

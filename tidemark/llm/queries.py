@@ -153,11 +153,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op10_line_dedup", sql=r"""
 WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-windows AS (
-  SELECT doc_id, i, l[i:i + 2] AS run FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM texts)
-), copies AS (
-  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1
-), gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 3)))) AS p FROM copies GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM texts),
+sums AS (SELECT doc_id, i, past, past - length(line) AS before FROM (
+  SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS past FROM lines)),
+-- from each line the shortest run of 50 characters or more forwards, and backwards
+forwards AS (SELECT s.doc_id, s.i, e.i AS j FROM (SELECT *, before + 50 AS want FROM sums) s
+  ASOF JOIN (SELECT doc_id, past, min(i) AS i FROM sums GROUP BY ALL) e ON s.doc_id = e.doc_id AND s.want <= e.past),
+backwards AS (SELECT s.doc_id, e.i, s.i AS j FROM (SELECT *, past - 50 AS want FROM sums) s
+  ASOF JOIN (SELECT doc_id, before, max(i) AS i FROM sums GROUP BY ALL) e ON s.doc_id = e.doc_id AND s.want >= e.before),
+runs AS (SELECT doc_id, i, j, l[i:j] AS run FROM (FROM forwards UNION FROM backwards) JOIN texts USING (doc_id)),
+copies AS (SELECT doc_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS n FROM runs) WHERE n > 1),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, j + 1)))) AS p FROM copies GROUP BY doc_id),
 marked AS (SELECT texts.doc_id, l, coalesce(p, []) AS p FROM texts LEFT JOIN gone USING (doc_id))
 SELECT doc_id, len(l) AS n_lines, len(p) AS n_removed,
        sha256(coalesce(array_to_string(list_select(l, list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(p, i))), chr(10)), ''))
