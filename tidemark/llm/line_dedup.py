@@ -15,6 +15,8 @@ copies, and copies that overlap or touch join up to maximal runs.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +49,9 @@ def repeated_lines(lines: DataFrame) -> DataFrame:
 def doubled(now: DataFrame, known: int) -> DataFrame:
     """(doc_id, version, line_no, rank) of the suffixes whose first 2 x ``known`` lines occur more than once, ranked by
     them; ``now`` holds the ranks by ``known`` lines."""
-    follows = now.select(*_DOC, (F.col("line_no") - known).alias("line_no"), F.col("rank").alias("next"))
-    pairs = now.select(*_DOC, "line_no", F.col("rank").alias("first")).join(follows, [*_DOC, "line_no"])
+    after = Window.partitionBy(*_DOC).orderBy("line_no").rangeBetween(known, known)
+    pairs = (now.select(*_DOC, "line_no", F.col("rank").alias("first"), F.first("rank").over(after).alias("next"))
+             .where("next is not null"))
     repeated = pairs.groupBy("first", "next").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("first", "next")
     ranks = _ranked(repeated, "first", "next")
     return written(pairs.join(ranks, ["first", "next"]).select(*_DOC, "line_no", "rank"))
@@ -81,19 +84,20 @@ def shortest_runs(repeated: DataFrame, least: int) -> DataFrame:
                          (F.abs(F.col("line_no") - F.col("other")) + 1).alias("n")).distinct())
 
 
-def _later(runs: DataFrame, ranks: DataFrame, depth: int) -> DataFrame:
-    """(doc_id, version, first, n) of those ``runs``, of ``depth`` to 2 x ``depth`` - 1 lines, that are not the first
-    suffix of their interval."""
-    named = runs.join(ranks.select(*_DOC, F.col("line_no").alias("first"), F.col("rank").alias("head")), [*_DOC, "first"])
-    if depth == 1:
-        named = named.withColumn("tail", F.col("head"))
-    else:
-        tails = ranks.select(*_DOC, F.col("line_no").alias("at"), F.col("rank").alias("tail"))
-        named = named.withColumn("at", F.col("first") + F.col("n") - depth).join(tails, [*_DOC, "at"])
+def later_runs(runs: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(doc_id, version, first, n) of those ``runs`` that are not the first suffix of their interval. ``ranks`` holds the
+    ranks of all depths: a run is named by those of its first and its last ``depth`` lines, the largest power of 2 within it."""
+    power = F.lit(1)
+    for k in range(1, 31):
+        power = F.when(F.col("n") >= 1 << k, 1 << k).otherwise(power)
+    runs = runs.withColumn("depth", power).withColumn("at", F.col("first") + F.col("n") - F.col("depth"))
+    heads = ranks.select(*_DOC, F.col("line_no").alias("first"), "depth", F.col("rank").alias("head"))
+    tails = ranks.select(*_DOC, F.col("line_no").alias("at"), "depth", F.col("rank").alias("tail"))
+    named = runs.join(heads, [*_DOC, "first", "depth"]).join(tails, [*_DOC, "at", "depth"])
     place = F.struct(*_DOC, "first")
     origin = (named.groupBy("n", "head", "tail").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("places"))
               .where("places > 1").drop("places"))
-    return written(named.join(origin, ["n", "head", "tail"]).where(place > F.col("origin")).select(*_DOC, "first", "n"))
+    return named.join(origin, ["n", "head", "tail"]).where(place > F.col("origin")).select(*_DOC, "first", "n")
 
 
 def copied_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -106,13 +110,12 @@ def copied_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     ranks = repeated_lines(lines)
     runs = written(shortest_runs(ranks, least))
     longest = runs.agg(F.max("n")).first()[0] or 1
-    depth, copies = 1, None
-    while depth <= longest:
-        own = _later(runs.where(F.col("n").between(depth, 2 * depth - 1)), ranks, depth)
-        copies = own if copies is None else copies.union(own)
-        if 2 * depth <= longest:
-            ranks = doubled(ranks, depth)
+    depth, depths = 1, [ranks.select(*_DOC, "line_no", "rank", F.lit(1).alias("depth"))]
+    while 2 * depth <= longest:
+        ranks = doubled(ranks, depth)
         depth *= 2
+        depths.append(ranks.withColumn("depth", F.lit(depth)))
+    copies = written(later_runs(runs, functools.reduce(DataFrame.union, depths)))
     before = Window.partitionBy(*_DOC).orderBy("first", "past").rowsBetween(Window.unboundedPreceding, -1)
     so_far = Window.partitionBy(*_DOC).orderBy("first", "past").rowsBetween(Window.unboundedPreceding, 0)
     joined = (copies.select(*_DOC, "first", (F.col("first") + F.col("n")).alias("past"))
