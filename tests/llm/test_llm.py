@@ -140,6 +140,57 @@ def test_license_matching_statistics():
                                                  if s.split()[p:p + n] == query[end - n:end]}
 
 
+def test_license_chains_cover_most():
+    """The best chain of a template covers what trying every sequence of matches finds; overlaps count once."""
+    rng = np.random.default_rng(3)
+    scan = licenses.Scanner({}, {"t": ["a b c d e f g a b c h i j k l m n"]})
+    size, places = scan.sizes[0], 0
+
+    def every(last, left):
+        yield 0
+        for k, (at, place, n) in enumerate(left):
+            skip = 0 if last is None else max(0, last[1] - place, last[0] - at)
+            if skip < n and (last is None or (place + skip - last[1] <= licenses.GAP and at + skip - last[0] <= licenses.GAP)):
+                for more in every((at + n, place + n), left[k + 1:]):
+                    yield n - skip + more
+
+    for _ in range(300):
+        own = "a b c d e f g a b c h i j k l m n".split()
+        for _ in range(rng.integers(0, 6)):
+            k = int(rng.integers(0, len(own)))
+            own[k:k + int(rng.integers(0, 2))] = [own[k]] * int(rng.integers(0, 3)) + ["x"] * int(rng.integers(0, 2))
+            own = own or ["x"]
+        matches = []
+        for i in range(len(own)):
+            for at in range(size):
+                n = 0
+                while i + n < len(own) and at + n < size and own[i + n] == "abcdefgabchijklmn"[at + n]:
+                    n += 1
+                whole = any(own[i - 1:i + n] == list("abcdefgabchijklmn")[b:b + n + 1] for b in range(size)) if i else False
+                if n >= licenses.LONG and not whole and not any(
+                        own[i:i + n + 1] == list("abcdefgabchijklmn")[b:b + n + 1] for b in range(size - n) if i + n < len(own)):
+                    matches.append((at, i, n))
+        matches.sort(key=lambda m: (m[1] + m[2], m[0] + m[2]))
+        _, _, spans = scan(" ".join(own).encode())
+        want = max(every(None, matches))
+        places += want > 0
+        assert max((round(s[3] * size) for s in spans), default=0) == want
+        assert all(0 <= s[1] < s[2] <= len(own) and 0 < s[3] <= 1 for s in spans)
+    assert places > 100
+
+
+def test_license_with_a_word_doubled_or_put_in():
+    """One word more, also one that doubles its neighbour, leaves a notice its label."""
+    scan = licenses.Scanner()
+    for label, texts in licenses.TEMPLATES.items():
+        for own in map(str.split, texts):
+            if len(own) >= 15:
+                for k in range(3, len(own) - 3):
+                    for word in (own[k], "zzz"):
+                        _, _, spans = scan(" ".join(own[:k] + [word] + own[k:]).encode())
+                        assert max(s[3] for s in spans if s[0] == label) >= licenses.COVERED, (label, k, word)
+
+
 def test_license_templates():
     scan = licenses.Scanner()
     text = "foo " + licenses.TEMPLATES["bsd"][0].replace("and binary", "or binary") + " bar Licensed under CC BY-NC 4.0."

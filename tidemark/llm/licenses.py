@@ -37,6 +37,9 @@ TEMPLATES = {
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that "
         "the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the "
+        "following disclaimer redistributions in binary form must reproduce the above copyright notice this list of "
+        "conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     ],
     "mpl": [
         "this source code form is subject to the terms of the mozilla public license v 2 0",
@@ -49,6 +52,33 @@ TEMPLATES = {
         "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
         "licensed under cc by nc 4 0",
     ],
+    "lgpl": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser "
+        "general public license as published by the free software foundation either version 2 1 of the license or at "
+        "your option any later version",
+    ],
+    "agpl": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero "
+        "general public license as published by the free software foundation either version 3 of the license or at "
+        "your option any later version",
+    ],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies",
+    ],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish "
+        "use compile sell or distribute this software either in source code form or as a compiled binary for any "
+        "purpose commercial or non commercial and by any means",
+    ],
+    "cc0": [
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to "
+        "this work",
+    ],
+    "epl": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license "
+        "2 0 which is available at https www eclipse org legal epl 2 0",
+    ],
 }
 #: A match is long from so many words; a chain may skip so many words; a template is present from this covered share.
 LONG, GAP, COVERED = 3, 4, 0.8
@@ -178,21 +208,40 @@ class Scanner:
                 spans += [(t, at - n, end - n, n) for t, at in self.automaton.ends[state] if t >= self.n_phrases]
 
     def _chain(self, matches: list) -> list:
-        """Matches of one template in order of place, chained while both the text and the template move on."""
-        chains: dict[int, list] = {}
+        """Matches of one template chained while both the text and the template move on, each chain the one that covers
+        most words of the template.
+
+        A match that overlaps its predecessor, in the text or in the template, counts from where both have moved on. A
+        match in a better chain is not used again."""
+        by_template: dict[int, list] = {}
+        for t, at, place, n in matches:
+            by_template.setdefault(t, []).append((place + n, at + n, n))
         out = []
-        for t, at, place, n in sorted(matches, key=lambda m: (m[0], m[2], m[1])):
-            open_chains = chains.setdefault(t, [])
-            for c in open_chains:
-                if 0 <= place - c["end"] <= GAP and 0 <= at - c["at"] <= GAP:
-                    c.update(end=place + n, at=at + n, covered=c["covered"] + n)
-                    break
-            else:
-                open_chains.append({"start": place, "end": place + n, "at": at + n, "covered": n})
-            out += [(t, c) for c in open_chains if place - c["end"] > GAP]
-            chains[t] = [c for c in open_chains if place - c["end"] <= GAP]
-        out += [(t, c) for t, open_chains in chains.items() for c in open_chains]
-        return [(self.labels[t], c["start"], c["end"], c["covered"] / self.sizes[t]) for t, c in out]
+        for t, own in by_template.items():
+            own.sort()                                   # by end in the text; starts ascend with the ends
+            best, before = [], []
+            low = 0
+            for k, (end, at_end, n) in enumerate(own):
+                while own[low][0] < end - n - GAP:
+                    low += 1
+                most, pred = n, None
+                for j in range(low, k):
+                    skip = max(0, own[j][0] - (end - n), own[j][1] - (at_end - n))
+                    if (skip < n and end - n + skip - own[j][0] <= GAP and at_end - n + skip - own[j][1] <= GAP
+                            and best[j] + n - skip > most):
+                        most, pred = best[j] + n - skip, j
+                best.append(most)
+                before.append(pred)
+            used = [False] * len(own)
+            for k in sorted(range(len(own)), key=lambda k: (-best[k], k)):
+                j = k
+                while j is not None and not used[j]:
+                    used[j], first, j = True, j, before[j]
+                    if j is None or used[j]:
+                        covered = best[k] - (best[j] if j is not None else 0)
+                        start = own[first][0] - (best[first] - (best[j] if j is not None else 0))
+                        out.append((self.labels[t], start, own[k][0], covered / self.sizes[t]))
+        return sorted(out, key=lambda s: (s[1], s[2], s[0], -s[3]))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
