@@ -356,6 +356,15 @@ def test_line_dedup_run_lengths(spark):
     assert gone[2, 1] == 1 and gone[4, 2] == 0 and gone[6, 3] == 2 and gone[8, 107] == 105 and gone[11, 4] == 0
 
 
+def test_line_dedup_rows_that_share_an_id(spark):
+    """Different texts under one id: one of them keeps the shared line. Repeated rows don't remove each other."""
+    line = "a line of more than fifty characters that both of the texts hold"
+    rows = [(1, f"{line}\nfirst"), (1, f"x\n{line}"), (2, "own " + line), (2, "own " + line), (3, line), (3, line)]
+    got = line_dedup.remove_copied_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = sorted((r["doc_id"], r["n_removed"]) for r in got)
+    assert gone == [(1, 0), (1, 1), (2, 0), (2, 0), (3, 1), (3, 1)]
+
+
 def test_url_templates_of_deep_paths(spark):
     """Branches that part below the sixth segment have verdicts of their own, at any depth."""
     for depth in (6, 7, 40):
