@@ -174,3 +174,29 @@ def test_legacy_bodies_are_bytes_and_prefixes_read_one_folder(spark, tmp_path):
     assert [r["digest"] for r in own.where("reject IS NULL").collect()] == [first]
     with pytest.raises(ValueError):
         stg.read_legacy_bodies(spark, src, "a1")
+
+
+def test_listing_and_reading_take_as_many_tasks_as_the_session_has_not_as_there_are_files(spark, tmp_path):
+    import zstandard
+    names = [base64.b32encode(hashlib.sha1(str(i).encode()).digest()).decode() for i in range(600)]
+    for i, d in enumerate(names):
+        (tmp_path / d[:2] / d[2:4]).mkdir(parents=True, exist_ok=True)
+        (tmp_path / d[:2] / d[2:4] / f"{d}.zst").write_bytes(zstandard.compress(str(i).encode()))
+    for read in (stg.read_bodies(spark, str(tmp_path)), stg.read_store_files(spark, str(tmp_path)), stg.list_files(spark, str(tmp_path))):
+        assert read.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {r["digest"]: r["text"] for r in stg.read_bodies(spark, str(tmp_path)).collect()}
+    assert got == {d: str(i) for i, d in enumerate(names)}
+
+
+def test_listing_shows_the_files_that_sparks_own_listing_shows(spark, tmp_path):
+    for n in ("a/x.zst", "a/_h/y.zst", "a/empty.zst", "_q/z.zst", ".h.zst", "a/_metadata", "b/k=_1", "a/c._COPYING_", "top.zst",
+              "_k=1/u.zst", "a b/s p.zst", "a/é%20.zst"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"" if "empty" in n else b"12")
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path)).select("path", "length")
+    want = sorted((r["path"].split(f"{tmp_path}/")[1], r["length"]) for r in plain.collect())
+    listed = stg.list_files(spark, str(tmp_path))
+    (tmp_path / "later").write_bytes(b"x")                  # the listing is of the moment it was asked for
+    assert sorted((r["path"], r["length"]) for r in listed.collect()) == want
+    assert sorted(r["path"] for r in stg.list_store(spark, str(tmp_path)).collect()) == sorted(
+        r["path"] for r in plain.collect() if r["path"].endswith(".zst"))

@@ -1,35 +1,137 @@
 """Content-addressed body stores (S8-S13): 'AA/BB/<digest>.zst' (zstd) and legacy 'A/<digest>.gz' (gzip).
 
-Listing and reading go through the ``binaryFile`` source (column-pruned to path/length when bodies are not needed);
-zstd bodies are decoded in Arrow batches. Writing is an anti-join on stored digests plus a partitioned append.
+A store has one small file per body, so the ``binaryFile`` source, which plans a task for every few files, makes more
+tasks than work: folders are listed by tasks, and the files dealt out evenly, read and decoded by the task that holds
+their path. Writing is an anti-join on stored digests plus a partitioned append.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import digest_from_store_path, is_valid_digest, store_location, store_path_valid
+from tidemark.session import cut_lineage
 
 # Legacy layout '<first symbol>/<digest>.gz'; default zstd level of the store.
 LEGACY_LETTERS = "234567ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ZSTD_LEVEL = 14
 # Magic numbers of zstd frames (skippable ones with any low four bits) and gzip members.
 ZSTD_MAGIC, ZSTD_SKIPPABLE, GZIP_MAGIC = 0xFD2FB528, 0x184D2A50, b"\x1f\x8b"
+#: Files listed, and bytes of bodies held, between two batches that a reading task gives out.
+LISTED_AT_ONCE, READ_AT_ONCE = 10_000, 8 << 20
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's own listing leaves out."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _listed(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path relative to ``root``, length) of every file below it whose name fits, as Spark's listing has them (no
+    hidden or empty ones): one task lists the root, the folders in it are dealt out and listed below. The rows are
+    checkpointed at once, so they show the folder at this moment, and none of them passes through the driver."""
+    import pyarrow.fs as pafs
+    uri = _shared_uri(spark, root)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+    def entries(fs, base, folder):
+        prefix = f"{folder}/" if folder else ""
+        for e in fs.get_file_info(pafs.FileSelector(f"{base}/{folder}" if folder else base)):
+            if _hidden(e.base_name):
+                continue
+            if e.type == pafs.FileType.Directory:
+                yield prefix + e.base_name, None
+            elif e.size and fnmatch.fnmatchcase(e.base_name, glob):
+                yield prefix + e.base_name, e.size
+
+    def below(fs, base, folder):
+        folders = [folder]
+        while folders:
+            for path, length in entries(fs, base, folders.pop()):
+                if length is None:
+                    folders.append(path)
+                else:
+                    yield path, length
+
+    def batches(rows):
+        held = []
+        for r in rows:
+            held.append(r)
+            if len(held) == LISTED_AT_ONCE:
+                yield pd.DataFrame(held, columns=["path", "length"]).astype({"length": "Int64"})
+                held = []
+        yield pd.DataFrame(held, columns=["path", "length"]).astype({"length": "Int64"})
+
+    def opened():
+        fs, base = pafs.FileSystem.from_uri(uri)
+        return fs, base.rstrip("/")
+
+    def top(pdfs):
+        fs, base = opened()
+        for pdf in pdfs:
+            for _ in range(len(pdf)):
+                yield from batches(entries(fs, base, ""))
+
+    def expand(pdfs):
+        fs, base = opened()
+        for pdf in pdfs:
+            yield from batches(r for path, length in zip(pdf["path"], pdf["length"])
+                               for r in (below(fs, base, path) if pd.isna(length) else [(path, int(length))]))
+
+    schema = "path string, length long"
+    found = spark.range(0, 1, 1, 1).mapInPandas(top, schema).repartition(n, "path").mapInPandas(expand, schema)
+    return cut_lineage(found.repartition(n, "path"))
+
+
+def _read(files: DataFrame, root: str, codec: str, wanted: Column) -> DataFrame:
+    """``files`` (path relative to ``root``, ...) with body and error of the ``wanted`` ones (both null for others), read
+    and decoded by the task that holds the path."""
+    import pyarrow.fs as pafs
+    uri, decode, columns = _shared_uri(files.sparkSession, root), DECODERS[codec], list(files.columns)
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(uri)
+
+        def one(path, read):
+            if not read:
+                return None, None
+            with fs.open_input_stream(f"{base.rstrip('/')}/{path}", compression=None) as f:
+                return decode(f.read())
+
+        for b in batches:
+            held, size, start = [], 0, 0
+            for at, (path, read) in enumerate(zip(b.column("path").to_pylist(), b.column("_read").to_pylist()), 1):
+                held.append(one(path, read))
+                size += len(held[-1][0] or b"")
+                if size >= READ_AT_ONCE or at == b.num_rows:
+                    own = b.slice(start, at - start)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(own.column(c) for c in columns), pa.array([x for x, _ in held], pa.binary()),
+                         pa.array([e for _, e in held], pa.string())], names=[*columns, "body", "error"])
+                    held, size, start = [], 0, at
+
+    schema = T.StructType([*files.schema, T.StructField("body", T.BinaryType()), T.StructField("error", T.StringType())])
+    return files.withColumn("_read", F.coalesce(wanted, F.lit(False))).mapInArrow(run, schema)
 
 
 def list_store(spark: SparkSession, root: str, suffix: str = "*.zst") -> DataFrame:
     """(path, length, digest, path_ok) for every stored file; bodies are not read."""
-    f = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix)
-         .load(root).select("path", "length"))
+    f = _with_root(_listed(spark, root, suffix), spark, root)
     return f.select("path", "length", digest_from_store_path("path").alias("digest"),
                     store_path_valid("path").alias("path_ok"))
 
 
+def _with_root(files: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    return files.withColumn("path", F.concat(F.lit(_qualified(spark, root) + "/"), "path"))
+
+
 def decode_zstd(data: bytes) -> tuple[bytes | None, str | None]:
     """(body, None) of a file of one or more zstd frames, or (None, error): a frame that ends early, bytes behind the
     last frame, an empty or corrupt file. Skippable frames hold no body."""
@@ -84,17 +186,6 @@ def zstd_decompress(b: pd.Series) -> pd.Series:
     return b.map(lambda x: None if x is None else decode_zstd(bytes(x))[0])
 
 
-def decoded(content: Column, codec: str) -> Column:
-    """struct(body, error) of a file's bytes; exactly one of the two is set (both null for null bytes)."""
-    decode = DECODERS[codec]
-
-    @F.pandas_udf("body binary, error string")
-    def run(b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None) if x is None else decode(bytes(x)) for x in b], columns=["body", "error"])
-
-    return run(content)
-
-
 @F.pandas_udf(T.BinaryType())
 def gzip_compress(b: pd.Series) -> pd.Series:
     import gzip
@@ -111,11 +202,8 @@ def zstd_compress(b: pd.Series) -> pd.Series:
 def read_bodies(spark: SparkSession, root: str, suffix: str = "*.zst") -> DataFrame:
     """(path, digest, body binary, error, text). ``error`` says why a body can't be decoded (the body is then NULL);
     ``text`` is NULL when the body is not valid UTF-8. Both are rejects of the row, never a failed job."""
-    f = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix)
-         .load(root).select("path", "content"))
-    d = decoded(F.col("content"), "zstd" if suffix.endswith("zst") else "plain")
-    b = (f.select("path", digest_from_store_path("path").alias("digest"), d.alias("d"))
-         .select("path", "digest", "d.body", "d.error"))
+    f = _read(_listed(spark, root, suffix), root, "zstd" if suffix.endswith("zst") else "plain", F.lit(True))
+    b = _with_root(f, spark, root).select("path", digest_from_store_path("path").alias("digest"), "body", "error")
     return b.withColumn("text", utf8_text("body"))
 
 
@@ -133,24 +221,23 @@ def prefix_glob(prefix: str) -> str:
     return "/".join(["".join(p) + "?" * (2 - len(p)) for p in (first, second)] + [f"{prefix}*.zst"])
 
 
-def list_files(spark: SparkSession, root: str, content: bool = False, prefix: str = "") -> DataFrame:
-    """(path relative to ``root``, length[, content]) of every file below it, whatever its name (but names that begin
-    with '_' or '.', which Spark's listing leaves out). With ``prefix`` only files of a store under digests that begin
-    with it: other folders are not even listed."""
-    f = spark.read.format("binaryFile")
-    f = f.load(f"{root}/{prefix_glob(prefix)}") if prefix else f.option("recursiveFileLookup", True).load(root)
-    prefix = _qualified(spark, root) + "/"
-    rel = F.substring("path", len(prefix) + 1, 1 << 20)
-    return f.select(rel.alias("path"), "length", *(["content"] if content else []))
+def list_files(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """(path relative to ``root``, length) of every file below it, whatever its name (but names that begin with '_' or
+    '.', which Spark's listing leaves out). With ``prefix`` only files of a store under digests that begin with it: other
+    folders are not even listed."""
+    if not prefix:
+        return _listed(spark, root)
+    f = spark.read.format("binaryFile").load(f"{root}/{prefix_glob(prefix)}")
+    rel = F.substring("path", len(_qualified(spark, root)) + 2, 1 << 20)
+    return f.select(rel.alias("path"), "length")
 
 
 def read_store_files(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """Q1 / Q3 input: (path, body, error) of every file below ``root``, or of the digests that begin with ``prefix``. Files whose path is not that of a stored body are
     kept, unread; an undecodable body is NULL with its error."""
-    f = list_files(spark, root, content=True, prefix=prefix)
     path = F.concat(F.lit("/"), F.col("path"))          # the path rule asks for folders below some root
-    d = decoded(F.when(store_path_valid(path), F.col("content")), "zstd")
-    return f.select(path.alias("path"), d.alias("d")).select("path", "d.body", "d.error")
+    f = _read(list_files(spark, root, prefix).select("path"), root, "zstd", store_path_valid(path))
+    return f.select(path.alias("path"), "body", "error")
 
 
 def save_bodies(items: DataFrame, stored: DataFrame, root: str) -> DataFrame:
@@ -294,13 +381,12 @@ def read_legacy_bodies(spark: SparkSession, root: str, prefix: str | None = None
         if not set(prefix) <= set(LEGACY_LETTERS) or len(prefix) > 32:
             raise ValueError(f"not a digest prefix: {prefix!r}")
         root = f"{root}/{prefix[0]}"
-    f = list_files(spark, root, content=True)
+    f = list_files(spark, root)
     rel = F.concat(F.lit(f"{prefix[0]}/"), F.col("path")) if prefix else F.col("path")
     stem, reject = legacy_layout(rel)
     reject = F.coalesce(reject, F.when(~is_valid_digest(stem), "name"))
-    f = f.select(rel.alias("path"), F.when(reject.isNull(), stem).alias("digest"), reject.alias("reject"), "content")
+    f = f.select("path", rel.alias("rel"), F.when(reject.isNull(), stem).alias("digest"), reject.alias("reject"))
     if prefix:
         f = f.where(F.col("digest").startswith(prefix) | F.col("reject").isNotNull())
-    d = decoded(F.when(F.col("reject").isNull(), F.col("content")), "gzip")
-    return (f.select("path", "digest", "reject", d.alias("d")).select("path", "digest", "reject", "d.body", "d.error")
-            .withColumn("text", utf8_text("body")))
+    f = _read(f, root, "gzip", F.col("reject").isNull())
+    return f.select(F.col("rel").alias("path"), "digest", "reject", "body", "error").withColumn("text", utf8_text("body"))
