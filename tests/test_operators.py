@@ -271,3 +271,21 @@ def test_pages_without_body_or_head_keep_their_text():
     o = "https://site.example"
     assert [absolute_link(o, h) for h in ("/a", "b", "//c/d", "http://e", "#f", "mailto:g@h", "javascript:x", "")] == [
         o + "/a", o + "/b", "https://c/d", "http://e", None, None, None, None]
+
+
+def test_a_worker_holds_few_pages_and_few_texts_at_a_time():
+    import pandas as pd
+    import pyarrow as pa
+    from tidemark.operators import extract as ex, search as srch
+    pages = pd.Series([None if i % 7 == 0 else f"<title>t{i}</title><body><a href='/{i}'>x</a>" for i in range(200)])
+    parts = list(ex._parse_batches(iter([pages, pages[:1], pages[:0]])))
+    assert max(map(len, parts)) <= ex.PAGES_AT_ONCE
+    assert [r for p in parts for r in p["title"]] == [r["title"] for r in map(ex._parse, [*pages, pages[0]])]
+
+    toks = [None if i % 9 == 0 else [f"w{i % 5}", None, "all", f"w{i % 5}"] for i in range(1000)]
+    whole = pa.RecordBatch.from_arrays([pa.array([f"s{i}" for i in range(1000)]), pa.array(["content"] * 1000),
+                                        pa.array(toks, pa.list_(pa.string()))], names=["snapshot", "field", "toks"])
+    out = list(srch._group_tokens([whole, whole.slice(0, 0)]))
+    assert max(len(set(b.column("snapshot").to_pylist())) for b in out) <= srch.TEXTS_AT_ONCE < 1000
+    got = sorted((r["snapshot"], r["token"], r["tf"], r["dl"], tuple(r["positions"])) for b in out for r in b.to_pylist())
+    assert got == sorted(x for i, t in enumerate(toks) if t for x in ((f"s{i}", f"w{i % 5}", 2, 3, (0, 3)), (f"s{i}", "all", 1, 3, (2,))))

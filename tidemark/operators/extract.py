@@ -10,6 +10,7 @@ Two paths:
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -166,9 +167,17 @@ def parse_document(html: str | None, base: str | None = None) -> dict:
     return d | {"links": [h for h in (absolute_link(base, h) for h in hrefs) if h]}
 
 
-@F.pandas_udf(PARSED_TYPE)
-def _extract_udf(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_parse(h) for h in html], columns=[f.name for f in PARSED_TYPE])
+#: Pages whose parts a worker holds at a time, whatever the number of rows in an Arrow batch.
+PAGES_AT_ONCE = 64
+
+
+def _parse_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for html in batches:
+        for at in range(0, len(html), PAGES_AT_ONCE):
+            yield pd.DataFrame([_parse(h) for h in html.iloc[at:at + PAGES_AT_ONCE]], columns=[f.name for f in PARSED_TYPE])
+
+
+_extract_udf = F.pandas_udf(_parse_batches, PARSED_TYPE)
 
 
 def page_origin(url) -> Column:

@@ -135,9 +135,14 @@ def document_postings(docs: DataFrame, fields=FIELDS) -> DataFrame:
     return lowered.mapInArrow(_group_tokens, STORED)
 
 
+#: Texts whose tokens are grouped at a time.
+TEXTS_AT_ONCE = 256
+
+
 def _group_tokens(batches):
-    """(snapshot, field, toks) rows, dropped tokens null, to one row per row and distinct token."""
-    for b in batches:
+    """(snapshot, field, toks) rows, dropped tokens null, to one row per row and distinct token. A batch is grouped in
+    parts, so a worker's memory does not follow the number of rows in it."""
+    for b in (whole.slice(at, TEXTS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, TEXTS_AT_ONCE)):
         toks = b.column(2)
         flat = toks.flatten()
         n = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
