@@ -1,6 +1,7 @@
 """Versioned tables: insert-if-absent that opens only what may hold a key, replay, conflicts, compaction; and the search
 index that replaces changed documents."""
 
+import datetime as dt
 import re
 import uuid
 
@@ -166,3 +167,30 @@ def test_deleted_documents_go_and_may_come_back(spark, sf_small):
     assert index.docs().count() == index.postings().count() == 0
     index.apply(docs.limit(1))
     assert index.docs().count() == 1
+
+
+def test_only_generations_replaced_in_part_meet_their_marks(spark):
+    base = checkpoint_dir(spark, f"t-index-{uuid.uuid4().hex}/index")
+
+    def docs(ids, text):
+        return spark.createDataFrame([(f"s{i}", dt.datetime(2020, 1, 1), f"title {i}", f"{text} words {text}") for i in ids],
+                                     "snapshot string, captured_at timestamp, title string, content string")
+
+    def held(tok):
+        return sorted(r["snapshot"] for r in index.postings().where(F.col("token") == tok).collect())
+
+    def joins(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+    index = SearchIndex(spark, base)
+    index.apply(docs(range(6), "old"))
+    assert joins(index.postings()) == joins(index.docs()) == 0
+    index.apply(docs(range(2), "new"))                            # replaced in part
+    assert joins(index.postings()) == 1 and held("old") == ["s2", "s3", "s4", "s5"] and held("new") == ["s0", "s1"]
+    index.apply(docs(range(6), "last"))                           # both wholly replaced
+    assert joins(index.postings()) == joins(index.docs()) == 0 and held("old") == held("new") == []
+    assert held("last") == [f"s{i}" for i in range(6)] and index.docs().count() == 6
+    index.apply(docs([4], "gone").withColumn("deleted", F.lit(True)))
+    index.compact()
+    assert joins(index.postings()) == 0 and held("last") == ["s0", "s1", "s2", "s3", "s5"]
+    assert _same(index.postings().drop("shard"), srch.document_postings(index.docs()))

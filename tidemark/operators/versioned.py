@@ -131,6 +131,13 @@ class VersionedTable:
         return "bucket int, n long, segments long, " + ", ".join(
             f"{end}_{k} {types[k]}" for k in self.key for end in ("low", "high"))
 
+    def rows_by_generation(self, state: State) -> dict[str, int]:
+        """Rows of each live generation that has any, from the statistics."""
+        if not state.live:
+            return {}
+        n = self._side("_stats", state.live, "n long").groupBy("gen").agg(F.sum("n"))
+        return dict(n.collect())                                        # a row per live generation at most
+
     def may_hold(self, keys: DataFrame, state: State) -> DataFrame:
         """(key columns, gen, bucket) of every place where a key may be, by key ranges and Bloom segments: never misses
         one that is there."""

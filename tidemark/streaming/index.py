@@ -10,6 +10,8 @@ Layout: ``<path>/gen=...`` postings, ``<path>/_docs`` the document table (``oper
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,19 +41,31 @@ class SearchIndex:
         marks = self._generations(f"{self.path}/_marks", MARKS, state.live)
         return marks.select("snapshot", F.col("old").alias("gen")).distinct()
 
+    def _live(self, state: State, read) -> DataFrame | None:
+        """The rows of ``read(generations)`` that no later generation has replaced. Generations that no mark names (the
+        newest one never is) are read as they are, wholly replaced ones not at all; only those replaced in part meet
+        their marks. A snapshot stands once in a generation."""
+        stale = self._stale(state)
+        marked = dict(stale.groupBy("gen").count().collect())                       # a row per live generation at most
+        rows = self.table.rows_by_generation(state) if marked else {}
+        whole = [g for g in state.live if g not in marked]
+        part = [g for g in state.live if g in marked and marked[g] < rows[g]]
+        if not part:
+            return read(whole)
+        met = read(part).join(stale, ["snapshot", "gen"], "left_anti")
+        return read(whole).unionByName(met) if whole else met
+
     def docs(self, state: State | None = None) -> DataFrame | None:
         """The newest row of every document (None before the first batch)."""
         state = state or self.table.ledger.state()
-        rows = self.table.read(state)
-        if rows is None:
+        if state.schema is None:
             return None
-        return rows.join(self._stale(state), ["snapshot", "gen"], "left_anti").drop("gen", "bucket")
+        return self._live(state, lambda gens: self.table.read(replace(state, live=gens))).drop("gen", "bucket")
 
     def postings(self, state: State | None = None) -> DataFrame:
         """Postings (per document) of the newest rows."""
         state = state or self.table.ledger.state()
-        rows = self._generations(self.path, POSTINGS, state.live)
-        return rows.join(self._stale(state), ["snapshot", "gen"], "left_anti").drop("gen")
+        return self._live(state, lambda gens: self._generations(self.path, POSTINGS, gens)).drop("gen")
 
     # ---- writing ------------------------------------------------------------------------------------------------
 
@@ -81,12 +95,13 @@ class SearchIndex:
         return self.table.commit_batch(write, source, epoch)
 
     def compact(self) -> State:
-        """Rewrites the live documents and postings as one generation."""
+        """Rewrites the live documents and their postings as one generation. Postings follow from the documents, which
+        are a fraction of their size, so they are made anew and not joined with the marks."""
         def write(state: State, gen: str):
             docs = self.docs(state)
             if docs is None:
                 return 0, (), None
-            self._write(gen, docs, self.postings(state), self.spark.createDataFrame([], MARKS))
+            self._write(gen, docs, document_postings(docs), self.spark.createDataFrame([], MARKS))
             return 1, state.live, state.schema
 
         return self.table.commit_batch(write)
