@@ -65,3 +65,24 @@ def test_stored_postings_open_the_folders_of_their_tokens(spark, tmp_path):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert rows.count() == 301 and "PartitionFilters: [isnotnull(shard" in plan or "PartitionFilters: [shard" in plan
     assert rows.select("shard").distinct().count() <= 2
+
+
+def test_postings_are_written_by_the_task_that_has_the_document(spark, tmp_path):
+    """No posting is shuffled: each of three tasks adds its own file, in order of tokens, to every folder."""
+    import glob
+    import pyarrow.parquet as pq
+    post = (spark.range(0, 300, 1, 3).select(F.sha1(F.col("id").cast("string")).alias("snapshot"), F.lit("content").alias("field"),
+                                             F.explode(F.sequence(F.lit(1), F.lit(200)).cast("array<string>")).alias("token"),
+                                             F.lit(1).cast("long").alias("tf"), F.lit(200).cast("long").alias("dl"),
+                                             F.array(F.lit(0)).alias("positions")))
+    srch.write_postings(post, f"{tmp_path}/p")
+    folders = glob.glob(f"{tmp_path}/p/shard=*")
+    assert len(folders) == srch.SHARDS
+    for folder in folders:
+        files = [pq.ParquetFile(f) for f in glob.glob(f"{folder}/*.parquet")]
+        assert len(files) == 3
+        for f in files:
+            rows = f.read(["token", "snapshot"]).to_pylist()
+            assert len({r["snapshot"] for r in rows}) == 100 and rows == sorted(rows, key=lambda r: (r["token"], r["snapshot"]))
+    back = spark.read.parquet(f"{tmp_path}/p").drop("shard")
+    assert back.count() == 300 * 200 and back.exceptAll(post).count() == 0

@@ -127,9 +127,11 @@ STORED = "snapshot string, field string, token string, tf long, dl long, positio
 def document_postings(docs: DataFrame, fields=FIELDS) -> DataFrame:
     """T3 as it is stored: one row (snapshot, field, token, tf, dl, positions) per document, field and token.
 
-    Texts are tokenised once, by the analyser's expressions; the tokens of a batch of documents are then grouped by
-    sorting their dictionary codes (Arrow arrays, no loop over rows), so nothing is shuffled or aggregated."""
-    toks = docs.select("snapshot", F.explode(F.array(*[
+    Texts are dealt out evenly, so that a task's postings fit its memory, and tokenised once, by the analyser's
+    expressions; the tokens of a batch of documents are then grouped by sorting their dictionary codes (Arrow arrays, no
+    loop over rows), so no posting is shuffled or aggregated."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    toks = docs.select("snapshot", *fields).repartition(n, "snapshot").select("snapshot", F.explode(F.array(*[
         F.struct(F.lit(f).alias("field"), raw_tokens(F.col(f)).alias("toks")) for f in fields])).alias("s"))
     lowered = toks.select("snapshot", "s.field", F.transform("s.toks", lambda t: F.when(keep_token(t), F.lower(t))).alias("toks"))
     return lowered.mapInArrow(_group_tokens, STORED)
@@ -188,16 +190,19 @@ def _shard(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(SHARDS)).cast("int")
 
 
+#: Bytes that a column's dictionary may have in a file of postings.
+DICTIONARY_BYTES = 8 << 20
+
+
 def write_postings(post: DataFrame, path: str) -> None:
     """Inverted-index layout: folders by a hash of the token (a query opens those of its terms), sorted by token inside a
-    file (row groups of other tokens are skipped). One shuffle, and no sampling pass over the texts: a folder's rows are
-    dealt out by document, so a token that stands in all of them is spread over as many tasks as its folder has."""
-    spread = max(1, int(post.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // SHARDS)
-    part = F.col("shard") * spread + F.pmod(F.xxhash64("snapshot"), F.lit(spread)).cast("int")
+    file (row groups of other tokens are skipped). Postings take many times the space of their texts, so they are not
+    shuffled: each task sorts those of its documents and adds a file to every folder. A file's dictionary holds all its
+    documents, so a snapshot costs a few bits per posting."""
     (post.withColumn("shard", _shard(F.col("token")))
-     .repartitionById(SHARDS * spread, part)
      .sortWithinPartitions("shard", "token", "snapshot", "field")
-     .write.mode("overwrite").partitionBy("shard").parquet(path))
+     .write.mode("overwrite").option("compression", "zstd").option("parquet.dictionary.page.size", DICTIONARY_BYTES)
+     .partitionBy("shard").parquet(path))
 
 
 def of_tokens(post: DataFrame, tokens: list[str]) -> DataFrame:

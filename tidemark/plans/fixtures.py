@@ -69,7 +69,7 @@ def archive_path(spark: SparkSession, sf_dir: str, name: str) -> str:
 
 
 def _write(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def _write_postings(df: DataFrame, path: str) -> None:

@@ -31,7 +31,7 @@ def write_bucketed(df: DataFrame, path: str, key: Sequence[str], sort: Sequence[
     """Writes ``df`` as one sorted file per bucket (each bucket is one task's)."""
     name = _table_name(path)
     df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-    (df.repartition(buckets, *key).write.mode("overwrite").option("path", path)
+    (df.repartition(buckets, *key).write.mode("overwrite").option("path", path).option("compression", "zstd")
      .bucketBy(buckets, *key).sortBy(*sort).saveAsTable(name))
 
 
