@@ -86,3 +86,26 @@ def test_postings_are_written_by_the_task_that_has_the_document(spark, tmp_path)
             assert len({r["snapshot"] for r in rows}) == 100 and rows == sorted(rows, key=lambda r: (r["token"], r["snapshot"]))
     back = spark.read.parquet(f"{tmp_path}/p").drop("shard")
     assert back.count() == 300 * 200 and back.exceptAll(post).count() == 0
+
+
+def test_postings_of_whole_texts_have_the_analysers_tokens(spark):
+    """One string per text is lower-cased and split, not an array per token; the tokens, places and lengths are those of
+    the token expressions, whatever the letters."""
+    odd = ["", None, "  ", "...", "one", " Two  three! ", "\u0391\u03a3'\u0391 \u039f\u0394\u039f\u03a3 \u03a3 A\u03a3.B", "\u0130stanbul I\u0307",
+           "x" * 39 + " " + "x" * 40, "\u00e9" * 19 + " " + "\u00e9" * 20, "\u0130" * 19 + "A a", "\U00010400\U00010428 \u0661\u00bd n\u00e3o-e\u0301",
+           "a\tb\nc\u00a0d\u2003e\x00f", "\u01c5 \u1e9e STRASSE"]
+    docs = spark.createDataFrame([(f"d{i}", t, odd[-i - 1]) for i, t in enumerate(odd)], "snapshot string, content string, title string")
+    post = srch.document_postings(docs)
+    rows = lambda df: sorted((r.snapshot, r.field, r.pos, r.token, r.dl) for r in df.collect())
+    assert rows(srch.occurrences(post)) == rows(srch.postings(docs))
+    lengths = {(r.snapshot, f): r[f"{f}_dl"] for r in srch.with_field_lengths(docs).collect() for f in srch.FIELDS}
+    held = {(r.snapshot, r.field): r.dl for r in post.collect()}
+    assert lengths == {k: held.get(k, 0) for k in lengths} and len(lengths) == 2 * len(odd)
+    plan = post._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "lambdafunction" not in plan
+
+
+def test_bodies_are_hashed_once_for_all_tables_of_the_archive(spark, sf_small):
+    from tidemark.plans import fixtures as fx
+    plan = fx.success.build(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "sha1" not in plan.lower()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # Fixed values of the default analyser: a token is a maximal run of letters/digits, tokens of 40 bytes or more are
 # dropped, the rest lower-cased. BM25 constants k1, b. First year of the year facet.
 TOKEN_PATTERN = r"([\p{L}\p{N}]+)"
+NO_TOKEN_PATTERN = r"[^\p{L}\p{N}]+"
 MAX_TOKEN_BYTES = 40
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -28,6 +29,12 @@ def raw_tokens(text) -> Column:
     return F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(TOKEN_PATTERN), 1)
 
 
+def spaced_tokens(text) -> Column:
+    """The same runs as ``raw_tokens`` in one string, a space between them (empty for NULL): one value per text to build
+    and pass on, where the array has one per token."""
+    return F.trim(F.regexp_replace(F.coalesce(_col(text), F.lit("")), NO_TOKEN_PATTERN, " "))
+
+
 def keep_token(tok) -> Column:
     return F.octet_length(tok) < MAX_TOKEN_BYTES
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import archive_url, capture_year, raw_tokens, surt_canonical_url
 from tidemark.functions.timefmt import utc_bound
-from tidemark.functions.text import BM25_B, BM25_K1, FIRST_FACET_YEAR, MAX_TOKEN_BYTES, TOKEN_PATTERN, keep_token
+from tidemark.functions.text import BM25_B, BM25_K1, FIRST_FACET_YEAR, MAX_TOKEN_BYTES, TOKEN_PATTERN, spaced_tokens
 from tidemark.operators.dedup import first_by
 from tidemark.operators.reconcile import representative
 from tidemark.session import cut_lineage
@@ -128,13 +128,31 @@ def document_postings(docs: DataFrame, fields=FIELDS) -> DataFrame:
     """T3 as it is stored: one row (snapshot, field, token, tf, dl, positions) per document, field and token.
 
     Texts are dealt out evenly, so that a task's postings fit its memory, and tokenised once, by the analyser's
-    expressions; the tokens of a batch of documents are then grouped by sorting their dictionary codes (Arrow arrays, no
-    loop over rows), so no posting is shuffled or aggregated."""
+    expressions on the whole text; the tokens of a batch of documents are then grouped by sorting their dictionary codes
+    (Arrow arrays, no loop over rows), so no posting is shuffled or aggregated."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    toks = docs.select("snapshot", *fields).repartition(n, "snapshot").select("snapshot", F.explode(F.array(*[
-        F.struct(F.lit(f).alias("field"), raw_tokens(F.col(f)).alias("toks")) for f in fields])).alias("s"))
-    lowered = toks.select("snapshot", "s.field", F.transform("s.toks", lambda t: F.when(keep_token(t), F.lower(t))).alias("toks"))
-    return lowered.mapInArrow(_group_tokens, STORED)
+    texts = docs.select("snapshot", *fields).repartition(n, "snapshot").select("snapshot", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field"), spaced_tokens(F.col(f)).alias("spaced")) for f in fields])).alias("s"))
+    # no letter's lower case depends on letters beyond a space
+    both = texts.select("snapshot", "s.field", "s.spaced", F.lower("s.spaced").alias("lowered"))
+    return both.mapInArrow(_group_texts, STORED)
+
+
+def _group_texts(batches):
+    return _group_tokens(_token_lists(batches))
+
+
+def _token_lists(batches):
+    """(snapshot, field, spaced, lowered) rows to (snapshot, field, toks) rows, dropped tokens null: lower-cased tokens,
+    kept by the bytes they had before."""
+    for b in (whole.slice(at, TEXTS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, TEXTS_AT_ONCE)):
+        spaced, lowered = (pc.split_pattern(b.column(k), " ") for k in (2, 3))
+        own = spaced.flatten()
+        size = pc.binary_length(own)        # 0: the one piece of a text without tokens
+        kept = pc.and_(pc.greater(size, 0), pc.less(size, MAX_TOKEN_BYTES))
+        toks = pc.if_else(kept, lowered.flatten(), pa.scalar(None, own.type))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), type(spaced).from_arrays(spaced.offsets, toks)],
+                                         names=["snapshot", "field", "toks"])
 
 
 #: Texts whose tokens are grouped at a time.

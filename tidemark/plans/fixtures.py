@@ -145,9 +145,9 @@ def doc_count(spark: SparkSession, sf_dir: str):
     return table(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
 
 
-@_memo
+@_stored
 def doc_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, digest, n_chars): each body hashed once, before any join fans it out."""
+    """(doc_id, digest, n_chars): each body hashed once, before any join fans it out, and for all tables of the archive."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", content_digest("text").alias("digest"), "n_chars")
 
