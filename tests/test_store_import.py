@@ -200,3 +200,16 @@ def test_listing_shows_the_files_that_sparks_own_listing_shows(spark, tmp_path):
     assert sorted((r["path"], r["length"]) for r in listed.collect()) == want
     assert sorted(r["path"] for r in stg.list_store(spark, str(tmp_path)).collect()) == sorted(
         r["path"] for r in plain.collect() if r["path"].endswith(".zst"))
+
+
+def test_bodies_read_are_not_broadcast(spark, tmp_path):
+    bodies = [bytes([65 + i]) * 1000 for i in range(20)]
+    for b in bodies:
+        put(str(tmp_path), f"{digest(b)[:2]}/{digest(b)[2:4]}/{digest(b)}.zst", z(b))
+    listed = stg.list_store(spark, str(tmp_path)).select("path", "digest")
+    for j in (listed.join(stg.read_bodies(spark, str(tmp_path)).select("path", "text"), "path"),
+              listed.join(stg.read_store_files(spark, str(tmp_path)).select("path", "body"), "path", "left")):
+        # nothing says how large the bodies are, so the plan may not take them for small
+        assert "Broadcast" not in j._jdf.queryExecution().sparkPlan().toString()
+    got = {r["digest"]: r["text"] for r in listed.join(stg.read_bodies(spark, str(tmp_path)).select("path", "text"), "path").collect()}
+    assert got == {digest(b): b.decode() for b in bodies}

@@ -36,7 +36,9 @@ def _hidden(name: str) -> bool:
 def _listed(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(path relative to ``root``, length) of every file below it whose name fits, as Spark's listing has them (no
     hidden or empty ones): one task lists the root, the folders in it are dealt out and listed below. The rows are
-    checkpointed at once, so they show the folder at this moment, and none of them passes through the driver."""
+    checkpointed at once, so they show the folder at this moment, and none of them passes through the driver: they come
+    from a row of unknown size, as the planner takes what follows from a row of known size (the bodies read, too) to be
+    as small, and broadcasts it."""
     import pyarrow.fs as pafs
     uri = _shared_uri(spark, root)
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -86,7 +88,8 @@ def _listed(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
                                for r in (below(fs, base, path) if pd.isna(length) else [(path, int(length))]))
 
     schema = "path string, length long"
-    found = spark.range(0, 1, 1, 1).mapInPandas(top, schema).repartition(n, "path").mapInPandas(expand, schema)
+    start = spark.createDataFrame(spark.sparkContext.parallelize([("",)], 1), "root string")
+    found = start.mapInPandas(top, schema).repartition(n, "path").mapInPandas(expand, schema)
     return cut_lineage(found.repartition(n, "path"))
 
 
