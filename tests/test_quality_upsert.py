@@ -61,3 +61,20 @@ def test_insert_success_idempotent(spark):
     assert [r.digest for r in new_snaps.collect()] == ["D2"]
     again, _ = upsert.insert_success(table.unionByName(rows), batch, snaps)
     assert again.count() == 0
+
+
+def test_fetched_bodies_are_hashed_before_they_meet_the_wanted(spark):
+    wanted = spark.createDataFrame([("u", 1, b32("a")), ("u", 2, b32("b")), ("v", 1, b32("c")), (None, 1, b32("a"))],
+                                   "url string, captured_at long, digest string")
+    fetched = spark.createDataFrame([("u", 1, "a"), ("u", 1, "x"), ("u", 2, None), ("w", 1, "c"), (None, 1, "a")],
+                                    "url string, captured_at long, body string")
+    got = quality.fetched_check(wanted, fetched)
+    join = got._jdf.queryExecution().optimizedPlan()
+    while join.nodeName() != "Join":
+        join = join.children().head()
+    for side in (join.children().apply(0).output(), join.children().apply(1).output()):
+        assert "body" not in [side.apply(k).name() for k in range(side.size())]
+    rows = {(r.url, r.captured_at, r.expected, r.actual, r.match, r.location) for r in got.collect()}
+    path = [f"{d[:2]}/{d[2:4]}/{d}.zst" for d in (b32("a"), b32("x"))]
+    assert rows == {("u", 1, b32("a"), b32("a"), True, path[0]), ("u", 1, b32("a"), b32("x"), False, path[1]),
+                    ("u", 2, b32("b"), None, None, None)}
