@@ -2,7 +2,9 @@
 index that replaces changed documents."""
 
 import datetime as dt
+import os
 import re
+import time
 import uuid
 
 import pytest
@@ -194,3 +196,72 @@ def test_only_generations_replaced_in_part_meet_their_marks(spark):
     index.compact()
     assert joins(index.postings()) == 0 and held("last") == ["s0", "s1", "s2", "s3", "s5"]
     assert _same(index.postings().drop("shard"), srch.document_postings(index.docs()))
+
+
+def _texts(spark, ids, year=2020):
+    from random import Random
+    rows = [(f"s{i}", dt.datetime(year, 1, 1), f"title {i}", f"{Random(f'{year}-{i}').randbytes(10_000).hex()} w{year}") for i in ids]
+    return spark.createDataFrame(rows, "snapshot string, captured_at timestamp, title string, content string")
+
+
+def _held_beside(spark, index) -> int:
+    """Bytes of shuffle files and of the checkpoint folder without the index."""
+    jvm = spark.sparkContext._jvm
+    tops = [d.getPath() for d in jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    total = 0
+    for top in [*tops, checkpoint_dir(spark)]:
+        for folder, _, names in os.walk(top):
+            if not folder.startswith(os.path.dirname(index.path)):
+                for n in names:
+                    try:
+                        total += os.path.getsize(f"{folder}/{n}")
+                    except OSError:             # went meanwhile
+                        pass
+    return total
+
+
+def _settled(spark, index, most) -> bool:
+    end = time.time() + 20                      # files of a shuffle go in the background
+    while _held_beside(spark, index) > most and time.time() < end:
+        time.sleep(0.5)
+    return _held_beside(spark, index) <= most
+
+
+def test_an_applied_batch_leaves_its_texts_in_the_index_alone(spark):
+    index = SearchIndex(spark, checkpoint_dir(spark, f"t-index-{uuid.uuid4().hex}/index"))
+    before, size = _held_beside(spark, index), 200 * 20_000
+    index.apply(_texts(spark, range(200)))
+    assert _settled(spark, index, before + size // 4)
+    index.apply(_texts(spark, range(100), 2021).withColumn("deleted", F.expr("snapshot < 's5'")))
+    assert _settled(spark, index, before + size // 4)
+    want = _texts(spark, range(100), 2021).where("snapshot >= 's5'").unionByName(_texts(spark, range(100, 200)))
+    assert _same(index.docs().select("snapshot", "content"), want.select("snapshot", "content"))
+
+
+def test_a_batch_that_lost_the_race_is_applied_to_the_newer_state(spark):
+    base = checkpoint_dir(spark, f"t-index-{uuid.uuid4().hex}/index")
+    index, other = SearchIndex(spark, base), SearchIndex(spark, base)
+    index.apply(_texts(spark, range(4)))
+    write, calls = index._write, []
+
+    def raced(gen, docs):
+        calls.append(gen)
+        if len(calls) == 1:
+            other.apply(_texts(spark, [1, 2, 5], 2021))
+        return write(gen, docs)
+
+    index._write = raced
+    last = _texts(spark, [0, 1, 3, 6], 2022)
+    index.apply(last.withColumn("deleted", F.expr("snapshot = 's3'")))
+    assert len(calls) == 2
+    want = last.where("snapshot <> 's3'").unionByName(_texts(spark, [2, 5], 2021))
+    assert _same(index.docs().select("snapshot", "content"), want.select("snapshot", "content"))
+    assert _same(index.postings().drop("shard"), srch.document_postings(want))
+
+
+def test_files_of_a_batch_go_when_the_index_holds_its_rows(spark, sf_small):
+    from tidemark.plans.q_sources import _replaced_index
+    index = _replaced_index(spark, sf_small)
+    docs = os.path.join(os.path.dirname(index.path), "docs")
+    assert [n for n in os.listdir(docs) if n.startswith("b=")] == []
+    assert _same(index.docs().select("snapshot", "content"), fx.search_docs(spark, sf_small).select("snapshot", "content"))

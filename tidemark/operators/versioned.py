@@ -177,7 +177,7 @@ class VersionedTable:
         parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")) // self.buckets)
         (b.repartition("bucket", F.pmod(F.xxhash64(F.lit("file"), *self.key), F.lit(parts)))
          .sortWithinPartitions("bucket", *self.key)
-         .write.mode("overwrite").partitionBy("bucket").parquet(data))
+         .write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(data))
         back = self.spark.read.schema(b.schema).parquet(data)
         n = F.count(F.lit(1))
         stats = back.groupBy("bucket").agg(

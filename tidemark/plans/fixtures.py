@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import (content_digest, first_line, redirect_html, surt_from_url, surt_host_key)
+from tidemark.session import shuffles_dropped
 from tidemark.sources.clustered import open_bucketed, write_bucketed
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -92,7 +93,8 @@ def _stored(fn):
             path = archive_path(spark, sf_dir, fn.__name__)
             if hit is None or hit[0] is not spark or hit[2] != path:
                 if not _exists(spark, path + "/_SUCCESS"):
-                    _WRITERS.get(fn.__name__, _write)(fn(spark, sf_dir), path)
+                    with shuffles_dropped(spark):
+                        _WRITERS.get(fn.__name__, _write)(fn(spark, sf_dir), path)
                 hit = (spark, spark.read.parquet(path), path)
                 _MEMO[key] = hit
         return hit[1]
@@ -115,7 +117,8 @@ def _bucketed(fn):
             path = archive_path(spark, sf_dir, f"{fn.__name__}-{n}")
             if hit is None or hit[0] is not spark or hit[2] != path:
                 if not _exists(spark, path + "/_SUCCESS"):
-                    write_bucketed(fn(spark, sf_dir), path, key, sort, n)
+                    with shuffles_dropped(spark):
+                        write_bucketed(fn(spark, sf_dir), path, key, sort, n)
                 hit = (spark, open_bucketed(spark, path, key, sort, n), path)
                 _MEMO[memo] = hit
         return hit[1]

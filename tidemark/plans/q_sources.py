@@ -17,7 +17,7 @@ from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import register
 from tidemark.plans.oracle import MAX_TOKEN_BYTES, TOKEN_PATTERN, d_digest, d_escape, d_redirect_html, q as lit, with_ctes
 from tidemark.plans.q_search import PAGE_CTES, S_TERMS, search_oracle
-from tidemark.session import checkpoint_dir
+from tidemark.session import checkpoint_dir, remove
 from tidemark.sources import cdx, exchange, redirects as rd, store as stg
 
 
@@ -380,17 +380,18 @@ def stream_reindex(spark, sf):
 
 
 def _replaced_index(spark, sf):
-    """An index that first took an outdated form of every document before 2020, then every document as it is."""
+    """An index that first took an outdated form of every document before 2020, then every document as it is. The files
+    of a batch go when the index holds their rows."""
     from tidemark.streaming.index import SearchIndex
     from tidemark.streaming.ingest import reindex
     base = _scratch(spark, "reindex-replace")
     docs = fx.search_docs(spark, sf)
     old = (docs.where(F.col("year") < 2020).withColumn("content", F.concat(F.lit("obsolete words "), F.reverse("content")))
            .withColumn("title", F.lit("obsolete")).withColumn("captured_at", F.col("captured_at") - F.expr("INTERVAL 1 DAY")))
-    old.write.parquet(f"{base}/docs/b=0")
-    reindex(spark, f"{base}/docs", docs.schema, f"{base}/index", f"{base}/ckpt")
-    docs.write.parquet(f"{base}/docs/b=1")
-    reindex(spark, f"{base}/docs", docs.schema, f"{base}/index", f"{base}/ckpt")
+    for i, batch in enumerate((old, docs)):
+        batch.write.option("compression", "zstd").parquet(f"{base}/docs/b={i}")
+        reindex(spark, f"{base}/docs", docs.schema, f"{base}/index", f"{base}/ckpt")
+        remove(spark, f"{base}/docs/b={i}")
     return SearchIndex(spark, f"{base}/index")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.search import document_postings, with_field_lengths, write_postings
 from tidemark.operators.versioned import State, VersionedTable
-from tidemark.session import cut_lineage
+from tidemark.session import shuffles_dropped
 
 POSTINGS = "snapshot string, field string, token string, tf long, dl long, positions array<int>, shard int"
 MARKS = "snapshot string, old string"
@@ -69,30 +69,44 @@ class SearchIndex:
 
     # ---- writing ------------------------------------------------------------------------------------------------
 
-    def _write(self, gen: str, docs: DataFrame, post: DataFrame, marks: DataFrame) -> str:
-        write_postings(post.select("snapshot", "field", "token", "tf", "dl", "positions"), f"{self.path}/gen={gen}")
-        marks.write.mode("overwrite").parquet(f"{self.path}/_marks/gen={gen}")
+    def _write(self, gen: str, docs: DataFrame) -> DataFrame:
+        """Writes document rows, and postings from the rows as they are stored: what ``docs`` comes from is computed once,
+        and the texts need no copy beside the generation's own."""
         self.table.write_generation(docs, gen)
-        return docs.schema.json()
+        own = self.spark.read.schema(docs.schema).parquet(f"{self.table.path}/gen={gen}").drop("bucket")
+        write_postings(document_postings(own), f"{self.path}/gen={gen}")
+        return own
+
+    def _mark(self, gen: str, marks: DataFrame) -> None:
+        marks.write.mode("overwrite").parquet(f"{self.path}/_marks/gen={gen}")
 
     def apply(self, batch: DataFrame, source: str | None = None, epoch: int | None = None,
               order: tuple[str, ...] = ("captured_at",)) -> State:
         """Indexes a batch of documents (snapshot, title, content, ...): new ones are added, known ones replaced, and
         rows with a true ``deleted`` column only taken out. Of several rows of a snapshot in the batch the last in
         ``order`` counts. An epoch that has been applied already is a no-op."""
-        cols = batch.columns
-        last = F.max_by(F.struct(*cols), F.struct(*order, F.xxhash64(*cols)))
-        newest = cut_lineage(batch.groupBy("snapshot").agg(last.alias("r")).select("r.*"))
+        cols, row = batch.columns, [F.col(c) for c in batch.columns]
+        at = F.struct(*order, F.xxhash64(*cols))
+        gone = F.coalesce("deleted", F.lit(False)) if "deleted" in cols else F.lit(False)
+        if "deleted" in cols:               # of a row that goes, only the key is needed
+            row = [F.col(c) if c == "snapshot" else F.when(~gone, F.col(c)).alias(c) for c in cols if c != "deleted"]
+        rows = batch.select("snapshot", F.struct(*row).alias("row"), gone.alias("gone"), at.alias("at"))
+        last = (rows.groupBy("snapshot").agg(F.max_by(F.struct("row", "gone"), "at").alias("last"))
+                .where("NOT last.gone").select("last.row.*"))
+        docs = with_field_lengths(last.drop("title_dl", "content_dl"))
 
         def write(state: State, gen: str):
-            old = self.table.present(newest, state).select("snapshot", F.col("gen").alias("old"))
-            kept = newest
+            nonlocal docs                   # written again, after a conflict, from the rows that lost
+            docs = self._write(gen, docs)
+            keys = docs.select("snapshot")
             if "deleted" in cols:
-                kept = newest.where(~F.coalesce("deleted", F.lit(False))).drop("deleted")
-            docs = with_field_lengths(kept.drop("title_dl", "content_dl"))
-            return 1, (), self._write(gen, docs, document_postings(kept), old)     # 1: a generation of marks alone is live, too
+                keys = keys.unionByName(rows.groupBy("snapshot").agg(F.max_by("gone", "at").alias("gone"))
+                                        .where("gone").select("snapshot"))
+            self._mark(gen, self.table.present(keys, state).select("snapshot", F.col("gen").alias("old")))
+            return 1, (), docs.schema.json()                                      # 1: a generation of marks alone is live, too
 
-        return self.table.commit_batch(write, source, epoch)
+        with shuffles_dropped(self.spark), shuffles_dropped(batch.sparkSession):
+            return self.table.commit_batch(write, source, epoch)
 
     def compact(self) -> State:
         """Rewrites the live documents and their postings as one generation. Postings follow from the documents, which
@@ -101,7 +115,8 @@ class SearchIndex:
             docs = self.docs(state)
             if docs is None:
                 return 0, (), None
-            self._write(gen, docs, document_postings(docs), self.spark.createDataFrame([], MARKS))
+            self._write(gen, docs)
+            self._mark(gen, self.spark.createDataFrame([], MARKS))
             return 1, state.live, state.schema
 
         return self.table.commit_batch(write)
