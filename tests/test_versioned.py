@@ -238,6 +238,18 @@ def test_an_applied_batch_leaves_its_texts_in_the_index_alone(spark):
     assert _same(index.docs().select("snapshot", "content"), want.select("snapshot", "content"))
 
 
+def test_a_compaction_leaves_its_texts_in_the_index_alone(spark):
+    index = SearchIndex(spark, checkpoint_dir(spark, f"t-index-{uuid.uuid4().hex}/index"))
+    index.apply(_texts(spark, range(200)))
+    index.apply(_texts(spark, range(20), 2021))
+    before = _held_beside(spark, index)
+    index.compact()
+    assert _settled(spark, index, before + 200 * 20_000 // 4)
+    want = _texts(spark, range(20), 2021).unionByName(_texts(spark, range(20, 200)))
+    assert _same(index.docs().select("snapshot", "content"), want.select("snapshot", "content"))
+    assert _same(index.postings().drop("shard"), srch.document_postings(want))
+
+
 def test_a_batch_that_lost_the_race_is_applied_to_the_newer_state(spark):
     base = checkpoint_dir(spark, f"t-index-{uuid.uuid4().hex}/index")
     index, other = SearchIndex(spark, base), SearchIndex(spark, base)

@@ -119,4 +119,5 @@ class SearchIndex:
             self._mark(gen, self.spark.createDataFrame([], MARKS))
             return 1, state.live, state.schema
 
-        return self.table.commit_batch(write)
+        with shuffles_dropped(self.spark):
+            return self.table.commit_batch(write)
